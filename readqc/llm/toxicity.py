@@ -120,7 +120,7 @@ def train(labelled: DataFrame, features: int = 320, voters: int = 48, least: int
     left, open_rows = set(range(len(number))), y == 1
     while len(lexicon) < voters and left and open_rows.any():  # the features that together cover most toxic rows
         order = sorted(left)
-        cover = x[open_rows][:, order].sum(axis=0) - x[y == 0][:, order].sum(axis=0) * (n1 / n0)
+        cover = x[open_rows][:, order].sum(axis=0) - 4 * x[y == 0][:, order].sum(axis=0)
         if cover.max() < least:
             break
         pick = order[int(cover.argmax())]
