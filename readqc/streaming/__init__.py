@@ -1 +1,24 @@
+"""Streams of reads: running tables, and the meeting of mates within a watermark."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+
+
+def running_insert_sizes(stream: DataFrame) -> DataFrame:
+    """Histogram of insert sizes by orientation, for output mode complete."""
+    keep = X.flag(X.PAIRED) & ~X.flag(X.UNMAPPED | X.MATE_UNMAPPED) & ~X.flag(X.FIRST) & ~X.flag(X.SECONDARY | X.SUPPLEMENTARY | X.QC_FAIL | X.DUPLICATE) & (F.col("tlen") != 0)
+    rows = stream.filter(keep).select(X.pair_orientation().alias("pair_orientation"), F.abs(F.col("tlen").cast("long")).alias("insert_size"))
+    return rows.filter("pair_orientation IS NOT NULL").groupBy("pair_orientation", "insert_size").agg(F.count(F.lit(1)).alias("n"))
+
+
+def meet_mates(stream: DataFrame, time: str, wait: str = "10 minutes") -> DataFrame:
+    """First and second reads of a name that arrive within ``wait`` of each other; state of reads that wait longer is dropped."""
+    rows = stream.filter(~X.flag(X.SECONDARY | X.SUPPLEMENTARY)).withWatermark(time, wait)
+    one = rows.filter(X.flag(X.FIRST)).select(F.col("qname"), F.col("ref_id").alias("ref1"), F.col("pos0").alias("pos1"), F.col(time).alias("t1"))
+    two = rows.filter(X.flag(X.LAST)).select(F.col("qname").alias("q2"), F.col("ref_id").alias("ref2"), F.col("pos0").alias("pos2"), F.col(time).alias("t2"))
+    near = F.expr(f"qname = q2 AND t2 BETWEEN t1 - INTERVAL {wait} AND t1 + INTERVAL {wait}")
+    return one.join(two, near).drop("q2")
