@@ -12,7 +12,7 @@ def formatted(df: DataFrame, table: str) -> DataFrame:
     """All columns as text: doubles with the table's decimals (exact value, ties to even), null as empty."""
     cols = []
     for name, kind in df.dtypes:
-        text = F.format_number(name, "0." + "0" * decimals(table, name)) if kind == "double" else F.col(name).cast("string")
+        text = F.call_function("format_number", F.col(name), F.lit("0." + "0" * decimals(table, name))) if kind == "double" else F.col(name).cast("string")
         cols.append(F.coalesce(text, F.lit("")).alias(name))
     return df.select(*cols)
 
