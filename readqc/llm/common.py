@@ -37,6 +37,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def near_ids(df: DataFrame, col: str, ids: DataFrame, most_bits: int = 1 << 29) -> DataFrame:
+    """The rows of df whose col is an id of ids (a column "id", no nulls), and a few others: without a shuffle of df.
+
+    Ids set bits of a bitmap under two hashes, 32 bits an id and ``most_bits`` (64 MB) at most, so the broadcast is bounded;
+    above that size more other rows pass (0.4 % below it). Callers join the result with their ids anyway.
+    """
+    bits = min(most_bits, max(1 << 15, 32 * ids.count()))
+    place = lambda c, seed: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(bits))
+    marks = ids.select(F.explode(F.array(place(F.col("id"), 1), place(F.col("id"), 2))).alias("p")).select(F.shiftright("p", 15).alias("bucket"), (F.col("p") % (1 << 15)).alias("at"))
+    table = stored(marks.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bitmap")), "bitmap")
+    for seed in (1, 2):
+        at = F.col("_p") % (1 << 15)
+        byte = F.conv(F.hex(F.substring("_m.bitmap", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        mate = table.select(F.col("bucket").alias("_bucket"), F.struct("bitmap").alias("_m"))
+        met = df.withColumn("_p", place(F.col(col), seed)).join(F.broadcast(mate), F.shiftright("_p", 15) == F.col("_bucket"))
+        df = met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(df.columns)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
