@@ -51,8 +51,8 @@ def near_ids(df: DataFrame, col: str, ids: DataFrame, most_bits: int = 1 << 29)
         at = F.col("_p") % (1 << 15)
         byte = F.conv(F.hex(F.substring("_m.bitmap", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         mate = table.select(F.col("bucket").alias("_bucket"), F.struct("bitmap").alias("_m"))
-        met = df.withColumn("_p", place(F.col(col), seed)).join(F.broadcast(mate), F.shiftright("_p", 15) == F.col("_bucket"))
-        df = met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select(df.columns)
+        met = df.select(F.struct("*").alias("_row"), place(F.col(col), seed).alias("_p")).join(F.broadcast(mate), F.shiftright("_p", 15) == F.col("_bucket"))
+        df = met.filter(F.getbit(byte, (at % 8).cast("int")) == 1).select("_row.*")
     return df
 
 
@@ -74,6 +74,13 @@ def word_count(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit("[^ \\t-\\r]+")), F.lit(0)).cast("long")
 
 
+def pieces(batches, rows: int = 512):
+    """The Arrow batches in slices of so many rows, so that a worker holds little at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for the next time; forgets all when it holds ``limit``."""
 

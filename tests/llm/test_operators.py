@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readqc.llm import ann, decontam, hmm, langid, license_scan, line_dedup, minhash, mixing, pii, toxicity
+from readqc.llm.common import near_ids
 from readqc.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -190,6 +191,39 @@ def test_near_duplicates_odd(docs_of, odd_rows):
     assert minhash.drop_near_duplicates(docs_of(odd_rows)).count() == len(odd_rows)
 
 
+@pytest.mark.parametrize("most_bits", [1 << 15, 1 << 29])
+def test_near_ids(spark, most_bits):
+    """All rows with an id of the set pass, whatever the size of the bitmap; few others do while it has 32 bits an id."""
+    ids = {i * i - 7 for i in range(3000)}
+    df = spark.range(-20_000, 60_000).selectExpr("id AS doc", "'x' AS id", "1 AS _bucket")
+    out = near_ids(df, "doc", spark.createDataFrame([(i,) for i in ids], "id long"), most_bits)
+    got = [r.doc for r in out.collect()]
+    want = {i for i in ids if -20_000 <= i < 60_000}
+    assert out.columns == df.columns and len(got) == len(set(got)) and want <= set(got)
+    assert most_bits == 1 << 15 or len(got) < len(want) + 800
+    assert near_ids(df, "doc", spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_near_groups(spark):
+    """A large group of copies with edits of their own: no link is lost, and equal roots as by comparing all pairs."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    made = []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"u{i}x{rng.randrange(9)}"
+        made.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), width=5).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in made for w in [t.split()]}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (95, 100)], "a long, b long")
     roots = dict(map(tuple, components(links, "a", "b").collect()))
