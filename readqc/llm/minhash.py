@@ -5,7 +5,9 @@
    sets at the threshold of 0.8 agree on each value of their union's sketch with probability 0.8, and miss every run of
    three among forty with a probability below 1e-6. Single values would do, but common shingles make their lists long.
    Sets of up to SMALL shingles use all triples of their prefix, of which two near sets surely share one, with their step
-   of size (each also with the next one, so that sets within the ratio meet).
+   of size (each also with the next one, so that sets within the ratio meet). Those of them that can be near a larger set
+   also stand under their runs: both sketches are whole there, and c common values with d others among them hold
+   c - 2 (d + 1) common runs at least, 7 or more across this border, so it survives what the larger set leaves in step 3.
 3. Short lists pair all members (at most ``short`` each). A longer list pairs its members with its smallest one; after the
    components of these links are known, the members of lists with several components are joined anew, over components,
    by prefix filtering of their full sets from rare to common shingles. Near sets whose common runs all have long lists share SHARED runs at least (about twenty are expected), so
@@ -82,7 +84,8 @@ def list_keys(threshold: int):
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / threshold))) - 1e-9)
     triple = lambda u, v, w: F.array(F.xxhash64(u, v, w, step), F.xxhash64(u, v, w, step + 1))
     triples = F.transform(first, lambda u, i: F.flatten(F.transform(after(i), lambda v, j: F.flatten(F.transform(F.slice(first, i + j + 3, F.size(first)), lambda w: triple(u, v, w))))))
-    return F.when(F.col("n") <= SMALL, F.flatten(triples)).otherwise(runs)
+    border = F.col("n") * 100 >= (SMALL + 1) * threshold
+    return F.when(F.col("n") > SMALL, runs).when(border, F.concat(F.flatten(triples), runs)).otherwise(F.flatten(triples))
 
 
 def _alike(threshold: int, k: int):

@@ -184,6 +184,43 @@ def test_near_duplicates_plain(spark, rows, width):
     assert got == plain_components(table, width)
 
 
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_near_duplicates_sizes(spark, threshold):
+    """Insertions and deletions at all sizes from 4 to 45, alone and in crowds whose lists are long, as by comparing all pairs."""
+    rng = random.Random(threshold)
+    table = []
+    for n in range(4, 46):
+        base = [f"b{n}x{i}" for i in range(n)]
+        most = n * 100 // threshold
+        for j, size in enumerate((most, most + 1, n + 1)):  # at, just below and well above the threshold
+            own = [f"{w}s{j}" for w in base]
+            table += [own, own + [f"i{n}x{j}x{i}" for i in range(size - n)]]
+            less = [f"{w}d{j}" for w in base]
+            cut = rng.sample(range(n), n - min(n - 1, (n * threshold + 99) // 100 - (j == 1)))
+            table += [less, [w for i, w in enumerate(less) if i not in cut]]
+    for n in (16, 18, 20, 21, 23, 25):
+        base = [f"c{n}x{i}" for i in range(n)]
+        for j in range(25):
+            w = [x for x in base if rng.random() > 0.12]
+            table.append(w + [f"e{n}x{j}x{i}" for i in range(rng.randrange(6))])
+    table = [(i, " ".join(w)) for i, w in enumerate(table)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), width=1, threshold=threshold).collect()}
+    sets = {i: set(t.split()) for i, t in table}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= threshold * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert {i: c for i, c in got.items() if c != find(i)} == {}
+
+
 def test_near_duplicates_odd(docs_of, odd_rows):
     out = minhash.near_duplicates(docs_of(odd_rows)).collect()
     assert len(out) == len(odd_rows) and all(r.kept for r in out if r.doc_id in (1, 2, 3, None))
