@@ -1,16 +1,12 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH, then exact edit distance.
+"""Benchmark decontamination by exact pieces, then exact edit distance.
 
 Texts are words (A-Z lower-cased, outer punctuation stripped) numbered by the vocabulary of the items; other words are 0.
-The CGK random walk copies the word under its pointer and moves on by a random bit of (step, word); two texts at a small
-edit distance agree on most steps of a walk. A repetition draws a walk and ``bits`` of its steps; a window of a document and
-an item collide if they agree on all of them. A walk from one start serves items of every size in its class; windows are
-those that start at any word. Starts are followed step by step and fall out at the first sampled step at which no item
-agrees. Colliding windows are verified: contaminated if the edit distance in words to the best window that begins there is
-at most tolerance * words of the item.
-
-A bound that holds for every match comes before: a window within distance d of an item of n words is n - d words long at
-least, and of its first n - d words all but d are words of the item, so starts with fewer known words are not walked. Twelve repetitions of three steps find about 97 of 100
-simulated copies that carry as many random edits as the tolerance allows, and all exact ones. The items are collected in
+An item of n words may differ by d = tolerance * n edits. It is cut into d + 1 pieces; d edits touch d of them at most, so
+every match holds one piece unchanged, at most d words from its place. Documents are searched for the pieces (their first
+LONGEST words, by hash), so no match is missed, whatever its size and the kind and place of its edits.
+
+A place where a piece was found stays if at least n - d words around it are words of the item. There the edit distance of
+the item to the best window from every start is worked out: contaminated if it is at most d. The items are collected in
 blocks of at most ``max_items``; further blocks take further passes over the documents.
 """
 
@@ -26,6 +22,8 @@ from pyspark.sql import functions as F
 OUT = ["item_id", "distance", "item_words", "start_word"]
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CHUNK = 1 << 18
+LONGEST = 8
+STEP = 0x9E3779B97F4A7C15
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -48,127 +46,126 @@ class Numbers(dict):
         return n
 
 
-def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
-    """Least edit distance between item and any prefix of text; most + 1 if above. Row by row, vectorised over the text."""
-    text = text[: len(item) + most]
-    row = np.arange(len(text) + 1)
+def distances(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Least edit distance between item and any text[s:e], for each s from 0 to len(text). Row by row from the end, vectorised over the text."""
+    back = text[::-1]
+    row = np.zeros(len(text) + 1, np.int64)
     ramp = np.arange(len(text) + 1)
-    for i, w in enumerate(item, 1):
+    for i, w in enumerate(item[::-1], 1):
         new = np.empty_like(row)
         new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (text != w))
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (back != w))
         row = np.minimum.accumulate(new - ramp) + ramp
-        if row.min() > most:
-            return most + 1
-    return int(row.min())
+    return row[::-1]
+
+
+def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
+    """Least edit distance between item and any prefix of text; most + 1 if above."""
+    return min(int(distances(item, text[: len(item) + most])[0]), most + 1)
 
 
 class Index:
-    """Items of a size class, with their walks in every repetition."""
+    """Items and their pieces by length: (length, marks of hashes, sorted hashes, first entry of each, items, offsets)."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], words: int, tolerance: float, bits: int, repeats: int, rng):
-        self.items, self.low, self.tolerance = items, min(len(t) for _, t in items), tolerance
+    def __init__(self, items: list[tuple[int, np.ndarray]], words: int, tolerance: float):
+        self.items, self.words = items, words
         self.most = [max(0, math.floor(tolerance * len(t) + 1e-9)) for _, t in items]
-        top = max(len(t) for _, t in items)
-        self.span = top + max(self.most)
-        # Of the first words of a matching window, all but the distance are words of an item of this class.
-        self.first = min(len(t) - m for (_, t), m in zip(items, self.most, strict=True))
-        self.need = self.first - max(self.most)
-        self.own = np.zeros(words, bool)
-        for _, t in items:
-            self.own[t] = True
+        #: Words between documents, so that nothing around a piece reaches into another one.
+        self.gap = max((len(t) + 2 * m for (_, t), m in zip(items, self.most, strict=True)), default=0) + 1
+        self.mixed = np.random.default_rng(5).integers(0, 1 << 63, words, dtype=np.uint64) | np.uint64(1)
+        by: dict[int, list[tuple[int, int, int]]] = {}
+        for k, ((_, t), most) in enumerate(zip(items, self.most, strict=True)):
+            cuts = [i * len(t) // (most + 1) for i in range(most + 2)]
+            for at, end in zip(cuts, cuts[1:]):
+                code = 0
+                for w in t[at : min(end, at + LONGEST)]:
+                    code = (code * STEP + int(self.mixed[w])) % (1 << 64)
+                by.setdefault(min(end - at, LONGEST), []).append((code, k, at))
         self.tables = []
-        padded = np.zeros((len(items), top + 1), np.int32)
-        sizes = np.array([len(t) for _, t in items])
-        for k, (_, t) in enumerate(items):
-            padded[k, : len(t)] = t
-        for _ in range(repeats):
-            # Steps at which every item's pointer is surely inside the item.
-            steps = self.low
-            at = np.sort(rng.choice(steps, min(bits, steps), replace=False))
-            move = rng.integers(0, 2, (int(at[-1]) + 1, words), dtype=np.uint8)
-            where, seen = np.zeros(len(items), np.int64), []
-            for step in range(int(at[-1]) + 1):
-                w = padded[np.arange(len(items)), np.minimum(where, sizes - 1)]
-                if step in at:
-                    seen.append(w)
-                where += move[step, w]
-            keys = np.stack(seen, 1)
-            prefixes = []
-            number = {(): 0}
-            state = [()] * len(items)
-            for c in range(keys.shape[1]):  # a trie of the sampled words: (state, word) -> state
-                edges, nxt, fresh = {}, [], {}
-                for k in range(len(items)):
-                    p = (*state[k], int(keys[k, c]))
-                    fresh.setdefault(p, len(fresh))
-                    edges[(number[state[k]], int(keys[k, c]))] = fresh[p]
-                    nxt.append(p)
-                codes = np.array(sorted(a * words + b for a, b in edges), np.int64)
-                prefixes.append((codes, np.array([edges[(int(x) // words, int(x) % words)] for x in codes], np.int64)))
-                state, number = nxt, fresh
-            leaves: dict[int, list[int]] = {}
-            for k in range(len(items)):
-                leaves.setdefault(number[state[k]], []).append(k)
-            self.tables.append((at, move, prefixes, leaves))
-
-    def search(self, tokens: np.ndarray, live: np.ndarray, words: int):
-        """Pairs (start, item) that collide in any repetition; tokens end in padding."""
-        known = np.zeros(len(tokens) + 1, np.int32)
-        np.cumsum(self.own[tokens], out=known[1:])
-        dense = known[self.first :] - known[: len(known) - self.first] >= self.need
-        starts = np.flatnonzero(live[: len(dense)] & dense)
-        found = set()
-        for at, move, trie, leaves in self.tables:
-            pos, origin, state, c = starts.copy(), starts, np.zeros(len(starts), np.int64), 0
-            for step in range(int(at[-1]) + 1):
-                if not len(pos):
-                    break
-                w = tokens[pos]
-                if step == at[c]:
-                    codes, to = trie[c]
-                    code = state * words + w
-                    i = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                    ok = codes[i] == code
-                    pos, origin, state, w = pos[ok], origin[ok], to[i[ok]], w[ok]
-                    c += 1
-                pos = np.minimum(pos + move[step][w], len(tokens) - 1)
-            for o, s in zip(origin.tolist(), state.tolist(), strict=True):
-                found.update((o, k) for k in leaves[s])
-        return found
-
-
-def indexes(items: list[tuple[int, bytes]], tolerance: float, bits: int, repeats: int, seed: int):
-    """(vocabulary, words, indexes by size class); items without words are left out."""
+        for size in sorted(by):
+            found = sorted(by[size])
+            codes, first = np.unique(np.array([x[0] for x in found], np.uint64), return_index=True)
+            shift = np.uint64(64 - max(16, (16 * len(codes)).bit_length()))
+            marks = np.zeros(1 << (64 - int(shift)), bool)
+            marks[codes >> shift] = True
+            self.tables.append((size, shift, marks, codes, np.append(first, len(found)), np.array([x[1] for x in found]), np.array([x[2] for x in found])))
+
+    def places(self, tokens: np.ndarray):
+        """(item, where it would begin, where the piece is) of all pieces in tokens, which end in 0."""
+        pos = np.flatnonzero(tokens)
+        code, held = self.mixed[tokens[pos]], 1
+        found = []
+        for size, shift, marks, codes, first, kind, offset in self.tables:
+            for j in range(held, size):
+                w = tokens[pos + j]
+                some = w > 0
+                pos, code = pos[some], code[some] * np.uint64(STEP) + self.mixed[w[some]]
+            held = size
+            maybe = np.flatnonzero(marks[code >> shift])
+            i = np.minimum(np.searchsorted(codes, code[maybe]), len(codes) - 1)
+            same = codes[i] == code[maybe]
+            i, at = i[same], pos[maybe[same]]
+            n = first[i + 1] - first[i]
+            entry = np.repeat(first[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at = np.repeat(at, n)
+            found.append((kind[entry], at - offset[entry], at))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    def search(self, tokens: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        """(document, item, distance, start) of the matches; document d is tokens[begin[d]:end[d]], with ``gap`` zeros around it."""
+        kinds, begins, pieces = self.places(tokens)
+        order = np.lexsort((begins, kinds))
+        kinds, begins, docs = kinds[order], begins[order], np.searchsorted(end, pieces[order], "right")
+        own = np.zeros(self.words, bool)
+        cuts = np.flatnonzero(np.diff(kinds, prepend=-1, append=-1)) if len(kinds) else ()
+        for lo, hi in zip(cuts, cuts[1:]):
+            k = int(kinds[lo])
+            text, most = self.items[k][1], self.most[k]
+            at, one = np.unique(begins[lo:hi], return_index=True)
+            own[text] = True
+            around = np.arange(-most, len(text) + most)
+            enough = [own[tokens[x[:, None] + around]].sum(axis=1) >= len(text) - most for x in np.array_split(at, len(at) // 4096 + 1)]
+            own[text] = False
+            enough = np.flatnonzero(np.concatenate(enough))
+            if not len(enough):
+                continue
+            at, doc = at[enough], docs[lo:hi][one[enough]]
+            apart = np.flatnonzero(np.diff(at) > 2 * most) + 1  # places in different documents are further apart
+            for group, d in zip(np.split(at, apart), doc[np.append(0, apart)].tolist(), strict=True):
+                first, last = max(group[0] - most, begin[d]), min(group[-1] + most, end[d] - 1)
+                if first <= last:
+                    near = distances(text, tokens[first : min(last + len(text) + most, end[d])])[: last - first + 1]
+                    s = int(near.argmin())
+                    if near[s] <= most:
+                        yield d, k, int(near[s]), int(first - begin[d]) + s
+
+
+def index_of(items: list[tuple[int, bytes]], tolerance: float):
+    """(vocabulary, index); items without words are left out."""
     split = [(i, words_of(t)) for i, t in items]
     split = [(i, w) for i, w in split if w]
     vocabulary: dict[bytes, int] = {}
     for _, ws in split:
         for w in ws:
             vocabulary.setdefault(w, len(vocabulary) + 1)
-    rng = np.random.default_rng(seed)
-    numbered = sorted(((i, np.array([vocabulary[w] for w in ws], np.int32)) for i, ws in split), key=lambda x: (len(x[1]), x[0]))
-    classes: dict[int, list] = {}
-    for i, t in numbered:
-        classes.setdefault(int(math.log(len(t)) / math.log(1.2)), []).append((i, t))
-    words = len(vocabulary) + 1
-    return vocabulary, words, [Index(c, words, tolerance, bits, repeats, rng) for c in classes.values()]
+    return vocabulary, Index([(i, np.array([vocabulary[w] for w in ws], np.int32)) for i, ws in split], len(vocabulary) + 1, tolerance)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, tolerance: float = 0.15, bits: int = 3, repeats: int = 12, seed: int = 5, max_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, tolerance: float = 0.15, max_items: int = 20_000) -> DataFrame:
     """(doc_id, item_id, distance, item_words, start_word): for each document and item the best match within the tolerance, the first if tied.
 
     Null texts and wordless texts and items match nothing; rows that share an id count as one document; rows without id
     are reported under null. Any other columns are ignored. Items beyond max_items are taken in further passes.
     """
+    if not 0 <= tolerance < 1:
+        raise ValueError("tolerance must be from 0 to below 1")
     spark = docs.sparkSession
     every = items.select("item_id", F.col("text").cast("binary").alias("b")).filter("item_id IS NOT NULL AND b IS NOT NULL")
     passes = max(1, math.ceil(every.count() / max_items))
     out = None
     for k in range(passes):
         block = every.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else every
-        vocabulary, words, classes = indexes([(r.item_id, bytes(r.b)) for r in block.collect()], tolerance, bits, repeats, seed)
-        shared = spark.sparkContext.broadcast((vocabulary, words, classes))
+        shared = spark.sparkContext.broadcast(index_of([(r.item_id, bytes(r.b)) for r in block.collect()], tolerance))
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("b")).filter("b IS NOT NULL").mapInArrow(_finder(shared), "doc_id long, item_id long, distance int, item_words int, start_word long")
         out = found if out is None else out.union(found)
     best = F.min(F.struct("distance", "start_word", "item_words")).alias("m")
@@ -177,16 +174,16 @@ def contaminated(docs: DataFrame, items: DataFrame, tolerance: float = 0.15, bit
 
 def _finder(shared):
     def work(batches):
-        vocabulary, words, classes = shared.value
+        vocabulary, index = shared.value
         numbers = Numbers(vocabulary)
-        pad = np.zeros(max((x.span for x in classes), default=0) + 1, np.int32)
+        pad = np.zeros(index.gap, np.int32)
         look = numbers.__getitem__
         for batch in batches:
             got = []
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("b").to_pylist()
             lo = 0
-            while lo < len(ids) and classes:
-                arrays, bounds, size = [], [], 0
+            while lo < len(ids) and index.items:
+                arrays, bounds, size = [pad], [], len(pad)
                 hi = lo
                 while hi < len(ids) and (hi == lo or size < CHUNK):
                     raw = texts[hi].lower().split()
@@ -197,18 +194,10 @@ def _finder(shared):
                     size += len(a) + len(pad)
                     hi += 1
                 tokens = np.concatenate(arrays)
-                live = np.zeros(len(tokens), bool)
-                for s, e in bounds:
-                    live[s:e] = True
-                firsts = np.array([s for s, _ in bounds])
-                for index in classes:
-                    for start, k in index.search(tokens, live, words):
-                        d = int(np.searchsorted(firsts, start, "right") - 1)
-                        s, e = bounds[d]
-                        item, text = index.items[k]
-                        distance = edit_distance(text, tokens[start:e], index.most[k])
-                        if distance <= index.most[k]:
-                            got.append((ids[lo + d], item, distance, len(text), start - s))
+                begin, end = np.array(bounds).T
+                for d, k, distance, start in index.search(tokens, begin, end):
+                    item, text = index.items[k]
+                    got.append((ids[lo + d], item, distance, len(text), start))
                 lo = hi
             yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=["doc_id", "item_id", "distance", "item_words", "start_word"])
 

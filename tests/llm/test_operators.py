@@ -286,6 +286,44 @@ def test_decontamination(spark):
     assert all(r.start_word == 50 and r.distance == r.item_id % 3 for r in out if r.item_id % 3 == 0)
 
 
+def test_decontamination_full_tolerance(spark):
+    """Every window within the tolerance is found: scattered and mixed edits, runs left out or put in, items up to 400 words."""
+    rng = random.Random(11)
+    items, table, want = [], [], set()
+    for i, n in enumerate((1, 2, 5, 7, 14, 20, 33, 40, 80, 120, 200, 250, 400) * 3):
+        item = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        items.append((i, " ".join(item)))
+        d = int(0.15 * n + 1e-9)
+        for j, kind in enumerate(("scattered", "mixed", "cut", "put", "over")):
+            w = list(item)
+            at = min(rng.randrange(3), n - d)
+            if kind == "cut":
+                del w[at : at + d]
+            elif kind == "put":
+                w[at:at] = ["other"] * d
+            else:
+                edits = sorted(rng.sample(range(n), d), reverse=True) if kind != "over" else range(n - 1, -1, -max(1, n // (d + n // 5 + 1)))
+                for e in edits:
+                    act = rng.randrange(3) if kind == "mixed" else 0
+                    w[e : e + (act != 1)] = ["other"] * (act != 2)
+            doc = i * 10 + j
+            table.append((doc, " ".join(["left"] * rng.choice((0, 30)) + w + ["right"] * rng.choice((0, 30)))))
+            if kind != "over":
+                want.add((doc, i))
+    out = decontam.contaminated(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    texts = {i: decontam_words(t) for i, t in table}
+    numbers = defaultdict(itertools.count(1).__next__)
+    number = lambda ws: np.array([numbers[w] for w in ws])
+    kept = {(r.doc_id, r.item_id): (r.distance, r.start_word) for r in out}
+    assert want <= set(kept)
+    for i, t in items:
+        item = number(t.split())
+        for doc in range(i * 10, i * 10 + 5):
+            text = number(texts[doc])
+            near = min(((decontam.edit_distance(item, text[s:], len(item)), s) for s in range(len(text))), default=(9999, 0))
+            assert kept.get((doc, i)) == (near if near[0] <= int(0.15 * len(item) + 1e-9) else None)
+
+
 def test_edit_distance_plain():
     rng = random.Random(4)
     for _ in range(100):
