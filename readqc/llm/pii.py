@@ -4,7 +4,8 @@ One pattern finds e-mail addresses, card numbers, phone numbers, IPv4 addresses,
 after a form of address. A surrogate is a keyed function of (type, entity, attempt): letters become letters of the same
 case and script, digits digits, all else stays, so the format is kept; card numbers keep their first digit and whether
 they pass the Luhn test, phone numbers their country code, IPv4 octets stay in range, and given names come from a list of
-the gender that the form of address tells. The same entity gets the same surrogate everywhere, without a join.
+the gender that the form of address tells. The same entity gets the same surrogate everywhere, without a join; spellings
+of one card or phone number (separators) or e-mail address (case) are one entity, and their surrogates agree likewise.
 
 Distinctness: surrogates of all distinct entities are counted; entities that share one, or whose surrogate is an entity of
 the corpus, try again with the next attempt until none is left. These exceptions, and only they, are joined back, as a
@@ -28,16 +29,18 @@ FEMALE = {"latin": ("Anna", "Clara", "Elena", "Julia", "Laura", "Maria", "Nora",
 MALE = {"latin": ("Adam", "Bruno", "David", "Felix", "Hugo", "Jonas", "Lucas", "Martin", "Oscar", "Simon"), "cyrillic": ("Антон", "Борис", "Виктор", "Денис", "Иван", "Максим", "Олег", "Павел")}
 
 _FORMS = "|".join(sorted((*FEMALE_FORMS, *MALE_FORMS), key=lambda x: (-len(x), x)))
+# A name has further capitalised parts, initials, hyphens and apostrophes; "'s" is left out. Possessive loops need no stack.
+_PART = r"(?:\p{Lu}\. ?)*+\p{Lu}(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?=\p{L}{2}))++"
 _PREFIX = r"(?:password|passwd|secret|api_key|token)(?: = \"|=\"|: \"|=|: )"
 #: Each begins where no word character, dot, %, + or - comes before.
 PATTERNS = {
-    "email": r"[A-Za-z0-9_%+][A-Za-z0-9._%+-]{0,63}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
+    "email": r"[A-Za-z0-9_%+][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+",
     "card": r"[3-6]\d{3}(?:[ -]?\d{4}){3}(?![\w-])",
     "phone": r"\+\d{1,3} ?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}(?![\w-])",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)",
     "key": r"AKIA[A-Z0-9]{16}(?!\w)",
-    "secret": _PREFIX + r"[A-Za-z0-9_+/-]{12,128}",
-    "name": rf"(?:{_FORMS})\.? \p{{Lu}}\p{{L}}{{1,30}}(?: \p{{Lu}}\p{{L}}{{1,30}})?",
+    "secret": _PREFIX + r"[A-Za-z0-9_+/-]{12,}+",
+    "name": rf"(?:{_FORMS})\.? {_PART}(?: {_PART})*+",
 }
 ANY = r"(?<![\w.%+-])(?:" + "|".join(PATTERNS[k] for k in KINDS) + ")"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
@@ -49,6 +52,15 @@ def kind_of(e: Column) -> Column:
     return out.when(e.rlike(r"^[3-6]\d{3}([ -]?\d{4}){3}$"), "card").when(e.rlike("^AKIA[A-Z0-9]{16}$"), "key").when(e.rlike(rf"^({_FORMS})\.? "), "name").otherwise("secret")
 
 
+def _digits(e: Column) -> Column:
+    return F.regexp_replace(e, "[^0-9]", "")
+
+
+def canonical(kind: Column, e: Column) -> Column:
+    """What the spellings of an entity have in common: digits of a card or phone number, an e-mail address without case."""
+    return F.when(kind.isin("card", "phone"), _digits(e)).when(kind == "email", F.lower(e)).otherwise(e)
+
+
 def _stream(key: str, kind: Column, e: Column, attempt: Column) -> Column:
     """512 keyed hex digits."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, e, attempt.cast("string"))
@@ -64,15 +76,15 @@ def _number(h: Column, i: Column, n: Column | int) -> Column:
 def _shuffled(e: Column, h: Column) -> Column:
     """Each letter and digit replaced by one of its class."""
 
-    def one(i):
-        c = F.substr(e, i, F.lit(1))
-        hexed = e.rlike("^[0-9a-f]{12,}$") & c.rlike("[a-f]")
+    def one(c, i, hexes):
+        i = i + 1
+        hexed = hexes & c.rlike("[a-f]")
         pick = lambda letters: F.substr(F.lit(letters), _number(h, i, len(letters)) + 1, F.lit(1))
         out = F.when(c.rlike("[0-9]"), pick("0123456789")).when(hexed, pick("abcdef")).when(c.rlike("[a-z]"), pick("abcdefghijklmnopqrstuvwxyz")).when(c.rlike("[A-Z]"), pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         out = out.when(c.rlike(r"[\p{IsCyrillic}&&\p{Ll}]"), pick(_CYRILLIC)).when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), pick(_CYRILLIC.upper()))
         return out.when(c.rlike(r"\p{Ll}"), pick("àâäçèéêëìíîïñòóôöùúûü")).when(c.rlike(r"\p{Lu}"), pick("ÀÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ")).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(e)), one), "")
+    return _once(e.rlike("^[0-9a-f]{12,}+$"), lambda hexes: F.array_join(F.transform(F.split(e, ""), lambda c, i: one(c, i, hexes)), ""))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -84,16 +96,27 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(digits)), F.lit(0), add)
 
 
+def _placed(e: Column, digits: Column) -> Column:
+    """e with its digits replaced by these, in order."""
+    place = lambda i: F.char_length(_digits(F.substr(e, F.lit(1), i)))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(e)), lambda i: F.when(F.substr(e, i, F.lit(1)).rlike("[0-9]"), F.substr(digits, place(i), F.lit(1))).otherwise(F.substr(e, i, F.lit(1)))), "")
+
+
 def _card(e: Column, h: Column) -> Column:
     """First digit, separators and the outcome of the Luhn test are kept."""
-    digits = F.regexp_replace(e, "[^0-9]", "")
-    new = F.regexp_replace(_shuffled(e, h), "[^0-9]", "")
+    digits = _digits(e)
+    new = _shuffled(digits, h)
     body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.substr(new, F.lit(2), F.lit(14)))
     good = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     last = F.when(luhn_sum(digits) % 10 == 0, good).otherwise((good + 1 + _number(h, F.lit(90), 9)) % 10)
-    full = F.concat(body, last.cast("string"))
-    place = lambda i: F.char_length(F.regexp_replace(F.substr(e, F.lit(1), i), "[^0-9]", ""))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(e)), lambda i: F.when(F.substr(e, i, F.lit(1)).rlike("[0-9]"), F.substr(full, place(i), F.lit(1))).otherwise(F.substr(e, i, F.lit(1)))), "")
+    return _once(F.concat(body, last.cast("string")), lambda full: _placed(e, full))
+
+
+def _phone(e: Column, h: Column) -> Column:
+    """Country code and separators are kept. The code is told by the digits alone: 1 and 7, those of two digits, or three digits."""
+    digits = _digits(e)
+    code = F.regexp_extract(digits, r"^([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 1)
+    return _once(F.concat(code, F.substr(_shuffled(digits, h), F.char_length(code) + 1)), lambda full: _placed(e, full))
 
 
 def _name(e: Column, h: Column) -> Column:
@@ -107,7 +130,7 @@ def _name(e: Column, h: Column) -> Column:
     cyrillic, female = name.rlike(r"^\p{IsCyrillic}"), form.rlike(f"^({'|'.join(FEMALE_FORMS)})\\W")
     given = F.when(female, F.when(cyrillic, of(FEMALE, "cyrillic")).otherwise(of(FEMALE, "latin"))).otherwise(F.when(cyrillic, of(MALE, "cyrillic")).otherwise(of(MALE, "latin")))
     new = _shuffled(name, h)
-    return F.concat(form, F.when(name.contains(" "), F.concat_ws(" ", given, F.substring_index(new, " ", -1))).otherwise(new))
+    return F.concat(form, F.when(name.contains(" ") & ~name.rlike(r"^\p{Lu}\."), F.regexp_replace(new, F.lit("^[^ ]+"), given)).otherwise(new))
 
 
 def _once(value: Column, use) -> Column:
@@ -119,17 +142,16 @@ def surrogate(key: str, e: Column, attempt: Column) -> Column:
     """The surrogate of an entity. Names and secrets are keyed without what introduces them, so they agree over forms of one gender."""
 
     def made(kind, h):
-        code = F.regexp_extract(e, r"^(\+\d{1,3})", 1)
         new = lambda: _shuffled(e, h)
         ip = F.array_join(F.transform(F.split(e, r"\."), lambda x, i: (_number(h, i + 100, 254) + 1).cast("string")), ".")
         host = F.concat(F.regexp_extract(new(), r"^([^@]*@.*?)[^.]*$", 1), F.regexp_extract(e, r"([^.]*)$", 1))
-        out = F.when(kind == "ip", ip).when(kind == "email", host).when(kind == "phone", F.concat(code, F.substr(new(), F.char_length(code) + 1)))
+        out = F.when(kind == "ip", ip).when(kind == "email", host).when(kind == "phone", _phone(e, h))
         out = out.when(kind == "card", _card(e, h)).when(kind == "key", F.concat(F.lit("AKIA"), F.substr(new(), F.lit(5))))
         prefix = F.regexp_extract(e, f"^{_PREFIX}", 0)
         return out.when(kind == "name", _name(e, h)).otherwise(F.concat(prefix, _shuffled(F.substr(e, F.char_length(prefix) + 1), h)))
 
     bare = F.regexp_replace(e, rf"^({_FORMS})\.? ", "")
-    return _once(kind_of(e), lambda kind: _once(_stream(key, kind, bare, attempt), lambda h: made(kind, h)))
+    return _once(kind_of(e), lambda kind: _once(_stream(key, kind, canonical(kind, bare), attempt), lambda h: made(kind, h)))
 
 
 def found_in(text: Column) -> Column:
@@ -138,19 +160,22 @@ def found_in(text: Column) -> Column:
 
 
 def exceptions(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
-    """(e, s): the entities, of a table of distinct ones, whose first surrogate would not be distinct, with one that is."""
-    table = stored(entities.select("e", F.lit(0).alias("attempt"), surrogate(key, F.col("e"), F.lit(0)).alias("s")), "surrogates")
+    """(e, s): the entities, of a table of distinct ones, whose first surrogate would not be distinct, with one that is. Spellings of one entity move together."""
+    known = lambda e: _once(kind_of(e), lambda kind: F.concat_ws(":", kind, canonical(kind, e)))
+    spelt = stored(entities.select("e", known(F.col("e")).alias("c")), "spellings")
+    made = lambda table, attempt: table.select("c", "e", F.lit(attempt).alias("attempt"), known(surrogate(key, F.col("e"), F.lit(attempt))).alias("s"))
+    first = stored(spelt.groupBy("c").agg(F.min("e").alias("e")), "firsts")
+    table = stored(made(first, 0), "surrogates")
     for attempt in range(1, attempts + 1):
-        shared = table.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "e")).alias("first")).filter("n > 1").select("s", F.col("first.e").alias("first"))
-        bad = table.join(shared, "s").filter("e != first").select("e").union(table.join(entities.select(F.col("e").alias("s")), "s", "left_semi").select("e")).distinct()
+        shared = table.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "c")).alias("first")).filter("n > 1").select("s", F.col("first.c").alias("first"))
+        bad = table.join(shared, "s").filter("c != first").select("c", "e").union(table.join(first.select(F.col("c").alias("s")), "s", "left_semi").select("c", "e")).distinct()
         bad = stored(bad, "again")
         if bad.isEmpty():
             break
-        moved = bad.select("e", F.lit(attempt).alias("attempt"), surrogate(key, F.col("e"), F.lit(attempt)).alias("s"))
-        table = stored(table.join(bad, "e", "left_anti").union(moved), "surrogates")
+        table = stored(table.join(bad, "c", "left_anti").union(made(bad, attempt)), "surrogates")
     else:
         raise RuntimeError("surrogates still collide")
-    return table.filter("attempt > 0").select("e", "s")
+    return spelt.join(table.filter("attempt > 0").select("c", "attempt"), "c").select("e", surrogate(key, F.col("e"), F.col("attempt")).alias("s"))
 
 
 def anonymise(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:

@@ -446,6 +446,21 @@ def test_surrogates(spark):
         assert out[i].clean_text == (want + text[at:] if text is not None else None)
 
 
+def test_surrogates_whole(spark):
+    """Nothing of an entity stays in clear, and spellings of one card, phone number or address agree."""
+    long, mail = "aB3" * 70, "x" * 70 + "@" + "sub." * 12 + "example.com"
+    table = [(1, f"token={long} end"), (2, f"{mail} end"), (3, "Frau Anna Maria Schmidt, Frau Klein-Schmidt und Mr. O'Brien, Mr. J. Keller's")]
+    table += [(4, "4111 1111 1111 1111 and 4111111111111111"), (5, "+49 30 1234 5678 and +493012345678"), (6, "Anna.B@Example.com and anna.b@example.com")]
+    out = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert out[1].entities == [f"token={long}"] and out[2].entities == [mail] and len(out[1].clean_text) == len(table[0][1])
+    assert out[3].entities == ["Frau Anna Maria Schmidt", "Frau Klein-Schmidt", "Mr. O'Brien", "Mr. J. Keller"]
+    assert all(w not in out[3].clean_text for w in ("Schmidt", "Klein", "Brien", "Keller")) and out[3].surrogates[0].count(" ") == 3
+    for i in (4, 5):
+        a, b = out[i].surrogates
+        assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) and a != out[i].entities[0] and " " in a and " " not in b
+    assert out[5].surrogates[1].startswith("+49") and len({x.lower() for x in out[6].surrogates}) == 1 and out[6].surrogates[0][0].isupper()
+
+
 def test_surrogate_collisions(spark):
     entities = spark.createDataFrame([(f"1.1.{a}.{b}",) for a in range(40) for b in range(250)], "e string")
     odd = pii.exceptions(entities, "k").collect()
