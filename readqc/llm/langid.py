@@ -1,14 +1,18 @@
 """Language ID by prediction by partial matching (PPM).
 
-Each language has a variable-order byte context tree: counts of the byte after each context of 0 to ``order`` bytes.
-A byte costs -log2 of its share in the longest context where it was seen; each longer context tried before charges its
-escape probability, distinct / (total + distinct). The statistics are frozen after training, so the cost of every
-(context, byte) is worked out once into a dense table, and the exact code length of a text is a sum of table rows.
-
-Bytes fold to at most ``symbols`` classes: ASCII letters without case, white space, digits, other ASCII, the most
-frequent bytes above 127 and the rest of them. The table has symbols ** (order + 1) rows and one column a language; the
-order falls until it fits ``max_table_bytes``, which bounds what is collected and broadcast. Counts cover all training
-rows. The language of the shortest code wins, ties go to the smaller name, and the score is its posterior share.
+Each language has a variable-order context tree over the 256 byte values: counts of the byte after each context of 0 to
+``order`` bytes. A byte costs -log2 of its share in the longest context where it was seen; each longer context that was
+seen at all but not with this byte charges its escape probability, distinct / (total + distinct); below order 0 a byte
+costs 8 bits. Order and alphabet are the same for any number of languages.
+
+Training counts (language, ORDER + 1 bytes) in Spark, over all rows, and derives the costs of every order from these
+counts by aggregations. The statistics are frozen, so a model is a sparse sorted table of grams and costs a language and
+order. Tables are dealt into units by language and, where a language is larger than ``max_entries``, by ranges of the byte
+that is predicted; units are packed into passes of at most ``max_entries`` entries (besides the contexts of their
+languages), which bounds what a broadcast holds. One pass scores all texts where they are read; with several passes each
+sums its part of the code lengths of the same rows, so lengths do not depend on the number of passes.
+
+The language of the shortest code wins, ties go to the smaller name, and the score is its posterior share.
 """
 
 from __future__ import annotations
@@ -19,41 +23,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import remainder
+from .common import remainder, stored
 
 OUT = ["lang_pred", "score", "code_bits"]
-PIECE = 1 << 19
+ORDER = 3
+PIECE = 1 << 20
 _LETTER = re.compile(rb"[A-Za-z]")
 
 
-def byte_classes(high: list[int]) -> bytes:
-    """Table of 256 entries: 0 rare high bytes, 1 space, 2 digits, 3 other ASCII, 4-29 letters, from 30 the bytes in high."""
-    table = bytearray([3] * 128 + [0] * 128)
-    for b in b" \t\n\x0b\x0c\r":
-        table[b] = 1
-    for i in range(10):
-        table[48 + i] = 2
-    for i in range(26):
-        table[65 + i] = table[97 + i] = 4 + i
-    for i, b in enumerate(high):
-        table[b] = 30 + i
-    return bytes(table)
-
-
-def contexts(texts: list[bytes], table: bytes, n: int, order: int):
-    """Yields (codes, rows): codes of contexts of order + 1 bytes over pieces of the joined texts, rows the index of the text each belongs to, as (first position of each text, texts)."""
-    gap = b" " * order
-    joined = np.frombuffer((gap + gap.join(texts)).translate(table), dtype=np.uint8)
+def grams(texts: list[bytes], piece: int = PIECE):
+    """Yields (codes, which, s, e): the ORDER + 1 bytes up to each position of the joined texts as a number, piece by piece, and the spans [s, e) of codes that belong to text which. ORDER spaces stand before each text."""
+    gap = b" " * ORDER
+    joined = np.frombuffer(gap + gap.join(texts), dtype=np.uint8)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    starts = order + np.concatenate([[0], np.cumsum(sizes + order)])[:-1] if len(texts) else np.zeros(0, np.int64)
+    starts = ORDER + np.concatenate([[0], np.cumsum(sizes + ORDER)])[:-1] if len(texts) else np.zeros(0, np.int64)
     ends = starts + sizes
-    for lo in range(order, len(joined), PIECE):
-        hi = min(len(joined), lo + PIECE)
-        code = np.zeros(hi - lo, dtype=np.int32)
-        for k in range(order, -1, -1):
-            code *= n
-            code += joined[lo - k : hi - k]
+    for lo in range(ORDER, len(joined), piece):
+        hi = min(len(joined), lo + piece)
+        code = np.zeros(hi - lo, dtype=np.uint32)
+        for k in range(ORDER, -1, -1):
+            code = (code << np.uint32(8)) | joined[lo - k : hi - k]
         a, b = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "left")
         which = np.arange(a, b)
         s, e = np.maximum(starts[a:b], lo) - lo, np.minimum(ends[a:b], hi) - lo
@@ -69,41 +60,91 @@ def span_sums(values: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, cuts, axis=0)[::2]
 
 
-def code_lengths(counts: np.ndarray, n: int, order: int) -> np.ndarray:
-    """Bits of each (context, symbol) under one language; counts: n ** (order + 1) counts of the full contexts."""
-    p = np.full(n, 1.0 / n)
-    for k in range(order + 1):
-        c = counts.reshape(-1, n ** (k + 1)).sum(axis=0).reshape(-1, n)
-        total, distinct = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-        lower = np.tile(p.reshape(-1, n), (c.shape[0] // max(1, p.size // n), 1)) if k else p[None, :]
-        below = np.maximum(total + distinct, 1)
-        p = np.where(c > 0, c / below, np.where(total > 0, distinct / below, 1.0) * lower)
-    return (-np.log2(p)).astype(np.float32).ravel()
+def batches_of(texts: list[bytes], most: int = 2 * PIECE):
+    """(first, texts) of runs of a few megabytes."""
+    lo = 0
+    while lo < len(texts):
+        hi, held = lo, 0
+        while hi < len(texts) and (hi == lo or held < most):
+            held += len(texts[hi])
+            hi += 1
+        yield lo, texts[lo:hi]
+        lo = hi
 
 
-def train(labelled: DataFrame, order: int = 3, symbols: int = 46, max_table_bytes: int = 96 << 20):
-    """labelled(text, lang), all of it counted. Returns (languages, table of classes, n, order, bits[n ** (order + 1), languages]) or None without rows."""
-    spark = labelled.sparkSession
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("binary").alias("b"))
+class Tables:
+    """The costs of some languages, and of the predicted bytes below ``last`` and from ``first`` up: grams[k] and contexts[k] are, a language, sorted codes and bits."""
+
+    def __init__(self, langs: list[int], first: int, last: int, grams, contexts):
+        self.langs, self.first, self.last, self.grams, self.contexts = langs, first, last, grams, contexts
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """(codes, languages) bits; 0 where the predicted byte is outside the range."""
+        out = np.zeros((len(codes), len(self.langs)), np.float64)
+        byte = codes & np.uint32(255)
+        mine = np.arange(len(codes)) if (self.first, self.last) == (0, 256) else np.flatnonzero((byte >= self.first) & (byte < self.last))
+        for j in range(len(self.langs)):
+            left = mine
+            for k in range(ORDER, -1, -1):
+                mask = np.uint32((1 << 8 * (k + 1)) - 1)
+                cost, seen = _look(self.grams[j][k], codes[left] & mask)
+                out[left[seen], j] += cost[seen]
+                left = left[~seen]
+                if not len(left):
+                    break
+                escape, _ = _look(self.contexts[j][k], (codes[left] & mask) >> np.uint32(8))
+                out[left, j] += escape
+            else:
+                out[left, j] += 8.0
+        return out
+
+
+def _look(table, codes: np.ndarray):
+    """(bits, whether found) of each code."""
+    keys, bits = table
+    if not len(keys):
+        return np.zeros(len(codes)), np.zeros(len(codes), bool)
+    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+    seen = keys[at] == codes
+    return np.where(seen, bits[at], 0.0), seen
 
-    def high_bytes(batches):
-        total, langs = np.zeros(256, np.int64), set()
-        for batch in batches:
-            langs |= set(batch.column("lang").to_pylist())
-            for b in batch.column("b").to_pylist():
-                total += np.bincount(np.frombuffer(b, np.uint8), minlength=256)
-        found = [(str(i), int(total[i])) for i in range(128, 256) if total[i]] + [(f"lang {x}", 1) for x in langs]
-        yield pa.RecordBatch.from_pydict({"k": [k for k, _ in found], "n": [v for _, v in found]}, schema=pa.schema([("k", pa.string()), ("n", pa.int64())]))
-
-    seen = rows.mapInArrow(high_bytes, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # 128 bytes and the languages
-    langs = sorted(r.k[5:] for r in seen if r.k.startswith("lang "))
-    if not langs:
-        return None
-    high = [int(r.k) for r in sorted((r for r in seen if not r.k.startswith("lang ")), key=lambda r: (-r.n, int(r.k)))[: symbols - 30]]
-    table, n = byte_classes(high), 30 + len(high)
-    while order > 1 and n ** (order + 1) * 4 * len(langs) > max_table_bytes:
-        order -= 1
-    size = n ** (order + 1)
+
+class Known:
+    """Costs of grams, looked up once: the commonest grams recur in every text."""
+
+    def __init__(self, tables: Tables, limit: int = 1 << 19):
+        self.tables, self.limit = tables, limit
+        self.codes, self.bits = np.zeros(0, np.uint32), np.zeros((0, len(tables.langs)))
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of sorted distinct codes."""
+        at = np.searchsorted(self.codes, codes)
+        if len(self.codes):
+            held = self.codes[np.minimum(at, len(self.codes) - 1)] == codes
+        else:
+            held = np.zeros(len(codes), bool)
+        out = np.empty((len(codes), len(self.tables.langs)))
+        out[held] = self.bits[at[held]]
+        new = ~held
+        if new.any():
+            out[new] = self.tables.costs(codes[new])
+            if len(self.codes) + new.sum() > self.limit:
+                self.codes, self.bits = codes, out.copy()
+            else:
+                self.bits = np.insert(self.bits, at[new], out[new], axis=0)
+                self.codes = np.insert(self.codes, at[new], codes[new])
+        return out
+
+
+class Model:
+    """langs, and one broadcast of Tables a pass."""
+
+    def __init__(self, langs: list[str], passes: list):
+        self.langs, self.passes = langs, passes
+
+
+def gram_counts(labelled: DataFrame) -> DataFrame:
+    """(lang, code, n): how often ORDER + 1 bytes end at a position of labelled(text, lang), nulls left out."""
 
     def count(batches):
         for batch in batches:
@@ -111,62 +152,136 @@ def train(labelled: DataFrame, order: int = 3, symbols: int = 46, max_table_byte
             for lang, b in zip(batch.column("lang").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(b)
             for lang, texts in by.items():
-                c = np.zeros(size, np.int64)
-                for code, _, s, e in contexts(texts, table, n, order):
-                    mark = np.zeros(len(code) + 1, np.int8)
-                    mark[s] += 1
-                    mark[e] -= 1
-                    c += np.bincount(code[np.cumsum(mark[:-1]) > 0], minlength=size)
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], names=["lang", "code", "n"])
-
-    counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    bits = np.empty((size, len(langs)), np.float32)
-    for i, lang in enumerate(langs):
-        got = counts.filter(F.col("lang") == lang).select("code", "n").toArrow() if len(langs) > 50 else None
-        if got is None and i == 0:
-            every = counts.toArrow()  # at most size * languages rows, within max_table_bytes
-        mine = got if got is not None else every.filter(pa.compute.equal(every["lang"], lang))
-        c = np.zeros(size)
-        c[mine["code"].to_numpy()] = mine["n"].to_numpy()
-        bits[:, i] = code_lengths(c, n, order)
-    return langs, table, n, order, spark.sparkContext.broadcast(bits)
-
-
-def predict(docs: DataFrame, model) -> DataFrame:
-    """docs plus lang_pred, score and code_bits (the winner's code length). ``und``, 0 and null where the text is null or has no letter, or without a model."""
-    docs = docs.drop(*OUT)
-    if model is None:
-        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("code_bits"))
-    langs, table, n, order, shared = model
-    names = np.array([*langs, "und"], dtype=object)
+                for _, part in batches_of(texts, 8 * PIECE):
+                    codes, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+                    for code, _, s, e in grams(part):
+                        mark = np.zeros(len(code) + 1, np.int8)
+                        mark[s] += 1
+                        mark[e] -= 1
+                        u, c = np.unique(code[np.cumsum(mark[:-1]) > 0], return_counts=True)
+                        both, back = np.unique(np.concatenate([codes, u]), return_inverse=True)
+                        n = np.bincount(back, np.concatenate([n, c]), len(both)).astype(np.int64)
+                        codes = both
+                    if not len(codes) and texts:  # a language of empty texts is a language
+                        codes, n = np.zeros(1, np.uint32), np.zeros(1, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
-    def score(batches):
-        bits = shared.value
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.col("text").cast("binary").alias("b"))
+    return rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def cost_table(counts: DataFrame) -> DataFrame:
+    """(lang, k, kind, code, bits): costs of the grams seen (kind g: the context's k bytes and the predicted one) and escapes of their contexts (kind c)."""
+    out = None
+    for k in range(ORDER + 1):
+        of_k = counts.filter("n > 0").groupBy("lang", (F.col("code") % (1 << 8 * (k + 1))).alias("code")).agg(F.sum("n").cast("double").alias("n"))
+        context = of_k.groupBy("lang", F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"))
+        bits = of_k.withColumn("context", F.shiftright("code", 8)).join(context, ["lang", "context"]).select("lang", F.lit(k).alias("k"), F.lit("g").alias("kind"), "code", F.log2((F.col("t") + F.col("d")) / F.col("n")).alias("bits"))
+        escape = context.select("lang", F.lit(k).alias("k"), F.lit("c").alias("kind"), F.col("context").alias("code"), F.log2((F.col("t") + F.col("d")) / F.col("d")).alias("bits"))
+        bits = bits.union(escape)
+        out = bits if out is None else out.union(bits)
+    return out
+
+
+def _packed(sizes: dict[tuple[str, int], int], langs: list[str], most: int) -> list[list[tuple[str, int, int]]]:
+    """Passes of (language, first byte, last byte + 1). A pass is several whole languages, or one range of one language."""
+    passes, room = [], 0
+    for lang in langs:
+        per = [sizes.get((lang, b), 0) for b in range(256)]
+        if sum(per) <= most:
+            if not passes or room < sum(per):
+                passes.append([])
+                room = most
+            passes[-1].append((lang, 0, 256))
+            room -= sum(per)
+            continue
+        lo = 0
+        while lo < 256:
+            hi, n = lo + 1, per[lo]
+            while hi < 256 and n + per[hi] <= most:
+                n += per[hi]
+                hi += 1
+            passes.append([(lang, lo, hi)])
+            lo, room = hi, 0
+    return passes
+
+
+def train(labelled: DataFrame, max_entries: int = 1 << 21) -> Model | None:
+    """The model of labelled(text, lang), all rows without nulls counted; None without rows. Repeated rows count as often as they are there."""
+    spark = labelled.sparkSession
+    counts = stored(gram_counts(labelled), "grams")
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # one row a language
+    if not langs:
+        return None
+    table = stored(cost_table(counts), "costs")
+    seen = table.filter("kind = 'g'").groupBy("lang", (F.col("code") % 256).alias("b")).count().collect()  # 256 rows a language
+    passes = []
+    for units in _packed({(r.lang, r.b): r["count"] for r in seen}, langs, max_entries):
+        names, first, last = [u[0] for u in units], units[0][1], units[0][2]
+        byte = F.col("code") % 256
+        mine = table.filter(F.col("lang").isin(names) & ((F.col("kind") == "c") | ((byte >= first) & (byte < last))))
+        got = mine.select(F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)]), F.col("lang")).alias("j"), "k", (F.col("kind") == "g").alias("g"), "code", "bits").toArrow()
+        j, k, g, code, bits = (got[c].to_numpy() for c in ("j", "k", "g", "code", "bits"))
+
+        def picked(i, level, gram):
+            at = np.flatnonzero((j == i) & (k == level) & (g == gram))
+            at = at[np.argsort(code[at])]
+            return code[at].astype(np.uint32), bits[at]
+
+        one = [[[picked(i, level, gram) for level in range(ORDER + 1)] for i in range(len(names))] for gram in (True, False)]
+        passes.append(spark.sparkContext.broadcast(Tables([langs.index(n) for n in names], first, last, *one)))
+    return Model(langs, passes)
+
+
+def _lengths(shared, n_langs: int, text_column: str):
+    """Adds to each batch the list of code lengths by language, of this pass; null where no language is told."""
+
+    def work(batches):
+        tables = shared.value
+        known = Known(tables)
         for batch in batches:
-            texts = batch.column("_bytes").to_pylist()
-            ok = np.array([b is not None and (_LETTER.search(b) is not None or any(map(str.isalpha, b.decode("utf-8", "replace")))) for b in texts], dtype=bool)
-            sums = np.zeros((len(texts), len(langs)))
-            lo = 0
-            while lo < len(texts):  # a few megabytes at a time
-                hi, held = lo, 0
-                while hi < len(texts) and (hi == lo or held < 4 * PIECE):
-                    held += len(texts[hi] or b"")
-                    hi += 1
-                part = [b if ok[lo + i] else b"" for i, b in enumerate(texts[lo:hi])]
-                for code, which, s, e in contexts(part, table, n, order):
+            raw = batch.column(text_column).to_pylist()
+            ok = np.array([b is not None and (_LETTER.search(b) is not None or any(map(str.isalpha, b.decode("utf-8", "replace")))) for b in raw], dtype=bool)
+            texts = [b if fine else b"" for b, fine in zip(raw, ok, strict=True)]
+            sums = np.zeros((len(texts), n_langs))
+            for lo, part in batches_of(texts):
+                for code, which, s, e in grams(part):
                     if len(which):
-                        sums[lo + which] += span_sums(bits[code], s, e)
-                lo = hi
-            best = sums.argmin(axis=1)
-            least = sums[np.arange(len(texts)), best]
-            share = 1.0 / np.exp2(np.clip(least[:, None] - sums, -1000, 0)).sum(axis=1)
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            cols += [pa.array(names[np.where(ok, best, len(langs))], pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(least, pa.float64(), mask=~ok)]
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], *OUT])
-
-    kind = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("code_bits")).schema
-    return docs.withColumn("_bytes", F.col("text").cast("binary")).mapInArrow(score, kind)
+                        u, back = np.unique(code, return_inverse=True)
+                        bits = known(u)
+                        for j, lang in enumerate(tables.langs):
+                            sums[lo + which, lang] += span_sums(bits[:, j][back], s, e)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * n_langs, pa.int32()), pa.array(sums.ravel()), mask=pa.array(~ok))
+            cols = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != text_column]
+            yield pa.RecordBatch.from_arrays([*cols, lists], names=[*(c for c in batch.schema.names if c != text_column), "sums"])
+
+    return work
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs plus lang_pred, score and code_bits (the winner's code length). ``und``, 0 and null where the text is null or has no letter, or without a model. Columns of docs named like an added one are replaced; others may have any name."""
+    docs = docs.drop(*OUT)
+    row = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("bytes"))
+    kind = T.StructType([*row.select("row").schema.fields, T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    if model is None:
+        scored = row.select("row", F.lit(None).cast("array<double>").alias("sums"))
+    elif len(model.passes) == 1:
+        scored = row.mapInArrow(_lengths(model.passes[0], len(model.langs), "bytes"), kind)
+    else:  # the rows are written with a number, by which the parts of all passes meet
+        row = stored(row.withColumn("id", F.monotonically_increasing_id()), "rows")
+        parts = None
+        for p in model.passes:
+            part = row.select("id", "bytes").mapInArrow(_lengths(p, len(model.langs), "bytes"), "id long, sums array<double>")
+            parts = part if parts is None else parts.union(part)
+        total = parts.groupBy("id").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(len(model.langs))])
+        sums = F.when(F.col("s0").isNotNull(), F.array(*[f"s{i}" for i in range(len(model.langs))]))
+        scored = row.select("row", "id").join(total, "id").select("row", sums.alias("sums"))
+    langs = F.array(*map(F.lit, model.langs)) if model else F.array().cast("array<string>")
+    least = F.array_min("sums")
+    share = 1 / F.aggregate("sums", F.lit(0.0), lambda s, x: s + F.pow(F.lit(2.0), F.greatest(F.array_min("sums") - x, F.lit(-1000.0))))
+    name = F.when(F.col("sums").isNull(), "und").otherwise(F.get(langs, (F.array_position("sums", least) - 1).cast("int")))
+    out = F.struct(name.alias("lang_pred"), F.coalesce(share, F.lit(0.0)).alias("score"), least.alias("code_bits"))
+    return scored.select("row", out.alias("out")).select("row.*", "out.*")
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, **options) -> DataFrame:
