@@ -1,16 +1,21 @@
 """Exact line dedup in DataFrame operations only.
 
-Line keys (stripped, A-Z lower-cased) become 128-bit hashes, dealt by range of (hash, document, position) and sorted
-within their partitions, so that the rows of a very common line spread over several tasks. Each task streams its sorted
-run into one row a hash (documents seen, largest document holding it); those few rows meet by hash. The lines that must
-go come back as compressed bitmaps, one a document: 64-bit words of positions, empty words left out. No text is shuffled
-until the bitmaps are applied.
+Texts are split once: line keys (stripped, A-Z lower-cased) become 128-bit hashes, written with the row and position they
+came from. The hashes are dealt by range, sorted by document and position within a hash, and each task streams its sorted
+run: first occurrences of a document count it, the largest document keeps its lines. A hash with more lines than a quarter
+of a task's share is dealt into several slots by document (there are at most four such hashes a task, so their list is
+broadcast); what its slots find is added up, one row a slot. The lines that stay come back as compressed bitmaps, one a
+row: 64-bit words of positions, words that lose nothing left out. No text is shuffled until the bitmaps are applied.
+
+A row is known by its id and the hash of its text, so rows may share an id or have none; rows equal in both lose the same
+lines.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import SPACES, ascii_lower, stored
 
@@ -18,41 +23,59 @@ OUT = ["n_lines", "n_dropped", "kept_text"]
 
 
 def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(_id, _pos, _h1, _h2) of each line whose key has at least min_chars code points."""
-    lines = docs.select(F.col("doc_id").alias("_id"), F.posexplode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("_pos", "_line"))
-    keys = lines.withColumn("_line", F.btrim(F.col("_line"), F.lit(SPACES))).filter(F.char_length("_line") >= min_chars)
-    return keys.select("_id", "_pos", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit("2"), F.reverse("_line")).alias("_h2"))
-
-
-def drop_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(_id, drop): the lines each document loses, as array<struct<word, bits>> sorted by word; documents that lose none have no row."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashes = stored(line_hashes(docs, min_chars).repartitionByRange(n, "_h1", "_h2", "_id", "_pos").sortWithinPartitions("_h1", "_h2", "_id", "_pos"), "lines")
-    # One row for a hash and document, then one a hash: both begin inside the sorted partitions.
-    once = hashes.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one"))
-    common = once.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_docs"), F.max("_id").alias("_last")).filter(F.col("_docs") >= min_docs)
-    gone = hashes.join(common, ["_h1", "_h2"]).filter(~F.col("_id").eqNullSafe(F.col("_last")))
-    words = gone.groupBy("_id", F.floor(F.col("_pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, _pos % 64)")).alias("bits"))
-    return words.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("drop"))
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """(id, t, pos, h1, h2) of each line whose key has at least min_chars code points; t is the hash of the row's text."""
+    lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"), F.posexplode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("pos", "line"))
+    keys = lines.withColumn("line", F.btrim(F.col("line"), F.lit(SPACES))).filter(F.char_length("line") >= min_chars)
+    return keys.select("id", "t", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("2"), "line").alias("h2"))
+
+
+def dropped_lines(hashes: DataFrame, min_docs: int, slot_lines: int | None = None) -> DataFrame:
+    """The rows (id, t, pos) of hashes whose line goes: its hash is in at least min_docs ids, of which this is not the largest."""
+    n = int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = slot_lines or max(1000, hashes.count() // (4 * n))
+    heavy = hashes.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("lines")).filter(F.col("lines") > share)  # less than 4 n rows
+    heavy = stored(heavy.select("h1", "h2", F.ceil(F.col("lines") / share).alias("slots")), "heavy")
+    place = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("id")), F.col("slots"))
+    dealt = hashes.join(F.broadcast(heavy), ["h1", "h2"], "left").withColumn("slot", F.coalesce(place, F.lit(0)))
+    run = dealt.repartitionByRange(n, "h1", "h2", "slot").sortWithinPartitions("h1", "h2", "slot", "id", "t", "pos")
+
+    # Windows over the sorted run: their keys are those of its ranges, so they need no shuffle and no sort.
+    sorted_run, whole = W.partitionBy("h1", "h2", "slot").orderBy("id", "t", "pos"), W.partitionBy("h1", "h2", "slot")
+    first = F.col("id").isNotNull() & ~F.lag("id").over(sorted_run).eqNullSafe(F.col("id"))
+    run = run.withColumn("first", first.cast("int")).withColumns({"docs": F.sum("first").over(whole), "last": F.max("id").over(whole)})
+    run = stored(run.filter(F.col("slots").isNotNull() | (F.col("docs") >= min_docs)).drop("first"), "runs")
+    added = run.filter("slots IS NOT NULL").groupBy("h1", "h2", "slot").agg(F.max("docs").alias("docs"), F.max("last").alias("last"))
+    added = added.groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.max("last").alias("all_last"))  # less than 4 n rows
+    met = run.join(F.broadcast(added), ["h1", "h2"], "left")
+    docs, last = F.coalesce("all_docs", "docs"), F.when(F.col("slots").isNull(), F.col("last")).otherwise(F.col("all_last"))
+    return met.filter((docs >= min_docs) & ~F.col("id").eqNullSafe(last)).select("id", "t", "pos")
+
+
+def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slot_lines: int | None = None) -> DataFrame:
+    """(id, t, keep): the lines a row keeps, as array<struct<word, bits>> sorted by word; a word left out keeps all its 64 lines, and a row without entry all lines."""
+    gone = dropped_lines(stored(line_hashes(docs, min_chars), "lines"), min_docs, slot_lines)
+    words = gone.groupBy("id", "t", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, pos % 64)"))).alias("bits"))
+    return words.groupBy("id", "t").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("keep"))
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, slot_lines: int | None = None) -> DataFrame:
     """docs plus n_lines, n_dropped and kept_text (the lines that stay, joined by \\n).
 
-    A null or empty text is one empty line. A key found in at least min_docs ids loses its lines in all documents but
-    those of the largest id, where even repeats stay; rows that share an id count as one document and a null id is below
-    all others. Keys shorter than min_chars are kept. Columns named like an added one are replaced.
+    A null or empty text is one empty line. A key found in at least min_docs ids loses its lines in all rows but those of
+    the largest id, where even repeats stay. Rows that share an id count as one document, each with its own lines; rows
+    without id count as none, and lose the lines that others lose. Keys shorter than min_chars are kept. Columns named like
+    an added one are replaced; others may have any name. An empty table gives an empty table.
     """
     docs = docs.drop(*OUT)
-    maps = drop_bitmaps(docs, min_chars, min_docs).select(F.col("_id").alias("_map_id"), F.map_from_entries("drop").alias("_drop"))
-    out = docs.join(maps, F.col("doc_id").eqNullSafe(F.col("_map_id")), "left")
-    out = out.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    bit = lambda i: F.coalesce(F.element_at("_drop", F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
-    kept = F.filter("_lines", lambda line, i: F.shiftrightunsigned(bit(i), 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0)
-    out = out.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
-    size = F.size("_lines").cast("long")
-    return out.select(*docs.columns, size.alias("n_lines"), (size - F.size("_kept")).alias("n_dropped"), F.array_join("_kept", "\n").alias("kept_text"))
+    maps = keep_bitmaps(docs, min_chars, min_docs, slot_lines).select(F.col("id").alias("map_id"), F.col("t").alias("map_t"), F.map_from_entries("keep").alias("keep"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t"))
+    out = rows.join(maps, F.col("id").eqNullSafe(F.col("map_id")) & (F.col("t") == F.col("map_t")), "left")
+    out = out.select("row", "keep", F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1).alias("lines"))
+    stays = lambda line, i: F.getbit(F.coalesce(F.element_at("keep", F.floor(i / 64).cast("int")), F.lit(-1).cast("long")), i % 64) == 1
+    out = out.withColumn("kept", F.when(F.col("keep").isNull(), F.col("lines")).otherwise(F.filter("lines", stays)))
+    size = F.size("lines").cast("long")
+    new = F.struct(size.alias("n_lines"), (size - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
+    return out.select("row", new.alias("new")).select("row.*", "new.*")
 
 
 def dedup_summary(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
