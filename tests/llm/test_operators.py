@@ -8,7 +8,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,33 @@ def test_mix_plain(docs, rows):
     assert sorted((r.doc_id, r.taken) for r in mixing.mix(docs.repartition(7)).collect()) == sorted((r.doc_id, r.taken) for r in out)
 
 
+@pytest.mark.parametrize("copies", [1000, 7])
+def test_mix_copies(spark, copies):
+    """Equal rows at the cut, of several sources, and columns named like internal ones."""
+    rows = [(1, "a b c d e", "s", "x", "y")] * copies + [(2, "u v w", "t", "x", "y")] * copies + [(i, "w " * (i % 7), "r", "x", "y") for i in range(10, 60)] + [(None, "n n", None, "x", "y")] * 40
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, cut string, src string")).collect()
+    assert len(out) == len(rows) and {(r.cut, r.src) for r in out} == {("x", "y")}
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
+
+
+def test_many_sources(spark):
+    rng = random.Random(2)
+    sources = [None, *(f"s{i:04}" for i in range(700))]
+    rows = [(i, "w " * rng.randint(0, 40), rng.choice(sources)) for i in range(3000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    want = fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}, 1.5, 2.0)
+    assert all(r.target == pytest.approx(want[r.source], abs=1e-3) for r in out)
+
+
 def test_mix_odd(docs_of, odd_rows):
     out = mixing.mix(docs_of(odd_rows)).collect()
     assert len(out) == len(odd_rows) and all(r.taken == 0 for r in out if r.size == 0)
@@ -95,6 +124,22 @@ def test_lines_plain(spark, rows, docs):
     assert "udf" not in line_dedup.dedup_summary(docs)._jdf.queryExecution().toString().lower()
 
 
+@pytest.mark.parametrize("slot_lines", [None, 3, 40])
+def test_lines_shared_and_null_ids(spark, slot_lines):
+    """Ids shared by different texts, rows without id, lines so common that they are dealt into slots, and clashing names."""
+    rng = random.Random(3)
+    lines = [f"line number {i} " + "x" * 40 for i in range(12)]
+    line = lambda i, j: rng.choice([rng.choice(lines), lines[0], "short", f"own line {i} {j} " + "y" * 40, "", "  " + lines[1].upper() + "\t"])
+    rows = [(rng.choice([None, *range(60)]), None if rng.random() < 0.03 else "\n".join(line(i, j) for j in range(rng.randint(0, 70))), "a", "b", 1) for i in range(300)]
+    rows += rows[:20]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, lines string, keep string, id long"), slot_lines=slot_lines)
+    assert out.columns == ["doc_id", "text", "lines", "keep", "id", "n_lines", "n_dropped", "kept_text"]
+    got = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out.collect()]
+    with duckdb.connect() as con:
+        con.register("documents", pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+        assert sorted(map(str, got)) == sorted(map(str, con.sql(line_dedup.SQL).fetchall()))
+
+
 def test_lines_odd(docs_of, odd_rows):
     out = line_dedup.dedup_lines(docs_of(odd_rows))
     assert out.count() == len(odd_rows) and {r.n_lines for r in out.filter("text IS NULL").collect()} == {1}
@@ -478,39 +523,54 @@ def test_language(spark, docs, rows):
     assert len(held) > 20 and sum(out[r.doc_id].lang_pred == r.lang for r in held) >= 0.97 * len(held)
 
 
-def test_code_lengths_plain(spark):
-    texts = [b"abracadabra abra", b"banana band", b"x" * 9]
-    table, n, order = langid.byte_classes([]), 30, 2
-    counts = np.zeros(n ** (order + 1))
-    seqs = [[1] * order + list(t.translate(table)) for t in texts]
-    for s in seqs:
-        for i in range(order, len(s)):
-            counts[(s[i - 2] * n + s[i - 1]) * n + s[i]] += 1
-    bits = langid.code_lengths(counts, n, order)
-
-    def plain(ctx, sym):
-        p, esc = None, 1.0
+def ppm_bits(order, train, text):
+    """Code length of text (bytes) under the counts of train, worked out byte by byte."""
+    seen = [defaultdict(Counter) for _ in range(order + 1)]
+    for t in train:
+        t = b" " * order + t
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                seen[k][t[i - k : i]][t[i]] += 1
+    total, text = 0.0, b" " * order + text
+    for i in range(order, len(text)):
+        p = 1.0
         for k in range(order, -1, -1):
-            c = Counter()
-            for s in seqs:
-                for i in range(order, len(s)):
-                    if tuple(s[i - k : i]) == tuple(ctx[order - k :]):
-                        c[s[i]] += 1
-            total, distinct = sum(c.values()), len(c)
-            if c[sym]:
-                return -math.log2(esc * c[sym] / (total + distinct))
-            if total:
-                esc *= distinct / (total + distinct)
-        return -math.log2(esc / n)
-
-    for ctx in ((1, 1), (4, 5), (5, 4), (29, 29), (4, 1)):
-        for sym in range(n):
-            assert bits[(ctx[0] * n + ctx[1]) * n + sym] == pytest.approx(plain(ctx, sym), abs=1e-4)
-    sums = np.zeros(3)
-    for code, which, s, e in langid.contexts(texts, table, n, order):
-        sums[which] += langid.span_sums(bits[code], s, e)
-    want = [sum(bits[(x[i - 2] * n + x[i - 1]) * n + x[i]] for i in range(order, len(x))) for x in seqs]
-    assert np.allclose(sums, want, rtol=1e-4)
+            c = seen[k][text[i - k : i]]
+            if c[text[i]]:
+                p *= c[text[i]] / (sum(c.values()) + len(c))
+                break
+            if c:
+                p *= len([x for x in c.values() if x]) / (sum(c.values()) + len([x for x in c.values() if x]))
+        else:
+            p /= 256
+        total -= math.log2(p)
+    return total
+
+
+@pytest.mark.parametrize("max_entries", [1 << 21, 300, 40])
+def test_code_lengths_plain(spark, max_entries):
+    """Twelve languages of several scripts, in one pass, some passes, and passes over ranges of bytes."""
+    rng = random.Random(4)
+    letters = ["abcdefgh", "ijklmnop", "абвгдежз", "иклмнопр", "αβγδεζηθ", "אבגדהוזח", "日本語文字列中", "ABCDEFGH", "áéíóúñü", "0123abc", "ابتثجح", "กขคงจฉ"]
+    make = lambda i: " ".join("".join(rng.choice(letters[i]) for _ in range(rng.randint(1, 5))) for _ in range(6))
+    train = [(make(i), f"l{i:02}") for i in range(12) for _ in range(3)]
+    tests = [(i, make(i % 12), "x", f"y{i}", i) for i in range(12)] + [(100, "a", None, None, None), (101, "zzz ÿ zz", None, None, None), (102, "123 !", None, None, None), (103, None, None, None, None)]
+    model = langid.train(spark.createDataFrame([*train, (None, "l00"), ("dropped", None)], "text string, lang string"), max_entries=max_entries)
+    assert model.langs == [f"l{i:02}" for i in range(12)] and (len(model.passes) == 1) == (max_entries > 1000)
+    docs = spark.createDataFrame(tests, "doc_id long, text string, sums string, bytes string, row long")
+    out = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert len(out) == len(tests)
+    for i, text, sums, other, row in tests:
+        r = out[i]
+        assert (r.sums, r.bytes, r.row) == (sums, other, row)
+        if text is None or not any(map(str.isalpha, text)):
+            assert (r.lang_pred, r.score, r.code_bits) == ("und", 0.0, None)
+            continue
+        lengths = {n: ppm_bits(langid.ORDER, [t.encode() for t, x in train if x == n], text.encode()) for n in model.langs}
+        least = min(lengths.values())
+        assert r.code_bits == pytest.approx(least, rel=1e-9)
+        assert lengths[r.lang_pred] == pytest.approx(least, rel=1e-9)
+        assert r.score == pytest.approx(1 / sum(2 ** max(least - x, -1000) for x in lengths.values()), rel=1e-6)
 
 
 def test_language_odd(docs_of, odd_rows):
