@@ -1,13 +1,19 @@
-"""Benchmark decontamination by exact pieces, then exact edit distance.
+"""Benchmark decontamination by CGK random walks, bit-sampling LSH over windows and exact edit distance.
 
 Texts are words (A-Z lower-cased, outer punctuation stripped) numbered by the vocabulary of the items; other words are 0.
-An item of n words may differ by d = tolerance * n edits. It is cut into d + 1 pieces; d edits touch d of them at most, so
-every match holds one piece unchanged, at most d words from its place. Documents are searched for the pieces (their first
-LONGEST words, by hash), so no match is missed, whatever its size and the kind and place of its edits.
+A CGK walk reads a text from some word on: each step writes the word at the pointer and moves the pointer on or not, by a
+hash of (walk, step, word). Texts of small edit distance so become sequences of small Hamming distance, since walks that
+an edit has parted meet again. Sampled steps of WALKS independent walks are concatenated into one key.
 
-A place where a piece was found stays if at least n - d words around it are words of the item. There the edit distance of
+Which steps are sampled sets the recall. An item of n words may differ by d = tolerance * n edits; these leave a run of
+g = ceil((n - d) / (d + 1)) of its words untouched at least, wherever and of whatever kind they are. A walk of g steps reads
+g words at most, so the walks that start where the run starts agree in all of their first g steps. Windows begin at every
+word of an item and of a document, so sampling the first g steps has a recall of 1 for every item size; sampling later
+steps as well would need repetitions, and contiguous deletions at an item's start would still part the walks for good.
+
+A place where a key was found stays if at least n - d words around it are words of the item. There the edit distance of
 the item to the best window from every start is worked out: contaminated if it is at most d. The items are collected in
-blocks of at most ``max_items``; further blocks take further passes over the documents.
+blocks of at most ``max_items`` items and about ``max_words`` words; further blocks take further passes over the documents.
 """
 
 from __future__ import annotations
@@ -19,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import word_count
+
 OUT = ["item_id", "distance", "item_words", "start_word"]
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CHUNK = 1 << 18
 LONGEST = 8
-STEP = 0x9E3779B97F4A7C15
+WALKS = 3
+STEP, MOVE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -65,42 +74,55 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
 
 
 class Index:
-    """Items and their pieces by length: (length, marks of hashes, sorted hashes, first entry of each, items, offsets)."""
+    """Items and the keys of all their words' walks, by number of steps: (marks of keys, sorted keys, first entry of each, items, offsets)."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], words: int, tolerance: float):
         self.items, self.words = items, words
         self.most = [max(0, math.floor(tolerance * len(t) + 1e-9)) for _, t in items]
-        #: Words between documents, so that nothing around a piece reaches into another one.
-        self.gap = max((len(t) + 2 * m for (_, t), m in zip(items, self.most, strict=True)), default=0) + 1
-        self.mixed = np.random.default_rng(5).integers(0, 1 << 63, words, dtype=np.uint64) | np.uint64(1)
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for k, ((_, t), most) in enumerate(zip(items, self.most, strict=True)):
-            cuts = [i * len(t) // (most + 1) for i in range(most + 2)]
-            for at, end in zip(cuts, cuts[1:]):
-                code = 0
-                for w in t[at : min(end, at + LONGEST)]:
-                    code = (code * STEP + int(self.mixed[w])) % (1 << 64)
-                by.setdefault(min(end - at, LONGEST), []).append((code, k, at))
-        self.tables = []
-        for size in sorted(by):
-            found = sorted(by[size])
-            codes, first = np.unique(np.array([x[0] for x in found], np.uint64), return_index=True)
+        #: Words between documents, so that nothing around a key reaches into another one.
+        self.gap = max((len(t) + 2 * m for (_, t), m in zip(items, self.most, strict=True)), default=0) + LONGEST + 1
+        rng = np.random.default_rng(5)
+        self.mixed = rng.integers(0, 1 << 63, words, dtype=np.uint64)
+        self.salt = rng.integers(0, 1 << 63, (WALKS, LONGEST), dtype=np.uint64)
+        self.odd = rng.integers(0, 1 << 63, WALKS, dtype=np.uint64) | np.uint64(1)
+        run = [min(LONGEST, -(-(len(t) - m) // (m + 1))) for (_, t), m in zip(items, self.most, strict=True)]
+        self.steps, self.tables = sorted(set(run)), {}
+        pad = np.zeros(LONGEST + 1, np.int32)
+        by: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = {}
+        for k, ((_, t), g) in enumerate(zip(items, run, strict=True)):
+            _, offsets, keys = next(x for x in self.walks(np.append(t, pad)) if x[0] == g)
+            by.setdefault(g, []).append((keys, k, offsets))
+        for g, found in by.items():
+            key = np.concatenate([x[0] for x in found])
+            kind = np.repeat([x[1] for x in found], [len(x[0]) for x in found])
+            order = np.argsort(key, kind="stable")
+            codes, first = np.unique(key[order], return_index=True)
             shift = np.uint64(64 - max(16, (16 * len(codes)).bit_length()))
             marks = np.zeros(1 << (64 - int(shift)), bool)
             marks[codes >> shift] = True
-            self.tables.append((size, shift, marks, codes, np.append(first, len(found)), np.array([x[1] for x in found]), np.array([x[2] for x in found])))
+            self.tables[g] = (shift, marks, codes, np.append(first, len(key)), kind[order], np.concatenate([x[2] for x in found])[order])
+
+    def walks(self, tokens: np.ndarray):
+        """Yields (steps, starts, keys) for each number of steps in use; tokens end in LONGEST + 1 zeros at least. A walk that meets a word outside the vocabulary ends."""
+        start = np.flatnonzero(tokens)
+        at, code, done = [start] * WALKS, [np.zeros(len(start), np.uint64)] * WALKS, 0
+        for steps in self.steps:
+            for t in range(done, steps):
+                words = [tokens[x] for x in at]
+                known = np.logical_and.reduce([w > 0 for w in words])
+                start = start[known]
+                for r in range(WALKS):
+                    x = self.mixed[words[r][known]]
+                    code[r] = code[r][known] * STEP + x
+                    at[r] = at[r][known] + (((x ^ self.salt[r, t]) * MOVE) >> np.uint64(63)).astype(np.int64)
+            done = steps
+            yield steps, start, sum((code[r] * self.odd[r] for r in range(1, WALKS)), code[0] * self.odd[0])
 
     def places(self, tokens: np.ndarray):
-        """(item, where it would begin, where the piece is) of all pieces in tokens, which end in 0."""
-        pos = np.flatnonzero(tokens)
-        code, held = self.mixed[tokens[pos]], 1
+        """(item, where it would begin, where its key is) of all keys found in tokens."""
         found = []
-        for size, shift, marks, codes, first, kind, offset in self.tables:
-            for j in range(held, size):
-                w = tokens[pos + j]
-                some = w > 0
-                pos, code = pos[some], code[some] * np.uint64(STEP) + self.mixed[w[some]]
-            held = size
+        for steps, pos, code in self.walks(tokens):
+            shift, marks, codes, first, kind, offset = self.tables[steps]
             maybe = np.flatnonzero(marks[code >> shift])
             i = np.minimum(np.searchsorted(codes, code[maybe]), len(codes) - 1)
             same = codes[i] == code[maybe]
@@ -151,17 +173,18 @@ def index_of(items: list[tuple[int, bytes]], tolerance: float):
     return vocabulary, Index([(i, np.array([vocabulary[w] for w in ws], np.int32)) for i, ws in split], len(vocabulary) + 1, tolerance)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, tolerance: float = 0.15, max_items: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, tolerance: float = 0.15, max_items: int = 20_000, max_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, distance, item_words, start_word): for each document and item the best match within the tolerance, the first if tied.
 
     Null texts and wordless texts and items match nothing; rows that share an id count as one document; rows without id
-    are reported under null. Any other columns are ignored. Items beyond max_items are taken in further passes.
+    are reported under null. Any other columns are ignored. Items beyond max_items or max_words are taken in further passes.
     """
     if not 0 <= tolerance < 1:
         raise ValueError("tolerance must be from 0 to below 1")
     spark = docs.sparkSession
     every = items.select("item_id", F.col("text").cast("binary").alias("b")).filter("item_id IS NOT NULL AND b IS NOT NULL")
-    passes = max(1, math.ceil(every.count() / max_items))
+    size = every.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(word_count(F.col("b").cast("string"))), F.lit(0)).alias("w")).first()
+    passes = max(1, math.ceil(size.n / max_items), math.ceil(size.w / max_words))
     out = None
     for k in range(passes):
         block = every.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k) if passes > 1 else every
