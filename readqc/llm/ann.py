@@ -1,29 +1,35 @@
-"""Nearest neighbours by multi-index hashing.
-
-Binary codes: ``rotations`` learned rotations of the principal axes (iterative quantisation), fitted on at most ``fit_rows``
-rows, give a code of rotations * dimensions bits. Codes are cut into 16-bit substrings, each indexed by value. By the
-pigeonhole principle a code within radius r of a query has a substring within r // substrings of the query's, so probing the
-values that near in every index retrieves every code within r; the exact Hamming test and a rerank by cosine in double
-precision follow. The radius is the distance that covers ``cover`` of the true neighbours of sampled queries among the
-fitted rows; with more rows the neighbours only come nearer. Queries that find fewer than k are searched again without
-radius.
-
-Rows are dealt into blocks by hash, and each block meets every block of queries (the query set is stated, 2% of the rows by
-default), so a task holds one block of rows and one of queries; only the k best of a query in a block leave it.
+"""Nearest neighbours by multi-index hashing, as a join on buckets.
+
+Binary codes: learned rotations of the centred unit vectors (iterative quantisation), fitted on at most ``fit_rows`` vectors,
+give the bits of a code, which is cut into ``parts`` substrings of about log2(rows) bits. Each substring of each vector is an
+entry of the index, keyed by (substring, value); a query probes all values within ``reach`` bits of its own in every
+substring. By the pigeonhole principle this retrieves every code within a Hamming distance of parts * (reach + 1) - 1, and
+many beyond. Parts and reach are the cheapest ones that retrieve ``target`` of the true neighbours of sampled queries within
+the fitted rows; with more rows neighbours only come nearer. Retrieved codes are tested by their Hamming distance, within
+the radius that covers ``cover`` of the sampled neighbours, and those within it reranked by cosine in double precision.
+
+Equal vectors are one class, with the ids that can be among the k nearest, so copies make no hot bucket. The join on buckets
+is an equi-join (a bucket of many near copies is split by adaptive execution); only ids leave it. They are dealt by shard of
+the rows, each vector once, where each query comes along once with its candidates in that shard. A query that finds fewer
+than k rows is compared with all rows.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import stored
 
-_POP16 = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
-RESULT = "query_id long, vec_id long, score double"
+RESULT = "query_id long, rank int, vec_id long, score double"
+FOUND = "q long, c long, vec_id long, score double"
+REACH, PARTS = 3, (8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -34,124 +40,172 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & fine & (norm > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-class Codes:
-    """mean: (d); axes: (d, bits)."""
-
-    def __init__(self, x: np.ndarray, rotations: int, rounds: int, seed: int):
-        rng = np.random.default_rng(seed)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        self.mean = x.mean(axis=0)
-        x = x - self.mean
-        d = x.shape[1]
-        axes = []
-        for _ in range(rotations):
-            r = np.linalg.qr(rng.standard_normal((d, d)))[0]
-            for _ in range(rounds):
-                u, _, vt = np.linalg.svd(np.where(x @ r > 0, 1.0, -1.0).T @ x)
-                r = (u @ vt).T
-            axes.append(r)
-        self.axes = np.concatenate(axes, axis=1)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        """(n, bits / 16) substrings."""
-        x = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
-        bits = np.packbits(x @ self.axes > 0, axis=1)
-        if bits.shape[1] % 2:
-            bits = np.concatenate([bits, np.zeros((len(bits), 1), np.uint8)], axis=1)
-        return np.ascontiguousarray(bits).view(np.uint16)
-
-
-def distances(q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return _POP16[codes ^ q].sum(axis=1, dtype=np.int32)
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(sample: np.ndarray, rotations: int = 4, rounds: int = 10, k: int = 5, cover: float = 0.985, queries: int = 256, seed: int = 11) -> tuple[Codes, int]:
-    codes = Codes(sample, rotations, rounds, seed)
-    c, u = codes(sample), unit(sample)
-    near = []
-    for i in np.random.default_rng(seed).permutation(len(sample))[:queries]:
-        s = u @ u[i]
-        s[i] = -2
-        top = np.argsort(-s)[:k]
-        near += distances(c[i], c[top]).tolist()
-    return codes, int(np.quantile(near, cover)) if near else codes.axes.shape[1]
-
-
-def search_block(queries: pd.DataFrame, rows: pd.DataFrame, codes: Codes, radius: int, k: int) -> pd.DataFrame:
-    """The k nearest rows within radius of each query in this block."""
-    ids = rows["vec_id"].to_numpy()
-    x = np.stack(rows["v"].to_list()).astype(float)
-    c = codes(x)
-    q = np.stack(queries["v"].to_list()).astype(float)
-    qc = codes(q)
-    parts = c.shape[1]
-    index = []  # per substring: values, and the rows sorted by value
-    for j in range(parts):
-        values, first = np.unique(c[:, j], return_index=False, return_inverse=True)
-        index.append((values, first))
-    xn, out = np.sqrt((x * x).sum(axis=1)), []
-    for i, qid in enumerate(queries["vec_id"].to_numpy()):
-        seen = np.zeros(len(ids), bool)
-        for j, (values, at) in enumerate(index):
-            seen |= (_POP16[values ^ qc[i, j]] <= radius // parts)[at]
-        near = np.flatnonzero(seen)
-        near = near[distances(qc[i], c[near]) <= radius]
-        near = near[ids[near] != qid]
-        if len(near):
-            s = (x[near] @ q[i]) / (xn[near] * np.sqrt(q[i] @ q[i]))
-            if len(near) > k:  # all that reach the k-th score, so that ties are settled by id
-                keep = s >= np.partition(s, -k)[-k]
-                near, s = near[keep], s[keep]
-            best = np.lexsort((ids[near], -s))[:k]
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[near][best], "score": s[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-
-def _pass(rows: DataFrame, queries: DataFrame, shared, radius: int | None, k: int, blocks: int, query_blocks: int) -> DataFrame:
-    every_q = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-    every_b = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    left = queries.withColumn("qb", deal(query_blocks, 1)).withColumn("rb", every_b)
-    right = rows.withColumn("rb", deal(blocks, 2)).withColumn("qb", every_q)
-
-    def work(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        codes, r = shared.value
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": np.zeros(0, "int64"), "vec_id": np.zeros(0, "int64"), "score": np.zeros(0)})
-        return search_block(q, x, codes, len(codes.axes[0]) if radius is None else r, k)
-
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(work, RESULT)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-
-
-def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, fit_rows: int = 10_000, block_rows: int = 8192, block_queries: int = 2048, **options) -> DataFrame:
+class Codes:
+    """Rotations of centred unit vectors; ``bits`` per substring."""
+
+    def __init__(self, sample: np.ndarray, bits: int, rounds: int, seed: int):
+        self.bits, self.rounds, self.rng = bits, rounds, np.random.default_rng(seed)
+        self.mean = unit(sample).mean(axis=0)
+        self.axes = np.zeros((sample.shape[1], 0))
+
+    def grow(self, sample: np.ndarray, parts: int) -> None:
+        """Learns further rotations until there are bits for so many parts."""
+        x, d = unit(sample) - self.mean, sample.shape[1]
+        while self.axes.shape[1] < parts * self.bits:
+            r = np.linalg.qr(self.rng.standard_normal((d, d)))[0]
+            for _ in range(self.rounds):
+                u, _, vt = np.linalg.svd(np.where(x @ r > 0, 1.0, -1.0).T @ x)
+                r = (u @ vt).T
+            self.axes = np.concatenate([self.axes, r], axis=1)
+
+    def __call__(self, x: np.ndarray, first: int, last: int) -> np.ndarray:
+        """(n, last - first) values of these substrings."""
+        on = (unit(x) - self.mean) @ self.axes[:, first * self.bits : last * self.bits] > 0
+        return on.reshape(len(x), last - first, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
+
+
+class Index:
+    """codes, parts, reach and radius."""
+
+    def __init__(self, sample: np.ndarray, rows: int, every: int, k: int, target: float, cover: float, queries: int = 192, rounds: int = 8, seed: int = 11):
+        self.codes = Codes(sample, int(np.clip(np.ceil(np.log2(max(rows, 2))), 8, 30)), rounds, seed)
+        picked = np.random.default_rng(seed).permutation(len(sample))[:queries]
+        near = unit(sample)[picked] @ unit(sample).T
+        near[np.arange(len(picked)), picked] = -2
+        top = np.argsort(-near, axis=1)[:, : min(k, len(sample) - 1)]
+        least, whole = np.full(near.shape, 99, np.uint8), np.zeros(top.shape, np.int64)
+        best, done, at = None, 0, {}
+        for parts in PARTS:
+            if best and parts * (1 + 1 / every) >= best[0]:  # entries and probes alone cost more
+                break
+            self.codes.grow(sample, parts)
+            values = self.codes(sample, done, parts)
+            for j in range(parts - done):
+                apart = np.bitwise_count(values[picked, j][:, None] ^ values[:, j][None, :])
+                least = np.minimum(least, apart)
+                whole += np.take_along_axis(apart, top, 1)
+            done, at[parts] = parts, whole.copy()
+            hit = np.take_along_axis(least, top, 1)
+            reach = next((r for r in range(REACH + 1) if not hit.size or (hit <= r).mean() >= target), None)
+            if reach is not None:
+                cost = parts * (1 + len(self.masks(reach)) / every) + (least <= reach).mean() * rows / every
+                best = min(best or (np.inf,), (cost, parts, reach))
+        _, self.parts, self.reach = best or (np.inf, PARTS[-1], REACH)
+        self.radius = int(np.quantile(at[self.parts], cover)) if hit.size else self.parts * self.codes.bits
+        self.codes.axes = self.codes.axes[:, : self.parts * self.codes.bits]
+
+    def masks(self, reach: int) -> np.ndarray:
+        return np.array([sum(1 << b for b in bits) for n in range(reach + 1) for bits in itertools.combinations(range(self.codes.bits), n)], np.int64)
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """(n, parts) keys of buckets."""
+        return self.codes(x, 0, self.parts) | (np.arange(self.parts, dtype=np.int64) << self.codes.bits)
+
+
+def _vectors(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
+
+
+def _entries(table: DataFrame, shared, probe: bool, name: str, rows: int = 256) -> DataFrame:
+    """(key, name): the buckets of table(c, v); with probe those within reach as well."""
+
+    def work(batches):
+        index = shared.value
+        masks = index.masks(index.reach) if probe else np.zeros(1, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                keys = (index.keys(_vectors(part.column("v")))[:, :, None] ^ masks).reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("c").to_numpy(), keys.shape[1]))], names=["key", name])
+
+    return table.select("c", "v").mapInArrow(work, f"key long, {name} long")
+
+
+def candidates(classes: DataFrame, queries: DataFrame, shared) -> DataFrame:
+    """(q, c): the pairs that meet in a bucket, some more than once. classes and queries are (c, v)."""
+    return _entries(queries, shared, True, "q").join(_entries(classes, shared, False, "c"), "key").select("q", "c")
+
+
+def _ranked(shared, k: int):
+    """Reranks, in one shard, the candidates of each query: (q, qv, cs) and (c, v, ids) to the k + 1 best rows of each query. cs null: all classes."""
+
+    def work(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        index, out = shared.value, []
+        if len(asked) and len(held):
+            held = held.sort_values("c")
+            c, ids, x = held["c"].to_numpy(), held["ids"].to_list(), np.stack(held["v"].to_list()).astype(float)
+            norms = np.sqrt((x * x).sum(axis=1))
+            codes = index.codes(x, 0, index.parts)
+            qs = np.stack(asked["qv"].to_list()).astype(float)
+            for i, (q, cs) in enumerate(zip(asked["q"], asked["cs"], strict=True)):
+                at = np.arange(len(c))
+                if cs is not None:
+                    at = np.searchsorted(c, np.sort(np.asarray(cs, np.int64)))
+                    at = at[np.bitwise_count(codes[at] ^ index.codes(qs[i : i + 1], 0, index.parts)).sum(axis=1) <= index.radius]
+                score = (x[at] @ qs[i]) / (norms[at] * np.sqrt(qs[i] @ qs[i]))
+                if len(at) > k + 1:  # all that reach the k + 1st score, so that ties are settled by id
+                    some = score >= np.partition(score, -k - 1)[-k - 1]
+                    at, score = at[some], score[some]
+                rows = sorted((-s, v, c[a]) for a, s in zip(at, score.tolist(), strict=True) for v in ids[a])[: k + 1]
+                out += [(q, cc, v, -s) for s, v, cc in rows]
+        return pd.DataFrame(out, columns=["q", "c", "vec_id", "score"]).astype({"q": "int64", "c": "int64", "vec_id": "int64", "score": "float64"})
+
+    return work
+
+
+def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_rows: int, target: float, cover: float) -> DataFrame:
+    """The result over rows(vec_id, v) with vectors of length d."""
+    spark = rows.sparkSession
+    rows = stored(rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")), "vectors")
+    total = rows.count()
+    rank = F.row_number().over(W.partitionBy("h1", "h2").orderBy("vec_id"))
+    ids = rows.select("h1", "h2", "vec_id").withColumn("rank", rank).filter(F.col("rank") <= k + 1).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = rows.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(ids, ["h1", "h2"])
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    n = classes.count()
+    asking = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2").join(classes.select("h1", "h2", F.col("c").alias("q")), ["h1", "h2"])
+    asking = stored(asking.select("vec_id", "q").withColumn("row", F.monotonically_increasing_id()), "asking")
+    queries = stored(classes.join(asking.select(F.col("q").alias("c")).distinct(), "c", "left_semi").select("c", "v"), "queries")
+
+    sample = classes.select("v").orderBy(F.xxhash64(F.lit(7), "v")).limit(min(fit_rows, max(1000, (8 << 20) // d))).toPandas()
+    shared = spark.sparkContext.broadcast(Index(np.stack(sample["v"].to_list()).astype(float), n, every, k, target, cover))
+    shards = max(1, -(-n // shard_rows))
+    shard = F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int")
+    held = classes.select(shard.alias("shard"), "c", "v", "ids")
+    asked = queries.select(F.col("c").alias("q"), F.col("v").alias("qv"))
+
+    pairs = candidates(classes, queries, shared).repartition("q").withColumn("shard", shard)
+    pairs = pairs.groupBy("q", "shard").agg(F.collect_set("c").alias("cs")).join(asked, "q").select("shard", "q", "qv", "cs")
+    found = pairs.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_ranked(shared, k), FOUND)
+    best = lambda df: df.withColumn("at", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("at") <= k + 1)
+    found = stored(best(found), "found")
+    full = found.filter(F.col("at") == min(k + 1, total)).select("q")
+    again = asked.join(full, "q", "left_anti")
+    if not again.isEmpty():
+        each = again.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "q", "qv", F.lit(None).cast("array<long>").alias("cs"))
+        rest = each.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_ranked(shared, k), FOUND)
+        found = found.join(full, "q", "left_semi").union(stored(best(rest), "found"))
+
+    own = (F.col("c") == F.col("q")) & (F.col("vec_id") == F.col("query_id"))
+    met = asking.select(F.col("vec_id").alias("query_id"), "q", "row").join(found, "q")
+    met = met.withColumn("self", F.min(F.when(own, F.col("at"))).over(W.partitionBy("row"))).filter(~F.col("at").eqNullSafe(F.col("self")))
+    rank = (F.col("at") - F.when(F.col("at") > F.col("self"), 1).otherwise(0)).cast("int")
+    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, fit_rows: int = 10_000, shard_rows: int = 8192, target: float = 0.9, cover: float = 0.99) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row whose vec_id is divisible by ``every``, ties to the smaller vec_id.
 
-    Vectors that are null, zero or hold null or non-finite components, and rows without id, take no part; vectors must be
-    of one length (the commonest wins, others take no part). Rows that share an id are one candidate, the first of them; a
-    query is never its own neighbour. Without usable rows the result is empty. Other columns are ignored.
+    Vectors that are null, zero or hold null or non-finite components, and rows without id, take no part; vectors are
+    compared with those of their length, a pass a length. Candidates are all rows but the query's own: rows that share an
+    id are each a candidate and a query of its own. Without usable rows the result is empty. Other columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors)
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == lengths.d)
-    n = lengths["count"]
-    rows = stored(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(7))).limit(fit_rows).select("v").toPandas()
-    shared = spark.sparkContext.broadcast(fit(np.stack(sample["v"].to_list()).astype(float), k=k, **options))
-    blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n // every // block_queries))
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    first = stored(_pass(rows, queries, shared, 0, k, blocks, query_blocks), "near")
-    full = first.filter(F.col("rank") == min(k, n - 1)).select(F.col("query_id").alias("vec_id"))
-    again = queries.join(full, "vec_id", "left_anti")
-    if n < 2 or again.isEmpty():
-        return first
-    rest = _pass(rows, again, shared, None, k, blocks, query_blocks)
-    return first.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").union(rest)
+    out = vectors.sparkSession.createDataFrame([], RESULT)
+    for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
+        out = out.union(_search(rows.filter(F.size("v") == r.d), r.d, k, every, fit_rows, shard_rows, target, cover))
+    return out
