@@ -423,7 +423,7 @@ def test_neighbours(spark):
     x = rng.standard_normal((1500, 24)).astype(np.float32)
     x[7] = x[0]
     table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)] + [(2000, None, 0), (2050, [0.0] * 24, 0), (2100, [float("nan")] + [1.0] * 23, 0), (None, [1.0] * 24, 0)], "vec_id long, embedding array<float>, label int")
-    out = ann.neighbours(table, block_rows=400).collect()
+    out = ann.neighbours(table, shard_rows=400).collect()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     hits = 0
     by = defaultdict(dict)
@@ -438,6 +438,40 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 30 * 5 and set(by) == set(range(0, 1500, 50)) and by[0][1] == 7
 
 
+def test_neighbours_pruned(spark, monkeypatch):
+    """Clusters, a vector that a fifth of the rows share, shared ids and two lengths: recall against all rows, and the share of rows retrieved."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((600, 32))
+    x = [(centres[i % 600] + 0.35 * rng.standard_normal(32)).astype(np.float32).tolist() for i in range(6000)]
+    table = list(enumerate(x)) + [(i, x[3]) for i in range(10_000, 11_500)] + [(i, x[i + 1][:7]) for i in range(0, 900, 9)] + [(50, x[51]), (50, x[50])]
+    retrieved = []
+    plain = ann.candidates
+    monkeypatch.setattr(ann, "candidates", lambda classes, queries, shared: retrieved.append((plain(classes, queries, shared).distinct().count(), classes.count() * queries.count())) or plain(classes, queries, shared))
+    out = ann.neighbours(spark.createDataFrame(table, "vec_id long, embedding array<float>"), shard_rows=2000).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.query_id].append((r.rank, r.vec_id, r.score))
+    hits = total = 0
+    for d in (7, 32):
+        rows = [(i, np.array(v, float)) for i, v in table if len(v) == d]
+        u = np.array([v / np.linalg.norm(v) for _, v in rows])
+        for q, (i, _) in enumerate(rows):
+            if i % 50 or (d == 32 and i in (50,)) or sum(r[0] == i for r in table) > 1:
+                continue
+            s = u @ u[q]
+            s[q] = -2
+            want = sorted(((-round(a, 12), rows[j][0]) for j, a in enumerate(s.tolist())))[:5]
+            hits += len({(v, round(c, 9)) for _, v, c in by[i]} & {(v, round(-a, 9)) for a, v in want})
+            total += 5
+            assert sorted(r[0] for r in by[i]) == [1, 2, 3, 4, 5]
+            if i >= 10_000:
+                assert [v for _, v, _ in sorted(by[i])] == sorted([3, *range(10_000, 11_500)], key=lambda v: (v == i, v))[:5]
+    assert hits >= 0.9 * total and total > 500
+    assert len([r for r in out if r.query_id == 50]) == 3 * 5
+    met, all_pairs = retrieved[-1]
+    assert met < 0.1 * all_pairs
+
+
 def test_neighbours_odd(spark):
     kind = "vec_id long, embedding array<float>"
     assert ann.neighbours(spark.createDataFrame([], kind)).count() == 0
