@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.expressions import parse_cigar
+from .store import stored
 
+_reads: dict[tuple[str, str], DataFrame] = {}
 CONTIG_LENGTH = 19_456
 CHUNK = "CASE WHEN ({k}) % 29 = 0 THEN 'NNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNN' ELSE translate(md5('chr' || CAST({c} AS VARCHAR(9)) || ':' || CAST({k} AS VARCHAR(9))), '0123456789abcdef', 'ACGTACGTACGTACGT') END"
 _DIV = "CAST(FLOOR({a} / 32.0) AS BIGINT)"
@@ -60,7 +62,14 @@ class Tables:
 
     @property
     def reads(self) -> DataFrame:
-        return self._sql(reads_sql(), "orders").withColumn("cigar", parse_cigar("cigar"))
+        """Written once a session and folder, in as many files as the session has cores, as a converted alignment file would be."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _reads:
+            orders = self.spark.read.parquet(f"{self.dir}/orders.parquet")
+            n = max(1, min(self.spark.sparkContext.defaultParallelism, orders.count() // 2000))
+            made = self.spark.sql(reads_sql().replace("FROM orders", "FROM {orders}"), orders=orders.repartition(n))
+            _reads[key] = stored(made.withColumn("cigar", parse_cigar("cigar")), "reads")
+        return _reads[key]
 
     @property
     def contigs(self) -> DataFrame:

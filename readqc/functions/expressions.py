@@ -90,6 +90,28 @@ def q20_bases(least: int = 20) -> Column:
     return F.expr("aggregate(blocks, 0L, (s, b) -> s + length(translate(substr(quals, b.read_off + 1, b.len), '" + "".join(chr(i) for i in range(33, ord(low) + 1)).replace("\\", "\\\\").replace("'", "\\'") + "', '')))")
 
 
+def passing(quals: Column, length: Column, least: int) -> Column:
+    """Text of one character a base: 1 if its quality is at least ``least``, else 0; 0 beyond the qualities."""
+    scores = range(33, 127)
+    marks = F.translate(quals, "".join(map(chr, scores)), "".join("1" if c - 33 >= least else "0" for c in scores))
+    return F.rpad(F.coalesce(marks, F.lit("")), length, F.lit("0"))
+
+
+def aligned_to(text: str, blank: str, mate: str = "mate") -> Column:
+    """A mate's text (a character a base) laid along a block (at, len) by reference position; blank where the mate has no base.
+
+    mate has pos0 and blocks; its text is as long as its bases.
+    """
+    begin, end = f"greatest({mate}.pos0 + m.ref_off, at)", f"least({mate}.pos0 + m.ref_off + m.len, at + len)"
+    piece = f"substr({text}, cast(m.read_off + {begin} - {mate}.pos0 - m.ref_off + 1 as int), cast({end} - {begin} as int))"
+    laid = f"aggregate({mate}.blocks, repeat('{blank}', len), (s, m) -> if({end} > {begin}, overlay(s placing {piece} from cast({begin} - at + 1 as int)), s))"
+    return F.expr(f"if({mate} is null or {mate}.pos0 >= at + len, '', {laid})")
+
+
+def ones(marks: Column) -> Column:
+    return F.length(F.translate(marks, "0", ""))
+
+
 def pair_orientation() -> Column:
     """FR, RF or TANDEM; null unless paired, both mapped and on one reference."""
     reverse, mate_reverse = flag(REVERSE), flag(MATE_REVERSE)

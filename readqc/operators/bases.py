@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import expressions as X
 
@@ -45,27 +46,53 @@ def reference_bases(ref: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return ref.select("contig", "start0", F.posexplode(F.split(F.upper("seq"), "")).alias("i", "ref_base")).filter("ref_base <> ''").select("contig", (F.col("start0") + F.col("i")).alias("ref_pos"), "ref_base")
 
 
+_sizes: dict[tuple[str, int], int] = {}
+
+
+def piece_size(ref: DataFrame) -> int:
+    """Length of the longest piece of a reference, looked up once a session: pieces are of one size, but for a contig's last one."""
+    key = (ref.sparkSession.sparkContext.applicationId, ref.semanticHash())
+    if key not in _sizes:
+        _sizes[key] = ref.agg(F.max(F.length("seq"))).first()[0] or 1
+    return _sizes[key]
+
+
+def with_pieces(spans: DataFrame, ref: DataFrame) -> DataFrame:
+    """spans(contig, start, end, ...) cut at the borders of reference pieces, plus piece_start and piece (upper case); without a piece they are left out."""
+    size = piece_size(ref)
+    cut = spans.withColumn("piece_no", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / size))))
+    cut = cut.withColumn("start", F.greatest("start", F.col("piece_no") * size)).withColumn("end", F.least("end", (F.col("piece_no") + 1) * size))
+    pieces = ref.select("contig", F.floor(F.col("start0") / size).alias("piece_no"), F.col("start0").alias("piece_start"), F.upper("seq").alias("piece"))
+    return cut.join(pieces, ["contig", "piece_no"]).drop("piece_no")
+
+
 def with_reference(flat: DataFrame, ref: DataFrame) -> DataFrame:
-    """flat(contig, ref_pos, ...) plus ref_base, by joining position and piece; pieces are of one size, given by the longest."""
-    size = ref.agg(F.max(F.length("seq"))).first()[0] or 1
-    piece = F.floor(F.col("ref_pos") / size)
+    """flat(contig, ref_pos, ...) plus ref_base, by joining position and piece."""
+    size = piece_size(ref)
     right = ref.select(F.col("contig").alias("_c"), F.floor(F.col("start0") / size).alias("_piece"), F.col("seq").alias("_seq"))
-    joined = flat.withColumn("_p", piece).join(right, (F.col("contig") == F.col("_c")) & (F.col("_p") == F.col("_piece")), "left")
+    joined = flat.withColumn("_p", F.floor(F.col("ref_pos") / size)).join(right, (F.col("contig") == F.col("_c")) & (F.col("_p") == F.col("_piece")), "left")
     return joined.withColumn("ref_base", F.upper(F.substr("_seq", (F.col("ref_pos") - F.col("_p") * size + 1).cast("int"), F.lit(1)))).drop("_c", "_piece", "_seq", "_p")
 
 
 def gc_windows(ref: DataFrame, contigs: DataFrame, window: int, most_n: int = 4) -> DataFrame:
-    """One row for each window start with at most most_n N: contig, start0, gc (percent, rounded down). Counts are sums over a frame of window positions, within overlapping stretches, so a contig spreads over tasks."""
-    stretch = 65_536
-    bases = reference_bases(ref).select("contig", "ref_pos", F.col("ref_base").isin("G", "C").cast("int").alias("g"), (F.col("ref_base") == "N").cast("int").alias("n"))
-    own = F.floor(F.col("ref_pos") / stretch)
-    before = F.when((F.col("ref_pos") % stretch < window - 1) & (own > 0), own - 1)
-    bases = bases.withColumn("s", F.explode(F.array_compact(F.array(own, before)))) if window <= stretch else bases.withColumn("s", F.lit(0).cast("long"))
-    from pyspark.sql.window import Window as W
-
-    w = W.partitionBy("contig", "s").orderBy("ref_pos").rowsBetween(0, window - 1)
-    sums = bases.select("contig", "s", "ref_pos", F.sum("g").over(w).alias("g"), F.sum("n").over(w).alias("n"))
-    fits = sums.join(F.broadcast(contigs.select("contig", "length")), "contig").filter(F.col("ref_pos") + window <= F.col("length"))  # one row a contig
-    if window <= stretch:
-        fits = fits.filter(F.floor(F.col("ref_pos") / stretch) == F.col("s"))
-    return fits.filter(F.col("n") <= most_n).select("contig", F.col("ref_pos").alias("start0"), F.floor(F.col("g") * 100 / window).cast("long").alias("gc"))
+    """One row for each window start with at most most_n N: contig, start0, gc (percent, rounded down).
+
+    Pieces, not bases, are dealt by stretch of the contig, those of the next window - 1 bases to both; within a stretch
+    counts are differences of running sums.
+    """
+    stretch = max(65_536, 2 * window)
+    end = F.col("start0") + F.length("seq")
+    stretches = F.sequence(F.floor(F.greatest(F.col("start0") - (window - 1), F.lit(0)) / stretch), F.floor((end - 1) / stretch))
+    pieces = ref.filter(F.length("seq") > 0).select("contig", "start0", F.upper("seq").alias("seq"), F.explode(stretches).alias("s")).repartition("contig", "s")
+    last = (F.col("s") + 1) * stretch + window - 1
+    each = pieces.select("contig", "s", (F.col("start0")).alias("p"), F.posexplode(F.split("seq", "")).alias("i", "b")).filter("b <> ''").withColumn("ref_pos", F.col("p") + F.col("i")).filter((F.col("ref_pos") >= F.col("s") * stretch) & (F.col("ref_pos") < last))
+    by = W.partitionBy("contig", "s").orderBy("ref_pos")
+    g, n = F.col("b").isin("G", "C").cast("int"), (F.col("b") == "N").cast("int")
+    each = each.select("contig", "s", "ref_pos", g.alias("g"), n.alias("n"))
+    upto = by.rowsBetween(W.unboundedPreceding, 0)
+    each = each.withColumns({"gs": F.sum("g").over(upto), "ns": F.sum("n").over(upto)})
+    ahead = lambda c: F.lead(c, window - 1).over(by) if window > 1 else F.col(c)
+    each = each.withColumns({"gw": ahead("gs") - F.col("gs") + F.col("g"), "nw": ahead("ns") - F.col("ns") + F.col("n")})
+    own = (F.floor(F.col("ref_pos") / stretch) == F.col("s")) & F.col("gw").isNotNull() & (F.col("nw") <= most_n)
+    fits = each.filter(own).join(F.broadcast(contigs.select("contig", "length")), "contig").filter(F.col("ref_pos") + window <= F.col("length"))  # one row a contig
+    return fits.select("contig", F.col("ref_pos").alias("start0"), F.floor(F.col("gw") * 100 / window).cast("long").alias("gc"))

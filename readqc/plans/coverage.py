@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import expressions as X
 from ..operators import bases, histogram as H, intervals as I
+from ..store import stored
 
 R = X.ratio
 BUCKET = 8192
@@ -32,16 +33,45 @@ def classified(reads: DataFrame, include_duplicates: bool = False, exclude_unpai
     return reads.filter(~X.flag(X.UNMAPPED) & ~X.flag(X.SECONDARY | X.SUPPLEMENTARY) & ~X.flag(X.QC_FAIL)).withColumn("excl", excl)
 
 
-def position_depth(reads: DataFrame, min_bq: int = 20, **rules) -> DataFrame:
-    """(contig, ref_pos, depth, rows, failed): distinct fragments, and bases that pass or fail the quality, of each position.
+def _marked(kept: DataFrame, min_bq: int) -> DataFrame:
+    """kept plus blocks and marks (1 for each base of the read whose quality passes, else 0)."""
+    return kept.withColumns({"blocks": X.aligned_blocks(), "marks": X.passing(F.col("quals"), X.op_sum("MIS=X").cast("int"), min_bq)})
+
 
-    A fragment counts once a position; rows - depth of a position are the bases that overlap with their mate. Bases are dealt
-    once, by stretch of the reference, which serves both aggregations.
+def depth_runs(reads: DataFrame, min_bq: int = 20, **rules) -> DataFrame:
+    """(contig, start, end, depth): stretches of equal depth above 0, the distinct fragments with a passing base.
+
+    A read's positions that pass in the fragment's earlier read as well are blanked, read by read. What remains are runs,
+    of which only the borders (+1, -1) are shuffled, by bucket of the reference; blocks are cut at the buckets' borders.
     """
-    kept = classified(reads, **rules).filter("excl IS NULL").withColumn("frag", fragment_key())
-    flat = bases.aligned(kept, ["frag"]).select("contig", F.floor(F.col("ref_pos") / BUCKET).alias("bucket"), "ref_pos", "frag", (F.coalesce("bq", F.lit(-1)) >= min_bq).alias("ok"))
-    once = flat.repartition("contig", "bucket").groupBy("contig", "bucket", "ref_pos", "frag").agg(F.count(F.when(F.col("ok"), 1)).alias("good"), F.count(F.when(~F.col("ok"), 1)).alias("bad"))
-    return once.groupBy("contig", "bucket", "ref_pos").agg(F.count(F.when(F.col("good") > 0, 1)).alias("depth"), F.sum("good").alias("rows"), F.sum("bad").alias("failed")).drop("bucket")
+    kept = _marked(classified(reads, **rules).filter("excl IS NULL").withColumn("frag", fragment_key()), min_bq)
+    earlier = F.lag(F.struct("pos0", "blocks", "marks")).over(W.partitionBy("frag", "contig").orderBy("read_id"))
+    flat = kept.select("frag", "contig", "read_id", "pos0", "blocks", "marks").withColumn("mate", earlier)
+    flat = flat.select("contig", "pos0", "marks", "mate", F.explode("blocks").alias("b"))
+    flat = flat.select("contig", (F.col("pos0") + F.col("b.ref_off")).alias("at"), F.col("b.len").alias("len"), F.expr("substr(marks, b.read_off + 1, b.len)").alias("own"), "mate")
+    flat = flat.select("contig", "at", "len", "own", X.aligned_to("mate.marks", "0").alias("other"))
+    last = F.floor((F.col("at") + F.col("len") - 1) / BUCKET)
+    flat = flat.filter("len > 0").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("at") / BUCKET), last)))
+    start, end = F.greatest(F.col("at"), F.col("bucket") * BUCKET), F.least(F.col("at") + F.col("len"), (F.col("bucket") + 1) * BUCKET)
+    part = lambda c: F.substr(c, (start - F.col("at") + 1).cast("int"), (end - start).cast("int"))
+    flat = flat.select("contig", "bucket", start.alias("at"), (end - start).cast("int").alias("len"), part("own").alias("own"), part("other").alias("other"))
+    whole = (F.instr("own", "0") == 0) & (F.instr("other", "1") == 0)
+    borders = F.when(whole, F.array(F.lit(0), F.col("len"))).otherwise(F.sequence(F.lit(0), F.col("len")))
+    on = lambda i: (F.substr("own", i + 1, F.lit(1)) == "1") & (F.substr("other", i + 1, F.lit(1)) != "1")
+    i = F.col("i")
+    now, before = F.when(on(i), 1).otherwise(0), F.when((i > 0) & on(F.greatest(i - 1, F.lit(0))), 1).otherwise(0)
+    each = flat.select("*", F.explode(borders).alias("i"), whole.alias("whole"))
+    step = F.when(F.col("whole"), F.when(i == 0, 1).otherwise(-1)).otherwise(now - before)
+    steps = each.select("contig", "bucket", (F.col("at") + i).alias("start"), step.alias("step")).filter("step <> 0")
+    steps = steps.repartition("contig", "bucket").groupBy("contig", "bucket", "start").agg(F.sum("step").alias("step"))
+    by = W.partitionBy("contig", "bucket").orderBy("start")
+    runs = steps.select("contig", "start", F.lead("start").over(by).alias("end"), F.sum("step").over(by.rowsBetween(W.unboundedPreceding, 0)).alias("depth"))
+    return runs.filter("depth > 0")
+
+
+def position_depth(reads: DataFrame, min_bq: int = 20, **rules) -> DataFrame:
+    """(contig, ref_pos, depth) of covered positions."""
+    return depth_runs(reads, min_bq, **rules).select("contig", F.explode(F.expr("sequence(start, end - 1)")).alias("ref_pos"), "depth")
 
 
 def _known(ref: DataFrame) -> DataFrame:
@@ -59,18 +89,21 @@ def eligible_territory(ref: DataFrame, intervals: DataFrame | None = None) -> Da
     return I.range_join(a, b).agg(F.coalesce(F.sum(F.length(F.translate(cut, "Nn", ""))), F.lit(0)).cast("long").alias("territory"))
 
 
-def eligible_depth(depth: DataFrame, ref: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
-    out = bases.with_reference(depth, ref).filter("ref_base <> 'N' AND ref_base <> ''").drop("ref_base")
-    if intervals is None:
-        return out
-    b = I.merge(intervals).select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end"))
-    return I.range_join(out.withColumn("a_start", F.col("ref_pos")).withColumn("a_end", F.col("ref_pos") + 1), b).drop("a_start", "a_end", "b_start", "b_end")
+def eligible_depth(runs: DataFrame, ref: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
+    """(depth, n): how many positions, not N and inside the intervals, have each depth above 0."""
+    if intervals is not None:
+        b = I.merge(intervals).select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end"))
+        met = I.range_join(runs.withColumnsRenamed({"start": "a_start", "end": "a_end"}), b)
+        runs = met.select("contig", F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"), "depth")
+    met = bases.with_pieces(runs, ref)
+    seen = F.substr("piece", (F.col("start") - F.col("piece_start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    return met.groupBy("depth").agg(F.sum(F.length(F.translate(seen, "N", ""))).alias("n")).filter("n > 0")
 
 
-def depth_histogram(reads: DataFrame, ref: DataFrame, intervals: DataFrame | None = None, coverage_cap: int = 250, **options) -> DataFrame:
-    """(depth 0..cap, bases, frac_bases, bases_at_or_above, frac_bases_at_or_above); empty without territory."""
-    depth = eligible_depth(position_depth(reads, **options), ref, intervals)
-    seen = depth.groupBy(F.least(F.col("depth"), F.lit(coverage_cap)).alias("depth")).agg(F.count(F.lit(1)).alias("n"))
+def depth_histogram(reads: DataFrame, ref: DataFrame, intervals: DataFrame | None = None, coverage_cap: int = 250, runs: DataFrame | None = None, **options) -> DataFrame:
+    """(depth 0..cap, bases, frac_bases, bases_at_or_above, frac_bases_at_or_above); empty without territory. runs: depth_runs of the reads, if at hand."""
+    depth = eligible_depth(depth_runs(reads, **options) if runs is None else runs, ref, intervals)
+    seen = depth.groupBy(F.least(F.col("depth"), F.lit(coverage_cap)).alias("depth")).agg(F.sum("n").alias("n"))
     total = eligible_territory(ref, intervals).filter("territory > 0")
     every = reads.sparkSession.range(coverage_cap + 1).select(F.col("id").alias("depth")).crossJoin(F.broadcast(total)).join(seen, "depth", "left")  # cap + 1 rows
     covered = F.sum(F.when(F.col("depth") > 0, F.coalesce("n", F.lit(0))).otherwise(0)).over(W.partitionBy())
@@ -79,24 +112,28 @@ def depth_histogram(reads: DataFrame, ref: DataFrame, intervals: DataFrame | Non
     return hist.select("depth", "bases", R(F.col("bases"), F.col("total")).alias("frac_bases"), F.col("at_or_above").cast("long").alias("bases_at_or_above"), R(F.col("at_or_above"), F.col("total")).alias("frac_bases_at_or_above")).orderBy("depth")
 
 
-def exclusions(reads: DataFrame, min_bq: int = 20, coverage_cap: int = 250, **rules) -> DataFrame:
-    """One row of excluded bases by rule, over whole contigs: mapq, dupe, unpaired, baseq, overlap, capped."""
-    of = lambda k: F.coalesce(F.sum(F.when(F.col("excl") == k, F.col("m"))), F.lit(0)).cast("long").alias(k)
-    by_read = classified(reads, **rules).filter("excl IS NOT NULL").select("excl", X.aligned_bases().alias("m")).agg(of("mapq"), of("dupe"), of("unpaired"))
-    zero = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
-    by_base = position_depth(reads, min_bq, **rules).agg(zero(F.col("failed"), "baseq"), zero(F.col("rows") - F.col("depth"), "overlap"), zero(F.greatest(F.col("depth") - coverage_cap, F.lit(0)), "capped"))
-    return by_read.crossJoin(by_base)  # one row each
+def exclusions(reads: DataFrame, min_bq: int = 20, coverage_cap: int = 250, runs: DataFrame | None = None, **rules) -> DataFrame:
+    """One row of excluded bases by rule, over whole contigs: mapq, dupe, unpaired, baseq, overlap, capped. Overlap is what passes in the reads beyond the sum of depths."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    of = lambda k: total(F.when(F.col("excl") == k, F.col("m"))).alias(k)
+    passed = F.expr("aggregate(blocks, 0L, (s, b) -> s + length(translate(substr(marks, b.read_off + 1, b.len), '0', '')))")
+    rows = _marked(classified(reads, **rules), min_bq).select("excl", X.aligned_bases().alias("m"), F.when(F.col("excl").isNull(), passed).alias("passed"))
+    by_read = rows.agg(of("mapq"), of("dupe"), of("unpaired"), total(F.col("m") * F.col("excl").isNull().cast("int") - F.col("passed")).alias("baseq"), total("passed").alias("_passed"))
+    n, depth = F.col("end") - F.col("start"), F.col("depth")
+    by_run = (depth_runs(reads, min_bq, **rules) if runs is None else runs).agg(total(n * depth).alias("_depth"), total(n * F.greatest(depth - coverage_cap, F.lit(0))).alias("capped"))
+    return by_read.crossJoin(by_run).select("mapq", "dupe", "unpaired", "baseq", (F.col("_passed") - F.col("_depth")).alias("overlap"), "capped")  # one row each
 
 
-def wgs_metrics(reads: DataFrame, ref: DataFrame, sample: str = "sample", intervals: DataFrame | None = None, min_bq: int = 20, coverage_cap: int = 250, **rules) -> DataFrame:
-    hist = depth_histogram(reads, ref, intervals, coverage_cap, min_bq=min_bq, **rules).select(F.col("depth"), F.col("bases").alias("n"), F.col("bases_at_or_above").alias("above"))
+def wgs_metrics(reads: DataFrame, ref: DataFrame, sample: str = "sample", intervals: DataFrame | None = None, min_bq: int = 20, coverage_cap: int = 250, runs: DataFrame | None = None, **rules) -> DataFrame:
+    runs = stored(depth_runs(reads, min_bq, **rules), "depth") if runs is None else runs
+    hist = depth_histogram(reads, ref, intervals, coverage_cap, runs).select(F.col("depth"), F.col("bases").alias("n"), F.col("bases_at_or_above").alias("above"))
     cum = H.cumulative(hist, "depth", "n")
     mean, sd = H.mean_sd("depth", "n", sample=True)
     at = lambda x: F.coalesce(F.max(F.when(F.col("depth") == x, F.col("above"))), F.lit(0))
     levels = (1, 5, 10, 15, 20, 25, 30, 40, 50, 60, 100)
     base = cum.groupBy().agg(F.sum("n").alias("territory"), mean.alias("mean"), sd.alias("sd"), *[at(x).alias(f"a{x}") for x in levels], *[H.percentile_up(p).alias(f"p{f}") for p, f in ((0.2, 80), (0.1, 90), (0.05, 95))], F.sum(F.col("depth") * F.col("n")).alias("total_depth"))
     mm = H.median_mad(hist.filter("n > 0"), [], "depth", "n")
-    row = base.filter("territory > 0").crossJoin(mm).crossJoin(exclusions(reads, min_bq, coverage_cap, **rules))  # one row each
+    row = base.filter("territory > 0").crossJoin(mm).crossJoin(exclusions(reads, min_bq, coverage_cap, runs, **rules))  # one row each
     kinds = ("mapq", "dupe", "unpaired", "baseq", "overlap", "capped")
     c = F.col
     excluded = sum((c(k) for k in kinds[1:]), c(kinds[0]))

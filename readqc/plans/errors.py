@@ -1,13 +1,16 @@
 """Mismatch, overlap and indel rates by stratifier.
 
-Values that hold for a read are made before it is flattened; those of a base after the reference and the mate's base are
-joined. Bases are first counted by all covariates that the groups use, so grouping works on counts.
+Covariates are small numbers until the end. Mates meet a read at a time, in one shuffle by fragment, and the mate's bases
+are laid along the read's blocks; blocks, not bases, are shuffled to the pieces of the reference. Only then are blocks
+flattened, and each base adds to one packed key of every group, which partial aggregation counts in the same task: what
+leaves it is a row a stratum.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import expressions as X
 from ..operators import bases, intervals as I
@@ -17,8 +20,8 @@ R = X.ratio
 # The stratifiers and the default groups.
 STRATIFIERS = ("all", "bq", "mapq", "cycle", "read_num", "strand", "pair_orientation", "isize", "gc", "read_base", "ref_base", "hp_len", "pre_dinuc", "post_dinuc", "context_3bp", "nm", "indel_len")
 DEFAULT_GROUPS = ("bq", "isize", "gc", "strand", "pair_orientation", "hp_len", "cycle", "read_num", "read_num,cycle", "read_num,hp_len", "read_num,gc", "read_num,pre_dinuc", "mapq", "nm", "context_3bp")
-READ_LEVEL = ("mapq", "read_num", "strand", "pair_orientation", "isize", "gc")
-
+ORIENTATIONS = ("f1r2", "f2r1", "tandem")
+SHIFT = 28  # bits of a covariate in a packed key
 
 def parse_groups(groups=DEFAULT_GROUPS) -> list[tuple[str, ...]]:
     """all first and once; other groups in order."""
@@ -33,13 +36,14 @@ def parse_groups(groups=DEFAULT_GROUPS) -> list[tuple[str, ...]]:
 
 
 def _read_columns(reads: DataFrame, max_isize: int) -> DataFrame:
+    """Covariates of a read as numbers, and its bases between two blanks (seen)."""
     first, rev = X.flag(X.FIRST), X.flag(X.REVERSE)
     kind = X.pair_orientation()
-    orient = F.when(kind == "TANDEM", "tandem").when(kind == "FR", F.when(first == rev, "f2r1").otherwise("f1r2")).when(kind == "RF", F.when(first == rev, "f1r2").otherwise("f2r1"))
+    orient = F.when(kind == "TANDEM", 2).when((kind == "FR") == (first == rev), 1).otherwise(F.when(kind.isNotNull(), 0))
     isize = F.when(X.flag(X.PAIRED), F.abs(F.col("tlen").cast("long"))).otherwise(0)
     return reads.withColumns({
-        "read_num": F.when(X.flag(X.PAIRED), F.when(first, "R1").otherwise("R2")), "strand": F.when(rev, "-").otherwise("+"), "pair_orientation": orient,
-        "isize": F.when(isize <= max_isize, isize), "gc": X.gc_percent(F.col("seq")), "reverse": rev, "nm0": F.when(F.col("nm") >= 0, F.col("nm")), "frag": fragment_key(),
+        "read_num": F.when(X.flag(X.PAIRED), F.when(first, 1).otherwise(2)), "strand": F.when(rev, 1).otherwise(0), "pair_orientation": orient, "isize": F.when(isize <= max_isize, isize).cast("int"),
+        "gc": X.gc_percent(F.col("seq")).cast("int"), "reverse": rev, "nm0": F.when(F.col("nm") >= 0, F.col("nm")).cast("int"), "frag": fragment_key(), "seen": F.concat(F.lit(" "), F.upper("seq"), F.lit(" ")),
     })
 
 
@@ -50,7 +54,7 @@ def kept_reads(reads: DataFrame, min_mapq: int = 20, include_duplicates: bool =
     return _read_columns(reads.filter(keep), max_isize)
 
 
-_CARRY = ["read_id", "frag", "seq", "mapq", "read_num", "strand", "pair_orientation", "isize", "gc", "reverse", "nm0"]
+_READ = ["mapq", "read_num", "strand", "pair_orientation", "isize", "gc", "reverse", "nm0"]
 
 
 def _inside(flat: DataFrame, intervals: DataFrame | None, mask: DataFrame | None) -> DataFrame:
@@ -65,78 +69,134 @@ def _inside(flat: DataFrame, intervals: DataFrame | None, mask: DataFrame | None
     return flat
 
 
-def _base_columns(flat: DataFrame) -> DataFrame:
-    """Base-level covariates of rows with seq, read_off, reverse, base, bq, ref_base."""
-    seq, off, rev, n = F.upper("seq"), F.col("read_off"), F.col("reverse"), F.length("seq")
-    at = lambda i: F.when((i >= 0) & (i < n), F.substr(F.col("seq"), i + 1, F.lit(1)))
-    prev = F.when(rev, X.complement(at(off + 1))).otherwise(at(off - 1))
-    following = F.when(rev, X.complement(at(off - 1))).otherwise(at(off + 1))
-    acgt = lambda c: F.when(c.isin("A", "C", "G", "T"), c)
-    ref = F.when(rev, X.complement(F.col("ref_base"))).otherwise(F.col("ref_base"))
-    own = acgt(at(off))
-    prev, following, ref = acgt(prev), acgt(following), acgt(ref)
-    return flat.withColumns({
-        "cycle": F.when(rev, n - off).otherwise(off + 1), "read_base": F.when(rev, X.complement(own)).otherwise(own), "ref_base_o": ref, "hp_len": X.homopolymer(seq, off, rev),
-        "pre_dinuc": F.concat(prev, ref), "post_dinuc": F.concat(following, ref), "context_3bp": F.concat(prev, ref, following),
-    })
+def _code(base: Column, flip: Column | None = None) -> Column:
+    """0 to 3 for A, C, G, T, and from 3 to 0 where flip holds; null for anything else."""
+    at = F.instr(F.lit("ACGT"), base) - 1
+    return F.when((at >= 0) & (F.length(base) == 1), at if flip is None else F.when(flip, 3 - at).otherwise(at))
+
+
+def _own_columns(rows: DataFrame) -> DataFrame:
+    """Covariates that a base at read_off of seen has of its own, in sequencing direction: cycle, read_base, hp_len, before and after."""
+    rev, off, n = F.col("reverse"), F.col("read_off"), F.length("seen") - 2
+    at = lambda i: F.substr("seen", (off + i + 2).cast("int"), F.lit(1))
+    return rows.withColumns({
+        "cycle": F.when(rev, n - off).otherwise(off + 1).cast("int"), "read_base": _code(at(0), rev), "before": _code(F.when(rev, at(1)).otherwise(at(-1)), rev), "after": _code(F.when(rev, at(-1)).otherwise(at(1)), rev),
+        "hp_len": X.homopolymer(F.substr("seen", F.lit(2), n), off.cast("int"), rev).cast("int"),
+    }).drop("seen", "read_off")
+
+
+def _with_reference_codes(rows: DataFrame, ref_base: Column) -> DataFrame:
+    rows = rows.withColumn("ref_base", _code(ref_base, F.col("reverse")))
+    r = F.col("ref_base")
+    return rows.withColumns({"pre_dinuc": F.col("before") * 4 + r, "post_dinuc": F.col("after") * 4 + r, "context_3bp": (F.col("before") * 4 + r) * 4 + F.col("after"), "all": F.lit(0)}).drop("before", "after", "reverse")
 
 
 def mismatch_rows(reads: DataFrame, ref: DataFrame, min_bq: int = 20, intervals=None, mask=None, **rules) -> DataFrame:
-    """One row for each counted base with its covariates, error (0/1) and the class of the mate's base."""
-    kept = kept_reads(reads, **rules)
-    flat = bases.aligned(kept, _CARRY).withColumn("base", F.upper("base"))
-    used = _inside(flat, intervals, mask).filter((F.col("bq").isNull() | (F.col("bq") >= min_bq)) & F.col("base").isin("A", "C", "G", "T"))
-    used = bases.with_reference(used, ref).filter(F.col("ref_base").isin("A", "C", "G", "T"))
-    mates = bases.aligned(kept.filter("frag LIKE 'n%'"), ["read_id", "frag"]).filter((F.coalesce("bq", F.lit(0)) >= min_bq)).select(F.col("frag").alias("_f"), F.col("contig").alias("_c"), F.col("ref_pos").alias("_p"), F.col("read_id").alias("_r"), F.upper("base").alias("mate_base")).filter(F.col("mate_base").isin("A", "C", "G", "T"))
-    both = used.join(mates, (F.col("frag") == F.col("_f")) & (F.col("contig") == F.col("_c")) & (F.col("ref_pos") == F.col("_p")) & (F.col("read_id") != F.col("_r")), "left").drop("_f", "_c", "_p", "_r")
-    error = (F.col("base") != F.col("ref_base")).cast("int")
-    out = _base_columns(both.withColumn("error", error))
-    out = out.withColumn("nm", F.greatest(F.col("nm0") - F.col("error"), F.lit(0))).withColumn("indel_len", F.lit(0)).withColumn("all", F.lit("all"))
-    return out.drop("ref_base").withColumnRenamed("ref_base_o", "ref_base")
+    """One row for each counted base with its covariates, the codes of its own, the reference's and the mate's base, in sequencing direction."""
+    kept = kept_reads(reads, **rules).withColumns({"blocks": X.aligned_blocks(), "n": X.op_sum("MIS=X").cast("int")})
+    other = F.struct("pos0", "blocks", F.rpad(F.upper("seq"), F.col("n"), F.lit(" ")).alias("bases"), F.rpad("quals", F.col("n"), F.lit("!")).alias("quals"))
+    by = W.partitionBy("frag", "contig").orderBy("read_id")
+    kept = kept.select(*_READ, "contig", "pos0", "seen", "quals", "blocks", F.coalesce(F.lag(other).over(by), F.lead(other).over(by)).alias("mate"))
+    flat = kept.select(*_READ, "contig", "pos0", "seen", "quals", "mate", F.explode("blocks").alias("b"))
+    flat = flat.select(*_READ, "contig", (F.col("pos0") + F.col("b.ref_off")).alias("at"), F.col("b.len").alias("len"), F.col("b.read_off").alias("off"), "seen", "mate", F.expr("substr(quals, b.read_off + 1, b.len)").alias("bqs"))
+    flat = flat.select(*_READ, "contig", "at", "off", "len", "seen", "bqs", X.aligned_to("mate.bases", " ").alias("mate_bases"), X.aligned_to("mate.quals", "!").alias("mate_quals"))
+    parts = bases.with_pieces(flat.filter("len > 0").withColumns({"start": F.col("at"), "end": F.col("at") + F.col("len")}), ref)
+    each = parts.select("*", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("ref_pos"))
+    i = (F.col("ref_pos") - F.col("at")).cast("int")
+    one = lambda text, k: F.substr(text, k + 1, F.lit(1))
+    score = lambda text: F.when(F.length(one(text, i)) > 0, F.ascii(one(text, i)) - 33)
+    mate = F.when(score("mate_quals") >= min_bq, _code(one("mate_bases", i), F.col("reverse")))
+    each = each.select(*_READ, "contig", "ref_pos", (F.col("off") + i).alias("read_off"), "seen", score("bqs").alias("bq"), mate.alias("mate_base"), F.substr("piece", (F.col("ref_pos") - F.col("piece_start") + 1).cast("int"), F.lit(1)).alias("r"))
+    each = each.filter((F.col("bq").isNull() | (F.col("bq") >= min_bq)) & (F.instr(F.lit("ACGT"), F.col("r")) > 0) & (F.length("r") == 1) & (F.instr(F.lit("ACGT"), F.substr("seen", F.col("read_off") + 2, F.lit(1))) > 0))
+    if intervals is not None or mask is not None:
+        each = _inside(_own_columns(each), intervals, mask)
+        out = _with_reference_codes(each, F.col("r"))
+    else:
+        out = _with_reference_codes(_own_columns(each), F.col("r"))
+    error = (F.col("read_base") != F.col("ref_base")).cast("int")
+    return out.withColumn("error", error).withColumns({"nm": F.greatest(F.col("nm0") - F.col("error"), F.lit(0)), "indel_len": F.lit(0)})
 
 
 def indel_rows(reads: DataFrame, ref: DataFrame, min_bq: int = 20, intervals=None, mask=None, **rules) -> DataFrame:
     """One row for each counted insertion or deletion with the covariates of its anchor."""
     kept = kept_reads(reads, **rules)
-    ev = kept.select(*_CARRY, "contig", "pos0", "quals", F.explode(X.indel_events()).alias("e")).select(*_CARRY, "contig", "quals", "e.*", (F.col("pos0") + F.col("e.anchor_ref")).alias("ref_pos"))
+    ev = kept.select(*_READ, "read_id", "seen", "contig", "pos0", "quals", F.explode(X.indel_events()).alias("e")).select(*_READ, "read_id", "seen", "contig", "quals", "e.*", (F.col("pos0") + F.col("e.anchor_ref")).alias("ref_pos"))
     q = lambda i: F.substr("quals", (i + 1).cast("int"), F.lit(1))
     score = lambda i: F.when(F.length(q(i)) > 0, F.ascii(q(i)) - 33)
-    ins = ev.filter((F.col("op") == "I") & (F.coalesce(score(F.col("read_off")), F.lit(0)) >= min_bq))
-    ins = _inside(ins, intervals, mask)
+    ev = ev.withColumns({"bq": score(F.col("anchor_read")), "first": F.coalesce(score(F.col("read_off")), F.lit(0)), "read_off": F.col("anchor_read")}).drop("quals")
+    ev = _own_columns(ev)
+    ins = _inside(ev.filter((F.col("op") == "I") & (F.col("first") >= min_bq)), intervals, mask)
     dels = _inside(ev.filter("op = 'D'"), intervals, None)
     if mask is not None or intervals is not None:  # a deletion stays unless every deleted position is masked or outside
         spots = dels.select("read_id", "ref_pos", "contig", "len").distinct().select("read_id", F.col("ref_pos").alias("anchor"), "contig", F.explode(F.expr("sequence(ref_pos + 1, ref_pos + len)")).alias("ref_pos"))
         alive = _inside(spots, intervals, mask).select("read_id", F.col("anchor").alias("ref_pos"), "contig").distinct()
         dels = dels.join(alive, ["read_id", "ref_pos", "contig"], "left_semi")
-    both = ins.unionByName(dels).withColumn("read_off", F.col("anchor_read")).withColumn("bq", score(F.col("anchor_read")))
-    out = _base_columns(bases.with_reference(both, ref))
-    out = out.withColumn("nm", F.col("nm0")).withColumn("indel_len", F.col("len")).withColumn("all", F.lit("all"))
-    return out.drop("ref_base").withColumnRenamed("ref_base_o", "ref_base")
+    out = bases.with_reference(ins.unionByName(dels), ref)
+    return _with_reference_codes(out, F.coalesce("ref_base", F.lit(""))).withColumns({"nm": F.col("nm0"), "indel_len": F.col("len")})
 
 
 MEASURES = ("total_bases", "error_bases", "overlapping_read_bases", "bases_mismatching_ref_and_mate", "bases_matching_mate_but_not_ref", "bases_in_three_way_disagreement", "num_insertions", "num_inserted_bases", "num_deletions", "num_deleted_bases")
 
 
+def _text(name: str, code: Column) -> Column:
+    """The text of a covariate's number."""
+    letter = lambda c: F.substr(F.lit("ACGT"), (c + 1).cast("int"), F.lit(1))
+    if name == "all":
+        return F.lit("all")
+    if name == "read_num":
+        return F.concat(F.lit("R"), code.cast("string"))
+    if name == "strand":
+        return F.when(code == 1, "-").otherwise("+")
+    if name == "pair_orientation":
+        return F.element_at(F.array(*map(F.lit, ORIENTATIONS)), (code + 1).cast("int"))
+    if name in ("read_base", "ref_base"):
+        return letter(code)
+    if name in ("pre_dinuc", "post_dinuc"):
+        return F.concat(letter(F.floor(code / 4)), letter(code % 4))
+    if name == "context_3bp":
+        return F.concat(letter(F.floor(code / 16)), letter(F.floor(code / 4) % 4), letter(code % 4))
+    return code.cast("string")
+
+
 def counted(reads: DataFrame, ref: DataFrame, groups=DEFAULT_GROUPS, **options) -> DataFrame:
-    """(g, stratifier, covariate, measures): all groups from one aggregation over the covariates in use."""
+    """(g, stratifier, covariate, measures): all groups from one flattening.
+
+    Groups of up to two names are packed into one number, group, first and second covariate; larger groups are aggregated
+    by their columns.
+    """
     parsed = parse_groups(groups)
     names = sorted({x for g in parsed for x in g})
     zero = {m: F.lit(0).cast("long") for m in MEASURES}
-    mis = mismatch_rows(reads, ref, **options)
-    err = F.col("error") == 1
-    mate = F.col("mate_base").isNotNull()
-    ori = F.when(F.col("reverse"), X.complement(F.col("ref_base"))).otherwise(F.col("ref_base"))
-    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
-    same_ref = mate & err & (F.col("mate_base") == ori)
-    same_read = mate & err & (F.col("mate_base") == F.col("base"))
+    c = F.col
+    one = lambda x: F.when(x, 1).otherwise(0).cast("long")
+    err, mate = c("error") == 1, c("mate_base").isNotNull()
+    same_ref, same_read = mate & err & (c("mate_base") == c("own_ref")), mate & err & (c("mate_base") == c("own_base"))
+    mis = mismatch_rows(reads, ref, **options).withColumns({"own_ref": c("ref_base"), "own_base": c("read_base")})
     a = mis.select(*names, *[v.alias(k) for k, v in {**zero, "total_bases": F.lit(1).cast("long"), "error_bases": one(err), "overlapping_read_bases": one(mate), "bases_mismatching_ref_and_mate": one(same_ref), "bases_matching_mate_but_not_ref": one(same_read), "bases_in_three_way_disagreement": one(mate & err & ~same_ref & ~same_read)}.items()])
-    ind = indel_rows(reads, ref, **options)
-    ins = F.col("op") == "I"
-    b = ind.select(*names, *[v.alias(k) for k, v in {**zero, "num_insertions": one(ins), "num_inserted_bases": F.when(ins, F.col("len")).otherwise(0).cast("long"), "num_deletions": one(~ins), "num_deleted_bases": F.when(~ins, F.col("len")).otherwise(0).cast("long")}.items()])
-    rows = a.unionByName(b).groupBy(*names).agg(*[F.sum(m).alias(m) for m in MEASURES])
-    keys = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(",".join(g)).alias("stratifier"), F.concat(*[x for n in g for x in (F.lit(","), F.col(n).cast("string"))][1:]).alias("covariate")) for i, g in enumerate(parsed)])
-    flat = rows.select(F.explode(keys).alias("k"), *MEASURES).select("k.*", *MEASURES).filter("covariate IS NOT NULL")
-    return flat.groupBy("g", "stratifier", "covariate").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    ins = c("op") == "I"
+    b = indel_rows(reads, ref, **options).select(*names, *[v.alias(k) for k, v in {**zero, "num_insertions": one(ins), "num_inserted_bases": F.when(ins, c("len")).otherwise(0).cast("long"), "num_deletions": one(~ins), "num_deleted_bases": F.when(~ins, c("len")).otherwise(0).cast("long")}.items()])
+    packed = [(i, g) for i, g in enumerate(parsed) if len(g) <= 2]
+    sums = [F.sum(m).alias(m) for m in MEASURES]
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        long = lambda n: c(n).cast("long")
+        keys = [F.shiftleft(F.lit(i).cast("long"), 2 * SHIFT) + F.shiftleft(long(g[0]), SHIFT) + (long(g[1]) if len(g) > 1 else F.lit(0)) for i, g in packed]
+        return rows.select(F.explode(F.array(*keys)).alias("key"), *MEASURES).filter("key IS NOT NULL").groupBy("key").agg(*sums)
+
+    rows = keyed(a).union(keyed(b)).groupBy("key").agg(*sums)
+    mask = (1 << SHIFT) - 1
+    first, second = F.shiftright("key", SHIFT).bitwiseAND(mask), c("key").bitwiseAND(mask)
+    g_of = F.shiftright("key", 2 * SHIFT)
+    text, name = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for i, g in packed:
+        of = [_text(g[0], first)] + ([_text(g[1], second)] if len(g) > 1 else [])
+        text, name = text.when(g_of == i, F.concat_ws(",", *of)), name.when(g_of == i, ",".join(g))
+    out = rows.select(g_of.cast("int").alias("g"), name.alias("stratifier"), text.alias("covariate"), *MEASURES)
+    for i, g in enumerate(parsed):
+        if len(g) > 2:
+            more = a.unionByName(b).dropna(subset=list(g)).groupBy(*g).agg(*sums)
+            out = out.union(more.select(F.lit(i).alias("g"), F.lit(",".join(g)).alias("stratifier"), F.concat_ws(",", *[_text(n, c(n)) for n in g]).alias("covariate"), *MEASURES))
+    return out
 
 
 def mismatch(counts: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Programs on small reads with numbers worked out by hand, sources, sinks, and all queries against their SQL."""
 
 import gzip
+import math
 import os
 import struct
 import zlib
@@ -119,11 +120,23 @@ def test_hybcap(spark, make):
     assert m.mean_target_coverage == pytest.approx(10 * 100 / 120) and m.min_target_coverage == 0 and (d.mean_target_coverage, d.min_target_coverage) == (10.0, 10)
 
 
-def test_library_size():
-    assert hybcap.library_size(100, 100) is None and hybcap.library_size(0, 0) is None
-    size = hybcap.library_size(1000, 800)
-    assert 800 == pytest.approx(size * (1 - 2.718281828459045 ** (-1000 / size)), rel=1e-3)
-    assert hybcap.hs_penalty(None, 1, 1, 1, 1, 1, 10) == 0.0
+def test_library_size(spark):
+    """Both solve their equations: library size for the pairs, penalty for the goal."""
+    rows = [(100, 100), (0, 0), (1000, 800), (10**9, 10**9 - 1), (50, 1), (123_456, 123_000), (10, 9)]
+    c = F.col
+    out = spark.createDataFrame(rows, "p long, u long").withColumn("size", hybcap.library_size(c("p"), c("u")))
+    for r in out.withColumn("penalty", hybcap.hs_penalty(c("size"), F.lit(12.5), F.lit(1.7), F.lit(0.6), c("p"), c("u"), 20)).collect():
+        if not 0 < r.u < r.p:
+            assert r.size is None and r.penalty == 0.0
+            continue
+        unique = lambda size: -size * math.expm1(-r.p / size)  # noqa: E731, B023
+        assert unique(r.size) <= r.u * (1 + 1e-9) and unique(r.size + 1) >= r.u * (1 - 1e-9)
+        need = 20 / 12.5 * 1.7
+        if need * r.u >= r.size:
+            assert r.penalty is None
+        else:
+            x = r.penalty * 0.6 / 1.7 * r.u * need / r.p
+            assert -r.size * math.expm1(-x * r.p / r.size) / r.u == pytest.approx(need, rel=1e-9)
 
 
 def test_errors(spark, make):
