@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, stored
+from .common import pieces, remainder, stored
 
 OUT = ["lang_pred", "score", "code_bits"]
 ORDER = 3
@@ -147,7 +147,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, code, n): how often ORDER + 1 bytes end at a position of labelled(text, lang), nulls left out."""
 
     def count(batches):
-        for batch in batches:
+        for batch in pieces(batches, 2048):
             by: dict[str, list[bytes]] = {}
             for lang, b in zip(batch.column("lang").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(b)
@@ -239,7 +239,7 @@ def _lengths(shared, n_langs: int, text_column: str):
     def work(batches):
         tables = shared.value
         known = Known(tables)
-        for batch in batches:
+        for batch in pieces(batches):
             raw = batch.column(text_column).to_pylist()
             ok = np.array([b is not None and (_LETTER.search(b) is not None or any(map(str.isalpha, b.decode("utf-8", "replace")))) for b in raw], dtype=bool)
             texts = [b if fine else b"" for b, fine in zip(raw, ok, strict=True)]
