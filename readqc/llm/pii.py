@@ -7,9 +7,13 @@ they pass the Luhn test, phone numbers their country code, IPv4 octets stay in r
 the gender that the form of address tells. The same entity gets the same surrogate everywhere, without a join; spellings
 of one card or phone number (separators) or e-mail address (case) are one entity, and their surrogates agree likewise.
 
-Distinctness: surrogates of all distinct entities are counted; entities that share one, or whose surrogate is an entity of
-the corpus, try again with the next attempt until none is left. These exceptions, and only they, are joined back, as a
-small map for each document that holds one.
+A name has two parts with surrogates of their own, the family name and the given names within a family, so "Mr Smith" and
+"Mr John Smith" stay linked; where a document goes on with "John Smith" or "Smith", these are replaced as well.
+
+Distinctness: surrogates of all distinct parts are counted; parts that share one, or whose surrogate is itself a part of
+the corpus, try again with the next attempt until none is left. From the fourth attempt on surrogates of names, addresses
+and phone numbers grow longer, so a crowded format does not run out. These exceptions, and only they, are joined back, as
+a small map for each document that holds one.
 """
 
 from __future__ import annotations
@@ -57,8 +61,9 @@ def _digits(e: Column) -> Column:
 
 
 def canonical(kind: Column, e: Column) -> Column:
-    """What the spellings of an entity have in common: digits of a card or phone number, an e-mail address without case."""
-    return F.when(kind.isin("card", "phone"), _digits(e)).when(kind == "email", F.lower(e)).otherwise(e)
+    """What the spellings of an entity have in common: digits of a card or phone number, an e-mail address without case, a secret without what introduces it."""
+    out = F.when(kind.isin("card", "phone"), _digits(e)).when(kind == "email", F.lower(e))
+    return out.when(kind == "secret", F.regexp_replace(e, f"^{_PREFIX}", "")).otherwise(e)
 
 
 def _stream(key: str, kind: Column, e: Column, attempt: Column) -> Column:
@@ -119,18 +124,30 @@ def _phone(e: Column, h: Column) -> Column:
     return _once(F.concat(code, F.substr(_shuffled(digits, h), F.char_length(code) + 1)), lambda full: _placed(e, full))
 
 
-def _name(e: Column, h: Column) -> Column:
-    """The form of address stays; a given name of its gender and the script follows; a family name keeps script, length and capitals."""
-    form = F.regexp_extract(e, rf"^({_FORMS})\.? ", 0)
-    name = F.substr(e, F.char_length(form) + 1)
+def _form(e: Column) -> Column:
+    return F.regexp_extract(e, rf"^({_FORMS})\.? ", 0)
+
+
+def _family(name: Column) -> Column:
+    """The last word of a name without form of address."""
+    return F.regexp_extract(name, r"([^ .]+)$", 1)
+
+
+def _gender(form: Column) -> Column:
+    return F.when(form.rlike(f"^({'|'.join(FEMALE_FORMS)})\\W"), "f").otherwise("m")
+
+
+def _given(c: Column, given: Column, h: Column, attempt: Column) -> Column:
+    """Given names: the first from the list of its gender and script, unless it is an initial; others keep script, length and capitals. One more name of the list for every four attempts."""
 
-    def of(lists, script):
-        return F.element_at(F.array(*map(F.lit, lists[script])), _number(h, F.lit(70), len(lists[script])) + 1)
+    def of(lists, script, i):
+        return F.element_at(F.array(*map(F.lit, lists[script])), _number(h, i, len(lists[script])) + 1)
 
-    cyrillic, female = name.rlike(r"^\p{IsCyrillic}"), form.rlike(f"^({'|'.join(FEMALE_FORMS)})\\W")
-    given = F.when(female, F.when(cyrillic, of(FEMALE, "cyrillic")).otherwise(of(FEMALE, "latin"))).otherwise(F.when(cyrillic, of(MALE, "cyrillic")).otherwise(of(MALE, "latin")))
-    new = _shuffled(name, h)
-    return F.concat(form, F.when(name.contains(" ") & ~name.rlike(r"^\p{Lu}\."), F.regexp_replace(new, F.lit("^[^ ]+"), given)).otherwise(new))
+    cyrillic, female = given.rlike(r"^\p{IsCyrillic}"), c.startswith("f|")
+    first = lambda i: F.when(female, F.when(cyrillic, of(FEMALE, "cyrillic", i)).otherwise(of(FEMALE, "latin", i))).otherwise(F.when(cyrillic, of(MALE, "cyrillic", i)).otherwise(of(MALE, "latin", i)))
+    names = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 4).cast("int")), lambda i: first(i + 70)), " ")
+    new = _shuffled(given, h)
+    return F.when(given.rlike(r"^\p{Lu}\."), F.concat(F.when(attempt >= 4, F.concat(names, F.lit(" "))).otherwise(""), new)).otherwise(F.regexp_replace(new, F.lit("^[^ ]+"), names))
 
 
 def _once(value: Column, use) -> Column:
@@ -138,20 +155,63 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def surrogate(key: str, e: Column, attempt: Column) -> Column:
-    """The surrogate of an entity. Names and secrets are keyed without what introduces them, so they agree over forms of one gender."""
+def _longer(text: Column, h: Column, attempt: Column, letters: str) -> Column:
+    """text, and from the fourth attempt on a further letter for every two."""
+    more = F.greatest(F.floor((attempt - 2) / 2), F.lit(0)).cast("int")
+    return F.concat(text, F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: F.substr(F.lit(letters), _number(h, i + 110, len(letters)) + 1, F.lit(1))), "")).otherwise(""))
 
-    def made(kind, h):
+
+def value(key: str, kind: Column, c: Column, e: Column, attempt: Column) -> Column:
+    """The surrogate of a part (kind, canonical form c) in the spelling e. Kinds family and given are parts of names; c of given is gender|family|given names."""
+
+    def made(h):
         new = lambda: _shuffled(e, h)
         ip = F.array_join(F.transform(F.split(e, r"\."), lambda x, i: (_number(h, i + 100, 254) + 1).cast("string")), ".")
-        host = F.concat(F.regexp_extract(new(), r"^([^@]*@.*?)[^.]*$", 1), F.regexp_extract(e, r"([^.]*)$", 1))
-        out = F.when(kind == "ip", ip).when(kind == "email", host).when(kind == "phone", _phone(e, h))
+        local = _longer(F.regexp_extract(new(), "^[^@]*", 0), h, attempt, "abcdefghijklmnopqrstuvwxyz")
+        host = F.concat(local, F.regexp_extract(new(), r"(@.*?)[^.]*$", 1), F.regexp_extract(e, r"([^.]*)$", 1))
+        out = F.when(kind == "ip", ip).when(kind == "email", host).when(kind == "phone", _longer(_phone(e, h), h, attempt, "0123456789"))
         out = out.when(kind == "card", _card(e, h)).when(kind == "key", F.concat(F.lit("AKIA"), F.substr(new(), F.lit(5))))
+        last = F.when(e.rlike(r"\p{IsCyrillic}$"), _longer(new(), h, attempt, _CYRILLIC)).otherwise(_longer(new(), h, attempt, "abcdefghijklmnopqrstuvwxyz"))
+        out = out.when(kind == "family", last).when(kind == "given", _given(c, e, h, attempt))
         prefix = F.regexp_extract(e, f"^{_PREFIX}", 0)
-        return out.when(kind == "name", _name(e, h)).otherwise(F.concat(prefix, _shuffled(F.substr(e, F.char_length(prefix) + 1), h)))
+        return out.otherwise(F.concat(prefix, _shuffled(F.substr(e, F.char_length(prefix) + 1), h)))
+
+    return _once(_stream(key, kind, c, attempt), made)
+
+
+def parts(e: Column) -> Column:
+    """array<struct<kind, c, e>>: the parts of an entity. A name has its family name and, if there are, its given names."""
+
+    def of_name(bare):
+        family = _family(bare)
+        given = F.rtrim(F.substr(bare, F.lit(1), F.char_length(bare) - F.char_length(family)))
+        both = F.struct(F.lit("given").alias("kind"), F.concat_ws("|", _gender(_form(e)), family, given).alias("c"), given.alias("e"))
+        only = F.struct(F.lit("family").alias("kind"), family.alias("c"), family.alias("e"))
+        return F.when(given != "", F.array(only, both)).otherwise(F.array(only))
 
-    bare = F.regexp_replace(e, rf"^({_FORMS})\.? ", "")
-    return _once(kind_of(e), lambda kind: _once(_stream(key, kind, canonical(kind, bare), attempt), lambda h: made(kind, h)))
+    name = lambda: _once(F.substr(e, F.char_length(_form(e)) + 1), of_name)
+    return _once(kind_of(e), lambda kind: F.when(kind == "name", name()).otherwise(F.array(F.struct(kind.alias("kind"), canonical(kind, e).alias("c"), e.alias("e")))))
+
+
+def _label(part: Column) -> Column:
+    return F.concat_ws(":", part["kind"], part["c"])
+
+
+def surrogate(key: str, e: Column, odd: Column | None = None) -> Column:
+    """The surrogate of an entity; odd: map from part to attempt, where it isn't 0."""
+
+    def joined(ps):
+        attempt = lambda p: F.lit(0) if odd is None else F.coalesce(F.element_at(odd, _label(p)), F.lit(0))
+        new = F.transform(ps, lambda p: value(key, p["kind"], p["c"], p["e"], attempt(p)))
+
+        def named(v):
+            bare = F.substr(e, F.char_length(_form(e)) + 1)
+            gap = F.when(F.size(v) > 1, F.regexp_extract(bare, r"( *)[^ .]+$", 1)).otherwise("")
+            return F.concat(_form(e), F.when(F.size(v) > 1, F.element_at(v, 2)).otherwise(""), gap, F.element_at(v, 1))
+
+        return _once(new, lambda v: F.when(F.element_at(ps, 1)["kind"] == "family", named(v)).otherwise(F.element_at(v, 1)))
+
+    return _once(parts(e), joined)
 
 
 def found_in(text: Column) -> Column:
@@ -159,52 +219,72 @@ def found_in(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)), F.array().cast("array<string>"))
 
 
-def exceptions(entities: DataFrame, key: str, attempts: int = 12) -> DataFrame:
-    """(e, s): the entities, of a table of distinct ones, whose first surrogate would not be distinct, with one that is. Spellings of one entity move together."""
-    known = lambda e: _once(kind_of(e), lambda kind: F.concat_ws(":", kind, canonical(kind, e)))
-    spelt = stored(entities.select("e", known(F.col("e")).alias("c")), "spellings")
-    made = lambda table, attempt: table.select("c", "e", F.lit(attempt).alias("attempt"), known(surrogate(key, F.col("e"), F.lit(attempt))).alias("s"))
-    first = stored(spelt.groupBy("c").agg(F.min("e").alias("e")), "firsts")
-    table = stored(made(first, 0), "surrogates")
+def exceptions(entities: DataFrame, key: str, attempts: int = 60) -> DataFrame:
+    """(part, attempt): the parts, of a table of entities (e), whose first surrogate would not be distinct, with the attempt of one that is."""
+    n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = entities.select(F.explode(parts(F.col("e"))).alias("p")).select("p.kind", "p.c", _label(F.col("p")).alias("part")).distinct()
+    held = stored(held.repartition(n, "part"), "parts")
+
+    def made(table, attempt):
+        """What must be distinct: the surrogate of the canonical form, for given names that of their family."""
+        spelt = F.when(F.col("kind") == "given", F.element_at(F.split("c", r"\|"), 3)).otherwise(F.col("c"))
+        before = F.when(F.col("kind") == "given", F.regexp_extract("c", r"^[^|]*\|[^|]*\|", 0)).otherwise("")
+        s = F.concat(F.col("kind"), F.lit(":"), before, value(key, F.col("kind"), F.col("c"), spelt, F.lit(attempt)))
+        return table.select("kind", "c", "part", F.lit(attempt).alias("attempt"), s.alias("s"))
+
+    table = stored(made(held, 0), "surrogates")
     for attempt in range(1, attempts + 1):
-        shared = table.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "c")).alias("first")).filter("n > 1").select("s", F.col("first.c").alias("first"))
-        bad = table.join(shared, "s").filter("c != first").select("c", "e").union(table.join(first.select(F.col("c").alias("s")), "s", "left_semi").select("c", "e")).distinct()
-        bad = stored(bad, "again")
+        shared = table.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "part")).alias("first")).filter("n > 1").select("s", F.col("first.part").alias("first"))
+        bad = table.join(shared, "s").filter("part <> first").select("kind", "c", "part").union(table.join(held.select(F.col("part").alias("s")), "s", "left_semi").select("kind", "c", "part")).distinct()
+        bad = stored(bad.repartition(n, "part"), "again")
         if bad.isEmpty():
-            break
-        table = stored(table.join(bad, "c", "left_anti").union(made(bad, attempt)), "surrogates")
-    else:
-        raise RuntimeError("surrogates still collide")
-    return spelt.join(table.filter("attempt > 0").select("c", "attempt"), "c").select("e", surrogate(key, F.col("e"), F.col("attempt")).alias("s"))
+            return table.filter("attempt > 0").select("part", "attempt")
+        table = stored(table.join(bad, "part", "left_anti").unionByName(made(bad, attempt)), "surrogates")
+    raise RuntimeError(f"surrogates still collide after {attempts} attempts")
+
+
+def _mentions(text: Column, names: Column) -> Column:
+    """text with plain mentions of names (array<struct<bare, new>>) replaced, as whole words."""
+    quoted = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{M}])\Q"), w, F.lit(r"\E(?![\p{L}\p{M}])"))
+    return F.aggregate(names, text, lambda t, n: F.when(F.instr(t, n["bare"]) > 0, F.regexp_replace(t, quoted(n["bare"]), n["new"])).otherwise(t))
 
 
-def anonymise(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
-    """docs plus entities, surrogates (arrays in order) and clean_text.
+def anonymise(docs: DataFrame, key: str) -> DataFrame:
+    """docs plus entities, surrogates (arrays in order) and clean_text. key: the secret that surrogates depend on.
 
     A null text has no entities and stays null. Rows may share an id; rows without id are treated alike. Equal entities have
-    equal surrogates in all rows, different ones different surrogates, and no surrogate is an entity of the table. Columns
-    named like an added one are replaced.
+    equal surrogates in all rows, different ones different surrogates, and no surrogate is an entity of the table. Given
+    names alone, without a family name, are not found. Columns named like an added one are replaced; others may have any
+    name.
     """
     docs = docs.drop(*OUT)
-    held = stored(docs.select(F.col("doc_id").alias("_id"), F.explode(F.array_distinct(found_in(F.col("text")))).alias("e")), "entities")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    held = stored(rows.select("id", F.explode(F.array_distinct(found_in(F.col("text")))).alias("e")), "entities")
     odd = stored(exceptions(held.select("e").distinct(), key), "exceptions")
-    out = docs.withColumn("entities", found_in(F.col("text"))).withColumn("_pieces", F.split("text", ANY, -1))
-    base = lambda e: surrogate(key, e, F.lit(0))
+    out = rows.withColumn("entities", found_in(F.col("text"))).withColumn("pieces", F.split("text", ANY, -1))
     if odd.isEmpty():
-        out = out.withColumn("surrogates", F.transform("entities", base))
+        out = out.withColumn("surrogates", F.transform("entities", lambda e: surrogate(key, e)))
     else:
-        maps = held.join(odd, "e").distinct().groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("e", "s"))).alias("_odd"))
-        out = out.join(maps, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-        out = out.withColumn("surrogates", F.transform("entities", lambda e: F.coalesce(F.element_at("_odd", e), base(e))))
-    joined = F.array_join(F.zip_with("_pieces", "surrogates", lambda piece, s: F.concat(piece, F.coalesce(s, F.lit("")))), "")
+        met = held.select("id", F.explode(F.transform(parts(F.col("e")), _label)).alias("part")).distinct().join(odd, "part")
+        maps = met.groupBy(F.col("id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("odd"))
+        out = out.join(maps, F.col("id").eqNullSafe(F.col("of")), "left")
+        out = out.withColumn("surrogates", F.transform("entities", lambda e: surrogate(key, e, F.coalesce(F.col("odd"), F.create_map().cast("map<string,int>")))))
+    bare = lambda e: F.substr(e, F.char_length(_form(e)) + 1)
+    named = F.filter(F.arrays_zip("entities", "surrogates"), lambda x: x["entities"].rlike(rf"^({_FORMS})\.? "))
+    whole = F.transform(named, lambda x: F.struct(bare(x["entities"]).alias("bare"), bare(x["surrogates"]).alias("new")))
+    last = F.transform(whole, lambda x: F.struct(_family(x["bare"]).alias("bare"), _family(x["new"]).alias("new")))
+    out = out.withColumn("names", F.array_distinct(F.concat(whole, last)))
+    out = out.withColumn("pieces", F.when(F.size("names") > 0, F.transform("pieces", lambda p: _mentions(p, F.col("names")))).otherwise(F.col("pieces")))
+    joined = F.array_join(F.zip_with("pieces", "surrogates", lambda piece, s: F.concat(piece, F.coalesce(s, F.lit("")))), "")
     clean = F.when(F.size("entities") == 0, F.col("text")).otherwise(joined)
-    return out.withColumn("clean_text", clean).select(*docs.columns, *OUT)
+    new = F.struct("entities", "surrogates", clean.alias("clean_text"))
+    return out.select("row", new.alias("new")).select("row.*", "new.*")
 
 
-def summary(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
-    """doc_id, entities of each kind, and the SHA-256 of the surrogates and of the rewritten text."""
+def summary(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, entities of each kind and in all, and the SHA-256 of the surrogates and of the rewritten text."""
     out = anonymise(docs.select("doc_id", "text"), key)
     kinds = F.transform("entities", kind_of)
     counts = [F.size(F.array_remove(kinds, name)).alias(name) for name in KINDS]
     counts = [(F.size("entities") - c).cast("long").alias(f"n_{name}") for c, name in zip(counts, KINDS, strict=True)]
-    return out.select("doc_id", *counts, F.sha2(F.array_join("surrogates", "\n"), 256).alias("surrogates_sha256"), F.sha2("clean_text", 256).alias("clean_sha256"))
+    return out.select("doc_id", F.size("entities").cast("long").alias("n_entities"), *counts, F.sha2(F.array_join("surrogates", "\n"), 256).alias("surrogates_sha256"), F.sha2("clean_text", 256).alias("clean_sha256"))

@@ -44,7 +44,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.summary(documents(spark, sf_dir))
+    return pii.summary(documents(spark, sf_dir), key="key of the test tables")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
