@@ -1,13 +1,17 @@
 """License scan in DataFrame operations only.
 
-Header lines (lines that speak of licences) and whole licence files are compared with templates by the cosine of sparse
-TF-IDF vectors; document frequencies count the header lines of all documents. Equal lines are scored once, so a notice
-that a third of all documents carry costs one row. A document takes the best licence of its own lines; one without takes
-that of the nearest directory above it that holds a licence file, by a join on the directories of its path.
+Three kinds of text are compared with templates by the cosine of sparse TF-IDF vectors: single header lines (lines that
+speak of licences), header lines with the two lines that follow (notices wrapped over lines), and whole licence files,
+known by their name or by a high share of licence terms. Document frequencies count all these texts. Equal texts are
+scored once, so a notice that a third of all documents carry costs one row. A document takes its best text; one without
+takes the licence of the nearest directory above it that holds a licence file: each distinct directory is resolved once,
+by a join on the directories of its path, and documents join their own directory.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +19,26 @@ from .common import ascii_lower, stored
 
 OUT = ["license", "how", "score", "found_in"]
 
-# Short forms of licence notices.
+# Licence notices, short forms and the wording of texts and file headers.
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD3 = _BSD + " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
 TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "either version 3 of the License, or (at your option) any later version"),
-    "GPL-2.0": ("This program is free software licensed under the GNU General Public License, version 2.",),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MIT": ("Released under the MIT License.", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "MIT License " + _MIT),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "Apache License Version 2.0, January 2004 TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0", _GNU.format("General Public License", 3)),
+    "GPL-2.0": ("This program is free software licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "SPDX-License-Identifier: GPL-2.0", _GNU.format("General Public License", 2)),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: LGPL-3.0", _GNU.format("Lesser General Public License", 3)),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "SPDX-License-Identifier: AGPL-3.0", _GNU.format("Affero General Public License", 3)),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", _BSD),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", _BSD3),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International License"),
-    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal Public Domain Dedication"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 }
 HEADER = r"(?i)licen[cs]e|copyright|copying|spdx|public domain|permission is hereby granted|redistribution and use"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
@@ -61,35 +70,53 @@ def line_scores(lines: DataFrame, templates: dict[str, tuple[str, ...]], least:
     return best.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("line", F.col("b.license"), (-F.col("b.s")).alias("score"))
 
 
-def directories(path: Column) -> Column:
-    """The directories above a path, from the root "" down."""
-    parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+def directories(of: Column) -> Column:
+    """A directory and those above it, from the root "" down."""
+    parts = F.split(of, "/")
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
+
+
+def _words(text: Column) -> Column:
+    return F.size(F.split(text, "[ \\t-\\r]+"))
+
+
+def texts(files: DataFrame, templates: dict[str, tuple[str, ...]], term_share: float, least_terms: int) -> DataFrame:
+    """(doc_id, p, words, own_words, line, file): the texts of each file that are compared; line may be several lines, own_words counts its header line, file tells whole files."""
+    lines, named = F.split("text", "\n", -1), F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    rows = files.filter(F.col("text").rlike(HEADER) | (named & (F.col("text") != ""))).select("doc_id", F.col("path").alias("p"), _words(F.col("text")).alias("words"), "text", lines.alias("lines"), named.alias("named"))
+    parts = rows.select("doc_id", "p", "words", "lines", F.posexplode("lines").alias("i", "line")).filter(F.col("line").rlike(HEADER))
+    wrapped = F.array_join(F.slice("lines", F.col("i") + 1, F.lit(3)), " ")
+    parts = parts.select("doc_id", "p", "words", _words(F.col("line")).alias("own_words"), F.explode(F.array_distinct(F.array("line", wrapped))).alias("line"), F.lit(False).alias("file"))
+    vocabulary = sorted(set(re.findall("[a-z0-9]+(?:[.-][a-z0-9]+)*", " ".join(t for ts in templates.values() for t in ts).lower())))
+    own = F.array_distinct(terms(F.col("text")))
+    share = (F.size(own) >= least_terms) & (F.size(F.array_intersect(own, F.array(*map(F.lit, vocabulary)))) >= F.size(own) * term_share)
+    return parts.unionByName(rows.filter(F.col("named") | share).select("doc_id", "p", "words", F.col("words").alias("own_words"), F.col("text").alias("line"), F.lit(True).alias("file")))
 
 
-def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = 0.45, file_share: float = 0.5) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, least: float = 0.45, file_share: float = 0.5, term_share: float = 0.6, least_terms: int = 30) -> DataFrame:
     """files(doc_id, path, text) to (doc_id, license, how, score, found_in) of every row.
 
-    how: "header" (a line of a file), "file" (the row is a licence file: by its name, or at least file_share of its words
-    stand in the line), "inherited" (found_in: the directory) or null. Null and empty texts and a null path have nothing of
-    their own; a null path inherits nothing. Rows that share an id share their lines. Ties go to the smaller licence name.
+    how: "header" (some lines of a file), "file" (the row is a licence file: by its name, by term_share of its distinct
+    words, of which it has least_terms, being words of the templates, or as file_share of its words stand in the lines), "inherited" (found_in: the
+    directory) or null. Null and empty texts and a null path have nothing of their own; a null path inherits nothing. Rows
+    that share an id and path share their lines. Ties go to the smaller licence name. Other columns are ignored.
     """
+    templates = templates or TEMPLATES
     files = files.select("doc_id", "path", "text")
-    lines = files.filter(F.col("text").rlike(HEADER)).select("doc_id", F.col("path").alias("p"), F.size(F.split("text", "[ \\t-\\r]+")).alias("words"), F.explode(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(HEADER))).alias("line"))
-    lines = stored(lines, "headers")
-    scored = line_scores(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), templates or TEMPLATES, least)
+    lines = stored(texts(files, templates, term_share, least_terms), "headers")
+    scored = line_scores(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), templates, least)
     hits = lines.join(scored, "line")
-    whole = F.coalesce(F.col("p").rlike(FILE_NAME), F.lit(False)) | (F.size(F.split("line", "[ \\t-\\r]+")) >= F.col("words") * file_share)
+    whole = F.col("file") | F.coalesce(F.col("p").rlike(FILE_NAME), F.lit(False)) | (F.col("own_words") >= F.col("words") * file_share)
     own = hits.groupBy("doc_id", "p").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.max(whole).alias("whole"))
-    own = stored(own.select(F.col("doc_id").alias("_id"), "p", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "whole"), "own")
-    out = files.select("doc_id", "path").join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("p")), "left")
-    out = stored(out.select("doc_id", "path", "license", "score", "whole"), "own")
-
-    above = own.filter("whole AND p IS NOT NULL").select(F.regexp_replace("p", "/?[^/]*$", "").alias("dir"), F.struct((-F.col("score")).alias("s"), "license").alias("b")).groupBy("dir").agg(F.min("b").alias("b"))
-    bare = out.filter("license IS NULL AND path IS NOT NULL").select("doc_id", "path", F.posexplode(directories(F.col("path"))).alias("depth", "dir"))
-    near = bare.join(above, "dir").groupBy("doc_id", "path").agg(F.max(F.struct("depth", "dir", "b")).alias("m"))
-    near = near.select(F.col("doc_id").alias("_id"), F.col("path").alias("_p"), F.col("m.b.license").alias("_license"), (-F.col("m.b.s")).alias("_score"), F.col("m.dir").alias("_dir"))
-    out = out.join(near, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_p")), "left")
-    how = F.when(F.col("license").isNotNull(), F.when(F.col("whole"), "file").otherwise("header")).when(F.col("_license").isNotNull(), "inherited")
-    found = F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("_dir"))
-    return out.select("doc_id", F.coalesce("license", "_license").alias("license"), how.alias("how"), F.coalesce("score", "_score").alias("score"), found.alias("found_in"))
+    own = stored(own.select(F.col("doc_id").alias("id"), "p", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "whole"), "own")
+
+    above_path = lambda path: F.regexp_replace(path, "/?[^/]*$", "")
+    above = own.filter("whole AND p IS NOT NULL").groupBy(above_path(F.col("p")).alias("at")).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    asked = files.filter("path IS NOT NULL").select(above_path(F.col("path")).alias("of")).distinct()
+    near = asked.select("of", F.posexplode(directories(F.col("of"))).alias("depth", "at")).join(above, "at").groupBy("of").agg(F.max(F.struct("depth", "at", "b")).alias("m"))
+    near = stored(near.select("of", F.struct(F.col("m.b.license").alias("license"), (-F.col("m.b.s")).alias("score"), F.col("m.at").alias("at")).alias("from")), "directories")
+    out = files.select("doc_id", "path", above_path(F.col("path")).alias("dir")).join(own, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    out = out.join(near, F.col("dir") == F.col("of"), "left")
+    has, inherits = F.col("license").isNotNull(), F.col("from").isNotNull()
+    how = F.when(has, F.when(F.col("whole"), "file").otherwise("header")).when(inherits, "inherited")
+    return out.select("doc_id", F.coalesce("license", "from.license").alias("license"), how.alias("how"), F.coalesce("score", "from.score").alias("score"), F.when(has, F.col("path")).otherwise(F.col("from.at")).alias("found_in"))
