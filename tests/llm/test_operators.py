@@ -398,6 +398,18 @@ def test_license_scan(spark):
     assert out == {1: ("MIT", "file", "a/LICENSE"), 2: ("MIT", "inherited", "a"), 3: ("Apache-2.0", "header", "a/b/y.py"), 4: (None, None, None), 5: (None, None, None), 6: ("GPL-3.0", "inherited", "a/b"), 7: ("GPL-3.0", "file", "a/b/COPYING")}
 
 
+def test_license_files_and_wrapped_notices(spark):
+    """Whole texts, with and without a licence name, titles that differ in the version alone, and a notice wrapped over lines."""
+    wrap = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    table = [
+        (1, "x/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n"), (2, "y/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n"), (3, "z/text.md", wrap(license_scan._MIT, 9)),
+        (4, "w/a.py", "# This work is licensed under the GNU General Public\n# License, version 3.\n" + "code here and there\n" * 30), (5, "v/deep/er/b.py", None), (6, "v/LICENSE.txt", wrap(license_scan._BSD3, 7)),
+        (7, "", "plain"), (8, "u/c.py", "nothing of interest " * 50),
+    ]
+    out = {r.doc_id: (r.license, r.how, r.found_in) for r in license_scan.scan(spark.createDataFrame(table, "doc_id long, path string, text string")).collect()}
+    assert out == {1: ("GPL-3.0", "file", "x/LICENSE"), 2: ("GPL-2.0", "file", "y/COPYING"), 3: ("MIT", "file", "z/text.md"), 4: ("GPL-3.0", "header", "w/a.py"), 5: ("BSD-3-Clause", "inherited", "v"), 6: ("BSD-3-Clause", "file", "v/LICENSE.txt"), 7: (None, None, None), 8: (None, None, None)}
+
+
 def test_license_cosine_plain(spark):
     lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "copyright of this license belongs to nobody", "Licensed under CC BY 4.0."]
     got = {r.line: (r.license, r.score) for r in license_scan.line_scores(spark.createDataFrame([(x, i + 1) for i, x in enumerate(lines)], "line string, n long"), license_scan.TEMPLATES, 0.0).collect()}
@@ -509,7 +521,7 @@ def test_surrogates(spark):
         (1, "Mail anna.b@mail.example.com, card 4111 1111 1111 1111 or 4111111111111112, +1 (555) 123-4567."), (2, "Again anna.b@mail.example.com from 10.1.2.3; Mrs. Anna Berg met Herr Müller."),
         (3, 'token = "0123456789abcdef0123" and Ms. Anna Berg; Госпожа Анна Петрова'), (4, None), (5, ""), (None, "x anna.b@mail.example.com"),
     ]
-    out = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(table, "doc_id long, text string"), "k").collect()}
     pairs = dict(p for r in out.values() for p in zip(r.entities, r.surrogates, strict=True))
     assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
     assert out[4].clean_text is None and out[5].clean_text == "" and out[None].surrogates == out[2].surrogates[:1]
@@ -530,7 +542,7 @@ def test_surrogates_whole(spark):
     long, mail = "aB3" * 70, "x" * 70 + "@" + "sub." * 12 + "example.com"
     table = [(1, f"token={long} end"), (2, f"{mail} end"), (3, "Frau Anna Maria Schmidt, Frau Klein-Schmidt und Mr. O'Brien, Mr. J. Keller's")]
     table += [(4, "4111 1111 1111 1111 and 4111111111111111"), (5, "+49 30 1234 5678 and +493012345678"), (6, "Anna.B@Example.com and anna.b@example.com")]
-    out = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in pii.anonymise(spark.createDataFrame(table, "doc_id long, text string"), "k").collect()}
     assert out[1].entities == [f"token={long}"] and out[2].entities == [mail] and len(out[1].clean_text) == len(table[0][1])
     assert out[3].entities == ["Frau Anna Maria Schmidt", "Frau Klein-Schmidt", "Mr. O'Brien", "Mr. J. Keller"]
     assert all(w not in out[3].clean_text for w in ("Schmidt", "Klein", "Brien", "Keller")) and out[3].surrogates[0].count(" ") == 3
@@ -541,14 +553,34 @@ def test_surrogates_whole(spark):
 
 
 def test_surrogate_collisions(spark):
-    entities = spark.createDataFrame([(f"1.1.{a}.{b}",) for a in range(40) for b in range(250)], "e string")
-    odd = pii.exceptions(entities, "k").collect()
-    assert len({r.s for r in odd}) == len(odd)
-    assert pii.exceptions(entities.limit(0), "k").count() == 0
+    """Crowded formats: 500 family names of two letters, given names beyond the lists, and many addresses of one net."""
+    two = [f"Mr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "abcdefghijklmnopqrst"][:500]
+    many = [f"Frau {a}{b}a Berg" for a in "BCDFGHKLMN" for b in "aeiou"]
+    net = [f"1.1.{a}.{b}" for a in range(20) for b in range(250)]
+    table = [(i, "x " + " and ".join(rows[j : j + 50])) for rows in (two, many, net) for i, j in enumerate(range(0, len(rows), 50))]
+    found = {}
+    for r in pii.anonymise(spark.createDataFrame(table, "doc_id long, text string"), "k").collect():
+        for e, s in zip(r.entities, r.surrogates, strict=True):
+            assert found.setdefault(e, s) == s
+    assert set(found) == {*two, *many, *net} and len(set(found.values())) == len(found) and not set(found) & set(found.values())
+    assert len({found[e].split()[-1] for e in many}) == 1
+    assert pii.exceptions(spark.createDataFrame([], "e string"), "k").count() == 0
+
+
+def test_surrogate_coreference(spark):
+    """Short and plain mentions follow the full name; other people's names and parts of words stay."""
+    text = "Mr John Smith met Frau Keller. Later Mr Smith left; John Smith and Keller waited, Smithson and Blacksmith too."
+    (r, other) = pii.anonymise(spark.createDataFrame([(1, text, "x"), (2, "Smith and Keller", "y")], "doc_id long, text string, pieces string"), "k").orderBy("doc_id").collect()
+    assert r.entities == ["Mr John Smith", "Frau Keller", "Mr Smith"] and r.pieces == "x"
+    full, keller, short = r.surrogates
+    assert short.split()[-1] == full.split()[-1] and keller.split()[-1] != short.split()[-1]
+    name, family = full[3:], short[3:]
+    assert r.clean_text == f"{full} met {keller}. Later {short} left; {name} and {keller[5:]} waited, Smithson and Blacksmith too." and family not in ("Smith", "Keller")
+    assert other.clean_text == "Smith and Keller"
 
 
 def test_surrogates_odd(docs_of, odd_rows):
-    assert pii.summary(docs_of(odd_rows)).count() == len(odd_rows) and pii.summary(docs_of([])).count() == 0
+    assert pii.summary(docs_of(odd_rows), "k").count() == len(odd_rows) and pii.summary(docs_of([]), "k").count() == 0
 
 
 def test_language(spark, docs, rows):
