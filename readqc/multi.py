@@ -5,17 +5,17 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sinks
+from . import schema, sinks
 from .plans import coverage, errors, hybcap, simple
 from .sources import text
+from .store import stored
 
 
 @dataclass
 class Inputs:
-    reads: DataFrame
+    reads: DataFrame | None
     contigs: DataFrame | None = None
     ref: DataFrame | None = None
     baits: DataFrame | None = None
@@ -42,18 +42,21 @@ def tables(tool: str, x: Inputs) -> dict[str, DataFrame]:
         hist = {k: v for k, v in o.items() if k == "include_duplicates"}
         return {"insert_size_metrics": simple.insert_size_metrics(x.reads, **o), "insert_size_histogram": simple.insert_size_histogram(x.reads, **hist)}
     if tool == "wgs":
-        return {"wgs_metrics": coverage.wgs_metrics(x.reads, x.ref, x.sample, **o), "wgs_coverage": coverage.depth_histogram(x.reads, x.ref, **o)}
+        cap, span = {k: o.pop(k) for k in ("coverage_cap",) if k in o}, {k: o.pop(k) for k in ("intervals",) if k in o}
+        runs = stored(coverage.depth_runs(x.reads, **o), "depth")
+        return {"wgs_metrics": coverage.wgs_metrics(x.reads, x.ref, x.sample, **span, **cap, runs=runs, **o), "wgs_coverage": coverage.depth_histogram(x.reads, x.ref, **span, **cap, runs=runs)}
     if tool == "gcbias":
         return {"gcbias_detail": coverage.gcbias_detail(x.reads, x.ref, x.contigs, x.sample, **o), "gcbias_summary": coverage.gcbias_summary(x.reads, x.ref, x.contigs, x.sample, **o)}
     if tool == "hybcap":
         near, per_target, per_base = o.pop("near", 250), o.pop("per_target_coverage", False), o.pop("per_base_coverage", False)
-        out = {"hybcap_metrics": hybcap.hybcap_metrics(x.reads, x.baits, x.targets, x.contigs, x.ref, x.sample, x.panel, near, **o)}
+        got = hybcap.Captured(x.reads, hybcap.merged_targets(x.targets), **o)
+        out = {"hybcap_metrics": hybcap.hybcap_metrics(x.reads, x.baits, x.targets, x.contigs, x.ref, x.sample, x.panel, near, got, **o)}
         if per_target:
-            out["per_target"] = hybcap.per_target(x.reads, x.targets, x.ref, **o)
+            out["per_target"] = hybcap.per_target(x.reads, x.targets, x.ref, got)
         if per_base:
-            out["per_base"] = hybcap.per_base(x.reads, x.targets, **o)
+            out["per_base"] = hybcap.per_base(x.reads, x.targets, got)
         return out
-    counts = errors.counted(x.reads, x.ref, **o)
+    counts = stored(errors.counted(x.reads, x.ref, **o), "strata")
     return {"error_mismatch": errors.mismatch(counts), "error_overlap": errors.overlap(counts), "error_indel": errors.indel(counts)}
 
 
@@ -67,61 +70,120 @@ def run(tools: list[str], x: Inputs) -> dict[str, DataFrame]:
     return out
 
 
+def _flag(value: str) -> bool:
+    if value.lower() not in ("true", "false"):
+        raise argparse.ArgumentTypeError("true or false expected")
+    return value.lower() == "true"
+
+
+def _whole(value: str) -> int:
+    if not value.isdigit():
+        raise argparse.ArgumentTypeError("a whole number from 0 up expected")
+    return int(value)
+
+
+#: Options of each program: name on the command line, type, and the argument of its function (not: the opposite is passed on).
+OPTIONS = {
+    "alignment": (("max-insert-size", _whole, "max_insert_size"), ("min-mapq", _whole, "min_mapq")),
+    "basic": (),
+    "isize": (("include-duplicates", _flag, "include_duplicates"), ("min-frac", float, "min_frac"), ("deviations", float, "deviations")),
+    "wgs": (("intervals", str, "intervals"), ("include-duplicates", _flag, "include_duplicates"), ("exclude-unpaired-reads", _flag, "exclude_unpaired"), ("min-mapq", _whole, "min_mapq"), ("min-bq", _whole, "min_bq"), ("coverage-cap", _whole, "coverage_cap")),
+    "gcbias": (("exclude-duplicates", _flag, "exclude_duplicates"), ("window-size", _whole, "window"), ("min-mapq", _whole, "min_mapq"), ("exclude-supplementary", _flag, "exclude_supplementary")),
+    "hybcap": (
+        ("baits", str, "baits"), ("targets", str, "targets"), ("panel-name", str, "panel"), ("include-duplicates", _flag, "include_duplicates"), ("near-distance", _whole, "near"), ("min-mapping-quality", _whole, "min_mapq"), ("min-base-quality", _whole, "min_bq"),
+        ("dont-clip-overlapping-reads", _flag, "not clip"), ("include-indels", _flag, "include_indels"), ("per-target-coverage", _flag, "per_target_coverage"), ("per-base-coverage", _flag, "per_base_coverage"),
+    ),
+    "error": (("vcf", str, "mask"), ("intervals", str, "intervals"), ("min-mapq", _whole, "min_mapq"), ("min-bq", _whole, "min_bq"), ("include-duplicates", _flag, "include_duplicates"), ("max-isize", _whole, "max_isize"), ("stratify-by", str, "groups")),
+}
+
+
+def parser(tool: str) -> argparse.ArgumentParser:
+    """The command line of one program; multi takes the options of all as --program::option."""
+    p = argparse.ArgumentParser(prog=f"readqc {tool}", allow_abbrev=False)
+    if tool == "docs":
+        p.add_argument("-o", "--output")
+        p.add_argument("--format", choices=["text", "markdown"], default="text")
+        return p
+    p.add_argument("-i", "--input", required=True)
+    p.add_argument("-o", "--output", required=True)
+    p.add_argument("-r", "--reference", required=any("ref" in NEEDS[t] for t in [tool] if t != "multi"))
+    if tool == "multi":
+        p.add_argument("--tools", nargs="+", choices=list(NEEDS), default=["alignment", "basic", "isize"])
+    for of in NEEDS if tool == "multi" else [tool]:
+        for name, kind, target in OPTIONS[of]:
+            short = ["-L"] if (tool, name) == ("wgs", "intervals") else []
+            more = {"nargs": "?", "const": True} if kind is _flag else {"nargs": "+"} if name == "stratify-by" else {}
+            p.add_argument(f"--{of}::{name}" if tool == "multi" else f"--{name}", *short, dest=f"{of}::{target}", type=kind, default=None, required=tool == "hybcap" and name in ("baits", "targets"), **more)
+    return p
+
+
 def main(argv: list[str] | None = None) -> None:
+    import sys
+
     from .session import session
 
-    p = argparse.ArgumentParser(prog="readqc")
-    p.add_argument("tool", choices=[*NEEDS, "multi", "docs"])
-    p.add_argument("-i", "--input")
-    p.add_argument("-o", "--output", default="out")
-    p.add_argument("-r", "--reference")
-    p.add_argument("--tools", nargs="+", default=["alignment", "basic", "isize"])
-    p.add_argument("--intervals")
-    p.add_argument("--baits")
-    p.add_argument("--targets")
-    p.add_argument("--vcf")
-    p.add_argument("--panel-name")
-    p.add_argument("--stratify-by", nargs="+")
-    p.add_argument("--format", choices=["text", "markdown"], default="text")
-    p.add_argument("--set", nargs="*", default=[], metavar="TOOL::OPTION=VALUE", help="further options of a program")
-    a = p.parse_args(argv)
-    if a.tool == "docs":
-        print(sinks.docs(markdown=a.format == "markdown"))
+    argv = sys.argv[1:] if argv is None else argv
+    names = [*NEEDS, "multi", "docs"]
+    if not argv or argv[0] not in names:
+        raise SystemExit(f"usage: readqc {{{','.join(names)}}} [options]")
+    tool = argv[0]
+    a = vars(parser(tool).parse_args(argv[1:]))
+    if tool == "docs":
+        text_out = sinks.docs(documented(session()), markdown=a["format"] == "markdown")
+        if a["output"]:
+            with open(a["output"], "w", encoding="utf-8") as f:
+                f.write(text_out)
+        else:
+            print(text_out, end="")
         return
+    given = {k: v for k, v in a.items() if "::" in k and v is not None}
+    options: dict[str, dict] = {}
+    for key, value in given.items():
+        of, target = key.split("::")
+        options.setdefault(of, {})[target.removeprefix("not ")] = not value if target.startswith("not ") else value
+    tools = a["tools"] if tool == "multi" else [tool]
     spark: SparkSession = session()
-    tools = a.tools if a.tool == "multi" else [a.tool]
-    kind = text.detect_format(a.input)
+    kind = text.detect_format(a["input"])
     if kind == "bam":
-        from .sources.bam import bam_contigs, header, inflate
+        from .sources.bam import bam_contigs, read_header
 
-        contigs = bam_contigs(spark, a.input)
-        head = header(inflate(bytes(spark.read.format("binaryFile").load(a.input).select("content").first().content)))[0]
+        contigs, head = bam_contigs(spark, a["input"]), read_header(spark, a["input"])[0]
     else:
-        head = text.sam_header(spark, a.input) if kind == "sam" else []
+        head = text.sam_header(spark, a["input"]) if kind == "sam" else []
         contigs = text.contigs_of(spark, head)
-    ref = text.fasta(spark, a.reference) if a.reference else None
+    ref = text.fasta(spark, a["reference"]) if a["reference"] else None
     if ref is not None:
-        text.check_contigs(contigs, text.fasta_index(spark, a.reference))
-    reads = text.reads(spark, a.input)
-    if len(tools) > 1:
-        reads = reads.persist(StorageLevel.MEMORY_AND_DISK)  # one decode for all programs; spills, and is recomputed if lost
-    options: dict[str, dict] = {}
-    for item in a.set:
-        name, value = item.split("=", 1)
-        tool, option = name.split("::") if "::" in name else (a.tool, name)
-        low = value.lower()
-        options.setdefault(tool, {})[option.replace("-", "_")] = low == "true" if low in ("true", "false") else float(value) if "." in value else int(value) if value.lstrip("-").isdigit() else value
-    if a.intervals:
-        span = text.intervals(spark, a.intervals, contigs)
-        for tool in ("wgs", "error"):
-            options.setdefault(tool, {})["intervals"] = span
-    if a.vcf:
-        options.setdefault("error", {})["mask"] = text.vcf(spark, a.vcf)
-    if a.stratify_by:
-        options.setdefault("error", {})["groups"] = a.stratify_by
-    x = Inputs(reads, contigs, ref, text.intervals(spark, a.baits, contigs) if a.baits else None, text.intervals(spark, a.targets, contigs) if a.targets else None, text.sample_of(a.input, head), a.panel_name or (text.sample_of(a.baits, []) if a.baits else "panel"), options)
+        text.check_contigs(contigs, text.fasta_index(spark, a["reference"]))
+    x = Inputs(None, contigs, ref, sample=text.sample_of(a["input"], head), options=options)
+    hyb = options.get("hybcap", {})
+    if hyb.get("baits"):
+        x.panel = hyb.pop("panel", None) or text.sample_of(hyb["baits"], [])
+        x.baits = text.intervals(spark, hyb.pop("baits"), contigs)
+    if hyb.get("targets"):
+        x.targets = text.intervals(spark, hyb.pop("targets"), contigs)
+    for of in ("wgs", "error"):
+        if options.get(of, {}).get("intervals"):
+            options[of]["intervals"] = text.intervals(spark, options[of]["intervals"], contigs)
+    if options.get("error", {}).get("mask"):
+        options["error"]["mask"] = text.vcf(spark, options["error"]["mask"])
+    inside = options.get("error", {}).get("intervals")
+    if tools == ["error"] and kind == "bam" and inside is not None:
+        from .sources.bam import bam_intervals
+
+        x.reads = bam_intervals(spark, a["input"], inside)
+    else:
+        x.reads = text.reads(spark, a["input"])
+    if len(set(tools)) > 1 and kind == "sam":
+        x.reads = stored(x.reads, "reads")  # one decode for all programs, of which each then reads its columns
     for name, df in run(tools, x).items():
-        print(sinks.write_tsv(df, name, a.output))
+        print(sinks.write_tsv(df, name, a["output"]))
+
+
+def documented(spark: SparkSession) -> dict[str, DataFrame]:
+    """All sixteen tables, over no reads, for their columns."""
+    empty = lambda kind: spark.createDataFrame([], kind)
+    x = Inputs(empty(schema.READS), empty(schema.CONTIGS), empty(schema.REFERENCE), empty(schema.INTERVALS), empty(schema.INTERVALS), options={"hybcap": {"per_target_coverage": True, "per_base_coverage": True}})
+    return run(list(NEEDS), x)
 
 
 if __name__ == "__main__":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .schema import TABLES, decimals
+from .schema import TABLES, decimals, describe
 
 
 def formatted(df: DataFrame, table: str) -> DataFrame:
@@ -17,25 +17,36 @@ def formatted(df: DataFrame, table: str) -> DataFrame:
     return df.select(*cols)
 
 
+#: Tables that grow with targets: they are written by the executors, as a folder of parts in order.
+LARGE = ("per_target", "per_base")
+
+
 def write_tsv(df: DataFrame, table: str, prefix: str) -> str:
-    """prefix + suffix, with a header; a table without rows is an empty file. Rows stream through the driver, a partition at a time."""
+    """prefix + suffix, with a header: one file, empty without rows, or for a table of LARGE a folder of parts, each with the header."""
     path = prefix + TABLES[table][0]
+    text = formatted(df, table)
+    if table in LARGE:
+        text.toDF(*(c.lower() for c in df.columns)).write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="")
+        return path
     with open(path, "w", encoding="utf-8", newline="\n") as out:
-        for i, row in enumerate(formatted(df, table).toLocalIterator()):
+        for i, row in enumerate(text.toLocalIterator()):
             if not i:
                 out.write("\t".join(c.lower() for c in df.columns) + "\n")
             out.write("\t".join(row) + "\n")
     return path
 
 
-def docs(tables: dict[str, DataFrame] | None = None, markdown: bool = False) -> str:
-    """The sixteen tables in order, with their files and, for tables given, their columns."""
-    out = []
+def docs(tables: dict[str, DataFrame], markdown: bool = False) -> str:
+    """The sixteen tables in order, with their files and columns."""
+    kinds, out = {"string": "text", "double": "number", "int": "count", "bigint": "count"}, []
     for name, (suffix, _, _, what) in TABLES.items():
-        out.append(f"## {name}\n\n`{suffix}`: {what}\n" if markdown else f"{name} ({suffix})\n  {what}")
-        for col, kind in (tables or {}).get(name).dtypes if (tables or {}).get(name) is not None else []:
-            out.append(f"- `{col}` {kind}" if markdown else f"  {col}\t{kind}")
-    return "\n".join(out) + "\n"
+        fields = [(col, kinds[kind], f", {decimals(name, col)} decimals" if kind == "double" else "", describe(name, col)) for col, kind in tables[name].dtypes]
+        if markdown:
+            out.append(f"## {name}\n\n`{suffix}`: {what}\n\n| Column | Type | Meaning |\n|---|---|---|\n" + "".join(f"| `{c}` | {k}{d} | {t} |\n" for c, k, d, t in fields))
+        else:
+            width = max(len(c) for c, *_ in fields)
+            out.append(f"{name} ({suffix})\n  {what}\n" + "".join(f"  {c:<{width}}  {k}{d}: {t}\n" for c, k, d, t in fields))
+    return "\n".join(out)
 
 
 def docs_table(spark) -> DataFrame:

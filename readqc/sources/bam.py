@@ -1,18 +1,24 @@
-"""BAM source: BGZF blocks are inflated and records decoded in Arrow batches.
+"""BAM source: a scan of BGZF blocks in many tasks, and region queries by index.
 
-Blocks give no record boundaries, so a file is one task; files of a directory or pattern are read in parallel, and the
-result is best stored as Parquet by contig before repeated use.
+Blocks give no record boundaries. A task finds the first record of its split by looking for a place from which several
+records follow one another, decodes all that are whole, and hands on what lies before and after them; these few pieces, two
+a split, are put together by file. The decoded reads are stored as Parquet, once for all that read them.
 """
 
 from __future__ import annotations
 
 import struct
-import zlib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import alignment_end
+from ..operators.intervals import range_join
+from ..store import stored
+from . import bgzf
 from .text import contigs_of
 
 # Fixed values of the format: base codes, CIGAR codes, sizes of tag types.
@@ -20,22 +26,16 @@ BASES = "=ACMGRSVTWYHKDBN"
 OPS = "MIDNSHP=X"
 SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
 INTS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I"}
-_PAIRS = [a + b for a in BASES for b in BASES]
 SCHEMA = "qname string, flags int, ref_id int, contig string, pos0 long, mapq int, mate_ref_id int, mate_pos0 long, tlen int, cigar array<struct<op:string,len:int>>, seq string, quals string, nm long, mq long, has_sa boolean"
-
-
-def inflate(data: bytes) -> bytes:
-    """All members of a BGZF (or multi-member gzip) file."""
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
+_NAMES = [f.split(" ")[0] for f in SCHEMA.replace("array<struct<op:string,len:int>>", "ops").split(", ")]
+_FROM_HEX = str.maketrans("0123456789abcdef", BASES)
+_TO_PHRED = bytes((b + 33) % 256 for b in range(256))
+FIXED = struct.Struct("<iiiBBHHHiiii")
+BATCH, CHAIN = 5000, 4
 
 
 def header(data: bytes) -> tuple[list[str], list[str], int]:
-    """Header lines, contig names and the offset of the first record."""
+    """Header lines, contig names and the offset of the first record; struct.error or IndexError if data ends before."""
     if data[:4] != b"BAM\x01":
         raise ValueError("not a BAM file")
     n = struct.unpack_from("<i", data, 4)[0]
@@ -46,22 +46,38 @@ def header(data: bytes) -> tuple[list[str], list[str], int]:
     names, sq = [], []
     for _ in range(count):
         (size,) = struct.unpack_from("<i", data, at)
+        length = struct.unpack_from("<i", data, at + 4 + size)[0]
         names.append(data[at + 4 : at + 3 + size].decode())
-        sq.append(f"@SQ\tSN:{names[-1]}\tLN:{struct.unpack_from('<i', data, at + 4 + size)[0]}")
+        sq.append(f"@SQ\tSN:{names[-1]}\tLN:{length}")
         at += 8 + size
     return [*sq, *(x for x in lines if not x.startswith("@SQ"))], names, at
 
 
-def tags(data: bytes, at: int, end: int) -> dict[str, int | bool]:
-    """NM and MQ as numbers, and whether SA is there; other tags are stepped over."""
-    out: dict[str, int | bool] = {}
+def read_header(spark: SparkSession, path: str) -> tuple[list[str], list[str], int]:
+    """The header of the first file of a path, from no more of its first blocks than it takes."""
+    name, size = bgzf.files(spark, path)[0]
+    part = 1 << 18
+    while True:
+        try:
+            return header(bgzf.inflate(bgzf.read_range(spark, name, 0, part)))
+        except (struct.error, IndexError):
+            if part >= size:
+                raise ValueError(f"no whole BAM header: {name}") from None
+            part *= 4
+
+
+def tags(data: bytes, at: int, end: int) -> tuple[int | None, int | None, bool]:
+    """NM, MQ and whether SA is there; other tags are stepped over."""
+    nm = mq = None
+    sa = False
     while at < end:
-        name, kind = data[at : at + 2].decode(), chr(data[at + 2])
+        name, kind = data[at : at + 2], chr(data[at + 2])
         at += 3
-        if name == "SA":
-            out["SA"] = True
-        if kind in INTS and name in ("NM", "MQ"):
-            out[name] = struct.unpack_from(INTS[kind], data, at)[0]
+        if name == b"SA":
+            sa = True
+        if kind in INTS and name in (b"NM", b"MQ"):
+            value = struct.unpack_from(INTS[kind], data, at)[0]
+            nm, mq = (value, mq) if name == b"NM" else (nm, value)
         if kind in SIZES:
             at += SIZES[kind]
         elif kind in "ZH":
@@ -70,62 +86,230 @@ def tags(data: bytes, at: int, end: int) -> dict[str, int | bool]:
             at += 5 + SIZES[chr(data[at])] * struct.unpack_from("<i", data, at + 1)[0]
         else:
             raise ValueError(f"unknown tag type {kind}")
-    return out
+    return nm, mq, sa
 
 
-def records(data: bytes):
-    """Dictionaries of SCHEMA."""
-    _, names, at = header(data)
-    while at < len(data):
-        (size,) = struct.unpack_from("<i", data, at)
-        ref, pos, n_name, mapq, _, n_ops, flags, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
+def _plausible(data: bytes, at: int, refs: int) -> int | None:
+    """The length of what may be a record at this place; None if it can't be one."""
+    if at + 36 > len(data):
+        return None
+    size, ref, pos, n_name, _, _, n_ops, flags, n_seq, mate, mate_pos, _ = FIXED.unpack_from(data, at)
+    if not (-1 <= ref < refs and -1 <= mate < refs and pos >= -1 and mate_pos >= -1 and n_name > 0 and n_seq >= 0 and flags < 1 << 12):
+        return None
+    if size < 32 + n_name + 4 * n_ops + (n_seq + 1) // 2 + n_seq or size > 1 << 28:
+        return None
+    name = data[at + 36 : at + 36 + n_name]
+    if len(name) == n_name and (name[-1] or not all(33 <= b <= 126 for b in name[:-1])):
+        return None
+    ops = data[at + 36 + n_name : at + 36 + n_name + 4 * n_ops : 4]
+    return 4 + size if all(b & 15 < len(OPS) for b in ops) else None
+
+
+def first_record(data: bytes, refs: int) -> int | None:
+    """The first place from which CHAIN records follow one another, or at least two whole ones up to the end of data."""
+    for at in range(max(0, len(data) - 35)):
+        here, whole = at, 0
+        while whole < CHAIN:
+            size = _plausible(data, here, refs)
+            if size is None or here + size > len(data):
+                break
+            here, whole = here + size, whole + 1
+        if whole == CHAIN or (whole >= 2 and (size is not None or here + 36 > len(data))):
+            return at
+    return None
+
+
+class Rows:
+    """Decoded records, column by column."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        self.clear()
+
+    def clear(self) -> None:
+        self.columns: list[list] = [[] for _ in range(len(_NAMES) - 1)]
+        self.ops, self.counts = [], [0]
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def add(self, data: bytes, at: int) -> None:
+        size, ref, pos, n_name, mapq, _, n_ops, flags, n_seq, mate, mate_pos, tlen = FIXED.unpack_from(data, at)
         p, end = at + 36, at + 4 + size
         name = data[p : p + n_name - 1].decode()
         p += n_name
-        ops = []
-        for (x,) in struct.iter_unpack("<I", data[p : p + 4 * n_ops]):
-            if x & 15 >= len(OPS):
-                raise ValueError(f"invalid CIGAR code {x & 15}")
-            ops.append({"op": OPS[x & 15], "len": x >> 4})
+        self.ops.append(data[p : p + 4 * n_ops])
+        self.counts.append(self.counts[-1] + n_ops)
         p += 4 * n_ops
         half = (n_seq + 1) // 2
-        seq = "".join(_PAIRS[b] for b in data[p : p + half])[:n_seq]
+        seq = data[p : p + half].hex().translate(_FROM_HEX)[:n_seq]
         p += half
-        q = data[p : p + n_seq]
-        quals = "" if q[:1] == b"\xff" else bytes(b + 33 for b in q).decode("latin-1")
-        extra = tags(data, p + n_seq, end)
-        yield {
-            "qname": None if name == "*" else name, "flags": flags, "ref_id": ref if ref >= 0 else None, "contig": names[ref] if ref >= 0 else None, "pos0": pos if pos >= 0 else None, "mapq": None if mapq == 255 else mapq,
-            "mate_ref_id": mate if mate >= 0 else None, "mate_pos0": mate_pos if mate_pos >= 0 else None, "tlen": tlen, "cigar": ops, "seq": seq, "quals": quals, "nm": extra.get("NM"), "mq": extra.get("MQ"), "has_sa": extra.get("SA", False),
-        }
-        at = end
+        quals = "" if data[p : p + 1] == b"\xff" else data[p : p + n_seq].translate(_TO_PHRED).decode("latin-1")
+        row = (
+            None if name == "*" else name, flags, ref if ref >= 0 else None, self.names[ref] if ref >= 0 else None, pos if pos >= 0 else None, None if mapq == 255 else mapq,
+            mate if mate >= 0 else None, mate_pos if mate_pos >= 0 else None, tlen, seq, quals if n_seq else "", *tags(data, p + n_seq, end),
+        )
+        for column, value in zip(self.columns, row, strict=True):
+            column.append(value)
+
+    def decode(self, data: bytes, at: int) -> int:
+        """Adds the whole records from this place on; returns where the next one begins."""
+        while at + 4 <= len(data):
+            end = at + 4 + struct.unpack_from("<i", data, at)[0]
+            if end > len(data):
+                break
+            self.add(data, at)
+            at = end
+        return at
+
+    def batch(self) -> dict[str, pa.Array]:
+        raw = np.frombuffer(b"".join(self.ops), "<u4")
+        if len(raw) and int((raw & 15).max()) >= len(OPS):
+            raise ValueError(f"invalid CIGAR code {int((raw & 15).max())}")
+        op = pa.DictionaryArray.from_arrays(pa.array((raw & 15).astype(np.int32)), pa.array(list(OPS))).cast(pa.string())
+        cigar = pa.ListArray.from_arrays(pa.array(self.counts, pa.int32()), pa.StructArray.from_arrays([op, pa.array((raw >> 4).astype(np.int32))], names=["op", "len"]))
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+        made = [pa.array(c, k) for c, k in zip(self.columns, kinds, strict=True)]
+        self.clear()
+        return dict(zip(_NAMES, [*made[:9], cigar, *made[9:]], strict=True))
+
+
+def _scan(names: list[str]):
+    """Records, and as rows of their own the pieces (file, split, whether records were found, bytes before, bytes after)."""
+
+    def work(batches):
+        rows, pieces = Rows(names), []
+        now, data, at, synced, inflater = None, b"", 0, False, bgzf.Inflater()
+
+        def piece():
+            if now is not None:
+                pieces.append((*now, synced, head, data[at:] if synced else b""))
 
+        def out():
+            n, left = len(rows), list(pieces)
+            pieces.clear()
+            held = rows.batch()
+            extra = [[None] * n + [p[i] for p in left] for i in range(5)]
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
+            arrays = [pa.concat_arrays([a, pa.nulls(len(left), a.type)]) for a in held.values()]
+            return pa.RecordBatch.from_arrays([*arrays, *(pa.array(x, k) for x, k in zip(extra, kinds, strict=True))], names=[*_NAMES, "file", "split", "found", "head", "tail"])
+
+        head = b""
+        for batch in batches:
+            for file, split, b in zip(*(batch.column(c).to_pylist() for c in ("file", "split", "b")), strict=True):
+                if (file, split) != now:
+                    if now is not None and not synced:
+                        head, synced, at = _begin(data, now[1], len(names))
+                        if synced:
+                            at = rows.decode(data, at)
+                    piece()
+                    now, data, at, synced, head, inflater = (file, split), b"", 0, False, b"", bgzf.Inflater()
+                    if split == 0:
+                        continue
+                data += inflater(b)
+                if not synced and len(data) >= 1 << 20:
+                    head, synced, at = _begin(data, split, len(names))
+                if synced and len(data) - at >= 1 << 20:
+                    at = rows.decode(data, at)
+                    data, at = data[at:], 0
+                if len(rows) >= BATCH:
+                    yield out()
+        if now is not None and not synced:
+            head, synced, at = _begin(data, now[1], len(names))
+        if synced:
+            at = rows.decode(data, at)
+        piece()
+        yield out()
+
+    return work
+
+
+def _begin(data: bytes, split: int, refs: int) -> tuple[bytes, bool, int]:
+    """(bytes before the first record, whether there is one, where it begins); of a file's first split the header is no such bytes."""
+    if split == 0:
+        try:
+            return b"", True, header(data)[2]
+        except (struct.error, IndexError):
+            return data, False, 0
+    at = first_record(data, refs)
+    return (data, False, 0) if at is None else (data[:at], True, at)
 
-def _arrow_schema() -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
-    ops = pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))
-    names = [f.strip().split(" ") for f in SCHEMA.replace("array<struct<op:string,len:int>>", "ops").split(",")]
-    return pa.schema([(n, ops if k == "ops" else kinds[k]) for n, k in names])
+
+def _joined(names: list[str]):
+    """The records that lie over the borders of the splits of one file."""
+
+    def work(pieces: pd.DataFrame) -> pd.DataFrame:
+        rows, carry, first = Rows(names), b"", True
+        for p in pieces.sort_values("split").itertuples():
+            carry += p.head
+            if not p.found:
+                continue
+            if not (first and not carry):
+                at = header(carry)[2] if first else 0
+                if rows.decode(carry, at) != len(carry):
+                    raise ValueError(f"broken records before split {p.split} of {p.file}")
+            carry, first = p.tail, False
+        if carry and not (first and header(carry)[2] == len(carry)):
+            at = header(carry)[2] if first else 0
+            if rows.decode(carry, at) != len(carry):
+                raise ValueError(f"{pieces['file'].iloc[0]} ends inside a record")
+        return pa.table(rows.batch()).to_pandas()
+
+    return work
 
 
 def bam(spark: SparkSession, path: str) -> DataFrame:
+    """All reads of a BAM file, or of the files of a folder or pattern that share one dictionary."""
+    _, names, _ = read_header(spark, path)
+    found = stored(bgzf.blocks(spark, path).mapInArrow(_scan(names), f"{SCHEMA}, file string, split long, found boolean, head binary, tail binary"), "bam")
+    pieces = found.filter("file IS NOT NULL").select("file", "split", "found", "head", "tail")
+    between = pieces.groupBy("file").applyInPandas(_joined(names), SCHEMA)
+    rows = found.filter("file IS NULL").select(*_NAMES).union(between)
+    return rows.select(F.monotonically_increasing_id().alias("read_id"), "*")
+
+
+def _indexed(spark: SparkSession, path: str, regions: list[tuple[str, int, int]], most_bytes: int) -> DataFrame | None:
+    """Reads of the chunks that an index gives for regions; None without index, or if the chunks have more than most_bytes."""
+    _, names, _ = read_header(spark, path)
+    if unknown := [c for c, _, _ in regions if c not in names]:
+        raise ValueError(f"unknown contig: {unknown[0]}")
+    index = bgzf.find_index(spark, path, (".bai", ".csi"))
+    if index is None:
+        return None
+    chunks: list[tuple[int, int]] = []
+    for a, b in sorted(c for contig, s, e in regions for c in index.chunks(names.index(contig), s, e)):
+        if chunks and a <= chunks[-1][1]:
+            chunks[-1] = (chunks[-1][0], max(chunks[-1][1], b))
+        else:
+            chunks.append((a, b))
+    data = bgzf.read_chunks(spark, path, chunks, most_bytes)
+
     def decode(batches):
-        schema = _arrow_schema()
+        rows = Rows(names)
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                held = []
-                for r in records(inflate(content)):
-                    held.append(r)
-                    if len(held) == 5000:
-                        yield pa.RecordBatch.from_pylist(held, schema)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema)
-
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, SCHEMA)
-    return rows.select(F.monotonically_increasing_id().alias("read_id"), "*")
+            for b in batch.column("b").to_pylist():
+                rows.decode(b, 0)
+                yield pa.RecordBatch.from_pydict(rows.batch())
+
+    return None if data is None else data.mapInArrow(decode, SCHEMA).select(F.monotonically_increasing_id().alias("read_id"), "*")
+
+
+def bam_region(spark: SparkSession, path: str, contig: str, start0: int, end0: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """Reads of one file that overlap a region: by its BAI or CSI if the region's chunks have at most most_bytes, else by a filtered scan."""
+    rows = _indexed(spark, path, [(contig, start0, end0)], most_bytes)
+    rows = bam(spark, path) if rows is None else rows
+    return rows.filter((F.col("contig") == contig) & (F.col("pos0") < end0)).filter(alignment_end() > start0)
+
+
+def bam_intervals(spark: SparkSession, path: str, intervals: DataFrame, most_bytes: int = 256 << 20, most_intervals: int = 10_000) -> DataFrame:
+    """Reads of one file that overlap some interval, each once: by index for at most most_intervals intervals and most_bytes, else by a scan."""
+    some = [(r.contig, r.start0, r.end0) for r in intervals.select("contig", "start0", "end0").limit(most_intervals + 1).collect()]
+    rows = None if len(some) > most_intervals else _indexed(spark, path, some, most_bytes)
+    rows = stored(bam(spark, path) if rows is None else rows, "reads")
+    spans = rows.withColumn("a_end", alignment_end()).filter("a_end IS NOT NULL").select("read_id", "contig", F.col("pos0").alias("a_start"), "a_end")
+    hit = range_join(spans, intervals.select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end")), "left_semi")
+    return rows.join(hit.select("read_id"), "read_id", "left_semi")
 
 
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
-    content = spark.read.format("binaryFile").load(path).select("content").first().content
-    return contigs_of(spark, header(inflate(bytes(content)))[0])
+    return contigs_of(spark, read_header(spark, path)[0])

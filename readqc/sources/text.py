@@ -5,12 +5,15 @@ CRAM and BCF need codecs that are not available and raise an error.
 
 from __future__ import annotations
 
+import gzip
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import parse_cigar
+from ..operators.bases import CHUNK as PIECE
+from . import bgzf
 
 
 def detect_format(path: str) -> str:
@@ -63,37 +66,76 @@ def fasta_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path + ".fai").select(f[0].alias("contig"), f[1].cast("long").alias("length"), f[2].cast("long").alias("offset"), f[3].cast("long").alias("line_bases"), f[4].cast("long").alias("line_width"))
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """Reference pieces (contig, start0, seq), one a line of the file: the index turns the place of a line into its position.
+def _line_starts(spark: SparkSession, path: str):
+    """Lines of a text file with their split, and a broadcast of the byte offset at which the lines of each split begin (one row a split)."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_block_start").alias("split"), F.col("value"))
+    sizes = lines.groupBy("split").agg(F.sum(F.octet_length("value") + 1).alias("n")).orderBy("split").collect()
+    starts, at = {}, 0
+    for r in sizes:
+        starts[r.split] = at
+        at += r.n
+    return lines, spark.sparkContext.broadcast(starts)
 
-    A piece is one line, and lines of a contig are of one length. Each file is one task, as positions follow from the lines
-    before; references are files of bounded size.
+
+def fasta(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """Reference pieces (contig, start0, seq) of ``piece`` bases, but for the last one of a contig.
+
+    path.fai must be there: the byte offset of a line tells its contig and position, so files are split like any text. Lines
+    are cut at the pieces' borders and put together by piece.
     """
-    index = fasta_index(spark, path)
+    index = [(r.contig, r.length, r.offset, r.line_bases, r.line_width) for r in fasta_index(spark, path).orderBy("offset").collect()]  # one row a contig
+    lines, starts = _line_starts(spark, path)
 
-    def cut(batches):
+    def place(batches):
+        import numpy as np
         import pyarrow as pa
 
+        names = np.array([x[0] for x in index], dtype=object)
+        lengths, offsets, bases, widths = (np.array([x[i] for x in index], np.int64) for i in (1, 2, 3, 4))
+        ends = offsets + (lengths // bases) * widths + lengths % bases if len(index) else offsets
+        now, at = None, 0
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                contig, start, names, starts, seqs = None, 0, [], [], []
-                for line in content.split(b"\n"):
-                    line = line.rstrip(b"\r")
-                    if line.startswith(b">"):
-                        contig, start = line[1:].split()[0].decode(), 0
-                    elif line:
-                        names.append(contig)
-                        starts.append(start)
-                        seqs.append(line.decode())
-                        start += len(line)
-                    if len(names) >= 50_000:
-                        yield pa.RecordBatch.from_pydict({"contig": names, "start0": starts, "seq": seqs})
-                        names, starts, seqs = [], [], []
-                if names:
-                    yield pa.RecordBatch.from_pydict({"contig": names, "start0": starts, "seq": seqs})
-
-    pieces = spark.read.format("binaryFile").load(path).select("content").mapInArrow(cut, "contig string, start0 long, seq string")
-    return pieces.join(F.broadcast(index.select("contig")), "contig", "left_semi")  # one row a contig
+            split, size = batch.column("split").to_numpy(), batch.column("n").to_numpy()
+            first = np.empty(len(split), np.int64)
+            for lo, hi in _runs(split):
+                if split[lo] != now:
+                    now, at = int(split[lo]), starts.value[int(split[lo])]
+                sums = np.cumsum(size[lo:hi] + 1)
+                first[lo:hi] = at + sums - size[lo:hi] - 1
+                at += int(sums[-1])
+            c = np.searchsorted(offsets, first, "right") - 1
+            inside = (c >= 0) & (first < ends[np.maximum(c, 0)]) if len(index) else np.zeros(len(split), bool)
+            k = c[inside]
+            start = (first[inside] - offsets[k]) // widths[k] * bases[k]
+            yield pa.RecordBatch.from_arrays([pa.array(names[k], pa.string()), pa.array(start), batch.column("value").filter(pa.array(inside))], names=["contig", "start0", "seq"])
+
+    placed = lines.select("split", "value", F.octet_length("value").cast("long").alias("n")).mapInArrow(place, "contig string, start0 long, seq string")
+    placed = placed.withColumn("seq", F.rtrim(F.regexp_replace("seq", "\r$", ""))).filter("seq <> ''")
+    end = F.col("start0") + F.length("seq")
+    cut = placed.withColumn("no", F.explode(F.sequence(F.floor(F.col("start0") / piece), F.floor((end - 1) / piece))))
+    begin = F.greatest("start0", F.col("no") * piece)
+    cut = cut.select("contig", "no", begin.alias("at"), F.substr("seq", (begin - F.col("start0") + 1).cast("int"), (F.least(end, (F.col("no") + 1) * piece) - begin).cast("int")).alias("part"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
+    return cut.groupBy("contig", "no").agg(whole.alias("seq")).select("contig", (F.col("no") * piece).alias("start0"), "seq")
+
+
+def _runs(values):
+    """(first, last + 1) of runs of equal values."""
+    import numpy as np
+
+    cuts = np.flatnonzero(np.diff(values)) + 1 if len(values) else np.zeros(0, int)
+    edges = [0, *cuts.tolist(), len(values)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def fasta_region(spark: SparkSession, path: str, contig: str, start0: int, end0: int) -> str:
+    """The bases of a region, from the bytes that the index tells; a region is as large as what the caller asks for."""
+    r = fasta_index(spark, path).filter(F.col("contig") == contig).first()
+    if r is None or not 0 <= start0 <= end0 <= r.length:
+        raise ValueError(f"no such region: {contig}:{start0}-{end0}")
+    at = lambda p: r.offset + p // r.line_bases * r.line_width + p % r.line_bases
+    data = bgzf.read_range(spark, path, at(start0), at(end0) - at(start0)) if end0 > start0 else b""
+    return re.sub(rb"\s", b"", data).decode()
 
 
 def check_contigs(contigs: DataFrame, index: DataFrame) -> None:
@@ -103,9 +145,25 @@ def check_contigs(contigs: DataFrame, index: DataFrame) -> None:
         raise ValueError(f"contigs missing from the reference: {', '.join(missing)}")
 
 
+def _maybe_gzipped(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value) of a text file, gzip or not, whatever its name. A gzip file that isn't named .gz, an interval list, is inflated whole in one task."""
+    packed = bgzf.read_range(spark, bgzf.files(spark, path)[0][0], 0, 2) == b"\x1f\x8b"
+    if not packed or path.lower().endswith((".gz", ".bgz")):
+        return spark.read.text(path)
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": gzip.decompress(content).decode().splitlines()}, schema=pa.schema([("value", pa.string())]))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string")
+
+
 def intervals(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
-    """BED, or IntervalList if the first line that isn't empty begins with @; gzip by the file's ending. Unknown contigs in BED are left out; broken lines are errors."""
-    lines = spark.read.text(path).filter("trim(value) <> ''")
+    """BED, or IntervalList if the first line that isn't empty begins with @; gzip by its first bytes. Unknown contigs in BED are left out; broken lines are errors."""
+    lines = _maybe_gzipped(spark, path).filter("trim(value) <> ''")
     first = lines.first()
     f = F.split("value", "\t")
     fail = lambda cond, text: F.when(cond, F.raise_error(F.concat(F.lit(text + ": "), F.col("value"))))
@@ -135,8 +193,22 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     """Spans of all records (contig, start0, end0, name), without a look at FILTER: to INFO/END, else over REF."""
     if path.lower().endswith(".bcf"):
         raise ValueError("BCF is not supported; convert to VCF")
+    return _variants(_maybe_gzipped(spark, path))
+
+
+def vcf_region(spark: SparkSession, path: str, contig: str, start0: int, end0: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """Spans of the records that overlap a region: by TBI or CSI of a BGZF file if the region's chunks have at most most_bytes, else by a filtered scan."""
+    index = bgzf.find_index(spark, path, (".tbi", ".csi"))
+    data = None
+    if index is not None and contig in index.names:
+        data = bgzf.read_chunks(spark, path, index.chunks(index.names.index(contig), start0, end0), most_bytes)
+    rows = vcf(spark, path) if data is None else _variants(data.select(F.explode(F.split(F.decode("b", "UTF-8"), "\n")).alias("value")))
+    return rows.filter((F.col("contig") == contig) & (F.col("start0") < end0) & (F.col("end0") > start0))
+
+
+def _variants(lines: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
-    rows = spark.read.text(path).filter("value NOT LIKE '#%' AND value <> ''")
+    rows = lines.filter("value NOT LIKE '#%' AND value <> ''")
     info = F.coalesce(F.try_element_at(f, F.lit(8)), F.lit(""))
     end = F.when(info.rlike(r"(^|;)END=\d+"), F.regexp_extract(info, r"(?:^|;)END=(\d+)", 1).cast("long"))
     start = f[1].cast("long") - 1

@@ -3,6 +3,7 @@
 import gzip
 import math
 import os
+import random
 import struct
 import zlib
 
@@ -14,7 +15,7 @@ from readqc import multi, sinks
 from readqc.functions import expressions as X
 from readqc.operators import bases, histogram as H, intervals as I
 from readqc.plans import coverage, errors, hybcap, simple
-from readqc.sources import bam, text
+from readqc.sources import bam, bgzf, text
 
 SF = "/root/testdata/sf0.001"
 COLS = "read_id long, qname string, flags int, ref_id int, contig string, pos0 long, mapq int, mate_ref_id int, mate_pos0 long, tlen int, cigar string, seq string, quals string, nm long, mq long, has_sa boolean"
@@ -196,11 +197,80 @@ def test_sam_and_bam(spark, tmp_path):
     raw += record("q1", 99, 0, 10, 60, [(4, "M")], 0, 20, 14, "ACGT", bytes([40] * 4), b"NMC\x01SAZx\0")
     raw += record("q1", 147, 0, 20, 255, [(2, "S"), (2, "M")], 0, 10, -14, "ACGT", b"\xff" * 4, b"MQC\x3c")
     raw += record("*", 4, -1, -1, 0, [], -1, -1, 0, "NN", bytes([2, 2]), b"")
-    parts = [zlib.compressobj(6, zlib.DEFLATED, 31) for _ in range(2)]
-    (tmp_path / "z.bam").write_bytes(b"".join(c.compress(x) + c.flush() for c, x in zip(parts, (raw[:60], raw[60:]), strict=True)))
+    (tmp_path / "z.bam").write_bytes(blocked(raw, (60,))[0])
     assert [tuple(r) for r in bam.bam(spark, str(tmp_path / "z.bam")).orderBy("read_id").select(*cols).collect()] == got
 
 
+def blocked(raw, cuts):
+    """raw as BGZF, cut at these places, and the file offset of each block."""
+    out, at = b"", []
+    for lo, hi in zip((0, *cuts, len(raw)), (*cuts, len(raw), len(raw))):
+        c = zlib.compressobj(1, zlib.DEFLATED, -15)
+        packed = c.compress(raw[lo:hi]) + c.flush()
+        at.append(len(out))
+        out += bgzf.MAGIC + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(raw[lo:hi]), hi - lo)
+    return out, at
+
+
+def test_bam_splits_and_index(spark, tmp_path):
+    """A BAM of many blocks and splits equals the SAM of the same records; a region by BAI equals the filtered scan."""
+    rng = random.Random(6)
+    contigs, records, lines = [("chr1", 900_000), ("chr2", 50_000)], [], []
+    raw = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 2) + b"".join(struct.pack("<i", 5) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
+    offsets = []
+    for k in range(4000):
+        ref, pos = (0, k * 200) if k < 3900 else (1, (k - 3900) * 100)
+        n = rng.choice((36, 80, 151, 3000 if k % 500 == 0 else 100))
+        seq, q = "".join(rng.choices("ACGTN", k=n)), bytes(rng.choices(range(2, 41), k=n))
+        ops = [(5, "S"), (n - 5, "M")] if k % 3 else [(n // 2, "M"), (7, "D"), (n - n // 2, "M")]
+        name = f"read{k}:{rng.random()}"
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, 50, 0, len(ops), 99, n, ref, pos + 5, 9) + name.encode() + b"\0"
+        body += b"".join(struct.pack("<I", x << 4 | bam.OPS.index(o)) for x, o in ops)
+        codes = [bam.BASES.index(c) for c in seq] + [0]
+        body += bytes(codes[i] << 4 | codes[i + 1] for i in range(0, n, 2)) + q + b"NMi" + struct.pack("<i", k % 9) + b"XBBc" + struct.pack("<i", 3) + b"abc"
+        offsets.append((len(raw), ref, pos, pos + sum(x for x, o in ops if o in "MD")))
+        raw += struct.pack("<i", len(body)) + body
+        lines.append("\t".join([name, "99", contigs[ref][0], str(pos + 1), "50", "".join(f"{x}{o}" for x, o in ops), "=", str(pos + 6), "9", seq, bytes(x + 33 for x in q).decode(), f"NM:i:{k % 9}"]))
+    cuts = tuple(range(7000, len(raw), 7000))
+    data, blocks = blocked(raw, cuts)
+    path = str(tmp_path / "x.bam")
+    (tmp_path / "x.bam").write_bytes(data)
+    (tmp_path / "x.sam").write_text("\n".join([f"@SQ\tSN:{n}\tLN:{size}" for n, size in contigs] + lines) + "\n")
+    cols = [c for c in text.reads(spark, str(tmp_path / "x.sam")).columns if c != "read_id"]
+    want = sorted(map(str, text.reads(spark, str(tmp_path / "x.sam")).select(*cols).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("40000", "9000", before):  # splits with several blocks, with about two, and the whole file
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "100")
+        try:
+            assert size == before or bgzf.blocks(spark, path).select("split").distinct().count() > 5
+            assert sorted(map(str, bam.bam(spark, path).select(*cols).collect())) == want
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+    voffset = lambda at: blocks[at // 7000] << 16 | at % 7000
+    ends = [o[0] for o in offsets[1:]] + [len(raw)]
+    index = b"BAI\x01" + struct.pack("<i", 2)
+    for ref in (0, 1):
+        bins = {}
+        for (at, r, s, e), end in zip(offsets, ends, strict=True):
+            if r == ref:
+                number = next((4681 >> 3 * d if False else ((1 << 3 * (5 - d)) - 1) // 7 + (s >> 14 + 3 * d)) for d in range(6) if s >> 14 + 3 * d == (e - 1) >> 14 + 3 * d)
+                bins.setdefault(number, []).append((voffset(at), voffset(end) if end < len(raw) else blocks[-1] << 16))
+        index += struct.pack("<i", len(bins))
+        for number, chunks in bins.items():
+            index += struct.pack("<Ii", number, 1) + struct.pack("<QQ", chunks[0][0], chunks[-1][1])
+        index += struct.pack("<i", 0)
+    whole = bam.bam(spark, path)
+    (tmp_path / "x.bam.bai").write_bytes(index)
+    for contig, s, e in (("chr1", 100_000, 100_500), ("chr1", 0, 1), ("chr2", 3000, 60_000), ("chr1", 899_000, 900_000)):
+        plain = whole.filter((F.col("contig") == contig) & (F.col("pos0") < e)).filter(X.alignment_end() > s)
+        found = bam.bam_region(spark, path, contig, s, e)
+        assert sorted(map(str, found.select(*cols).collect())) == sorted(map(str, plain.select(*cols).collect()))
+        assert sorted(map(str, bam.bam_region(spark, path, contig, s, e, most_bytes=1).select(*cols).collect())) == sorted(map(str, plain.select(*cols).collect()))
+
+
 def test_intervals_and_references(spark, tmp_path):
     contigs = spark.createDataFrame([(0, "chr1", 1000)], "ref_id int, contig string, length long")
     (tmp_path / "a.bed").write_text("chr1\t5\t15\tx\nchr1\t20\t30\t.\nchrZ\t1\t2\n")
@@ -210,21 +280,98 @@ def test_intervals_and_references(spark, tmp_path):
     (tmp_path / "bad.bed").write_text("track name=x\n")
     with pytest.raises(Exception):
         text.intervals(spark, str(tmp_path / "bad.bed"), contigs).collect()
+    (tmp_path / "packed.bed").write_bytes(gzip.compress(b"chr1\t5\t15\tx\n"))
+    assert [(r.start0, r.end0, r.name) for r in text.intervals(spark, str(tmp_path / "packed.bed"), contigs).collect()] == [(5, 15, "x")]
     (tmp_path / "r.fa").write_text(">chr1 x\nACGTA\nCGTNN\n")
     (tmp_path / "r.fa.fai").write_text("chr1\t10\t8\t5\t6\n")
     ref = text.fasta(spark, str(tmp_path / "r.fa"))
-    assert [(r.start0, r.seq) for r in ref.orderBy("start0").collect()] == [(0, "ACGTA"), (5, "CGTNN")]
+    assert [(r.start0, r.seq) for r in ref.collect()] == [(0, "ACGTACGTNN")]
+    assert [(r.start0, r.seq) for r in text.fasta(spark, str(tmp_path / "r.fa"), piece=4).orderBy("start0").collect()] == [(0, "ACGT"), (4, "ACGT"), (8, "NN")]
+    assert [text.fasta_region(spark, str(tmp_path / "r.fa"), "chr1", a, b) for a, b in ((0, 10), (3, 7), (5, 5))] == ["ACGTACGTNN", "TACG", ""]
     assert bases.with_reference(spark.createDataFrame([("chr1", 6)], "contig string, ref_pos long"), ref).first().ref_base == "G"
     (tmp_path / "v.vcf").write_text("##x\n#CHROM\tPOS\nchr1\t10\t.\tACGT\tA\t.\t.\t.\nchr1\t20\t.\tA\tC\t.\t.\tEND=25\n")
     assert [(r.start0, r.end0) for r in text.vcf(spark, str(tmp_path / "v.vcf")).collect()] == [(9, 13), (19, 25)]
 
 
+def test_fasta_splits(spark, tmp_path):
+    """Two contigs of different line lengths over many splits, with \\r\\n, equal the plain text."""
+    rng = random.Random(1)
+    seqs = {"a": "".join(rng.choices("ACGTN", k=30_001)), "b": "".join(rng.choices("acgt", k=9000))}
+    data, index = "", ""
+    for (name, seq), width, end in zip(seqs.items(), (61, 100), ("\n", "\r\n"), strict=True):
+        data += f">{name} some words{end}"
+        index += f"{name}\t{len(seq)}\t{len(data)}\t{width}\t{width + len(end)}\n"
+        data += "".join(seq[i : i + width] + end for i in range(0, len(seq), width))
+    (tmp_path / "r.fa").write_text(data, newline="")
+    (tmp_path / "r.fa.fai").write_text(index)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        found = {n: "".join(r.seq for r in text.fasta(spark, str(tmp_path / "r.fa")).filter(F.col("contig") == n).orderBy("start0").collect()) for n in seqs}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == seqs
+    assert text.fasta_region(spark, str(tmp_path / "r.fa"), "b", 95, 305) == seqs["b"][95:305]
+
+
+def test_vcf_region(spark, tmp_path):
+    rows = "".join(f"chr1\t{p}\t.\tAC\tA\t.\t.\t.\n" for p in range(1, 200_000, 50))
+    raw = ("##x\n#CHROM\tPOS\n" + rows).encode()
+    cuts = tuple(range(5000, len(raw), 5000))
+    data, blocks = blocked(raw, cuts)
+    (tmp_path / "v.vcf.gz").write_bytes(data)
+    bins, at = {}, raw.index(b"chr1")
+    for line in rows.splitlines(keepends=True):
+        p, end = int(line.split("\t")[1]) - 1, at + len(line)
+        place = lambda x: blocks[x // 5000] << 16 | x % 5000
+        bins.setdefault(4681 + (p >> 14) if p >> 14 == (p + 1) >> 14 else 585, []).append((place(at), place(end)))
+        at = end
+    body = struct.pack("<7i", 2, 1, 2, 0, 35, 0, 5) + b"chr1\0" + struct.pack("<i", len(bins))
+    for number, chunks in bins.items():
+        body += struct.pack("<Ii", number, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+    (tmp_path / "v.vcf.gz.tbi").write_bytes(blocked(b"TBI\x01" + struct.pack("<i", 1) + body + struct.pack("<i", 0), ())[0])
+    path = str(tmp_path / "v.vcf.gz")
+    every = [(r.start0, r.end0) for r in text.vcf(spark, path).collect()]
+    assert len(every) == 4000
+    for s, e in ((0, 60), (16_000, 17_000), (190_000, 300_000)):
+        want = sorted(x for x in every if x[0] < e and x[1] > s)
+        assert sorted((r.start0, r.end0) for r in text.vcf_region(spark, path, "chr1", s, e).collect()) == want
+        assert sorted((r.start0, r.end0) for r in text.vcf_region(spark, path, "chr1", s, e, most_bytes=1).collect()) == want
+
+
 def test_sinks(spark, make, tmp_path):
     df = spark.createDataFrame([(1, 0.125), (2, 2.675)], "cycle long, mean_quality double")
     path = sinks.write_tsv(df, "mean_quality_by_cycle", str(tmp_path / "o"))
     assert open(path).read() == "cycle\tmean_quality\n1\t0.12\n2\t2.67\n"
-    assert os.path.getsize(sinks.write_tsv(df.limit(0), "per_base", str(tmp_path / "o"))) == 0
-    assert sinks.docs(markdown=True).count("## ") == 16
+    assert os.path.getsize(sinks.write_tsv(df.limit(0), "mean_quality_by_cycle", str(tmp_path / "e"))) == 0
+    many = spark.createDataFrame([("chr1", i, f"t{i}", i * 2) for i in range(100)], "chrom string, pos long, target string, coverage long").orderBy("pos")
+    parts = sorted(p for p in (tmp_path / "o.hybcap-per-base.txt").glob("part-*")) if sinks.write_tsv(many, "per_base", str(tmp_path / "o")) else []
+    lines = [x for p in parts for x in p.read_text().splitlines() if not x.startswith("chrom")]
+    assert lines == [f"chr1\t{i}\tt{i}\t{i * 2}" for i in range(100)]
+
+
+def test_docs_and_command_line(spark, tmp_path, capsys):
+    multi.main(["docs", "--format", "markdown", "-o", str(tmp_path / "d.md")])
+    made = (tmp_path / "d.md").read_text()
+    assert made.count("## ") == 16 and "| `hs_penalty_20x` | number, 2 decimals |" in made and made.count("\n| `") > 150
+    multi.main(["docs"])
+    assert capsys.readouterr().out.startswith("alignment_summary (.alignment-metrics.txt)")
+    (tmp_path / "x.sam").write_text(SAM)
+    (tmp_path / "r.fa").write_text(">chr1 x\n" + "ACGTACGTAC\n" * 100)
+    (tmp_path / "r.fa.fai").write_text("chr1\t1000\t8\t10\t11\n")
+    out = str(tmp_path / "o")
+    multi.main(["multi", "-i", str(tmp_path / "x.sam"), "-o", out, "-r", str(tmp_path / "r.fa"), "--tools", "isize", "wgs", "isize", "--wgs::min-mapq", "0", "--wgs::min-bq", "0", "--wgs::exclude-unpaired-reads", "false", "--isize::include-duplicates"])
+    assert sorted(p.name for p in tmp_path.glob("o.*")) == ["o.isize-histogram.txt", "o.isize-metrics.txt", "o.wgs-coverage.txt", "o.wgs-metrics.txt"]
+    assert (tmp_path / "o.wgs-coverage.txt").read_text().splitlines()[2].startswith("1\t6\t")
+    multi.main(["error", "-i", str(tmp_path / "x.sam"), "-o", out, "-r", str(tmp_path / "r.fa"), "--min-bq", "0", "--min-mapq", "0", "--stratify-by", "read_num", "cycle,read_num"])
+    assert {x.split("\t")[0] for x in (tmp_path / "o.error-mismatch.txt").read_text().splitlines()[1:]} == {"all", "read_num", "cycle,read_num"}
+    for bad in (["wgs", "-i", "x.sam", "-o", "o", "-r", "f", "--wgs::min-mapq", "3"], ["multi", "-i", "x", "-o", "o", "--wgs::nonsense", "1"], ["isize", "-i", "x", "-o", "o", "--min-frac", "much"], ["wgs", "-i", "x.sam", "-o", "o"], ["nothing"]):
+        with pytest.raises(SystemExit):
+            multi.main(bad)
+    with pytest.raises(ValueError):
+        multi.main(["multi", "-i", str(tmp_path / "x.sam"), "-o", out, "--tools", "gcbias"])
 
 
 def test_multi_equals_single(spark, make):
