@@ -36,7 +36,7 @@ FROM (
       CAST(CASE WHEN k % 23 = 0 THEN NULL ELSE k % 3 END AS INT) AS mate_ref_id,
       CASE WHEN k % 23 = 0 THEN NULL WHEN rnum = 1 THEN p + isz - 32 ELSE p END AS mate_pos0,
       CAST(CASE WHEN k % 23 = 0 THEN 0 WHEN rnum = 1 THEN isz ELSE -isz END AS INT) AS tlen,
-      CASE (k + rnum) % 6 WHEN 0 THEN '32M' WHEN 1 THEN '4S28M' WHEN 2 THEN '14M2I16M' WHEN 3 THEN '14M3D18M' WHEN 4 THEN '28M4S' ELSE '10M100N22M' END AS cigar,
+      CASE (k + rnum) % 8 WHEN 0 THEN '32M' WHEN 1 THEN '4S28M' WHEN 2 THEN '14M2I16M' WHEN 3 THEN '14M3D18M' WHEN 4 THEN '28M4S' WHEN 5 THEN '10M100N22M' WHEN 6 THEN '3H4S20=1X7M' ELSE '12M1P4I16M2H' END AS cigar,
       translate(md5('q/q' || CAST(k AS VARCHAR(19)) || '/' || CAST(rnum AS VARCHAR(1))), '0123456789abcdef', '#+05:?ABCDEFGHIJ') AS quals,
       (k * 5 + rnum * 3) % 33 AS mut, CASE WHEN (k * 5 + rnum * 3) % 33 = 0 THEN 0 ELSE 1 END AS nm,
       CASE WHEN k % 3 = 0 OR k % 23 = 0 THEN NULL ELSE (k * 13) % 61 END AS mq, k % 43 = 0 AS has_sa

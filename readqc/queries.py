@@ -9,6 +9,7 @@ from . import fixture, multi, sinks
 from .functions import expressions as X
 from .operators import bases, histogram as H, intervals as I
 from .plans import coverage, errors, hybcap, simple
+from .schema import TABLES
 
 T = fixture.Tables
 WINDOW = 32
@@ -16,9 +17,9 @@ WINDOW = 32
 # The fixture's CIGARs, worked out by hand: aligned blocks, and span, aligned, inserted, deleted, clipped at either end.
 _CTE = f"""
 WITH reads AS ({fixture.reads_sql()}),
-blk AS (SELECT * FROM (VALUES ('32M',0,0,32),('4S28M',0,4,28),('14M2I16M',0,0,14),('14M2I16M',14,16,16),('14M3D18M',0,0,14),('14M3D18M',17,14,18),('28M4S',0,0,28),('10M100N22M',0,0,10),('10M100N22M',110,10,22)) t(cigar, ref_off, read_off, len)),
-cst AS (SELECT * FROM (VALUES ('32M',32,32,0,0,0,0,0),('4S28M',28,28,0,0,4,0,0),('14M2I16M',30,30,2,0,0,0,1),('14M3D18M',35,32,0,3,0,0,1),('28M4S',28,28,0,0,0,4,0),('10M100N22M',132,32,0,0,0,0,0)) t(cigar, span, m, ins, del, lead, trail, events)),
-r AS (SELECT reads.*, cst.span, cst.m, cst.ins, cst.del, cst.lead, cst.trail, cst.events, CASE WHEN flags & 4 = 0 THEN pos0 + span END AS end0 FROM reads JOIN cst USING (cigar)),
+blk AS (SELECT * FROM (VALUES ('32M',0,0,32),('4S28M',0,4,28),('14M2I16M',0,0,14),('14M2I16M',14,16,16),('14M3D18M',0,0,14),('14M3D18M',17,14,18),('28M4S',0,0,28),('10M100N22M',0,0,10),('10M100N22M',110,10,22),('3H4S20=1X7M',0,4,20),('3H4S20=1X7M',20,24,1),('3H4S20=1X7M',21,25,7),('12M1P4I16M2H',0,0,12),('12M1P4I16M2H',12,16,16)) t(cigar, ref_off, read_off, len)),
+cst AS (SELECT * FROM (VALUES ('32M',32,32,0,0,0,0,0,0,0),('4S28M',28,28,0,0,4,0,0,0,0),('14M2I16M',30,30,2,0,0,0,1,0,14),('14M3D18M',35,32,0,3,0,0,1,0,0),('28M4S',28,28,0,0,0,4,0,0,0),('10M100N22M',132,32,0,0,0,0,0,0,0),('3H4S20=1X7M',28,28,0,0,4,0,0,3,0),('12M1P4I16M2H',28,28,4,0,0,0,1,2,12)) t(cigar, span, m, ins, del, lead, trail, events, hard, ins_at)),
+r AS (SELECT reads.*, cst.span, cst.m, cst.ins, cst.del, cst.lead, cst.trail, cst.events, cst.hard, cst.ins_at, CASE WHEN flags & 4 = 0 THEN pos0 + span END AS end0 FROM reads JOIN cst USING (cigar)),
 o AS (SELECT r.*, CASE WHEN flags & 1 <> 0 AND flags & 12 = 0 AND ref_id = mate_ref_id THEN
     CASE WHEN (flags & 16 <> 0) = (flags & 32 <> 0) THEN 'TANDEM'
          WHEN flags & 16 <> 0 AND mate_pos0 + 1 < end0 THEN 'FR' WHEN flags & 16 = 0 AND pos0 + 1 < pos0 + 1 + tlen THEN 'FR' ELSE 'RF' END END AS orient FROM r),
@@ -42,6 +43,24 @@ def sql(tail: str, *more: str) -> str:
     return _CTE + "".join(f", {m}" for m in more) + tail
 
 
+def _ratio(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0)"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Numbers to six decimals: logarithms and sums of other engines differ in the last bits."""
+    return df.select(*[F.round(n, 6).alias(n) if k == "double" else F.col(n) for n, k in df.dtypes])
+
+
+def _round(expressions: str) -> str:
+    """round(..., 6) AS name for a list of expressions, one a line, as "expression AS name"."""
+    out = []
+    for line in filter(None, map(str.strip, expressions.splitlines())):
+        what, name = line.rsplit(" AS ", 1)
+        out.append(f"round(CAST({what} AS DOUBLE), 6) AS {name}")
+    return ", ".join(out)
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -100,9 +119,39 @@ def alignment_summary(spark, d):
     return simple.alignment_summary(T(spark, d).reads).select(*cols)
 
 
-@query()
+_MATE_OK = "(mq IS NULL OR (mq >= 20 AND coalesce(mapq, 255) >= 20))"
+_CHIMERA = "(coalesce(ref_id <> mate_ref_id, false) OR abs(tlen) > 100000 OR coalesce(orient, 'FR') <> 'FR' OR has_sa)"
+
+
+@query(sql(
+    f""" SELECT 'sample' AS sample, category, count(*) AS total_reads, count(*) FILTER (al) AS aligned_reads, count(*) FILTER (hq) AS hq_aligned_reads, CAST(sum(m) FILTER (hq) AS BIGINT) AS hq_aligned_bases, CAST(sum(q20) FILTER (hq) AS BIGINT) AS hq_aligned_q20_bases,
+    CAST(32 AS BIGINT) AS min_read_length, CAST(32 AS BIGINT) AS max_read_length, count(*) FILTER (ip) AS aligned_reads_in_pairs, count(*) FILTER (ip AND flags & 2 = 0) AS reads_improperly_paired, max(bad) AS bad_cycles,
+    """ + _round(f"""
+        {_ratio("count(*) FILTER (al)", "count(*) FILTER (pf)")} AS frac_aligned
+        coalesce(median(mis) FILTER (hq), 0) AS hq_median_mismatches
+        {_ratio("sum(mis) FILTER (al)", "sum(m) FILTER (al)")} AS mismatch_rate
+        {_ratio("sum(mis) FILTER (hq)", "sum(m) FILTER (hq)")} AS hq_mismatch_rate
+        {_ratio("sum(events) FILTER (al)", "sum(m) FILTER (al)")} AS indel_rate
+        32 AS mean_read_length
+        0 AS sd_read_length
+        32 AS median_read_length
+        0 AS mad_read_length
+        {_ratio("sum(m + ins) FILTER (al)", "count(*) FILTER (al)")} AS mean_aligned_read_length
+        {_ratio("count(*) FILTER (ip)", "count(*) FILTER (al)")} AS frac_aligned_in_pairs
+        {_ratio("count(*) FILTER (ip AND flags & 2 = 0)", "count(*) FILTER (al)")} AS frac_reads_improperly_paired
+        {_ratio("count(*) FILTER (al AND flags & 16 = 0)", "count(*) FILTER (al)")} AS strand_balance
+        {_ratio(f"count(*) FILTER ((ip AND {_MATE_OK} AND {_CHIMERA}) OR (NOT ip AND hq AND has_sa))", f"count(*) FILTER ((ip AND {_MATE_OK}) OR (NOT ip AND hq))")} AS frac_chimeras
+        {_ratio("sum(lead + trail) FILTER (al)", "sum(32) FILTER (pf)")} AS frac_softclipped_reads
+        {_ratio("sum(hard) FILTER (pf)", "sum(32) FILTER (pf)")} AS frac_hardclipped_reads
+        {_ratio("sum(c3) FILTER (al)", "count(*) FILTER (al AND c3 > 0)")} AS mean_3prime_softclipped_bases
+    """) + " FROM cc GROUP BY category",
+    _CATS, "q20 AS (SELECT read_id, count(*) FILTER (bq >= 20) AS q20 FROM bs GROUP BY read_id)",
+    "ncat AS (SELECT category, count(*) AS total FROM cats WHERE category <> 'pair' GROUP BY category)", "cyc AS (SELECT category, CASE WHEN flags & 16 <> 0 THEN 32 - i ELSE i + 1 END AS cycle, count(*) AS n FROM cats, (SELECT unnest(range(0, 32)) AS i) x WHERE category <> 'pair' AND pf AND substr(seq, CAST(i + 1 AS INT), 1) = 'N' GROUP BY ALL)",
+    "bad AS (SELECT category, count(cycle) FILTER (n >= total * 0.8) AS bad FROM ncat LEFT JOIN cyc USING (category) GROUP BY category)", "bad2 AS (SELECT * FROM bad UNION ALL SELECT 'pair', CAST(sum(bad) AS BIGINT) FROM bad)",
+    "cc AS (SELECT *, al AND flags & 1 <> 0 AND flags & 8 = 0 AS ip, CASE WHEN flags & 16 <> 0 THEN lead ELSE trail END AS c3 FROM cats JOIN q20 USING (read_id) JOIN bad2 USING (category))"))
 def alignment_summary_full(spark, d):
-    return simple.alignment_summary(T(spark, d).reads)
+    out = simple.alignment_summary(T(spark, d).reads)
+    return _rounded(out.withColumns({c: F.col(c).cast("long") for c in ("min_read_length", "max_read_length")}))
 
 
 @query(sql(" SELECT category, CAST(count(DISTINCT cycle) FILTER (n >= total * 0.8) AS BIGINT) AS bad_cycles FROM tot LEFT JOIN cyc USING (category) GROUP BY category",
@@ -146,9 +195,9 @@ def isize_metrics(spark, d):
     return simple.insert_size_metrics(T(spark, d).reads).drop("standard_deviation")
 
 
-@query()
+@query(ORACLES["isize_metrics"].replace("t.mean_insert_size,", "round(t.mean_insert_size, 6) AS mean_insert_size, round(t.sd, 6) AS standard_deviation,").replace("/ count(*) AS mean_insert_size FROM h", "/ count(*) AS mean_insert_size, stddev_pop(s) AS sd FROM h"))
 def isize_metrics_full(spark, d):
-    return simple.insert_size_metrics(T(spark, d).reads)
+    return _rounded(simple.insert_size_metrics(T(spark, d).reads))
 
 
 @query(sql(" SELECT contig, CAST(ref_pos AS BIGINT) AS ref_pos, depth FROM dep"))
@@ -174,10 +223,21 @@ def wgs_metrics(spark, d):
     return coverage.wgs_metrics(t.reads, t.ref).select("genome_territory", "mean_coverage", "median_coverage", "frac_bases_at_5x", "frac_bases_at_10x")
 
 
-@query()
+_WGS = (
+    "y AS (SELECT least(coalesce(depth, 0), 250) AS x FROM refb LEFT JOIN dep USING (contig, ref_pos) WHERE ref_base <> 'N')", "st0 AS (SELECT count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd, median(x) AS med, sum(x) AS total, list_sort(list(x)) AS xs FROM y)",
+    "ex AS (SELECT coalesce(sum(m) FILTER (excl = 'mapq'), 0) AS mapq, coalesce(sum(m) FILTER (excl = 'dupe'), 0) AS dupe, coalesce(sum(m) FILTER (excl = 'unpaired'), 0) AS unpaired, (SELECT count(*) FROM wb WHERE bq < 20) AS baseq, (SELECT count(*) FROM wb WHERE bq >= 20) - (SELECT sum(depth) FROM dep) AS overlap, (SELECT coalesce(sum(greatest(depth - 250, 0)), 0) FROM dep) AS capped FROM wr)",
+    "al0 AS (SELECT *, mapq + dupe + unpaired + baseq + overlap + capped AS excluded FROM ex, st0)",
+)
+_KINDS = ("mapq", "dupe", "unpaired", "baseq", "overlap", "capped")
+
+
+@query(sql(" SELECT 'sample' AS sample, n AS genome_territory, " + _round("\n".join([
+    "mean AS mean_coverage", "sd AS sd_coverage", "med AS median_coverage", "(SELECT median(abs(x - (SELECT med FROM st0))) FROM y) AS mad_coverage", *[f"{_ratio(k, 'excluded + total')} AS frac_excluded_{k}" for k in _KINDS], f"{_ratio('excluded', 'excluded + total')} AS frac_excluded_total",
+    *[f"(SELECT {_ratio(f'count(*) FILTER (x >= {x})', 'count(*)')} FROM y) AS frac_bases_at_{x}x" for x in (1, 5, 10, 15, 20, 25, 30, 40, 50, 60, 100)], *[f"{_ratio('mean', f'xs[CAST(ceil(n * {p}) AS BIGINT)]')} AS fold_{f}_base_penalty" for p, f in ((0.2, 80), (0.1, 90), (0.05, 95))],
+])) + " FROM al0", *_WGS))
 def wgs_metrics_full(spark, d):
     t = T(spark, d)
-    return coverage.wgs_metrics(t.reads, t.ref)
+    return _rounded(coverage.wgs_metrics(t.reads, t.ref))
 
 
 @query(sql(" SELECT count(*) AS territory FROM refb JOIN tpos ON refb.contig = tpos.contig AND ref_pos = pos WHERE ref_base <> 'N'"))
@@ -186,10 +246,10 @@ def wgs_interval_territory(spark, d):
     return coverage.eligible_territory(t.ref, t.targets)
 
 
-@query()
+@query(sql(" SELECT CAST(k AS BIGINT) AS depth, round((SELECT count(*) FROM y WHERE x = k) / CAST(n AS DOUBLE), 6) AS frac_bases, round(exp(k * ln(mean) - mean - (SELECT coalesce(sum(ln(j)), 0) FROM (SELECT unnest(range(1, 251)) AS j) z WHERE j <= k)) * (SELECT count(*) FROM y WHERE x > 0) / n, 6) AS poisson FROM (SELECT unnest(range(0, 251)) AS k) q, st0 WHERE k <= xs[CAST(ceil(n * 0.999) AS BIGINT)]", *_WGS))
 def wgs_chart(spark, d):
     t = T(spark, d)
-    return coverage.coverage_chart(coverage.depth_histogram(t.reads, t.ref), coverage.wgs_metrics(t.reads, t.ref))
+    return _rounded(coverage.coverage_chart(coverage.depth_histogram(t.reads, t.ref), coverage.wgs_metrics(t.reads, t.ref)))
 
 
 @query(sql(" SELECT contig, min(pos) AS start0, max(pos) + 1 AS end0 FROM (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM tpos) x GROUP BY contig, g"))
@@ -244,16 +304,33 @@ def gcbias_detail(spark, d):
     return coverage.gcbias_detail(t.reads, t.ref, t.contigs, window=WINDOW).select("gc", "windows", "read_starts")
 
 
-@query()
+_GC = (
+    f"st2 AS (SELECT contig, CASE WHEN flags & 16 <> 0 AND end0 IS NOT NULL THEN greatest(end0 - {WINDOW}, 0) ELSE pos0 END AS start0, nm, flags & 1 = 0 OR flags & 64 <> 0 AS cluster, (SELECT sum(ascii(substr(quals, CAST(i + 1 AS INT), 1)) - 33) FROM (SELECT unnest(range(0, 32)) AS i) x) AS q FROM o WHERE flags & 4 = 0 AND flags & 256 = 0 AND flags & 512 = 0)",
+    "hit AS (SELECT gc, count(*) AS starts, sum(nm) AS nm, sum(q) AS q FROM win JOIN st2 USING (contig, start0) GROUP BY gc)", "nw AS (SELECT gc, count(*) AS windows FROM win GROUP BY gc)",
+    "bin AS (SELECT CAST(k AS BIGINT) AS gc, coalesce(windows, 0) AS windows, coalesce(starts, 0) AS starts, coalesce(nm, 0) AS nm, coalesce(q, 0) AS q FROM (SELECT unnest(range(0, 101)) AS k) x LEFT JOIN nw ON nw.gc = k LEFT JOIN hit ON hit.gc = k)",
+    "tot AS (SELECT sum(windows) AS tw, sum(starts) AS ts, CAST(sum(starts) AS DOUBLE) / sum(windows) AS mean FROM bin)",
+)
+_BANDS = ((0, 19), (20, 39), (40, 59), (60, 79), (80, 100))
+
+
+@query(sql(" SELECT 'sample' AS sample, gc, windows, starts AS read_starts, " + _round(f"""
+    {_ratio("q", "starts * 32")} AS reported_base_quality
+    CASE WHEN nm > 0 THEN -10 * log10(nm / CAST(starts * 32 AS DOUBLE)) ELSE 0 END AS empirical_base_quality
+    {_ratio(_ratio("starts", "windows"), "mean")} AS normalized_coverage
+    {_ratio(_ratio("sqrt(starts)", "windows"), "mean")} AS error_bar_width
+""") + " FROM bin, tot", *_WIN, *_GC))
 def gcbias_detail_full(spark, d):
     t = T(spark, d)
-    return coverage.gcbias_detail(t.reads, t.ref, t.contigs, window=WINDOW)
+    return _rounded(coverage.gcbias_detail(t.reads, t.ref, t.contigs, window=WINDOW))
 
 
-@query()
+@query(sql(f" SELECT 'sample' AS sample, CAST({WINDOW} AS BIGINT) AS window_size, (SELECT count(*) FILTER (cluster) FROM st2) AS total_clusters, (SELECT count(*) FROM st2) AS aligned_reads, " + _round("\n".join([
+    *[f"sum(greatest(windows / CAST(tw AS DOUBLE) - starts / CAST(ts AS DOUBLE), 0) * 100) FILTER (gc {op} 50) AS {name}" for op, name in (("<=", "at_dropout"), (">", "gc_dropout"))],
+    *[f"{_ratio(_ratio(f'sum(starts) FILTER (gc BETWEEN {lo} AND {hi})', f'sum(windows) FILTER (gc BETWEEN {lo} AND {hi})'), 'max(mean)')} AS gc_{lo}_{hi}_normcov" for lo, hi in _BANDS],
+])) + " FROM bin, tot", *_WIN, *_GC))
 def gcbias_summary(spark, d):
     t = T(spark, d)
-    return coverage.gcbias_summary(t.reads, t.ref, t.contigs, window=WINDOW)
+    return _rounded(coverage.gcbias_summary(t.reads, t.ref, t.contigs, window=WINDOW))
 
 
 _HY = "hr AS (SELECT * FROM o WHERE flags & 256 = 0 AND flags & 512 = 0)"
@@ -284,16 +361,62 @@ def per_target(spark, d):
     return hybcap.per_target(t.reads, t.targets, t.ref).select("chrom", "start", "end", "mean_coverage", "min_coverage", "max_coverage", "frac_0x")
 
 
-@query()
-def per_target_full(spark, d):
-    t = T(spark, d)
-    return hybcap.per_target(t.reads, t.targets, t.ref)
+_ISLANDS = (
+    _HB, "isl AS (SELECT contig, min(pos) AS s, max(pos) + 1 AS e FROM (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM tpos) x GROUP BY contig, g)",
+    "cov AS (SELECT tpos.contig, tpos.pos, count(hb.read_id) AS c FROM tpos LEFT JOIN hb ON hb.contig = tpos.contig AND hb.ref_pos = tpos.pos GROUP BY ALL)",
+    "tsum AS (SELECT contig, s, e, sum(c) AS total, min(c) AS lo, max(c) AS hi, count(*) FILTER (c = 0) AS none FROM isl JOIN cov USING (contig) WHERE cov.pos >= s AND cov.pos < e GROUP BY ALL)",
+    "tgc AS (SELECT isl.contig, s, sum(CASE WHEN ref_base IN ('G', 'C') THEN 1.0 WHEN ref_base = 'N' THEN 0.5 ELSE 0 END) AS gc FROM isl JOIN refb ON refb.contig = isl.contig AND ref_pos >= s AND ref_pos < e GROUP BY ALL)",
+    "trd AS (SELECT isl.contig, s, count(DISTINCT read_id) AS reads FROM isl JOIN hb ON hb.contig = isl.contig AND ref_pos >= s AND ref_pos < e GROUP BY ALL)",
+    "tnm AS (SELECT isl.contig, s, string_agg(tg.name, '|' ORDER BY tg.start0, tg.end0, tg.name) AS name FROM isl JOIN tg ON tg.contig = isl.contig AND start0 >= s AND start0 < e GROUP BY ALL)",
+    "tall AS (SELECT tsum.*, e - s AS length, tgc.gc / (e - s) AS gc_frac, coalesce(reads, 0) AS reads, name FROM tsum JOIN tgc USING (contig, s) JOIN tnm USING (contig, s) LEFT JOIN trd USING (contig, s))",
+)
 
 
-@query()
+@query(sql(' SELECT contig AS chrom, s + 1 AS start, e AS "end", length, name, CAST(lo AS BIGINT) AS min_coverage, CAST(hi AS BIGINT) AS max_coverage, reads AS read_count, ' + _round(f"""
+    gc_frac AS gc_frac
+    total / CAST(length AS DOUBLE) AS mean_coverage
+    {_ratio("total / CAST(length AS DOUBLE)", "(SELECT sum(total) / CAST(sum(length) AS DOUBLE) FROM tall)")} AS normalized_coverage
+    none / CAST(length AS DOUBLE) AS frac_0x
+""") + " FROM tall", *_ISLANDS))
+def per_target_full(spark, d):
+    t = T(spark, d)
+    return _rounded(hybcap.per_target(t.reads, t.targets, t.ref))
+
+
+_CAPTURE = (
+    _HY, "ob AS (SELECT bs.read_id, count(*) AS n FROM bs JOIN bpos ON bs.contig = bpos.contig AND bs.ref_pos = bpos.pos GROUP BY 1)",
+    "tb AS (SELECT hr.*, EXISTS (SELECT 1 FROM bt WHERE bt.contig = hr.contig AND hr.pos0 < least(bt.end0 + 250, 19456) AND greatest(bt.start0 - 250, 0) < hr.end0) AS t, coalesce(ob.n, 0) AS onb FROM hr LEFT JOIN ob USING (read_id) WHERE hr.end0 IS NOT NULL)",
+    "bsum AS (SELECT sum(CASE WHEN t THEN onb ELSE 0 END) AS on_bait_bases, sum(CASE WHEN t THEN greatest(m - onb, 0) ELSE 0 END) AS near_bait_bases, sum(CASE WHEN t THEN 0 ELSE m END) AS off_bait_bases, count(*) FILTER (t AND flags & 2048 = 0 AND flags & 65 = 65 AND flags & 8 = 0) AS selected_pairs, count(*) FILTER (t AND flags & 2048 = 0 AND flags & 65 = 65 AND flags & 8 = 0 AND flags & 1024 = 0) AS selected_unique_pairs FROM tb)",
+    "rsum AS (SELECT count(*) FILTER (flags & 2048 = 0) AS total_reads, count(*) FILTER (flags & 3072 = 0) AS deduped_reads, count(*) FILTER (flags & 3076 = 0) AS deduped_reads_aligned, sum(32) FILTER (flags & 2048 = 0) AS total_bases, sum(m) FILTER (flags & 4 = 0) AS bases_aligned, sum(m) FILTER (flags & 1028 = 0) AS deduped_bases_aligned, sum(m) FILTER (end0 IS NOT NULL AND flags & 1024 <> 0) AS exc_dupe, sum(m) FILTER (end0 IS NOT NULL AND flags & 1024 = 0 AND coalesce(mapq, 0) < 20) AS exc_mapq FROM hr)",
+    "kb AS (SELECT *, flags & 1 <> 0 AND flags & 12 = 0 AND ref_id = mate_ref_id AND (pos0 < mate_pos0 OR (pos0 = mate_pos0 AND flags & 128 <> 0)) AND mate_pos0 < end0 AND ref_pos >= mate_pos0 AS cut FROM bs WHERE flags & 4 = 0 AND flags & 256 = 0 AND flags & 512 = 0 AND flags & 1024 = 0 AND coalesce(mapq, 0) >= 20)",
+    "ksum AS (SELECT count(*) FILTER (coalesce(cut, false)) AS exc_overlap, count(*) FILTER (NOT coalesce(cut, false) AND bq < 20) AS exc_baseq, count(*) FILTER (NOT coalesce(cut, false) AND bq >= 20) AS passed FROM kb)",
+    "osum AS (SELECT count(*) AS on_target_bases, count(*) FILTER (flags & 1 <> 0 AND flags & 12 = 0) AS on_target_bases_from_pairs FROM hb JOIN o USING (read_id) JOIN tpos ON tpos.contig = hb.contig AND tpos.pos = hb.ref_pos)",
+    "dsum AS (SELECT sum(c) AS depth_sum, count(*) AS target_territory, list_sort(list(c)) AS xs, " + ", ".join(f"count(*) FILTER (c >= {x}) AS a{x}" for x in hybcap.LEVELS) + " FROM cov)",
+    "gbin AS (SELECT CAST(floor(gc_frac * 100 + 0.5) AS INT) AS gc, sum(length) AS len, sum(total) AS dep FROM tall GROUP BY 1)", "gdrop AS (SELECT gc, greatest(len / CAST((SELECT sum(len) FROM gbin) AS DOUBLE) - dep / CAST((SELECT sum(dep) FROM gbin) AS DOUBLE), 0) * 100 AS drop_ FROM gbin)",
+    "cap AS (SELECT *, 58368 AS genome_size, (SELECT count(*) FROM bpos) AS bait_territory, on_bait_bases + near_bait_bases AS selected, on_bait_bases + near_bait_bases + off_bait_bases AS every_, depth_sum / CAST(target_territory AS DOUBLE) AS mean, CASE WHEN floor(target_territory * 0.2) = 0 THEN 0 ELSE xs[CAST(floor(target_territory * 0.2) AS BIGINT)] END AS p20 FROM rsum, bsum, ksum, osum, dsum)",
+    "newton AS (SELECT 0 AS i, selected_unique_pairs / CAST(selected_pairs AS DOUBLE) AS r, selected_pairs / CAST(selected_unique_pairs AS DOUBLE) AS t FROM cap WHERE selected_unique_pairs > 0 AND selected_unique_pairs < selected_pairs UNION ALL SELECT i + 1, r, t - (r * t - 1 + exp(-t)) / (r - exp(-t)) FROM newton WHERE i < 64)",
+    "lib AS (SELECT cap.*, (SELECT CAST(floor(selected_pairs / t) AS BIGINT) FROM newton WHERE i = 64) AS size FROM cap)",
+    "fin AS (SELECT *, " + _ratio("mean", "p20") + " AS fold80, " + _ratio("on_target_bases", "deduped_bases_aligned") + " AS share, " + _ratio("on_target_bases_from_pairs", "target_territory") + " AS paired FROM lib)",
+)
+
+
+def _penalty(goal: int) -> str:
+    need = f"({goal} / paired * fold80)"
+    known = "coalesce(size <> 0 AND paired <> 0 AND fold80 <> 0 AND share <> 0 AND selected_pairs <> 0 AND selected_unique_pairs <> 0, false)"
+    solved = f"CASE WHEN {need} * selected_unique_pairs < size THEN fold80 / share * selected_pairs * (-size / CAST(selected_pairs AS DOUBLE) * ln(1 - {need} * selected_unique_pairs / size)) / (selected_unique_pairs * {need}) END"
+    return f"CASE WHEN {known} THEN {solved} ELSE 0 END AS hs_penalty_{goal}x"
+
+
+@query(sql(" SELECT 'sample' AS sample, 'panel' AS panel_name, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("genome_size", "bait_territory", "target_territory", "total_reads", "deduped_reads", "deduped_reads_aligned", "total_bases", "bases_aligned", "deduped_bases_aligned", "on_bait_bases", "near_bait_bases", "off_bait_bases", "on_target_bases", "on_target_bases_from_pairs", "selected_pairs", "selected_unique_pairs")) + ", CAST(size AS BIGINT) AS hs_library_size, CAST(xs[target_territory] AS BIGINT) AS max_target_coverage, CAST(xs[1] AS BIGINT) AS min_target_coverage, " + _round("\n".join([
+    f"{_ratio('target_territory', 'bait_territory')} AS bait_design_efficiency", f"{_ratio('deduped_reads', 'total_reads')} AS frac_deduped_reads", f"{_ratio('deduped_reads_aligned', 'deduped_reads')} AS frac_deduped_reads_aligned", f"{_ratio('selected', 'every_')} AS frac_selected_bases", f"{_ratio('off_bait_bases', 'every_')} AS frac_off_bait",
+    f"{_ratio('on_bait_bases', 'selected')} AS on_bait_vs_selected", f"{_ratio('on_bait_bases', 'bait_territory')} AS mean_bait_coverage", "mean AS mean_target_coverage", "xs[CAST(floor(target_territory / 2) AS BIGINT) + 1] AS median_target_coverage",
+    f"{_ratio('(SELECT count(*) FROM tall WHERE hi = 0)', '(SELECT count(*) FROM tg)')} AS frac_uncovered_targets", f"{_ratio(_ratio('on_bait_bases', 'every_'), _ratio('bait_territory', 'genome_size'))} AS fold_enrichment", "fold80 AS fold_80_base_penalty", *[f"{_ratio(f'exc_{k}', 'bases_aligned')} AS frac_exc_{k}" for k in ("dupe", "mapq", "overlap", "baseq")],
+    f"{_ratio('passed - on_target_bases', 'bases_aligned')} AS frac_exc_off_target", *[f"{_ratio(f'a{x}', 'target_territory')} AS frac_target_bases_{x}x" for x in hybcap.LEVELS], "(SELECT coalesce(sum(drop_), 0) FROM gdrop WHERE gc <= 50) AS at_dropout", "(SELECT coalesce(sum(drop_), 0) FROM gdrop WHERE gc >= 50) AS gc_dropout",
+    f"{_ratio('on_bait_bases', 'total_bases')} AS frac_usable_bases_on_bait", f"{_ratio('on_target_bases', 'total_bases')} AS frac_usable_bases_on_target", *[_penalty(g) for g in hybcap.GOALS],
+])) + " FROM fin", *_ISLANDS, *_CAPTURE).replace("\nWITH reads", "\nWITH RECURSIVE reads"))
 def hybcap_summary(spark, d):
     t = T(spark, d)
-    return hybcap.hybcap_metrics(t.reads, t.baits, t.targets, t.contigs, t.ref)
+    return _rounded(hybcap.hybcap_metrics(t.reads, t.baits, t.targets, t.contigs, t.ref))
 
 
 _ER = "er AS (SELECT bs.*, refb.ref_base, CASE WHEN bs.flags & 16 <> 0 THEN 32 - bs.read_off ELSE bs.read_off + 1 END AS cycle FROM bs JOIN refb USING (contig, ref_pos) WHERE flags & 4 = 0 AND flags & 2304 = 0 AND flags & 512 = 0 AND flags & 1024 = 0 AND coalesce(mapq, 0) >= 20 AND bq >= 20 AND base <> 'N' AND ref_base <> 'N')"
@@ -338,22 +461,30 @@ def error_overlap(spark, d):
 
 @query(sql(
     """ SELECT count(*) FILTER (ins > 0) AS num_insertions, CAST(coalesce(sum(ins), 0) AS BIGINT) AS num_inserted_bases, count(*) FILTER (del > 0) AS num_deletions, CAST(coalesce(sum(del), 0) AS BIGINT) AS num_deleted_bases
-    FROM (SELECT CASE WHEN ins > 0 AND ascii(substr(quals, 15, 1)) - 33 >= 20 THEN ins ELSE 0 END AS ins, del FROM o WHERE flags & 4 = 0 AND flags & 2304 = 0 AND flags & 512 = 0 AND flags & 1024 = 0 AND coalesce(mapq, 0) >= 20) y"""))
+    FROM (SELECT CASE WHEN ins > 0 AND ascii(substr(quals, CAST(ins_at + 1 AS INT), 1)) - 33 >= 20 THEN ins ELSE 0 END AS ins, del FROM o WHERE flags & 4 = 0 AND flags & 2304 = 0 AND flags & 512 = 0 AND flags & 1024 = 0 AND coalesce(mapq, 0) >= 20) y"""))
 def error_indel(spark, d):
     t = T(spark, d)
     return errors.indel(errors.counted(t.reads, t.ref, groups=())).select(*errors.MEASURES[6:])
 
 
-@query()
+_Q = "CASE WHEN count(*) FILTER (base <> ref_base) = 0 THEN 99.0 ELSE least(99.0, -10 * log10(count(*) FILTER (base <> ref_base) / CAST(count(*) AS DOUBLE))) END"
+
+
+def _strata(groups, rows: str = "er") -> str:
+    one = f"CAST(count(*) AS BIGINT) AS total_bases, CAST(count(*) FILTER (base <> ref_base) AS BIGINT) AS error_bases, round(CAST(count(*) FILTER (base <> ref_base) AS DOUBLE) / count(*), 6) AS frac_error, round({_Q}, 6) + 0 AS q_score"
+    return " UNION ALL ".join(f" SELECT '{g}' AS stratifier, covariate, {one} FROM (SELECT *, {_STRATA[g]} AS covariate FROM {rows}) y WHERE covariate IS NOT NULL GROUP BY covariate" for g in groups)
+
+
+@query(sql(_strata(("all", *errors.DEFAULT_GROUPS)), _ER))
 def grouping_sets_all(spark, d):
     t = T(spark, d)
-    return errors.mismatch(errors.counted(t.reads, t.ref))
+    return _rounded(errors.mismatch(errors.counted(t.reads, t.ref)))
 
 
-@query()
+@query(sql(_strata(("all", "cycle"), "em"), _ER, f"va AS ({fixture.VARIANTS_SQL})", "em AS (SELECT er.* FROM er JOIN tpos ON tpos.contig = er.contig AND tpos.pos = er.ref_pos WHERE NOT EXISTS (SELECT 1 FROM va WHERE va.contig = er.contig AND va.start0 <= er.ref_pos AND er.ref_pos < va.end0))"))
 def error_masked(spark, d):
     t = T(spark, d)
-    return errors.mismatch(errors.counted(t.reads, t.ref, groups=("cycle",), intervals=t.targets, mask=t.variants))
+    return _rounded(errors.mismatch(errors.counted(t.reads, t.ref, groups=("cycle",), intervals=t.targets, mask=t.variants)))
 
 
 @query(sql(" SELECT read_id, CAST(ref_pos AS BIGINT) AS ref_pos, ref_base FROM bs JOIN refb USING (contig, ref_pos)"))
@@ -368,7 +499,9 @@ def hist_median(spark, d):
     return H.median_mad(simple.insert_sizes(T(spark, d).reads), ["pair_orientation"], "insert_size", "n").select("pair_orientation", "median")
 
 
-@query()
+@query(sql(
+    " SELECT 'alignment_summary' AS \"table\", count(DISTINCT category) AS rows FROM cats UNION ALL SELECT 'base_distribution_by_cycle', count(DISTINCT (read_end, cycle)) FROM al UNION ALL SELECT 'mean_quality_by_cycle', count(DISTINCT (read_end, cycle)) FROM al"
+    " UNION ALL SELECT 'quality_score_distribution', count(DISTINCT bq) FROM al WHERE base <> 'N' UNION ALL SELECT 'insert_size_metrics', count(*) FROM (SELECT orient FROM h GROUP BY orient HAVING count(*) >= (SELECT count(*) FROM h) * 0.05) x UNION ALL SELECT 'insert_size_histogram', count(DISTINCT s) FROM h", _CATS, _ALL, _HIST))
 def multi_tables(spark, d):
     """Row counts of all tables of a run over one input."""
     t = T(spark, d)
@@ -380,6 +513,6 @@ def multi_tables(spark, d):
     return out
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{x}', '{w}')" for i, (n, (x, _, _, w)) in enumerate(TABLES.items())) + ") t(position, name, suffix, description)")
 def docs_table(spark, d):
     return sinks.docs_table(spark)

@@ -364,7 +364,7 @@ def test_docs_and_command_line(spark, tmp_path, capsys):
     out = str(tmp_path / "o")
     multi.main(["multi", "-i", str(tmp_path / "x.sam"), "-o", out, "-r", str(tmp_path / "r.fa"), "--tools", "isize", "wgs", "isize", "--wgs::min-mapq", "0", "--wgs::min-bq", "0", "--wgs::exclude-unpaired-reads", "false", "--isize::include-duplicates"])
     assert sorted(p.name for p in tmp_path.glob("o.*")) == ["o.isize-histogram.txt", "o.isize-metrics.txt", "o.wgs-coverage.txt", "o.wgs-metrics.txt"]
-    assert (tmp_path / "o.wgs-coverage.txt").read_text().splitlines()[2].startswith("1\t6\t")
+    assert (tmp_path / "o.wgs-coverage.txt").read_text().splitlines()[2].startswith("1\t4\t")
     multi.main(["error", "-i", str(tmp_path / "x.sam"), "-o", out, "-r", str(tmp_path / "r.fa"), "--min-bq", "0", "--min-mapq", "0", "--stratify-by", "read_num", "cycle,read_num"])
     assert {x.split("\t")[0] for x in (tmp_path / "o.error-mismatch.txt").read_text().splitlines()[1:]} == {"all", "read_num", "cycle,read_num"}
     for bad in (["wgs", "-i", "x.sam", "-o", "o", "-r", "f", "--wgs::min-mapq", "3"], ["multi", "-i", "x", "-o", "o", "--wgs::nonsense", "1"], ["isize", "-i", "x", "-o", "o", "--min-frac", "much"], ["wgs", "-i", "x.sam", "-o", "o"], ["nothing"]):
