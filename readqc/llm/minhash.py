@@ -11,8 +11,12 @@
 3. Short lists pair all members (at most ``short`` each). A longer list pairs its members with its smallest one; after the
    components of these links are known, the members of lists with several components are joined anew, over components,
    by prefix filtering of their full sets from rare to common shingles. Near sets whose common runs all have long lists share SHARED runs at least (about twenty are expected), so
-   documents with fewer long lists leave them, and others stay in all but their SHARED - 1 longest ones. So a list of one big group costs one pair a member, and no link between different texts is lost.
+   documents with fewer long lists leave them, and others stay in all but their SHARED - 1 longest ones. So a list of one big group costs one pair a member.
 4. Pairs pass by size and by the overlap in the sketch of the union, then by exact Jaccard of the full sets.
+
+Steps 2 to 4 are exact for sets of up to SMALL shingles. Of larger ones a link of similarity 0.8 is lost with a probability
+below 1e-4, in step 3 where all lists of the two are long, and one of higher similarity far more rarely; a link that a
+chain of others replaces is lost without effect.
 """
 
 from __future__ import annotations
@@ -89,9 +93,9 @@ def list_keys(threshold: int):
 
 
 def _alike(threshold: int, k: int):
-    """Condition on entries a and b: sizes allow the threshold, and the sketch of the union doesn't speak against it by four standard deviations."""
+    """Condition on entries a and b: sizes allow the threshold, and the sketch of the union doesn't speak against it by five standard deviations."""
     j = threshold / 100
-    least = max(0.0, j - 4 * (j * (1 - j) / k) ** 0.5)
+    least = max(0.0, j - 5 * (j * (1 - j) / k) ** 0.5)
     a, b = F.col("a.sketch"), F.col("b.sketch")
     union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
     both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
