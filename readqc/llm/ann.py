@@ -1,12 +1,12 @@
 """Nearest neighbours by multi-index hashing, as a join on buckets.
 
 Binary codes: learned rotations of the centred unit vectors (iterative quantisation), fitted on at most ``fit_rows`` vectors,
-give the bits of a code, which is cut into ``parts`` substrings of about log2(rows) bits. Each substring of each vector is an
-entry of the index, keyed by (substring, value); a query probes all values within ``reach`` bits of its own in every
-substring. By the pigeonhole principle this retrieves every code within a Hamming distance of parts * (reach + 1) - 1, and
-many beyond. Parts and reach are the cheapest ones that retrieve ``target`` of the true neighbours of sampled queries within
-the fitted rows; with more rows neighbours only come nearer. Retrieved codes are tested by their Hamming distance, within
-the radius that covers ``cover`` of the sampled neighbours, and those within it reranked by cosine in double precision.
+give the bits of a code, which is cut into substrings of log2(rows) bits. Each substring of each vector is an entry of the
+index, keyed by (substring, value); a query probes all values within ``reach`` bits of its own in every substring. By the
+pigeonhole principle this retrieves every code within a Hamming distance of parts * (reach + 1) - 1, and many beyond. The
+number of substrings is the least one that retrieves ``target`` of the true neighbours of ``sampled`` queries, which one
+pass over all rows finds. Retrieved codes are tested by their Hamming distance, within the radius that covers ``cover`` of
+these neighbours, and those within it reranked by cosine in double precision.
 
 Equal vectors are one class, with the ids that can be among the k nearest, so copies make no hot bucket. The join on buckets
 is an equi-join (a bucket of many near copies is split by adaptive execution); only ids leave it. They are dealt by shard of
@@ -16,6 +16,7 @@ than k rows is compared with all rows.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 
 import numpy as np
@@ -29,7 +30,7 @@ from .common import stored
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 FOUND = "q long, c long, vec_id long, score double"
-REACH, PARTS = 3, (8, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
+MOST_PARTS, LEAST_PARTS = 512, 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -69,33 +70,17 @@ class Codes:
 
 
 class Index:
-    """codes, parts, reach and radius."""
-
-    def __init__(self, sample: np.ndarray, rows: int, every: int, k: int, target: float, cover: float, queries: int = 192, rounds: int = 8, seed: int = 11):
-        self.codes = Codes(sample, int(np.clip(np.ceil(np.log2(max(rows, 2))), 8, 30)), rounds, seed)
-        picked = np.random.default_rng(seed).permutation(len(sample))[:queries]
-        near = unit(sample)[picked] @ unit(sample).T
-        near[np.arange(len(picked)), picked] = -2
-        top = np.argsort(-near, axis=1)[:, : min(k, len(sample) - 1)]
-        least, whole = np.full(near.shape, 99, np.uint8), np.zeros(top.shape, np.int64)
-        best, done, at = None, 0, {}
-        for parts in PARTS:
-            if best and parts * (1 + 1 / every) >= best[0]:  # entries and probes alone cost more
-                break
-            self.codes.grow(sample, parts)
-            values = self.codes(sample, done, parts)
-            for j in range(parts - done):
-                apart = np.bitwise_count(values[picked, j][:, None] ^ values[:, j][None, :])
-                least = np.minimum(least, apart)
-                whole += np.take_along_axis(apart, top, 1)
-            done, at[parts] = parts, whole.copy()
-            hit = np.take_along_axis(least, top, 1)
-            reach = next((r for r in range(REACH + 1) if not hit.size or (hit <= r).mean() >= target), None)
-            if reach is not None:
-                cost = parts * (1 + len(self.masks(reach)) / every) + (least <= reach).mean() * rows / every
-                best = min(best or (np.inf,), (cost, parts, reach))
-        _, self.parts, self.reach = best or (np.inf, PARTS[-1], REACH)
-        self.radius = int(np.quantile(at[self.parts], cover)) if hit.size else self.parts * self.codes.bits
+    """codes, parts, reach and radius. left and right: vectors of queries and of their true neighbours, pair by pair."""
+
+    def __init__(self, sample: np.ndarray, rows: int, left: np.ndarray, right: np.ndarray, reach: int, target: float, cover: float, rounds: int = 6, seed: int = 11):
+        self.codes, self.reach = Codes(sample, int(np.clip(np.ceil(np.log2(max(rows, 2))), 8, 30)), rounds, seed), reach
+        least, whole, self.parts = np.full(len(left), 99), np.zeros(len(left), np.int64), 0
+        while self.parts < MOST_PARTS and (self.parts < LEAST_PARTS or (least <= reach).sum() < target * len(left)):
+            if self.codes.axes.shape[1] < (self.parts + 1) * self.codes.bits:
+                self.codes.grow(sample, self.parts + 8)
+            apart = np.zeros(0, np.int64) if not len(left) else np.bitwise_count(self.codes(left, self.parts, self.parts + 1) ^ self.codes(right, self.parts, self.parts + 1))[:, 0]
+            least, whole, self.parts = np.minimum(least, apart), whole + apart, self.parts + 1
+        self.radius = int(np.quantile(whole, cover)) if len(whole) else self.parts * self.codes.bits
         self.codes.axes = self.codes.axes[:, : self.parts * self.codes.bits]
 
     def masks(self, reach: int) -> np.ndarray:
@@ -125,6 +110,33 @@ def _entries(table: DataFrame, shared, probe: bool, name: str, rows: int = 256)
     return table.select("c", "v").mapInArrow(work, f"key long, {name} long")
 
 
+def _true_pairs(classes: DataFrame, queries: DataFrame, k: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of at most ``sampled`` queries and of their k nearest other classes, pair by pair, by one pass over classes(c, v). At most sampled * k vectors reach the driver."""
+    picked = queries.orderBy(F.xxhash64(F.lit(5), "v")).limit(sampled).toPandas()
+    if not len(picked):
+        return np.zeros((0, 1)), np.zeros((0, 1))
+    shared = classes.sparkSession.sparkContext.broadcast((picked["c"].to_numpy(), unit(np.stack(picked["v"].to_list()).astype(float))))
+
+    def nearest(batches):
+        ids, q = shared.value
+        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                c, score = part.column("c").to_numpy(), q @ unit(_vectors(part.column("v"))).T
+                score[ids[:, None] == c[None, :]] = -2
+                for i, row in enumerate(score):
+                    at = np.argpartition(-row, min(k, len(row) - 1))[:k]
+                    best[i] = heapq.nlargest(k, best[i] + [(float(row[a]), int(c[a])) for a in at if row[a] > -2])
+        rows = [(i, c, s) for i, found in enumerate(best) for s, c in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.int64(), pa.float64()))], names=["i", "c", "score"])
+
+    near = classes.select("c", "v").mapInArrow(nearest, "i int, c long, score double")
+    near = near.withColumn("at", F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "c"))).filter(F.col("at") <= k)
+    found = near.select("i", "c").join(classes.select("c", "v"), "c").toPandas()
+    return np.stack(picked["v"].to_list()).astype(float)[found["i"].to_numpy()], np.stack(found["v"].to_list()).astype(float) if len(found) else np.zeros((0, 1))
+
+
 def candidates(classes: DataFrame, queries: DataFrame, shared) -> DataFrame:
     """(q, c): the pairs that meet in a bucket, some more than once. classes and queries are (c, v)."""
     return _entries(queries, shared, True, "q").join(_entries(classes, shared, False, "c"), "key").select("q", "c")
@@ -157,7 +169,7 @@ def _ranked(shared, k: int):
     return work
 
 
-def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_rows: int, target: float, cover: float) -> DataFrame:
+def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_rows: int, reach: int, target: float, cover: float, sampled: int) -> DataFrame:
     """The result over rows(vec_id, v) with vectors of length d."""
     spark = rows.sparkSession
     rows = stored(rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(2), "v").alias("h2")), "vectors")
@@ -172,13 +184,14 @@ def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_ro
     queries = stored(classes.join(asking.select(F.col("q").alias("c")).distinct(), "c", "left_semi").select("c", "v"), "queries")
 
     sample = classes.select("v").orderBy(F.xxhash64(F.lit(7), "v")).limit(min(fit_rows, max(1000, (8 << 20) // d))).toPandas()
-    shared = spark.sparkContext.broadcast(Index(np.stack(sample["v"].to_list()).astype(float), n, every, k, target, cover))
+    left, right = _true_pairs(classes, queries, k, sampled)
+    shared = spark.sparkContext.broadcast(Index(np.stack(sample["v"].to_list()).astype(float), n, left, right, reach, target, cover))
     shards = max(1, -(-n // shard_rows))
     shard = F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int")
     held = classes.select(shard.alias("shard"), "c", "v", "ids")
     asked = queries.select(F.col("c").alias("q"), F.col("v").alias("qv"))
 
-    pairs = candidates(classes, queries, shared).repartition("q").withColumn("shard", shard)
+    pairs = candidates(classes, queries, shared).distinct().repartition("q").withColumn("shard", shard)
     pairs = pairs.groupBy("q", "shard").agg(F.collect_set("c").alias("cs")).join(asked, "q").select("shard", "q", "qv", "cs")
     found = pairs.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_ranked(shared, k), FOUND)
     best = lambda df: df.withColumn("at", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("at") <= k + 1)
@@ -197,7 +210,7 @@ def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_ro
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, fit_rows: int = 10_000, shard_rows: int = 8192, target: float = 0.9, cover: float = 0.99) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, fit_rows: int = 10_000, shard_rows: int = 8192, reach: int = 2, target: float = 0.92, cover: float = 0.99, sampled: int = 192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row whose vec_id is divisible by ``every``, ties to the smaller vec_id.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without id, take no part; vectors are
@@ -207,5 +220,5 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, fit_rows: int =
     rows = usable(vectors)
     out = vectors.sparkSession.createDataFrame([], RESULT)
     for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
-        out = out.union(_search(rows.filter(F.size("v") == r.d), r.d, k, every, fit_rows, shard_rows, target, cover))
+        out = out.union(_search(rows.filter(F.size("v") == r.d), r.d, k, every, fit_rows, shard_rows, reach, target, cover, sampled))
     return out
