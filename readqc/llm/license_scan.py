@@ -50,24 +50,24 @@ def terms(text: Column) -> Column:
 
 
 def line_scores(lines: DataFrame, templates: dict[str, tuple[str, ...]], least: float) -> DataFrame:
-    """lines(line, n: how many) to (line, license, score): the best template, ties to the smaller name, if at least ``least``."""
+    """lines(h1, h2, line, n: how many; h1 and h2 tell a line) to (h1, h2, license, score): the best template, ties to the smaller name, if at least ``least``. Only the hashes of a line go along with its terms."""
     spark = lines.sparkSession
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = lines.select("line", "n", F.explode(terms(F.col("line"))).alias("w")).groupBy("line", "n", "w").agg(F.count(F.lit(1)).alias("tf"))
-    words = stored(words, "terms")
+    words = stored(lines.select("h1", "h2", "n", F.explode(terms(F.col("line"))).alias("w")).groupBy("h1", "h2", "n", "w").agg(F.count(F.lit(1)).alias("tf")), "terms")
     df = words.groupBy("w").agg(F.sum("n").alias("df"))
     idf = F.log(F.lit(1.0 + total) / (1.0 + F.coalesce(F.col("df"), F.lit(0)))) + 1.0
-    weighted = words.join(df, "w").select("line", "w", (F.col("tf") * idf).alias("x"))
-    norms = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     forms = [(name, i, text) for name, texts in templates.items() for i, text in enumerate(texts)]
     table = spark.createDataFrame(forms, "license string, form int, text string")  # a constant table
     known = table.select("license", "form", F.explode(terms(F.col("text"))).alias("w")).groupBy("license", "form", "w").agg(F.count(F.lit(1)).alias("tf")).join(df, "w", "left")
     known = known.select("license", "form", "w", (F.col("tf") * idf).alias("y"))
     lengths = known.groupBy("license", "form").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
-    known = stored(known.join(lengths, ["license", "form"]).select("license", "form", "w", (F.col("y") / F.col("length")).alias("y")), "templates")
-    dots = weighted.join(F.broadcast(known), "w").groupBy("line", "license", "form").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    best = dots.join(norms, "line").select("line", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= least)
-    return best.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("line", F.col("b.license"), (-F.col("b.s")).alias("score"))
+    known = stored(known.join(lengths, ["license", "form"]).groupBy("w").agg(F.collect_list(F.struct("license", "form", (F.col("y") / F.col("length")).alias("y"))).alias("ys")), "templates")  # a constant table by word
+    weighted = words.join(df, "w").select("h1", "h2", "w", (F.col("tf") * idf).alias("x"))
+    # A line's terms meet once: its length, and its products with every template.
+    met = weighted.join(F.broadcast(known), "w", "left").groupBy("h1", "h2").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.collect_list(F.when(F.col("ys").isNotNull(), F.struct("x", "ys"))).alias("hits"))
+    dots = met.select("h1", "h2", "norm", F.explode("hits").alias("hit")).select("h1", "h2", "norm", "hit.x", F.explode("hit.ys").alias("f")).groupBy("h1", "h2", "norm", "f.license", "f.form").agg(F.sum(F.col("x") * F.col("f.y")).alias("dot"))
+    best = dots.select("h1", "h2", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).filter(F.col("score") >= least)
+    return best.groupBy("h1", "h2").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select("h1", "h2", F.col("b.license"), (-F.col("b.s")).alias("score"))
 
 
 def directories(of: Column) -> Column:
@@ -103,9 +103,10 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None,
     """
     templates = templates or TEMPLATES
     files = files.select("doc_id", "path", "text")
-    lines = stored(texts(files, templates, term_share, least_terms), "headers")
-    scored = line_scores(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")), templates, least)
-    hits = lines.join(scored, "line")
+    hashed = {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("2"), "line")}
+    lines = stored(texts(files, templates, term_share, least_terms).withColumns(hashed), "headers")
+    scored = line_scores(lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("n")), templates, least)
+    hits = lines.select("doc_id", "p", "words", "own_words", "file", "h1", "h2").join(scored, ["h1", "h2"])
     whole = F.col("file") | F.coalesce(F.col("p").rlike(FILE_NAME), F.lit(False)) | (F.col("own_words") >= F.col("words") * file_share)
     own = hits.groupBy("doc_id", "p").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.max(whole).alias("whole"))
     own = stored(own.select(F.col("doc_id").alias("id"), "p", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), "whole"), "own")
