@@ -5,8 +5,9 @@ give the bits of a code, which is cut into substrings of log2(rows) bits. Each s
 index, keyed by (substring, value); a query probes all values within ``reach`` bits of its own in every substring. By the
 pigeonhole principle this retrieves every code within a Hamming distance of parts * (reach + 1) - 1, and many beyond. The
 number of substrings is the least one that retrieves ``target`` of the true neighbours of ``sampled`` queries, which one
-pass over all rows finds. Retrieved codes are tested by their Hamming distance, within the radius that covers ``cover`` of
-these neighbours, and those within it reranked by cosine in double precision.
+pass over all rows finds. Retrieved codes are tested by their Hamming distance, on their first SIGNATURE bits within the join
+and in full before the rerank, within radii that cover ``cover`` of these neighbours; those within are reranked by cosine in
+double precision.
 
 Equal vectors are one class, with the ids that can be among the k nearest, so copies make no hot bucket. The join on buckets
 is an equi-join (a bucket of many near copies is split by adaptive execution); only ids leave it. They are dealt by shard of
@@ -30,7 +31,7 @@ from .common import stored
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 FOUND = "q long, c long, vec_id long, score double"
-MOST_PARTS, LEAST_PARTS = 512, 8
+MOST_PARTS, LEAST_PARTS, SIGNATURE = 512, 8, 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ class Codes:
 
 
 class Index:
-    """codes, parts, reach and radius. left and right: vectors of queries and of their true neighbours, pair by pair."""
+    """codes, parts, reach, radius, and near, the radius of the signature. left and right: vectors of queries and of their true neighbours, pair by pair."""
 
     def __init__(self, sample: np.ndarray, rows: int, left: np.ndarray, right: np.ndarray, reach: int, target: float, cover: float, rounds: int = 6, seed: int = 11):
         self.codes, self.reach = Codes(sample, int(np.clip(np.ceil(np.log2(max(rows, 2))), 8, 30)), rounds, seed), reach
@@ -80,12 +81,18 @@ class Index:
                 self.codes.grow(sample, self.parts + 8)
             apart = np.zeros(0, np.int64) if not len(left) else np.bitwise_count(self.codes(left, self.parts, self.parts + 1) ^ self.codes(right, self.parts, self.parts + 1))[:, 0]
             least, whole, self.parts = np.minimum(least, apart), whole + apart, self.parts + 1
-        self.radius = int(np.quantile(whole, cover)) if len(whole) else self.parts * self.codes.bits
         self.codes.axes = self.codes.axes[:, : self.parts * self.codes.bits]
+        self.radius = int(np.quantile(whole, cover)) if len(whole) else self.parts * self.codes.bits
+        self.near = int(np.quantile(np.bitwise_count(self.signature(left) ^ self.signature(right)), cover)) if len(whole) else SIGNATURE
 
     def masks(self, reach: int) -> np.ndarray:
         return np.array([sum(1 << b for b in bits) for n in range(reach + 1) for bits in itertools.combinations(range(self.codes.bits), n)], np.int64)
 
+    def signature(self, x: np.ndarray) -> np.ndarray:
+        """(n) the first bits of each code as one number."""
+        on = (unit(x) - self.codes.mean) @ self.codes.axes[:, :SIGNATURE] > 0
+        return (on @ (np.uint64(1) << np.arange(on.shape[1], dtype=np.uint64))).view(np.int64)
+
     def keys(self, x: np.ndarray) -> np.ndarray:
         """(n, parts) keys of buckets."""
         return self.codes(x, 0, self.parts) | (np.arange(self.parts, dtype=np.int64) << self.codes.bits)
@@ -96,7 +103,7 @@ def _vectors(column) -> np.ndarray:
 
 
 def _entries(table: DataFrame, shared, probe: bool, name: str, rows: int = 256) -> DataFrame:
-    """(key, name): the buckets of table(c, v); with probe those within reach as well."""
+    """(key, name, name + "s"): the buckets of table(c, v) and its signature; with probe the buckets within reach as well."""
 
     def work(batches):
         index = shared.value
@@ -104,10 +111,11 @@ def _entries(table: DataFrame, shared, probe: bool, name: str, rows: int = 256)
         for batch in batches:
             for lo in range(0, batch.num_rows, rows):
                 part = batch.slice(lo, rows)
-                keys = (index.keys(_vectors(part.column("v")))[:, :, None] ^ masks).reshape(part.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("c").to_numpy(), keys.shape[1]))], names=["key", name])
+                x = _vectors(part.column("v"))
+                keys = (index.keys(x)[:, :, None] ^ masks).reshape(len(x), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(a, keys.shape[1])) for a in (part.column("c").to_numpy(), index.signature(x)))], names=["key", name, name + "s"])
 
-    return table.select("c", "v").mapInArrow(work, f"key long, {name} long")
+    return table.select("c", "v").mapInArrow(work, f"key long, {name} long, {name}s long")
 
 
 def _true_pairs(classes: DataFrame, queries: DataFrame, k: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +146,10 @@ def _true_pairs(classes: DataFrame, queries: DataFrame, k: int, sampled: int) ->
 
 
 def candidates(classes: DataFrame, queries: DataFrame, shared) -> DataFrame:
-    """(q, c): the pairs that meet in a bucket, some more than once. classes and queries are (c, v)."""
-    return _entries(queries, shared, True, "q").join(_entries(classes, shared, False, "c"), "key").select("q", "c")
+    """(q, c): the pairs that meet in a bucket and whose signatures are near, some more than once. classes and queries are (c, v)."""
+    left, right = _entries(queries, shared, True, "q"), _entries(classes, shared, False, "c").withColumnRenamed("key", "k")
+    near = F.bit_count(F.col("qs").bitwiseXOR(F.col("cs"))) <= shared.value.near
+    return left.join(right, (F.col("key") == F.col("k")) & near).select("q", "c")
 
 
 def _ranked(shared, k: int):
@@ -210,7 +220,7 @@ def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_ro
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, fit_rows: int = 10_000, shard_rows: int = 8192, reach: int = 2, target: float = 0.92, cover: float = 0.99, sampled: int = 192) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, fit_rows: int = 10_000, shard_rows: int = 8192, reach: int = 2, target: float = 0.95, cover: float = 0.995, sampled: int = 192) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row whose vec_id is divisible by ``every``, ties to the smaller vec_id.
 
     Vectors that are null, zero or hold null or non-finite components, and rows without id, take no part; vectors are
