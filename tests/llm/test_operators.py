@@ -412,7 +412,8 @@ def test_license_files_and_wrapped_notices(spark):
 
 def test_license_cosine_plain(spark):
     lines = ["Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "copyright of this license belongs to nobody", "Licensed under CC BY 4.0."]
-    got = {r.line: (r.license, r.score) for r in license_scan.line_scores(spark.createDataFrame([(x, i + 1) for i, x in enumerate(lines)], "line string, n long"), license_scan.TEMPLATES, 0.0).collect()}
+    table = spark.createDataFrame([(i, -i, x, i + 1) for i, x in enumerate(lines)], "h1 long, h2 long, line string, n long")
+    got = {lines[r.h1]: (r.license, r.score) for r in license_scan.line_scores(table, license_scan.TEMPLATES, 0.0).collect()}
     terms = lambda t: Counter(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", t.lower()))
     total, df = 10, Counter()
     for i, x in enumerate(lines):
