@@ -66,6 +66,14 @@ def with_pieces(spans: DataFrame, ref: DataFrame) -> DataFrame:
     return cut.join(pieces, ["contig", "piece_no"]).drop("piece_no")
 
 
+def aligned_with_reference(reads: DataFrame, keep: list[str], ref: DataFrame) -> DataFrame:
+    """One row for each aligned base inside the reference: keep, contig, ref_pos, ref_base. Blocks meet the pieces, and are flattened after it."""
+    spans = blocks(reads, keep).filter("len > 0").withColumns({"start": F.col("block_start"), "end": F.col("block_start") + F.col("len")}).select(*keep, "contig", "start", "end")
+    each = with_pieces(spans, ref).select(*keep, "contig", "piece", "piece_start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("ref_pos"))
+    base = F.substr("piece", (F.col("ref_pos") - F.col("piece_start") + 1).cast("int"), F.lit(1))
+    return each.select(*keep, "contig", "ref_pos", base.alias("ref_base")).filter("ref_base <> ''")
+
+
 def with_reference(flat: DataFrame, ref: DataFrame) -> DataFrame:
     """flat(contig, ref_pos, ...) plus ref_base, by joining position and piece."""
     size = piece_size(ref)

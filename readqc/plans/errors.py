@@ -57,14 +57,18 @@ def kept_reads(reads: DataFrame, min_mapq: int = 20, include_duplicates: bool =
 _READ = ["mapq", "read_num", "strand", "pair_orientation", "isize", "gc", "reverse", "nm0"]
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    return I.merge(df).select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end"))
+
+
 def _inside(flat: DataFrame, intervals: DataFrame | None, mask: DataFrame | None) -> DataFrame:
-    """Rows at positions inside the intervals and outside the mask."""
+    """Rows at positions inside the intervals and outside the mask, whose spans may overlap."""
     point = lambda df: df.withColumn("a_start", F.col("ref_pos")).withColumn("a_end", F.col("ref_pos") + 1)
-    span = lambda df: I.merge(df).select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end"))
     if intervals is not None:
-        flat = I.range_join(point(flat), span(intervals)).drop("a_start", "a_end", "b_start", "b_end")
+        flat = I.range_join(point(flat), _merged(intervals)).drop("a_start", "a_end", "b_start", "b_end")
     if mask is not None:
-        hit = I.range_join(point(flat.select("contig", "ref_pos").distinct()), span(mask)).select("contig", "ref_pos")
+        spans = mask.select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end"))
+        hit = I.range_join(point(flat.select("contig", "ref_pos").distinct()), spans).select("contig", "ref_pos")
         flat = flat.join(hit, ["contig", "ref_pos"], "left_anti")
     return flat
 
@@ -100,7 +104,11 @@ def mismatch_rows(reads: DataFrame, ref: DataFrame, min_bq: int = 20, intervals=
     flat = kept.select(*_READ, "contig", "pos0", "seen", "quals", "mate", F.explode("blocks").alias("b"))
     flat = flat.select(*_READ, "contig", (F.col("pos0") + F.col("b.ref_off")).alias("at"), F.col("b.len").alias("len"), F.col("b.read_off").alias("off"), "seen", "mate", F.expr("substr(quals, b.read_off + 1, b.len)").alias("bqs"))
     flat = flat.select(*_READ, "contig", "at", "off", "len", "seen", "bqs", X.aligned_to("mate.bases", " ").alias("mate_bases"), X.aligned_to("mate.quals", "!").alias("mate_quals"))
-    parts = bases.with_pieces(flat.filter("len > 0").withColumns({"start": F.col("at"), "end": F.col("at") + F.col("len")}), ref)
+    spans = flat.filter("len > 0").withColumns({"start": F.col("at"), "end": F.col("at") + F.col("len")})
+    if intervals is not None:  # blocks are cut to the intervals before they are flattened
+        met = I.range_join(spans.withColumnsRenamed({"start": "a_start", "end": "a_end"}), _merged(intervals))
+        spans = met.withColumns({"start": F.greatest("a_start", "b_start"), "end": F.least("a_end", "b_end")}).drop("a_start", "a_end", "b_start", "b_end")
+    parts = bases.with_pieces(spans, ref)
     each = parts.select("*", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("ref_pos"))
     i = (F.col("ref_pos") - F.col("at")).cast("int")
     one = lambda text, k: F.substr(text, k + 1, F.lit(1))
@@ -108,11 +116,7 @@ def mismatch_rows(reads: DataFrame, ref: DataFrame, min_bq: int = 20, intervals=
     mate = F.when(score("mate_quals") >= min_bq, _code(one("mate_bases", i), F.col("reverse")))
     each = each.select(*_READ, "contig", "ref_pos", (F.col("off") + i).alias("read_off"), "seen", score("bqs").alias("bq"), mate.alias("mate_base"), F.substr("piece", (F.col("ref_pos") - F.col("piece_start") + 1).cast("int"), F.lit(1)).alias("r"))
     each = each.filter((F.col("bq").isNull() | (F.col("bq") >= min_bq)) & (F.instr(F.lit("ACGT"), F.col("r")) > 0) & (F.length("r") == 1) & (F.instr(F.lit("ACGT"), F.substr("seen", F.col("read_off") + 2, F.lit(1))) > 0))
-    if intervals is not None or mask is not None:
-        each = _inside(_own_columns(each), intervals, mask)
-        out = _with_reference_codes(each, F.col("r"))
-    else:
-        out = _with_reference_codes(_own_columns(each), F.col("r"))
+    out = _with_reference_codes(_inside(_own_columns(each), None, mask), F.col("r"))
     error = (F.col("read_base") != F.col("ref_base")).cast("int")
     return out.withColumn("error", error).withColumns({"nm": F.greatest(F.col("nm0") - F.col("error"), F.lit(0)), "indel_len": F.lit(0)})
 

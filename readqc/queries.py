@@ -490,8 +490,7 @@ def error_masked(spark, d):
 @query(sql(" SELECT read_id, CAST(ref_pos AS BIGINT) AS ref_pos, ref_base FROM bs JOIN refb USING (contig, ref_pos)"))
 def ref_lookup(spark, d):
     t = T(spark, d)
-    flat = bases.aligned(t.reads, ["read_id"])
-    return bases.with_reference(flat, t.ref).select("read_id", "ref_pos", "ref_base")
+    return bases.aligned_with_reference(t.reads, ["read_id"], t.ref).select("read_id", "ref_pos", "ref_base")
 
 
 @query(sql(" SELECT orient AS pair_orientation, CAST(median(s) AS DOUBLE) AS median FROM h GROUP BY orient", _HIST))
