@@ -187,3 +187,20 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay: of each component those of its smallest id, and all rows without id. Columns as given."""
     marks = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(marks, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM words
+), entries AS (
+  SELECT doc_id, unnest(sh) AS v, len(sh) AS n FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM entries a JOIN entries b ON a.v = b.v AND a.doc_id <> b.doc_id AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 80
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.root
+)
+SELECT sets.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(root) AS component_id, sets.doc_id = min(root) AS kept FROM sets JOIN reach USING (doc_id) GROUP BY sets.doc_id, sh
+"""

@@ -63,4 +63,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op4_near_duplicates": minhash.SQL}
