@@ -121,3 +121,41 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] | None = None,
     has, inherits = F.col("license").isNotNull(), F.col("from").isNotNull()
     how = F.when(has, F.when(F.col("whole"), "file").otherwise("header")).when(inherits, "inherited")
     return out.select("doc_id", F.coalesce("license", "from.license").alias("license"), how.alias("how"), F.coalesce("score", "from.score").alias("score"), F.when(has, F.col("path")).otherwise(F.col("from.at")).alias("found_in"))
+
+
+def sql(path: str, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = 0.45, file_share: float = 0.5, term_share: float = 0.6, least_terms: int = 30) -> str:
+    """The rows of scan over documents, whose path is the given SQL expression."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    forms = ", ".join(f"({quoted(name)}, {i}, {quoted(text)})" for name, ts in templates.items() for i, text in enumerate(ts))
+    term = lambda c: f"regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+    words = lambda c: f"len(regexp_split_to_array({c}, '[ \\t-\\r]+'))"
+    return f"""
+WITH files AS (SELECT doc_id, {path} AS path, text FROM documents), forms AS (SELECT * FROM (VALUES {forms}) t(license, form, text)),
+vocabulary AS (SELECT list_distinct(flatten(list({term("text")}))) AS known FROM forms),
+rows_ AS (SELECT doc_id, path AS p, {words("text")} AS words, text, string_split(text, chr(10)) AS lines, coalesce(regexp_matches(path, {quoted(FILE_NAME)}), false) AS named, list_distinct({term("text")}) AS own FROM files WHERE regexp_matches(text, {quoted(HEADER)}) OR (regexp_matches(path, {quoted(FILE_NAME)}) AND text <> '')),
+each AS (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM rows_),
+heads AS (SELECT doc_id, p, words, lines[i] AS line, array_to_string(lines[i : i + 2], ' ') AS wrapped FROM each WHERE regexp_matches(lines[i], {quoted(HEADER)})),
+texts AS (
+  SELECT doc_id, p, words, {words("line")} AS own_words, line, false AS file FROM heads UNION ALL SELECT doc_id, p, words, {words("line")}, wrapped, false FROM heads WHERE wrapped <> line
+  UNION ALL SELECT doc_id, p, words, words, text, true FROM rows_, vocabulary WHERE named OR (len(own) >= {least_terms} AND len(list_intersect(own, known)) >= len(own) * {term_share})
+),
+lines_ AS (SELECT line, count(*) AS n FROM texts GROUP BY line), total AS (SELECT coalesce(sum(n), 0) AS total FROM lines_),
+tf AS (SELECT line, n, w, count(*) AS tf FROM (SELECT line, n, unnest({term("line")}) AS w FROM lines_) x GROUP BY ALL), df AS (SELECT w, sum(n) AS df FROM tf GROUP BY w),
+idf AS (SELECT w, ln((1.0 + total) / (1.0 + df)) + 1.0 AS idf FROM df, total),
+weighted AS (SELECT line, w, tf.tf * idf AS x FROM tf JOIN idf USING (w)), norms AS (SELECT line, sqrt(sum(x * x)) AS norm FROM weighted GROUP BY line),
+known AS (SELECT license, form, w, count(*) AS tf FROM (SELECT license, form, unnest({term("text")}) AS w FROM forms) x GROUP BY ALL),
+knownx AS (SELECT license, form, known.w, known.tf * coalesce(idf, ln(1.0 + total) + 1.0) AS y FROM known LEFT JOIN idf USING (w), total),
+knowny AS (SELECT license, form, w, y / sqrt(sum(y * y) OVER (PARTITION BY license, form)) AS y FROM knownx),
+dots AS (SELECT line, license, form, sum(x * y) AS dot FROM weighted JOIN knowny USING (w) GROUP BY ALL),
+scored AS (SELECT line, license, round(dot / norm, 9) AS score FROM dots JOIN norms USING (line) WHERE round(dot / norm, 9) >= {least}),
+best AS (SELECT line, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
+hits AS (SELECT texts.*, license, score, file OR coalesce(regexp_matches(p, {quoted(FILE_NAME)}), false) OR own_words >= words * {file_share} AS whole FROM texts JOIN best USING (line)),
+own AS (SELECT doc_id, p, min((-score, license)) AS b, bool_or(whole) AS whole FROM hits GROUP BY doc_id, p),
+above AS (SELECT regexp_replace(p, '/?[^/]*$', '') AS place, min(b) AS b FROM own WHERE whole GROUP BY 1),
+dirs AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
+steps AS (SELECT dir, unnest(range(0, len(string_split(dir, '/')) + 1)) AS depth FROM dirs),
+near AS (SELECT dir, place, b FROM (SELECT dir, depth, array_to_string(string_split(dir, '/')[1 : depth], '/') AS place FROM steps) x JOIN above USING (place) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY depth DESC) = 1)
+SELECT files.doc_id, coalesce(struct_extract(own.b, 2), struct_extract(near.b, 2)) AS license, CASE WHEN own.b IS NOT NULL THEN CASE WHEN whole THEN 'file' ELSE 'header' END WHEN near.b IS NOT NULL THEN 'inherited' END AS how,
+  coalesce(-struct_extract(own.b, 1), -struct_extract(near.b, 1)) AS score, CASE WHEN own.b IS NOT NULL THEN path ELSE near.place END AS found_in
+FROM files LEFT JOIN own ON own.doc_id = files.doc_id AND own.p = files.path LEFT JOIN near ON near.dir = regexp_replace(files.path, '/?[^/]*$', '')
+"""

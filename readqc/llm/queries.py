@@ -35,6 +35,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir).withColumn("path", path))
 
 
+#: The same path in SQL.
+_PATH_SQL = "concat_ws('/', coalesce(source, 'unknown'), CAST(CAST(floor(doc_id / 100) AS BIGINT) AS VARCHAR), CAST(doc_id AS VARCHAR))"
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -63,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op4_near_duplicates": minhash.SQL}
+    return {"op2_line_dedup": line_dedup.SQL, "op4_near_duplicates": minhash.SQL, "op6_license_scan": license_scan.sql(_PATH_SQL)}
