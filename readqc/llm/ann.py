@@ -89,9 +89,9 @@ class Index:
         return np.array([sum(1 << b for b in bits) for n in range(reach + 1) for bits in itertools.combinations(range(self.codes.bits), n)], np.int64)
 
     def signature(self, x: np.ndarray) -> np.ndarray:
-        """(n) the first bits of each code as one number."""
+        """(n) the first bits of each code as one number without sign."""
         on = (unit(x) - self.codes.mean) @ self.codes.axes[:, :SIGNATURE] > 0
-        return (on @ (np.uint64(1) << np.arange(on.shape[1], dtype=np.uint64))).view(np.int64)
+        return on @ (np.uint64(1) << np.arange(on.shape[1], dtype=np.uint64))
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """(n, parts) keys of buckets."""
@@ -113,7 +113,7 @@ def _entries(table: DataFrame, shared, probe: bool, name: str, rows: int = 256)
                 part = batch.slice(lo, rows)
                 x = _vectors(part.column("v"))
                 keys = (index.keys(x)[:, :, None] ^ masks).reshape(len(x), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(a, keys.shape[1])) for a in (part.column("c").to_numpy(), index.signature(x)))], names=["key", name, name + "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(a, keys.shape[1])) for a in (part.column("c").to_numpy(), index.signature(x).view(np.int64)))], names=["key", name, name + "s"])
 
     return table.select("c", "v").mapInArrow(work, f"key long, {name} long, {name}s long")
 
