@@ -665,6 +665,57 @@ def decontam_words(text):
     return [w.decode() for w in decontam.words_of(text.encode())]
 
 
+NAMES = ("row", "id", "t", "pos", "keep", "lines", "kept", "sums", "bytes", "h", "cut", "src", "pieces", "names", "odd", "of", "new", "h1", "q", "c", "key", "b", "rep", "_row", "_n", "map_id", "slot", "first")
+
+
+@pytest.fixture()
+def clashing(spark):
+    """Rows that share ids and texts, or have no id, with columns named like internal ones, all holding the row's number."""
+    texts = ["Mr John Smith wrote to a@b.org and to nobody else in this whole long line.", "second text of several words\nand more", None, "", "third text that repeats, and repeats, in many rows of this table"]
+    rows = [((i % 7) or None, texts[i % 5], "en" if i % 2 else "fr", "s" if i % 3 else None, i, *([str(i)] * len(NAMES))) for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in NAMES))
+
+
+@pytest.mark.parametrize("op", ["mix", "lines", "language", "surrogates"])
+def test_clashing_names(clashing, op):
+    """Operators that keep the columns of their input keep their values, row by row."""
+    run = {"mix": mixing.mix, "lines": line_dedup.dedup_lines, "language": lambda d: langid.predict(d, langid.train(d)), "surrogates": lambda d: pii.anonymise(d, "k")}[op]
+    out = run(clashing)
+    assert set(clashing.columns) <= set(out.columns)
+    got = sorted(str(tuple(r[c] for c in clashing.columns)) for r in out.collect())
+    assert got == sorted(str(tuple(r)) for r in clashing.collect())
+
+
+@pytest.mark.parametrize("op", ["hmm", "near", "contaminated", "licenses", "toxicity", "identify"])
+def test_clashing_names_narrow(spark, clashing, op):
+    """Operators that return a row a document, or the matches, do so for rows that share ids or have none."""
+    items = spark.createDataFrame([(1, "third text that repeats, and repeats, in many rows", "x")], "item_id long, text string, b string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 7)], "doc_id long, quality int, toxic int")
+    n = clashing.count()
+    if op == "hmm":
+        assert hmm.score(clashing, sample=20, warm=2, iterations=1).count() == n
+    elif op == "near":
+        out = minhash.near_duplicates(clashing).collect()
+        assert len(out) == n and all(r.kept for r in out if r.doc_id is None)
+    elif op == "contaminated":
+        assert {r.doc_id for r in decontam.contaminated(clashing, items).collect()} == {(i % 7) or None for i in range(60) if i % 5 == 4}
+    elif op == "licenses":
+        assert license_scan.scan(clashing.withColumn("path", F.col("source"))).count() == n
+    elif op == "toxicity":
+        assert toxicity.score(clashing, labels).count() == n
+    else:
+        assert langid.identify(clashing).count() == n
+
+
+@pytest.mark.parametrize("name", ["language", "lines", "near_duplicates", "decontamination", "mixture"])
+def test_stages_keep_columns(clashing, name):
+    import corpus_pipeline
+
+    out = dict(corpus_pipeline.STAGES)[name](clashing.sparkSession, clashing, DATA)
+    assert out.columns[: len(clashing.columns)] == clashing.columns and (name == "mixture" or out.columns == clashing.columns)
+    assert all(r.row == r.slot == r.key for r in out.collect())
+
+
 @pytest.mark.parametrize("name", ["language", "lines", "near_duplicates", "decontamination", "mixture"])
 def test_stages_odd(spark, docs_of, odd_rows, name):
     import corpus_pipeline
