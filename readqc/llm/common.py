@@ -36,6 +36,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def scaled_vectors(vectors: DataFrame, scale: int, *columns: str) -> DataFrame:
+    """The columns and v, floor(scale * x) of each component as int, of the rows whose embedding is not null or empty and holds only finite components."""
+    finite = F.forall("_v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))  # NaN is larger than infinity
+    rows = vectors.select(*columns, F.col("embedding").cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull() & (F.size("_v") > 0) & finite)
+    return rows.select(*columns, F.transform("_v", lambda x: F.floor(x * scale).cast("int")).alias("v"))
+
+
 def remainder(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as 0 + 1, so it is never held out."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n, F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hmm, langid, license_scan, line_dedup, minhash, mixing, pii, toxicity
+from . import ann, decontam, hmm, langid, license_scan, line_dedup, minhash, mixing, pii, toxicity, vector_codes
 from .common import documents
 
 
@@ -55,6 +55,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,9 +66,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_mixing, op2_line_dedup, op3_hmm_scoring, op4_near_duplicates, op5_decontamination, op6_license_scan, op7_neighbours, op8_toxicity, op9_surrogates, op10_language_id, pipeline)
+    ops = (op1_mixing, op2_line_dedup, op3_hmm_scoring, op4_near_duplicates, op5_decontamination, op6_license_scan, op7_neighbours, op8_toxicity, op9_surrogates, op10_language_id, op11_vector_codes, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.SQL, "op4_near_duplicates": minhash.SQL, "op6_license_scan": license_scan.sql(_PATH_SQL)}
+    return {"op2_line_dedup": line_dedup.SQL, "op4_near_duplicates": minhash.SQL, "op6_license_scan": license_scan.sql(_PATH_SQL), "op11_vector_codes": vector_codes.sql()}
