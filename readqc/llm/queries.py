@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, hmm, langid, license_scan, line_dedup, minhash, mixing, pii, toxicity, vector_codes, whitening
+from . import ann, decontam, hmm, langid, license_scan, line_dedup, minhash, mixing, pii, secret_scan, toxicity, vector_codes, whitening
 from .common import documents
 
 
@@ -59,6 +59,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summary(documents(spark, sf_dir))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_mixing, op2_line_dedup, op3_hmm_scoring, op4_near_duplicates, op5_decontamination, op6_license_scan, op7_neighbours, op8_toxicity, op9_surrogates, op10_language_id, op11_vector_codes, op13_whitening, pipeline)
+    ops = (op1_mixing, op2_line_dedup, op3_hmm_scoring, op4_near_duplicates, op5_decontamination, op6_license_scan, op7_neighbours, op8_toxicity, op9_surrogates, op10_language_id, op11_vector_codes, op12_secret_scan, op13_whitening, pipeline)
     return {f.__name__: f for f in ops}
 
 
