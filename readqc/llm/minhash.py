@@ -66,16 +66,17 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the documents in ids, and of a few others."""
+    """(id, key, shingles) of the documents in ids, and of a few others: each set of an id once, however many rows hold it."""
 
     def work(batches):
         hashes = WordHashes()
         for batch in pieces(batches):
             sets = [shingle_set(b, hashes, width) for b in batch.column("b").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array(sets, pa.list_(pa.int64()))], names=["id", "key", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("b"))
-    return near_ids(rows, "id", ids).mapInArrow(work, "id long, shingles array<long>")
+    return near_ids(rows, "id", ids).mapInArrow(work, "id long, key binary, shingles array<long>").dropDuplicates(["id", "key"])
 
 
 def list_keys(threshold: int):
@@ -107,12 +108,12 @@ def _confirmed(docs: DataFrame, heads: DataFrame, pairs: DataFrame, width: int,
     """The pairs (a, b) whose sketches allow the threshold and whose full sets reach it."""
     side = lambda name: heads.select(F.col("id").alias(name), F.struct("n", "sketch").alias(name + "_"))
     near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("a_").alias("a"), F.col("b_").alias("b"))
-    pairs = stored(near.filter(_alike(threshold, k)).select(F.col("x").alias("a"), F.col("y").alias("b")), "pairs")
+    pairs = stored(near.filter(_alike(threshold, k)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = stored(full_sets(docs, ids, width), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("_a")), "a")
     inter = F.size(F.array_intersect("_a", "_b"))
-    return joined.withColumn("_i", inter).filter(F.col("_i") * 100 >= (F.size("_a") + F.size("_b") - F.col("_i")) * threshold).select("a", "b")
+    return joined.withColumn("_i", inter).filter(F.col("_i") * 100 >= (F.size("_a") + F.size("_b") - F.col("_i")) * threshold).select("a", "b").distinct()
 
 
 def _rest(docs: DataFrame, heads: DataFrame, open_ids: DataFrame, width: int, threshold: int, k: int) -> DataFrame:
@@ -122,9 +123,9 @@ def _rest(docs: DataFrame, heads: DataFrame, open_ids: DataFrame, width: int, th
     first n - ceil(n * threshold / 100) + 1 of each meet in one; what a document alone has takes most of these places.
     """
     sets = stored(full_sets(docs, open_ids.select("id"), width).join(open_ids, "id"), "sets")
-    values = sets.select("id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    values = sets.select("id", "root", "key", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
     common = values.groupBy("v").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("df > 1").select("v", "df", (F.col("r1") < F.col("r2")).alias("mixed"))
-    own = values.join(common, "v").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v", "mixed"))).alias("x"))
+    own = values.join(common, "v").groupBy("id", "root", "key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v", "mixed"))).alias("x"))
     left = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1 - (F.col("n") - F.size("x"))
     own = own.withColumn("first", F.col("n") - F.size("x"))
     placed = F.transform(F.slice("x", 1, F.greatest(left, F.lit(0)).cast("int")), lambda e, i: F.struct(e["v"].alias("v"), e["mixed"].alias("mixed"), i.alias("i")))
@@ -143,14 +144,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, k: int
     """(doc_id, n_shingles, component_id, kept) of every row; two documents are linked if their sets of shingles have 100 * intersection >= threshold * union.
 
     A null or wordless text has no shingles and no links. Rows with a null id are linked with nothing: n_shingles and
-    component_id are null and kept is true. Rows that share an id are one document for links. Other columns are ignored.
+    component_id are null and kept is true. Rows that share an id are one document for links, and equal rows are compared
+    once. Other columns are ignored.
     """
     if not 80 <= threshold <= 99:
         raise ValueError("threshold must be from 80 to 99")
-    rows = stored(sketches(docs, width, k), "sketches")
-    classes = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    rows = stored(sketches(docs, width, k).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = rows.filter("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min_by("row", "id").alias("row"))
     classes = stored(classes, "classes")
-    heads = rows.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"], "left_semi").select("id", "n", "sketch")
+    # One row of each class goes on, so that repeated rows don't meet each other in the joins below.
+    heads = rows.join(classes.select("row"), "row", "left_semi").select("id", "n", "sketch")
 
     # Sets of n shingles with 100 * n < threshold * (n + 1) can only be linked with equal ones.
     heads = stored(heads.filter(F.col("n") * 100 >= (F.col("n") + 1) * threshold), "heads")
@@ -177,7 +180,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80, k: int
 
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     # A component's smallest document is the smallest of its classes' smallest ones, which is its root.
-    out = rows.drop("sketch").join(named, "key", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.drop("sketch", "row").join(named, "key", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nulls = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(nulls)

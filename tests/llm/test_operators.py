@@ -723,3 +723,13 @@ def test_stages_odd(spark, docs_of, odd_rows, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     assert stage(spark, docs_of(odd_rows), DATA).count() <= len(odd_rows)
     assert stage(spark, docs_of([]), DATA).count() == 0
+
+
+def test_near_duplicates_among_many_repeated_rows(spark):
+    """Two near documents, 2,000 rows each under one id, and as many rows of other texts under a third id, cost no more than their rows."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base[:-2] + ["x", "y"])]
+    rows = [(i + 1, t) for _ in range(2000) for i, t in enumerate(texts)] + [(3, f"other text number {i} of these rows") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = minhash.near_duplicates(df, width=2).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, out)) == [(1, 1, 2000), (2, 1, 2000), (3, 3, 2000)]
