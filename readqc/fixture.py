@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sinks
 from .functions.expressions import parse_cigar
-from .store import stored
+from .sources.bam_writer import write_bam
+from .store import claimed, stored, write_text
 
 _reads: dict[tuple[str, str], DataFrame] = {}
+_files: dict[tuple[str, str, str], str] = {}
+HEADER = ("@HD\tVN:1.6", "@RG\tID:a\tSM:orders")
 CONTIG_LENGTH = 19_456
 CHUNK = "CASE WHEN ({k}) % 29 = 0 THEN 'NNNNNNNNNNNNNNNNNNNNNNNNNNNNNNNN' ELSE translate(md5('chr' || CAST({c} AS VARCHAR(9)) || ':' || CAST({k} AS VARCHAR(9))), '0123456789abcdef', 'ACGTACGTACGTACGT') END"
 _DIV = "CAST(FLOOR({a} / 32.0) AS BIGINT)"
@@ -92,3 +96,39 @@ class Tables:
     @property
     def variants(self) -> DataFrame:
         return self._sql(VARIANTS_SQL, "events")
+
+    def file(self, name: str) -> str:
+        """The path of one of the tables in a format of the sources, written once a session and folder: reads.bam, reads.sam, reads.sam.gz, ref.fa, targets.bed, baits.interval_list, variants.vcf."""
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _files:
+            path = f"{claimed(self.spark, 'files')}/{name}"
+            self._write(name, path)
+            _files[key] = path
+        return _files[key]
+
+    def _write(self, name: str, path: str) -> None:
+        if name == "reads.bam":
+            write_bam(self.reads, self.contigs, path, HEADER)
+        elif name.startswith("reads.sam"):
+            sinks.sam_lines(self.reads, self.contigs, HEADER).write.text(path, compression="gzip" if name.endswith(".gz") else "none")
+        elif name == "ref.fa":
+            out, index = "", ""
+            for c in self.contigs.orderBy("ref_id").collect():
+                bases = "".join(r.seq for r in self.ref.filter(F.col("contig") == c.contig).orderBy("start0").collect())  # three contigs of CONTIG_LENGTH
+                out += f">{c.contig} of the fixture\n"
+                index += f"{c.contig}\t{len(bases)}\t{len(out)}\t60\t61\n"
+                out += "".join(f"{bases[i : i + 60]}\n" for i in range(0, len(bases), 60))
+            write_text(self.spark, path, out)
+            write_text(self.spark, path + ".fai", index)
+        elif name == "targets.bed":  # every third one has no name of its own
+            named = F.when(F.col("start0") % 3 == 0, ".").otherwise(F.col("name"))
+            self.targets.select(F.concat_ws("\t", "contig", F.col("start0").cast("string"), F.col("end0").cast("string"), named).alias("value")).write.text(path)
+        elif name == "baits.interval_list":
+            head = self.spark.createDataFrame([(i, x) for i, x in enumerate([HEADER[0], *(f"@SQ\tSN:{r.contig}\tLN:{r.length}" for r in self.contigs.orderBy("ref_id").collect())])], "at long, value string")
+            body = self.baits.select((F.lit(9) + F.col("start0")).alias("at"), F.concat_ws("\t", "contig", (F.col("start0") + 1).cast("string"), F.col("end0").cast("string"), F.lit("+"), "name").alias("value"))
+            head.union(body).orderBy("at").select("value").write.text(path)
+        else:  # a record's span is that of its REF, or ends at END
+            size = (F.col("end0") - F.col("start0")).cast("int")
+            long = F.col("start0") % 2 == 0
+            fields = ["contig", (F.col("start0") + 1).cast("string"), "name", F.when(long, "A").otherwise(F.repeat(F.lit("A"), size)), F.lit("C"), F.lit("."), F.lit("."), F.when(long, F.concat(F.lit("AC=1;END="), F.col("end0").cast("string"))).otherwise("AC=1")]
+            self.variants.select(F.concat_ws("\t", *fields).alias("value")).write.text(path)

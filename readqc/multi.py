@@ -28,6 +28,19 @@ class Inputs:
 #: What each program needs besides reads.
 NEEDS = {"alignment": (), "basic": (), "isize": (), "wgs": ("ref",), "gcbias": ("ref", "contigs"), "hybcap": ("baits", "targets", "contigs"), "error": ("ref",)}
 
+_PLACE = ("ref_id", "contig", "pos0", "mate_ref_id", "mate_pos0", "tlen", "cigar")
+#: Columns of reads that each program uses, for sources that decode no others.
+COLUMNS = {
+    "alignment": ("flags", *_PLACE, "mapq", "seq", "quals", "nm", "mq", "has_sa"), "basic": ("flags", "seq", "quals"), "isize": ("flags", "ref_id", "pos0", "mate_ref_id", "mate_pos0", "tlen", "cigar"), "wgs": ("read_id", "qname", "flags", *_PLACE, "mapq", "quals"),
+    "gcbias": ("flags", "contig", "pos0", "cigar", "mapq", "seq", "quals", "nm"), "hybcap": ("read_id", "qname", "flags", *_PLACE, "mapq", "seq", "quals"), "error": ("read_id", "qname", "flags", *_PLACE, "mapq", "seq", "quals", "nm"),
+}
+
+
+def columns_of(tools: list[str]) -> list[str]:
+    """The union of the columns that several programs use."""
+    used = {c for t in tools for c in COLUMNS[t]}
+    return [c.split(" ")[0] for c in schema.READS.replace("op:string,len:int", "").split(", ") if c.split(" ")[0] in used]
+
 
 def tables(tool: str, x: Inputs) -> dict[str, DataFrame]:
     """The lazy tables of one program."""
@@ -170,10 +183,10 @@ def main(argv: list[str] | None = None) -> None:
     if tools == ["error"] and kind == "bam" and inside is not None:
         from .sources.bam import bam_intervals
 
-        x.reads = bam_intervals(spark, a["input"], inside)
+        x.reads = bam_intervals(spark, a["input"], inside, columns_of(tools))
     else:
-        x.reads = text.reads(spark, a["input"])
-    if len(set(tools)) > 1 and kind == "sam":
+        x.reads = text.reads(spark, a["input"], columns_of(tools))
+    if len(set(tools)) > 1 and kind in ("sam", "bam"):
         x.reads = stored(x.reads, "reads")  # one decode for all programs, of which each then reads its columns
     for name, df in run(tools, x).items():
         print(sinks.write_tsv(df, name, a["output"]))

@@ -515,3 +515,6 @@ def multi_tables(spark, d):
 @query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{x}', '{w}')" for i, (n, (x, _, _, w)) in enumerate(TABLES.items())) + ") t(position, name, suffix, description)")
 def docs_table(spark, d):
     return sinks.docs_table(spark)
+
+
+from . import source_queries  # noqa: E402, F401 - adds its queries to those of this module

@@ -90,18 +90,6 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def inflate_range(data: bytes, first: int, begin: int, end: int) -> bytes:
-    """The bytes between two virtual offsets; data holds whole blocks from the file offset ``first`` on."""
-    out, at = [], begin >> 16
-    while at < first + len(data) and at <= end >> 16:
-        size = struct.unpack_from("<H", data, at - first + 16)[0] + 1
-        part = zlib.decompress(data[at - first : at - first + size], 31)
-        lo, hi = (begin & 0xFFFF if at == begin >> 16 else 0), (end & 0xFFFF if at == end >> 16 else len(part))
-        out.append(part[lo:hi])
-        at += size
-    return b"".join(out)
-
-
 @dataclass
 class Index:
     """Bins of each reference with their chunks of virtual offsets, and the least offsets of the linear index."""
@@ -180,9 +168,183 @@ def find_index(spark: SparkSession, path: str, endings: tuple[str, ...]) -> Inde
     return None
 
 
-def read_chunks(spark: SparkSession, path: str, chunks: list[tuple[int, int]], most: int) -> DataFrame | None:
-    """(b): the inflated bytes of each chunk, a row a chunk, from compressed ranges of at most ``most`` bytes in all; None beyond."""
-    if sum((b >> 16) - (a >> 16) + BLOCK for a, b in chunks) > most:
-        return None
-    rows = [(bytearray(inflate_range(read_range(spark, path, a >> 16, (b >> 16) - (a >> 16) + BLOCK), a >> 16, a, b)),) for a, b in chunks]
-    return spark.createDataFrame(rows, "b binary")
+# What follows runs in executors, which have no access to the files but pyarrow's.
+
+
+def _opened(path: str):
+    """(file system, path in it)."""
+    from pyarrow import fs
+
+    if "://" not in path:
+        return fs.LocalFileSystem(), path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path)
+
+
+def reachable(path: str) -> bool:
+    """Whether pyarrow opens files of this kind of path."""
+    try:
+        _opened(path)
+    except Exception:  # unknown scheme, or a store whose client is missing: Spark's readers are left
+        return False
+    return True
+
+
+def open_file(path: str):
+    """(file, size)."""
+    system, inside = _opened(path)
+    file = system.open_input_file(inside)
+    return file, file.size()
+
+
+def listed(path: str) -> list[tuple[str, int]]:
+    """(path, size) of a file, or of a folder's files in order."""
+    from pyarrow import fs
+
+    system, inside = _opened(path)
+    info = system.get_file_info(inside)
+    if info.type == fs.FileType.File:
+        return [(path, info.size)]
+    found = system.get_file_info(fs.FileSelector(inside)) if info.type == fs.FileType.Directory else []
+    out = sorted((f"{path.rstrip('/')}/{f.base_name}", f.size) for f in found if f.is_file and f.base_name[0] not in "_." and f.base_name.endswith(".bam"))
+    if not out:
+        raise FileNotFoundError(path)
+    return out
+
+
+def index_beside(path: str) -> Index | None:
+    """BAI or CSI beside a BAM file."""
+    for name in (path + ".bai", path.rsplit(".", 1)[0] + ".bai", path + ".csi"):
+        try:
+            file, size = open_file(name)
+        except FileNotFoundError:
+            continue
+        return parse_index(file.read_at(size, 0))
+    return None
+
+
+def next_block(file, size: int, begin: int) -> int | None:
+    """Offset of the first block at or after an offset: MAGIC, from which another block, or the file's end, follows."""
+    data, at = file.read_at(min(4 * BLOCK, size - begin), begin), 0
+    while (at := data.find(MAGIC, at)) >= 0:
+        if at + 18 <= len(data):
+            after = at + struct.unpack_from("<H", data, at + 16)[0] + 1
+            if data[after : after + 16] == MAGIC or begin + after == size:
+                return begin + at
+        at += 1
+    return None
+
+
+def inflated(file, size: int, begin: int, part: int = 1 << 20):
+    """(offset, bytes) of each block from an offset on."""
+    data, first, at = b"", begin, 0
+    while first + at < size:
+        have = len(data) - at
+        if have < 18 or have < (n := struct.unpack_from("<H", data, at + 16)[0] + 1):
+            data, first, at = data[at:] + file.read_at(min(part, size - first - len(data)), first + len(data)), first + at, 0
+            if len(data) == have:
+                raise ValueError("a BGZF file ends inside a block")
+            continue
+        if data[at : at + 16] != MAGIC:
+            raise ValueError("not a BGZF file")
+        yield first + at, zlib.decompress(data[at + 18 : at + n - 8], -15)
+        at += n
+
+
+def _between(file, size: int, begin: int, end: int):
+    """The bytes between two places, block by block."""
+    for at, block in inflated(file, size, begin >> 16):
+        if at > end >> 16:
+            return
+        yield block[begin & 0xFFFF if at == begin >> 16 else 0 : end & 0xFFFF if at == end >> 16 else len(block)]
+
+
+def _of_split(file, size: int, begin: int, end: int):
+    """The bytes of the lines that begin in a split: after the first line end from its first block on (a file's first split: from its start) to the first line end from the next split's first block on."""
+    start, stop = (0 if begin == 0 else next_block(file, size, begin)), next_block(file, size, end) if end < size else None
+    if start is None or start >= end:
+        return
+    skip = begin > 0
+    for at, block in inflated(file, size, start):
+        last = stop is not None and at >= stop
+        if skip:
+            cut = block.find(b"\n")
+            if last and cut >= 0:
+                return
+            if cut < 0:
+                continue
+            block, skip = block[cut + 1 :], False
+        elif last and (cut := block.find(b"\n")) >= 0:
+            yield block[: cut + 1]
+            return
+        yield block
+
+
+def _lines(parts):
+    """Batches (value) of the lines of consecutive bytes."""
+    import pyarrow as pa
+
+    held = b""
+    for part in parts:
+        held += part
+        if len(held) >= 1 << 20:
+            whole, _, rest = held.rpartition(b"\n")
+            if whole:
+                yield pa.RecordBatch.from_arrays([pa.array(whole.split(b"\n"), pa.binary()).cast(pa.string())], names=["value"])
+                held = rest
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(held.removesuffix(b"\n").split(b"\n"), pa.binary()).cast(pa.string())], names=["value"])
+
+
+def is_blocked(spark: SparkSession, path: str) -> bool:
+    return read_range(spark, files(spark, path)[0][0], 0, 16) == MAGIC
+
+
+def text_lines(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """(value): the lines of BGZF files that executors can open, in order, a task a split."""
+    splits = [(f, a, min(a + split_bytes, size)) for f, size in files(spark, path) for a in range(0, size, split_bytes)]
+
+    def work(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                name, begin, end = splits[i]
+                file, size = open_file(name)
+                yield from _lines(_of_split(file, size, begin, end))
+
+    return spark.range(0, len(splits), 1, len(splits)).mapInArrow(work, "value string")
+
+
+def range_lines(spark: SparkSession, path: str, groups: list[list[tuple[int, int]]]) -> DataFrame:
+    """(value): the lines between places of one file, a task a group of ranges; nothing comes to the driver."""
+    sent = spark.sparkContext.broadcast(groups)
+
+    def work(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                file, size = open_file(path)
+                for begin, end in sent.value[i]:
+                    yield from _lines(_between(file, size, begin, end))
+
+    return spark.range(0, len(groups), 1, max(1, len(groups))).mapInArrow(work, "value string")
+
+
+def merged_ranges(chunks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges, sorted and without overlap."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(chunks):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def grouped(ranges: list[tuple[int, int]], size: int) -> list[list[tuple[int, int]]]:
+    """Ranges of places dealt in order to groups of about size compressed bytes each."""
+    out, held = [], size
+    for a, b in ranges:
+        if held >= size:
+            out.append([])
+            held = 0
+        out[-1].append((a, b))
+        held += (b >> 16) - (a >> 16) + BLOCK // 4
+    return out

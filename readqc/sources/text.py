@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import gzip
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,37 @@ def detect_format(path: str) -> str:
     raise ValueError(f"unknown alignment format: {path}")
 
 
+def lines_of(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """(value): lines of a text file. BGZF is read by many tasks; other gzip files, which can't be split, by one each."""
+    if path.lower().endswith((".gz", ".bgz")) and bgzf.is_blocked(spark, path) and bgzf.reachable(bgzf.files(spark, path)[0][0]):
+        return bgzf.text_lines(spark, path, split_bytes)
+    return spark.read.text(path)
+
+
+def _start_of(data: bytes) -> bytes:
+    """The beginning of a text file from that of its bytes, inflated if they are gzip."""
+    out = b""
+    while data[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        out += d.decompress(data)
+        data = d.unused_data
+        if not d.eof or not data:
+            return out
+    return out + data
+
+
 def sam_header(spark: SparkSession, path: str) -> list[str]:
-    """The lines that begin with @; they are few."""
-    return [r.value for r in spark.read.text(path).filter("value LIKE '@%' AND value RLIKE '^@[A-Z][A-Z]\\\\t'").collect()]
+    """The header lines at the beginning of the first file; more of it is read until another line is seen."""
+    name, size = bgzf.files(spark, path)[0]
+    part = 1 << 18
+    while True:
+        data = _start_of(bgzf.read_range(spark, name, 0, part))
+        whole = data if part >= size else data[: data.rfind(b"\n") + 1]
+        lines = [x for x in whole.decode("utf-8", "replace").splitlines() if x]
+        head = [x for x in lines if re.match(r"@[A-Z][A-Z]\t", x)]
+        if part >= size or len(head) < len(lines):
+            return head
+        part *= 4
 
 
 def contigs_of(spark: SparkSession, header: list[str]) -> DataFrame:
@@ -43,10 +72,10 @@ def sample_of(path: str, header: list[str]) -> str:
 
 
 def sam(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of a SAM file (plain or gzip); missing values (*, 0, 255) are null."""
+    """Reads of a SAM file (plain or gzip, by many tasks if it is blocked); missing values (*, 0, 255) are null."""
     contigs = F.broadcast(contigs_of(spark, sam_header(spark, path)))  # one row a contig
     f = F.split("value", "\t", 12)
-    lines = spark.read.text(path).filter("NOT (value RLIKE '^@[A-Z][A-Z]\\\\t') AND value <> ''")
+    lines = lines_of(spark, path).filter("NOT (value RLIKE '^@[A-Z][A-Z]\\\\t') AND value <> ''")
     tags = F.coalesce(F.try_element_at(f, F.lit(12)), F.lit(""))
     tag = lambda t: F.when(tags.rlike(rf"(^|\t){t}:i:"), F.regexp_extract(tags, rf"(?:^|\t){t}:i:(-?\d+)", 1).cast("long"))
     raw = lines.select(
@@ -149,7 +178,7 @@ def _maybe_gzipped(spark: SparkSession, path: str) -> DataFrame:
     """Lines (value) of a text file, gzip or not, whatever its name. A gzip file that isn't named .gz, an interval list, is inflated whole in one task."""
     packed = bgzf.read_range(spark, bgzf.files(spark, path)[0][0], 0, 2) == b"\x1f\x8b"
     if not packed or path.lower().endswith((".gz", ".bgz")):
-        return spark.read.text(path)
+        return lines_of(spark, path)
 
     def unpack(batches):
         import pyarrow as pa
@@ -196,13 +225,15 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     return _variants(_maybe_gzipped(spark, path))
 
 
-def vcf_region(spark: SparkSession, path: str, contig: str, start0: int, end0: int, most_bytes: int = 64 << 20) -> DataFrame:
-    """Spans of the records that overlap a region: by TBI or CSI of a BGZF file if the region's chunks have at most most_bytes, else by a filtered scan."""
+def vcf_region(spark: SparkSession, path: str, contig: str, start0: int, end0: int, split_bytes: int = 32 << 20) -> DataFrame:
+    """Spans of the records that overlap a region: by TBI or CSI of a BGZF file, a task some of its chunks; without index by a filtered scan."""
     index = bgzf.find_index(spark, path, (".tbi", ".csi"))
-    data = None
+    rows = None
     if index is not None and contig in index.names:
-        data = bgzf.read_chunks(spark, path, index.chunks(index.names.index(contig), start0, end0), most_bytes)
-    rows = vcf(spark, path) if data is None else _variants(data.select(F.explode(F.split(F.decode("b", "UTF-8"), "\n")).alias("value")))
+        file = bgzf.files(spark, path)[0][0]
+        if bgzf.reachable(file):
+            rows = _variants(bgzf.range_lines(spark, file, bgzf.grouped(index.chunks(index.names.index(contig), start0, end0), split_bytes)))
+    rows = vcf(spark, path) if rows is None else rows
     return rows.filter((F.col("contig") == contig) & (F.col("start0") < end0) & (F.col("end0") > start0))
 
 
@@ -222,7 +253,8 @@ def region(reads: DataFrame, contig: str, start0: int, end0: int) -> DataFrame:
     return reads.filter((F.col("contig") == contig) & (F.col("pos0") < end0)).filter(alignment_end() > start0)
 
 
-def reads(spark: SparkSession, path: str) -> DataFrame:
+def reads(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Reads of a file of any kind; of a BAM only these columns are decoded, if given, while other plans prune by themselves."""
     kind = detect_format(path)
     if kind == "parquet":
         return spark.read.parquet(path)
@@ -231,5 +263,5 @@ def reads(spark: SparkSession, path: str) -> DataFrame:
     if kind == "bam":
         from .bam import bam
 
-        return bam(spark, path)
+        return bam(spark, path, columns)
     raise ValueError("CRAM is not supported; convert to BAM or SAM")

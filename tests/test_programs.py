@@ -268,7 +268,7 @@ def test_bam_splits_and_index(spark, tmp_path):
         plain = whole.filter((F.col("contig") == contig) & (F.col("pos0") < e)).filter(X.alignment_end() > s)
         found = bam.bam_region(spark, path, contig, s, e)
         assert sorted(map(str, found.select(*cols).collect())) == sorted(map(str, plain.select(*cols).collect()))
-        assert sorted(map(str, bam.bam_region(spark, path, contig, s, e, most_bytes=1).select(*cols).collect())) == sorted(map(str, plain.select(*cols).collect()))
+        assert sorted(map(str, bam.bam_region(spark, path, contig, s, e, split_bytes=1).select(*cols).collect())) == sorted(map(str, plain.select(*cols).collect()))
 
 
 def test_intervals_and_references(spark, tmp_path):
@@ -338,7 +338,7 @@ def test_vcf_region(spark, tmp_path):
     for s, e in ((0, 60), (16_000, 17_000), (190_000, 300_000)):
         want = sorted(x for x in every if x[0] < e and x[1] > s)
         assert sorted((r.start0, r.end0) for r in text.vcf_region(spark, path, "chr1", s, e).collect()) == want
-        assert sorted((r.start0, r.end0) for r in text.vcf_region(spark, path, "chr1", s, e, most_bytes=1).collect()) == want
+        assert sorted((r.start0, r.end0) for r in text.vcf_region(spark, path, "chr1", s, e, split_bytes=1).collect()) == want
 
 
 def test_sinks(spark, make, tmp_path):
