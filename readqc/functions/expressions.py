@@ -57,13 +57,16 @@ def aligned_bases() -> Column:
     return op_sum("M=X")
 
 
+#: array<struct<ref_off, read_off, len>>, one for each operation M, = or X.
+AS_BLOCKS = (
+    "aggregate(cigar, named_struct('r', 0, 'q', 0, 'b', cast(array() as array<struct<ref_off:int,read_off:int,len:int>>)), (s, o) -> named_struct("
+    "'r', s.r + if(instr('MDN=X', o.op) > 0, o.len, 0), 'q', s.q + if(instr('MIS=X', o.op) > 0, o.len, 0),"
+    "'b', if(instr('M=X', o.op) > 0, concat(s.b, array(named_struct('ref_off', s.r, 'read_off', s.q, 'len', o.len))), s.b)), s -> s.b)"
+)
+
+
 def aligned_blocks() -> Column:
-    """array<struct<ref_off, read_off, len>>, one for each operation M, = or X."""
-    return F.expr(
-        "aggregate(cigar, named_struct('r', 0, 'q', 0, 'b', cast(array() as array<struct<ref_off:int,read_off:int,len:int>>)), (s, o) -> named_struct("
-        "'r', s.r + if(instr('MDN=X', o.op) > 0, o.len, 0), 'q', s.q + if(instr('MIS=X', o.op) > 0, o.len, 0),"
-        "'b', if(instr('M=X', o.op) > 0, concat(s.b, array(named_struct('ref_off', s.r, 'read_off', s.q, 'len', o.len))), s.b)), s -> s.b)"
-    )
+    return F.expr(AS_BLOCKS)
 
 
 def indel_events() -> Column:
@@ -84,10 +87,10 @@ def three_prime_clip() -> Column:
     )
 
 
-def q20_bases(least: int = 20) -> Column:
-    """Aligned bases of at least this quality."""
+def q20_bases(least: int = 20, of: str = "blocks") -> Column:
+    """Aligned bases of at least this quality; of: the aligned blocks, by default a column."""
     low = chr(33 + least - 1)
-    return F.expr("aggregate(blocks, 0L, (s, b) -> s + length(translate(substr(quals, b.read_off + 1, b.len), '" + "".join(chr(i) for i in range(33, ord(low) + 1)).replace("\\", "\\\\").replace("'", "\\'") + "', '')))")
+    return F.expr(f"aggregate({of}, 0L, (s, b) -> s + length(translate(substr(quals, b.read_off + 1, b.len), '" + "".join(chr(i) for i in range(33, ord(low) + 1)).replace("\\", "\\\\").replace("'", "\\'") + "', '')))")
 
 
 def passing(quals: Column, length: Column, least: int) -> Column:

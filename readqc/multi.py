@@ -1,4 +1,4 @@
-"""Several programs over one scan, and the command line."""
+"""Several programs over one scan of the reads (alignment, basic, isize and gcbias; the others scan for themselves), and the command line."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from . import schema, sinks
-from .plans import coverage, errors, hybcap, simple
+from .plans import coverage, errors, facts, hybcap, simple
 from .sources import text
 from .store import stored
 
@@ -32,7 +32,7 @@ _PLACE = ("ref_id", "contig", "pos0", "mate_ref_id", "mate_pos0", "tlen", "cigar
 #: Columns of reads that each program uses, for sources that decode no others.
 COLUMNS = {
     "alignment": ("flags", *_PLACE, "mapq", "seq", "quals", "nm", "mq", "has_sa"), "basic": ("flags", "seq", "quals"), "isize": ("flags", "ref_id", "pos0", "mate_ref_id", "mate_pos0", "tlen", "cigar"), "wgs": ("read_id", "qname", "flags", *_PLACE, "mapq", "quals"),
-    "gcbias": ("flags", "contig", "pos0", "cigar", "mapq", "seq", "quals", "nm"), "hybcap": ("read_id", "qname", "flags", *_PLACE, "mapq", "seq", "quals"), "error": ("read_id", "qname", "flags", *_PLACE, "mapq", "seq", "quals", "nm"),
+    "gcbias": ("flags", "ref_id", "contig", "pos0", "cigar", "mapq", "seq", "quals", "nm"), "hybcap": ("read_id", "qname", "flags", *_PLACE, "mapq", "seq", "quals"), "error": ("read_id", "qname", "flags", *_PLACE, "mapq", "seq", "quals", "nm"),
 }
 
 
@@ -42,24 +42,33 @@ def columns_of(tools: list[str]) -> list[str]:
     return [c.split(" ")[0] for c in schema.READS.replace("op:string,len:int", "").split(", ") if c.split(" ")[0] in used]
 
 
-def tables(tool: str, x: Inputs) -> dict[str, DataFrame]:
-    """The lazy tables of one program."""
+def scanned(tools: list[str], x: Inputs) -> DataFrame | None:
+    """Facts for those of the programs that share them, stored: the one scan of the reads for all of their tables."""
+    sharing = [t for t in facts.SHARED if t in tools]
+    return stored(facts.facts(x.reads, sharing, x.options), "facts", by="t") if sharing else None
+
+
+def tables(tool: str, x: Inputs, shared: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of one program, lazily but for what its tables share; shared: scanned() with this program."""
     o = dict(x.options.get(tool, {}))
     if missing := [n for n in NEEDS[tool] if getattr(x, n) is None]:
         raise ValueError(f"{tool} needs {', '.join(missing)}")
+    shared = scanned([tool], x) if shared is None else shared
     if tool == "alignment":
-        return {"alignment_summary": simple.alignment_summary(x.reads, x.sample, **o)}
+        return {"alignment_summary": simple.alignment_from(shared, x.sample)}
     if tool == "basic":
-        return {n: getattr(simple, n)(x.reads) for n in ("base_distribution_by_cycle", "mean_quality_by_cycle", "quality_score_distribution")}
+        counts = facts.base_counts(shared)
+        return {n: getattr(simple, n)(x.reads, counts) for n in ("base_distribution_by_cycle", "mean_quality_by_cycle", "quality_score_distribution")}
     if tool == "isize":
-        hist = {k: v for k, v in o.items() if k == "include_duplicates"}
-        return {"insert_size_metrics": simple.insert_size_metrics(x.reads, **o), "insert_size_histogram": simple.insert_size_histogram(x.reads, **hist)}
+        hist = facts.size_counts(shared)
+        return {"insert_size_metrics": simple.insert_size_metrics(x.reads, **o, hist=hist), "insert_size_histogram": simple.insert_size_histogram(x.reads, hist=hist)}
     if tool == "wgs":
         cap, span = {k: o.pop(k) for k in ("coverage_cap",) if k in o}, {k: o.pop(k) for k in ("intervals",) if k in o}
         runs = stored(coverage.depth_runs(x.reads, **o), "depth")
         return {"wgs_metrics": coverage.wgs_metrics(x.reads, x.ref, x.sample, **span, **cap, runs=runs, **o), "wgs_coverage": coverage.depth_histogram(x.reads, x.ref, **span, **cap, runs=runs)}
     if tool == "gcbias":
-        return {"gcbias_detail": coverage.gcbias_detail(x.reads, x.ref, x.contigs, x.sample, **o), "gcbias_summary": coverage.gcbias_summary(x.reads, x.ref, x.contigs, x.sample, **o)}
+        bins = stored(coverage.gcbias_bins(x.reads, x.ref, x.contigs, o.get("window", 100), facts.start_counts(shared, x.contigs)), "gc")
+        return {"gcbias_detail": coverage.gcbias_detail(x.reads, x.ref, x.contigs, x.sample, **o, bins=bins), "gcbias_summary": coverage.gcbias_summary(x.reads, x.ref, x.contigs, x.sample, **o, bins=bins, kept=facts.cluster_counts(shared))}
     if tool == "hybcap":
         near, per_target, per_base = o.pop("near", 250), o.pop("per_target_coverage", False), o.pop("per_base_coverage", False)
         got = hybcap.Captured(x.reads, hybcap.merged_targets(x.targets), **o)
@@ -75,11 +84,12 @@ def tables(tool: str, x: Inputs) -> dict[str, DataFrame]:
 
 def run(tools: list[str], x: Inputs) -> dict[str, DataFrame]:
     """Tables of several programs; repeated programs count once."""
+    if unknown := [t for t in tools if t not in NEEDS]:
+        raise ValueError(f"unknown program: {unknown[0]}")
     out: dict[str, DataFrame] = {}
+    shared = scanned(tools, x)
     for tool in dict.fromkeys(tools):
-        if tool not in NEEDS:
-            raise ValueError(f"unknown program: {tool}")
-        out |= tables(tool, x)
+        out |= tables(tool, x, shared)
     return out
 
 

@@ -5,9 +5,10 @@ Columns that hold for a whole read are made before the flattening, and only thos
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import expressions as X
 
@@ -33,14 +34,6 @@ def aligned(reads: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def every_base(reads: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each base that has a quality, clipped and unmapped ones included: keep, cycle, base, bq."""
-    n = F.least(F.length("seq"), F.length("quals"))
-    flat = reads.withColumn("_n", n).filter("_n > 0").select(*keep, "flags", "seq", "quals", "_n", F.explode(F.expr("sequence(0, _n - 1)")).alias("i"))
-    cycle = F.when(X.flag(X.REVERSE), F.col("_n") - F.col("i")).otherwise(F.col("i") + 1).cast("long")
-    return flat.select(*keep, cycle.alias("cycle"), F.upper(F.substr("seq", F.col("i") + 1, F.lit(1))).alias("base"), (F.ascii(F.substr("quals", F.col("i") + 1, F.lit(1))) - 33).alias("bq"))
-
-
 def reference_bases(ref: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row a reference position: contig, ref_pos, ref_base (upper case). ref: (contig, start0, seq) pieces without overlap."""
     return ref.select("contig", "start0", F.posexplode(F.split(F.upper("seq"), "")).alias("i", "ref_base")).filter("ref_base <> ''").select("contig", (F.col("start0") + F.col("i")).alias("ref_pos"), "ref_base")
@@ -82,25 +75,59 @@ def with_reference(flat: DataFrame, ref: DataFrame) -> DataFrame:
     return joined.withColumn("ref_base", F.upper(F.substr("_seq", (F.col("ref_pos") - F.col("_p") * size + 1).cast("int"), F.lit(1)))).drop("_c", "_piece", "_seq", "_p")
 
 
-def gc_windows(ref: DataFrame, contigs: DataFrame, window: int, most_n: int = 4) -> DataFrame:
-    """One row for each window start with at most most_n N: contig, start0, gc (percent, rounded down).
+STRETCH, NO_WINDOW = 16_384, 127
+
+
+def stretch_size(window: int) -> int:
+    return max(STRETCH, 2 * window)
 
-    Pieces, not bases, are dealt by stretch of the contig, those of the next window - 1 bases to both; within a stretch
-    counts are differences of running sums.
+
+def gc_stretches(ref: DataFrame, contigs: DataFrame, window: int, most_n: int = 4) -> DataFrame:
+    """(contig, s, gc, windows), a row a stretch of a contig.
+
+    Byte k of gc is the percentage of G and C, rounded down, of the window that starts k bases into the stretch; NO_WINDOW
+    where that has more than most_n N or leaves the contig. windows[p] counts the windows of p percent. Pieces, not bases, are dealt by stretch,
+    those of the next window - 1 bases to both; windows are differences of running sums of G and C, and of N.
     """
-    stretch = max(65_536, 2 * window)
-    end = F.col("start0") + F.length("seq")
-    stretches = F.sequence(F.floor(F.greatest(F.col("start0") - (window - 1), F.lit(0)) / stretch), F.floor((end - 1) / stretch))
-    pieces = ref.filter(F.length("seq") > 0).select("contig", "start0", F.upper("seq").alias("seq"), F.explode(stretches).alias("s")).repartition("contig", "s")
-    last = (F.col("s") + 1) * stretch + window - 1
-    each = pieces.select("contig", "s", (F.col("start0")).alias("p"), F.posexplode(F.split("seq", "")).alias("i", "b")).filter("b <> ''").withColumn("ref_pos", F.col("p") + F.col("i")).filter((F.col("ref_pos") >= F.col("s") * stretch) & (F.col("ref_pos") < last))
-    by = W.partitionBy("contig", "s").orderBy("ref_pos")
-    g, n = F.col("b").isin("G", "C").cast("int"), (F.col("b") == "N").cast("int")
-    each = each.select("contig", "s", "ref_pos", g.alias("g"), n.alias("n"))
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
-    each = each.withColumns({"gs": F.sum("g").over(upto), "ns": F.sum("n").over(upto)})
-    ahead = lambda c: F.lead(c, window - 1).over(by) if window > 1 else F.col(c)
-    each = each.withColumns({"gw": ahead("gs") - F.col("gs") + F.col("g"), "nw": ahead("ns") - F.col("ns") + F.col("n")})
-    own = (F.floor(F.col("ref_pos") / stretch) == F.col("s")) & F.col("gw").isNotNull() & (F.col("nw") <= most_n)
-    fits = each.filter(own).join(F.broadcast(contigs.select("contig", "length")), "contig").filter(F.col("ref_pos") + window <= F.col("length"))  # one row a contig
-    return fits.select("contig", F.col("ref_pos").alias("start0"), F.floor(F.col("gw") * 100 / window).cast("long").alias("gc"))
+    stretch = stretch_size(window)
+    end, c = F.col("start0") + F.length("seq"), F.col
+    stretches = F.sequence(F.floor(F.greatest(c("start0") - (window - 1), F.lit(0)) / stretch), F.floor((end - 1) / stretch))
+    pieces = ref.filter(F.length("seq") > 0).select("contig", "start0", F.upper("seq").alias("seq"), F.explode(stretches).alias("s"))
+    at = F.greatest("start0", c("s") * stretch)
+    size = F.least(end, (c("s") + 1) * stretch + window - 1) - at
+    parts = pieces.select("contig", "s", F.struct(at.alias("at"), F.substr("seq", (at - c("start0") + 1).cast("int"), size.cast("int")).alias("seq")).alias("part"))
+    rows = parts.groupBy("contig", "s").agg(F.sort_array(F.collect_list("part")).alias("parts"))  # bases of one stretch
+    rows = rows.join(F.broadcast(contigs.select("contig", "length")), "contig")  # one row a contig
+    first, last = c("parts")[0]["at"], F.element_at("parts", -1)
+    text = F.array_join(F.transform("parts", lambda x: x["seq"]), "")
+    whole = F.when(F.length(text) == last["at"] + F.length(last["seq"]) - first, text).otherwise(F.raise_error(F.concat(F.lit("pieces of the reference leave a gap or overlap in "), c("contig"))))
+
+    @F.pandas_udf("struct<gc:binary,windows:array<bigint>>")
+    def percents(seq: pd.Series, skip: pd.Series, start: pd.Series, length: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, k, at, n in zip(seq, skip, start, length):
+            b = np.frombuffer(text.encode(), np.uint8)
+            made = np.full(stretch, NO_WINDOW, np.uint8)
+            m = min(len(b) - window + 1, n - at - window + 1, stretch - k)
+            counts = np.zeros(101, np.int64)
+            if m > 0:
+                within = [np.concatenate([[0], np.cumsum(x)]) for x in ((b == ord("G")) | (b == ord("C")), b == ord("N"))]
+                gc, unknown = (x[window : window + m] - x[:m] for x in within)
+                made[k : k + m] = np.where(unknown <= most_n, gc * 100 // window, NO_WINDOW)
+                counts = np.bincount(made[made != NO_WINDOW], minlength=101)
+            out.append((made.tobytes(), counts))
+        return pd.DataFrame(out, columns=["gc", "windows"])
+
+    return rows.select("contig", "s", percents(whole, first - c("s") * stretch, first, "length").alias("w")).select("contig", "s", "w.gc", "w.windows")
+
+
+def gc_of(start: str, window: int) -> Column:
+    """The percentage of the window at a start in its stretch's gc, from one byte of it; NO_WINDOW without one."""
+    return F.expr(f"ascii(cast(substring(gc, cast({start} % {stretch_size(window)} as int) + 1, 1) as string))")
+
+
+def gc_windows(ref: DataFrame, contigs: DataFrame, window: int, most_n: int = 4) -> DataFrame:
+    """One row for each window start with at most most_n N: contig, start0, gc (percent, rounded down)."""
+    stretch = stretch_size(window)
+    each = gc_stretches(ref, contigs, window, most_n).select("contig", "gc", F.explode(F.sequence(F.col("s") * stretch, (F.col("s") + 1) * stretch - 1)).alias("start0"))
+    return each.select("contig", "start0", gc_of("start0", window).cast("long").alias("gc")).filter(F.col("gc") <= 100)

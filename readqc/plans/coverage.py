@@ -5,7 +5,7 @@ ref: reference pieces (contig, start0, seq) of one size; contigs: (ref_id, conti
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -156,8 +156,8 @@ def coverage_chart(hist: DataFrame, metrics: DataFrame) -> DataFrame:
     return row.withColumn("lf", log_fact).filter(F.col("depth") <= F.col("limit")).select("depth", "frac_bases", (pmf * F.col("covered")).alias("poisson"))
 
 
-def gc_reads(reads: DataFrame, window: int = 100, min_mapq: int = 0, exclude_duplicates: bool = False, exclude_supplementary: bool = False) -> DataFrame:
-    """Kept reads with the start of their window."""
+def gc_measures(window: int = 100, min_mapq: int = 0, exclude_duplicates: bool = False, exclude_supplementary: bool = False) -> tuple[Column, ...]:
+    """Of a read: whether it is kept, the start of its window, whether it stands for its cluster, bases, mismatches, sum and number of qualities."""
     keep = ~X.flag(X.UNMAPPED) & ~X.flag(X.SECONDARY) & ~X.flag(X.QC_FAIL) & (F.coalesce("mapq", F.lit(255)) >= min_mapq)
     if exclude_supplementary:
         keep &= ~X.flag(X.SUPPLEMENTARY)
@@ -165,20 +165,32 @@ def gc_reads(reads: DataFrame, window: int = 100, min_mapq: int = 0, exclude_dup
         keep &= ~X.flag(X.DUPLICATE)
     end = X.alignment_end()
     start = F.when(X.flag(X.REVERSE) & end.isNotNull(), F.greatest(end - window, F.lit(0))).otherwise(F.col("pos0"))
-    q = F.expr("aggregate(sequence(1, greatest(length(quals), 1)), 0L, (s, i) -> s + if(length(quals) = 0, 0, ascii(substr(quals, i, 1)) - 33))")
-    return reads.filter(keep).select("contig", start.alias("start0"), (~X.flag(X.PAIRED) | X.flag(X.FIRST)).alias("cluster"), F.length("seq").cast("long").alias("n"), F.greatest(F.coalesce("nm", F.lit(0)), F.lit(0)).cast("long").alias("nm"), q.alias("q"), F.length("quals").cast("long").alias("nq"))
+    q = F.aggregate(F.split("quals", ""), F.lit(0).cast("long"), lambda s, x: s + F.when(x == "", 0).otherwise(F.ascii(x) - 33))
+    nm = F.greatest(F.coalesce("nm", F.lit(0)), F.lit(0)).cast("long")
+    return keep, start, ~X.flag(X.PAIRED) | X.flag(X.FIRST), F.length("seq").cast("long"), nm, q, F.length("quals").cast("long")
 
 
-def gcbias_bins(reads: DataFrame, ref: DataFrame, contigs: DataFrame, window: int = 100, **rules) -> DataFrame:
-    """(gc 0..100, windows, starts, bases, nm, q, nq)."""
-    wins = bases.gc_windows(ref, contigs, window)
-    at = gc_reads(reads, window, **rules).groupBy("contig", "start0").agg(F.count(F.lit(1)).alias("starts"), *[F.sum(c).alias(c) for c in ("n", "nm", "q", "nq")])
-    counts = wins.join(at, ["contig", "start0"], "left").groupBy("gc").agg(F.count(F.lit(1)).alias("windows"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("starts", "n", "nm", "q", "nq")])
-    return reads.sparkSession.range(101).select(F.col("id").alias("gc")).join(counts, "gc", "left").fillna(0)
+def gc_reads(reads: DataFrame, window: int = 100, **rules) -> DataFrame:
+    """Kept reads with the start of their window, as counts of one read each: contig, start0, starts, cluster, n, nm, q, nq."""
+    keep, start, *rest = gc_measures(window, **rules)
+    names = ("cluster", "n", "nm", "q", "nq")
+    return reads.filter(keep).select("contig", start.alias("start0"), F.lit(1).alias("starts"), *[x.alias(n) for x, n in zip(rest, names, strict=True)])
 
 
-def gcbias_detail(reads: DataFrame, ref: DataFrame, contigs: DataFrame, sample: str = "sample", window: int = 100, **rules) -> DataFrame:
-    bins = gcbias_bins(reads, ref, contigs, window, **rules)
+def gcbias_bins(reads: DataFrame, ref: DataFrame, contigs: DataFrame, window: int = 100, starts: DataFrame | None = None, **rules) -> DataFrame:
+    """(gc 0..100, windows, starts, n, nm, q, nq). Reads, or their counts by start, go to the stretch that they start in, where one byte tells their window's percentage."""
+    stretches = bases.gc_stretches(ref, contigs, window)
+    names = ("starts", "n", "nm", "q", "nq")
+    at = (gc_reads(reads, window, **rules) if starts is None else starts).select("contig", "start0", *names, F.floor(F.col("start0") / bases.stretch_size(window)).alias("s"))
+    met = at.join(stretches.select("contig", "s", "gc"), ["contig", "s"]).select(bases.gc_of("start0", window).cast("long").alias("gc"), *names).filter(F.col("gc") <= 100)
+    counts = met.groupBy("gc").agg(*[F.sum(c).cast("long").alias(c) for c in names])
+    windows = stretches.select(F.posexplode("windows").alias("gc", "n")).groupBy(F.col("gc").cast("long").alias("gc")).agg(F.sum("n").alias("windows"))
+    every = ref.sparkSession.range(101).select(F.col("id").alias("gc"))
+    return every.join(windows, "gc", "left").join(counts, "gc", "left").fillna(0)
+
+
+def gcbias_detail(reads: DataFrame, ref: DataFrame, contigs: DataFrame, sample: str = "sample", window: int = 100, bins: DataFrame | None = None, **rules) -> DataFrame:
+    bins = gcbias_bins(reads, ref, contigs, window, **rules) if bins is None else bins
     every = W.partitionBy()
     mean = R(F.sum("starts").over(every), F.sum("windows").over(every))
     c = F.col
@@ -190,9 +202,11 @@ def gcbias_detail(reads: DataFrame, ref: DataFrame, contigs: DataFrame, sample:
     ).orderBy("gc")
 
 
-def gcbias_summary(reads: DataFrame, ref: DataFrame, contigs: DataFrame, sample: str = "sample", window: int = 100, **rules) -> DataFrame:
-    bins = gcbias_bins(reads, ref, contigs, window, **rules)
-    kept = gc_reads(reads, window, **rules).agg(F.count(F.when(F.col("cluster"), 1)).alias("total_clusters"), F.count(F.lit(1)).alias("aligned_reads"))
+def gcbias_summary(reads: DataFrame, ref: DataFrame, contigs: DataFrame, sample: str = "sample", window: int = 100, bins: DataFrame | None = None, kept: DataFrame | None = None, **rules) -> DataFrame:
+    """bins and kept (total_clusters, aligned_reads; one row): what they would be made of the reads, if it is there already."""
+    bins = gcbias_bins(reads, ref, contigs, window, **rules) if bins is None else bins
+    if kept is None:
+        kept = gc_reads(reads, window, **rules).agg(F.count(F.when(F.col("cluster"), 1)).alias("total_clusters"), F.count(F.lit(1)).alias("aligned_reads"))
     every = W.partitionBy()
     c = F.col
     bins = bins.withColumns({"tw": F.sum("windows").over(every), "ts": F.sum("starts").over(every)})

@@ -51,11 +51,11 @@ def claimed(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again. The table is deleted when Python ends, or by scope()."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read again, in a folder for each value of ``by``. The table is deleted when Python ends, or by scope()."""
     spark = df.sparkSession
     path = claimed(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 
