@@ -105,12 +105,18 @@ def _whole(value: str) -> int:
     return int(value)
 
 
+def _depth(value: str) -> int:
+    if not value.isdigit() or int(value) > coverage.MOST_DEPTH:
+        raise argparse.ArgumentTypeError(f"a whole number up to {coverage.MOST_DEPTH} expected")
+    return int(value)
+
+
 #: Options of each program: name on the command line, type, and the argument of its function (not: the opposite is passed on).
 OPTIONS = {
     "alignment": (("max-insert-size", _whole, "max_insert_size"), ("min-mapq", _whole, "min_mapq")),
     "basic": (),
     "isize": (("include-duplicates", _flag, "include_duplicates"), ("min-frac", float, "min_frac"), ("deviations", float, "deviations")),
-    "wgs": (("intervals", str, "intervals"), ("include-duplicates", _flag, "include_duplicates"), ("exclude-unpaired-reads", _flag, "exclude_unpaired"), ("min-mapq", _whole, "min_mapq"), ("min-bq", _whole, "min_bq"), ("coverage-cap", _whole, "coverage_cap")),
+    "wgs": (("intervals", str, "intervals"), ("include-duplicates", _flag, "include_duplicates"), ("exclude-unpaired-reads", _flag, "exclude_unpaired"), ("min-mapq", _whole, "min_mapq"), ("min-bq", _whole, "min_bq"), ("coverage-cap", _depth, "coverage_cap")),
     "gcbias": (("exclude-duplicates", _flag, "exclude_duplicates"), ("window-size", _whole, "window"), ("min-mapq", _whole, "min_mapq"), ("exclude-supplementary", _flag, "exclude_supplementary")),
     "hybcap": (
         ("baits", str, "baits"), ("targets", str, "targets"), ("panel-name", str, "panel"), ("include-duplicates", _flag, "include_duplicates"), ("near-distance", _whole, "near"), ("min-mapping-quality", _whole, "min_mapq"), ("min-base-quality", _whole, "min_bq"),

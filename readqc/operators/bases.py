@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from . import intervals as I
 
 CHUNK = 4096
 
@@ -50,29 +51,61 @@ def piece_size(ref: DataFrame) -> int:
     return _sizes[key]
 
 
-def with_pieces(spans: DataFrame, ref: DataFrame) -> DataFrame:
-    """spans(contig, start, end, ...) cut at the borders of reference pieces, plus piece_start and piece (upper case); without a piece they are left out."""
-    size = piece_size(ref)
+def with_pieces(spans: DataFrame, ref: DataFrame, size: int | None = None) -> DataFrame:
+    """spans(contig, start, end, ...) cut at the borders of reference pieces, plus piece_start and piece (upper case); without a piece they are left out. size: piece_size() of the reference, if it is known."""
+    size = size or piece_size(ref)
     cut = spans.withColumn("piece_no", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / size))))
     cut = cut.withColumn("start", F.greatest("start", F.col("piece_no") * size)).withColumn("end", F.least("end", (F.col("piece_no") + 1) * size))
     pieces = ref.select("contig", F.floor(F.col("start0") / size).alias("piece_no"), F.col("start0").alias("piece_start"), F.upper("seq").alias("piece"))
     return cut.join(pieces, ["contig", "piece_no"]).drop("piece_no")
 
 
+CLOSED = "."
+
+
+def marked_pieces(ref: DataFrame, intervals: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """Pieces (contig, start0, seq, open): open is seq (upper case) with CLOSED at positions outside the intervals or within the mask.
+
+    Spans are merged and cut at the borders of pieces, so a piece meets a list of at most half as many as it has bases; marks
+    are laid over its text in one fold. Nothing is ever a row a position.
+    """
+    size = piece_size(ref)
+
+    def of_piece(df: DataFrame, name: str) -> DataFrame:
+        spans = I.merge(df.select("contig", "start0", "end0", F.lit("").alias("name"))).filter("end0 > start0")
+        cut = spans.select("contig", "start0", "end0", F.explode(F.sequence(F.floor(F.col("start0") / size), F.floor((F.col("end0") - 1) / size))).alias("piece_no"))
+        first = F.col("piece_no") * size
+        at = (F.greatest("start0", first) - first).cast("int")
+        part = F.struct(at.alias("at"), (F.least("end0", first + size) - first - at).cast("int").alias("n"))
+        return cut.groupBy("contig", "piece_no").agg(F.collect_list(part).alias(name))
+
+    rows = ref.select("contig", "start0", F.upper("seq").alias("seq"), F.floor(F.col("start0") / size).alias("piece_no"))
+    whole = "seq"
+    if intervals is not None:
+        rows = rows.join(of_piece(intervals, "inside"), ["contig", "piece_no"])  # a piece without intervals has nothing open
+        whole = f"aggregate(inside, repeat('{CLOSED}', length(seq)), (s, x) -> overlay(s placing substr(seq, x.at + 1, x.n) from x.at + 1 for least(x.n, length(seq) - x.at)))"
+    if mask is not None:
+        rows = rows.join(of_piece(mask, "masked"), ["contig", "piece_no"], "left")
+        whole = f"aggregate(coalesce(masked, array()), {whole}, (s, x) -> overlay(s placing repeat('{CLOSED}', least(x.n, length(seq) - x.at)) from x.at + 1 for least(x.n, length(seq) - x.at)))"
+    return rows.select("contig", "start0", "seq", F.expr(whole).alias("open"))
+
+
 def aligned_with_reference(reads: DataFrame, keep: list[str], ref: DataFrame) -> DataFrame:
     """One row for each aligned base inside the reference: keep, contig, ref_pos, ref_base. Blocks meet the pieces, and are flattened after it."""
     spans = blocks(reads, keep).filter("len > 0").withColumns({"start": F.col("block_start"), "end": F.col("block_start") + F.col("len")}).select(*keep, "contig", "start", "end")
-    each = with_pieces(spans, ref).select(*keep, "contig", "piece", "piece_start", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("ref_pos"))
-    base = F.substr("piece", (F.col("ref_pos") - F.col("piece_start") + 1).cast("int"), F.lit(1))
-    return each.select(*keep, "contig", "ref_pos", base.alias("ref_base")).filter("ref_base <> ''")
+    under = F.substr("piece", (F.col("start") - F.col("piece_start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    each = with_pieces(spans, ref).select(*keep, "contig", "start", F.posexplode(F.split(under, "")).alias("i", "ref_base"))
+    return each.select(*keep, "contig", (F.col("start") + F.col("i")).alias("ref_pos"), "ref_base").filter("ref_base <> ''")
 
 
-def with_reference(flat: DataFrame, ref: DataFrame) -> DataFrame:
-    """flat(contig, ref_pos, ...) plus ref_base, by joining position and piece."""
-    size = piece_size(ref)
-    right = ref.select(F.col("contig").alias("_c"), F.floor(F.col("start0") / size).alias("_piece"), F.col("seq").alias("_seq"))
+def with_reference(flat: DataFrame, ref: DataFrame, size: int | None = None) -> DataFrame:
+    """flat(contig, ref_pos, ...) plus ref_base, and, of marked pieces, open_base; null outside of the reference."""
+    size = size or piece_size(ref)
+    texts = [c for c in ("seq", "open") if c in ref.columns]
+    right = ref.select(F.col("contig").alias("_c"), F.floor(F.col("start0") / size).alias("_piece"), *[F.upper(c).alias(f"_{c}") for c in texts])
     joined = flat.withColumn("_p", F.floor(F.col("ref_pos") / size)).join(right, (F.col("contig") == F.col("_c")) & (F.col("_p") == F.col("_piece")), "left")
-    return joined.withColumn("ref_base", F.upper(F.substr("_seq", (F.col("ref_pos") - F.col("_p") * size + 1).cast("int"), F.lit(1)))).drop("_c", "_piece", "_seq", "_p")
+    at = (F.col("ref_pos") - F.col("_p") * size + 1).cast("int")
+    return joined.withColumns({n: F.substr(f"_{c}", at, F.lit(1)) for c, n in (("seq", "ref_base"), ("open", "open_base")) if c in texts}).drop("_c", "_piece", "_p", *[f"_{c}" for c in texts])
 
 
 STRETCH, NO_WINDOW = 16_384, 127

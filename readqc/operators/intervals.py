@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -46,3 +46,53 @@ def range_join(a: DataFrame, b: DataFrame, how: str = "inner", bin_size: int = B
         return left.join(right, hit & first).drop("_bin", "_b_bin", "_contig")
     found = left.join(right, hit & first, "left_semi").drop("_bin").distinct()
     return found if how == "left_semi" else a.exceptAll(found)
+
+
+INDEX_BIN = 4096
+
+
+def overlap_index(bin_size: int = INDEX_BIN, **spans: DataFrame) -> DataFrame:
+    """(contig, bin, one array<struct<s, e>> for each name, sorted): the merged intervals that a row which starts in the bin, and spans at most bin_size, can overlap.
+
+    A row joins its bin once, and folds over the arrays; intervals of one name don't overlap, so a bin holds at most bin_size of them.
+    """
+    parts = None
+    for name, df in spans.items():
+        bins = F.sequence(F.greatest(F.floor(F.col("start0") / bin_size) - 1, F.lit(0)), F.floor((F.col("end0") - 1) / bin_size))
+        rows = merge(df).filter("end0 > start0").select("contig", F.explode(bins).alias("bin"), *[(F.struct(F.col("start0").alias("s"), F.col("end0").alias("e")) if n == name else F.lit(None).cast("struct<s:bigint,e:bigint>")).alias(n) for n in spans])
+        parts = rows if parts is None else parts.union(rows)
+    return parts.groupBy("contig", "bin").agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in spans])
+
+
+def overlaps(name: str, start: str, end: str) -> Column:
+    """Whether [start, end) overlaps an interval of an index's array; false without one."""
+    return F.expr(f"coalesce(exists({name}, x -> x.s < {end} and {start} < x.e), false)")
+
+
+def shared_bases(name: str, blocks: str, at: str) -> Column:
+    """Positions of a read's blocks (ref_off, len; from ``at`` on) within the intervals of an index's array."""
+    fold = f"aggregate({name}, u, (v, x) -> v + greatest(0L, least({at} + b.ref_off + b.len, x.e) - greatest({at} + b.ref_off, x.s)))"
+    return F.expr(f"if({name} is null, 0L, aggregate({blocks}, 0L, (u, b) -> {fold}))")
+
+
+BUCKET = 65_536
+
+
+def depth_runs(marks: DataFrame, by: str) -> DataFrame:
+    """(by, start, end, depth) of marks(by, start, marks), a text of 1 and 0 a position: stretches of equal depth above 0.
+
+    Only the borders (+1, -1) of runs of 1 are shuffled, by bucket of the positions; marks are cut at the buckets' borders.
+    """
+    size = F.length("marks")
+    last = F.floor((F.col("start") + size - 1) / BUCKET)
+    cut = marks.filter(size > 0).select(by, "start", "marks", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), last)).alias("bucket"))
+    first = F.greatest(F.col("start"), F.col("bucket") * BUCKET)
+    text = F.substr("marks", (first - F.col("start") + 1).cast("int"), (F.least(F.col("start") + size, (F.col("bucket") + 1) * BUCKET) - first).cast("int"))
+    # Runs alternate: the text's pieces of equal marks, each with the length of those before it.
+    runs = F.aggregate(F.regexp_extract_all("marks", F.lit("1+|0+"), F.lit(0)), F.expr("named_struct('n', 0, 'b', cast(array() as array<struct<at:int,step:int>>))"), lambda s, r: F.struct(
+        (s["n"] + F.length(r)).alias("n"), F.when(r.startswith("1"), F.concat(s["b"], F.array(F.struct(s["n"].alias("at"), F.lit(1).alias("step")), F.struct((s["n"] + F.length(r)).alias("at"), F.lit(-1).alias("step"))))).otherwise(s["b"]).alias("b")), lambda s: s["b"])
+    each = cut.select(by, "bucket", first.alias("first"), text.alias("marks")).select(by, "bucket", "first", F.explode(runs).alias("r"))
+    steps = each.groupBy(by, "bucket", (F.col("first") + F.col("r.at")).alias("start")).agg(F.sum("r.step").alias("step"))
+    order = W.partitionBy(by, "bucket").orderBy("start")
+    out = steps.select(by, "start", F.lead("start").over(order).alias("end"), F.sum("step").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("depth"))
+    return out.filter("depth > 0")

@@ -14,6 +14,7 @@ from ..operators import bases, histogram as H, intervals as I
 from ..store import stored
 
 R = X.ratio
+MOST_DEPTH = 65_535  # fixed value: the largest cap on depth
 BUCKET = 8192
 
 
@@ -102,6 +103,8 @@ def eligible_depth(runs: DataFrame, ref: DataFrame, intervals: DataFrame | None
 
 def depth_histogram(reads: DataFrame, ref: DataFrame, intervals: DataFrame | None = None, coverage_cap: int = 250, runs: DataFrame | None = None, **options) -> DataFrame:
     """(depth 0..cap, bases, frac_bases, bases_at_or_above, frac_bases_at_or_above); empty without territory. runs: depth_runs of the reads, if at hand."""
+    if not 0 <= coverage_cap <= MOST_DEPTH:
+        raise ValueError(f"coverage_cap must be from 0 to {MOST_DEPTH}")
     depth = eligible_depth(depth_runs(reads, **options) if runs is None else runs, ref, intervals)
     seen = depth.groupBy(F.least(F.col("depth"), F.lit(coverage_cap)).alias("depth")).agg(F.sum("n").alias("n"))
     total = eligible_territory(ref, intervals).filter("territory > 0")

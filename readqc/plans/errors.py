@@ -1,9 +1,10 @@
 """Mismatch, overlap and indel rates by stratifier.
 
 Covariates are small numbers until the end. Mates meet a read at a time, in one shuffle by fragment, and the mate's bases
-are laid along the read's blocks; blocks, not bases, are shuffled to the pieces of the reference. Only then are blocks
-flattened, and each base adds to one packed key of every group, which partial aggregation counts in the same task: what
-leaves it is a row a stratum.
+are laid along the read's blocks; blocks, not bases, are shuffled to the pieces of the reference, on whose text masked
+positions are marked. Only then are blocks flattened, by arrays that lie side by side: bases, their neighbours, runs of
+equal bases, qualities, reference and mate, each made once a block. Each base adds to one packed key of every group,
+which partial aggregation counts in the same task: what leaves it is a row a stratum.
 """
 
 from __future__ import annotations
@@ -61,16 +62,12 @@ def _merged(df: DataFrame) -> DataFrame:
     return I.merge(df).select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end"))
 
 
-def _inside(flat: DataFrame, intervals: DataFrame | None, mask: DataFrame | None) -> DataFrame:
-    """Rows at positions inside the intervals and outside the mask, whose spans may overlap."""
-    point = lambda df: df.withColumn("a_start", F.col("ref_pos")).withColumn("a_end", F.col("ref_pos") + 1)
-    if intervals is not None:
-        flat = I.range_join(point(flat), _merged(intervals)).drop("a_start", "a_end", "b_start", "b_end")
-    if mask is not None:
-        spans = mask.select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end"))
-        hit = I.range_join(point(flat.select("contig", "ref_pos").distinct()), spans).select("contig", "ref_pos")
-        flat = flat.join(hit, ["contig", "ref_pos"], "left_anti")
-    return flat
+def _inside(flat: DataFrame, intervals: DataFrame | None) -> DataFrame:
+    """Rows at positions inside the intervals."""
+    if intervals is None:
+        return flat
+    points = flat.withColumn("a_start", F.col("ref_pos")).withColumn("a_end", F.col("ref_pos") + 1)
+    return I.range_join(points, _merged(intervals)).drop("a_start", "a_end", "b_start", "b_end")
 
 
 def _code(base: Column, flip: Column | None = None) -> Column:
@@ -95,6 +92,16 @@ def _with_reference_codes(rows: DataFrame, ref_base: Column) -> DataFrame:
     return rows.withColumns({"pre_dinuc": F.col("before") * 4 + r, "post_dinuc": F.col("after") * 4 + r, "context_3bp": (F.col("before") * 4 + r) * 4 + F.col("after"), "all": F.lit(0)}).drop("before", "after", "reverse")
 
 
+def _side_by_side(first: Column, n: Column) -> list[Column]:
+    """Of the n bases of seen from read offset first on: base, base before and after, length of the run of equal bases that ends before it and of the one that begins after it."""
+    inner = F.substr("seen", F.lit(2), F.length("seen") - 2)
+    runs = F.regexp_extract_all(inner, F.lit(r"(.)\1*"), F.lit(0))
+    up = F.concat(F.array(F.lit(0)), F.flatten(F.transform(runs, lambda r: F.sequence(F.lit(1), F.length(r)))))
+    down = F.concat(F.flatten(F.transform(runs, lambda r: F.sequence(F.length(r), F.lit(1), F.lit(-1)))), F.array(F.lit(0)))
+    letters = lambda by: F.slice(F.split(F.substr("seen", first + by, n), ""), F.lit(1), n)
+    return [letters(2).alias("b"), letters(1).alias("prev"), letters(3).alias("next"), F.slice(up, first + 1, n).alias("up"), F.slice(down, first + 2, n).alias("down")]
+
+
 def mismatch_rows(reads: DataFrame, ref: DataFrame, min_bq: int = 20, intervals=None, mask=None, **rules) -> DataFrame:
     """One row for each counted base with its covariates, the codes of its own, the reference's and the mate's base, in sequencing direction."""
     kept = kept_reads(reads, **rules).withColumns({"blocks": X.aligned_blocks(), "n": X.op_sum("MIS=X").cast("int")})
@@ -105,20 +112,26 @@ def mismatch_rows(reads: DataFrame, ref: DataFrame, min_bq: int = 20, intervals=
     flat = flat.select(*_READ, "contig", (F.col("pos0") + F.col("b.ref_off")).alias("at"), F.col("b.len").alias("len"), F.col("b.read_off").alias("off"), "seen", "mate", F.expr("substr(quals, b.read_off + 1, b.len)").alias("bqs"))
     flat = flat.select(*_READ, "contig", "at", "off", "len", "seen", "bqs", X.aligned_to("mate.bases", " ").alias("mate_bases"), X.aligned_to("mate.quals", "!").alias("mate_quals"))
     spans = flat.filter("len > 0").withColumns({"start": F.col("at"), "end": F.col("at") + F.col("len")})
-    if intervals is not None:  # blocks are cut to the intervals before they are flattened
-        met = I.range_join(spans.withColumnsRenamed({"start": "a_start", "end": "a_end"}), _merged(intervals))
-        spans = met.withColumns({"start": F.greatest("a_start", "b_start"), "end": F.least("a_end", "b_end")}).drop("a_start", "a_end", "b_start", "b_end")
-    parts = bases.with_pieces(spans, ref)
-    each = parts.select("*", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("ref_pos"))
-    i = (F.col("ref_pos") - F.col("at")).cast("int")
-    one = lambda text, k: F.substr(text, k + 1, F.lit(1))
-    score = lambda text: F.when(F.length(one(text, i)) > 0, F.ascii(one(text, i)) - 33)
-    mate = F.when(score("mate_quals") >= min_bq, _code(one("mate_bases", i), F.col("reverse")))
-    each = each.select(*_READ, "contig", "ref_pos", (F.col("off") + i).alias("read_off"), "seen", score("bqs").alias("bq"), mate.alias("mate_base"), F.substr("piece", (F.col("ref_pos") - F.col("piece_start") + 1).cast("int"), F.lit(1)).alias("r"))
-    each = each.filter((F.col("bq").isNull() | (F.col("bq") >= min_bq)) & (F.instr(F.lit("ACGT"), F.col("r")) > 0) & (F.length("r") == 1) & (F.instr(F.lit("ACGT"), F.substr("seen", F.col("read_off") + 2, F.lit(1))) > 0))
-    out = _with_reference_codes(_inside(_own_columns(each), None, mask), F.col("r"))
-    error = (F.col("read_base") != F.col("ref_base")).cast("int")
-    return out.withColumn("error", error).withColumns({"nm": F.greatest(F.col("nm0") - F.col("error"), F.lit(0)), "indel_len": F.lit(0)})
+    size = bases.piece_size(ref)
+    if intervals is not None or mask is not None:
+        ref = bases.marked_pieces(ref, intervals, mask).select("contig", "start0", F.col("open").alias("seq"))
+    c, rev = F.col, F.col("reverse")
+    skip, n = (c("start") - c("at")).cast("int"), (c("end") - c("start")).cast("int")
+    parts = bases.with_pieces(spans, ref, size).withColumns({"skip": skip, "n": n, "first": c("off") + skip, "r": F.substr("piece", (c("start") - c("piece_start") + 1).cast("int"), n)})
+    parts = parts.filter(F.length(F.translate("r", f"N{bases.CLOSED}", "")) > 0)
+    along = lambda text: F.slice(F.split(F.substr(text, c("skip") + 1, c("n")), ""), F.lit(1), c("n"))
+    zipped = F.arrays_zip(*_side_by_side(c("first"), c("n")), F.slice(F.split("r", ""), F.lit(1), c("n")).alias("r"), along(c("bqs")).alias("q"), along(c("mate_bases")).alias("mb"), along(c("mate_quals")).alias("mq"))
+    each = parts.select(*_READ, "first", (F.length("seen") - 2).alias("size"), F.posexplode(zipped).alias("i", "x")).select(*_READ, "size", (c("first") + c("i")).alias("off"), "x.*")
+    score = lambda q: F.when(F.length(q) > 0, F.ascii(q) - 33)
+    known = lambda b: F.coalesce((F.instr(F.lit("ACGT"), b) > 0) & (F.length(b) == 1), F.lit(False))
+    each = each.withColumn("bq", score("q")).filter((c("bq").isNull() | (c("bq") >= min_bq)) & known(c("r")) & known(c("b")))
+    out = each.select(
+        *_READ, "bq", F.when(score("mq") >= min_bq, _code(c("mb"), rev)).alias("mate_base"), F.when(rev, c("size") - c("off")).otherwise(c("off") + 1).cast("int").alias("cycle"), _code(c("b"), rev).alias("read_base"), F.when(rev, c("down")).otherwise(c("up")).alias("hp_len"),
+        _code(F.when(rev, c("next")).otherwise(c("prev")), rev).alias("before"), _code(F.when(rev, c("prev")).otherwise(c("next")), rev).alias("after"), "r",
+    )
+    out = _with_reference_codes(out, c("r"))
+    error = (c("read_base") != c("ref_base")).cast("int")
+    return out.withColumn("error", error).withColumns({"nm": F.greatest(c("nm0") - c("error"), F.lit(0)), "indel_len": F.lit(0)})
 
 
 def indel_rows(reads: DataFrame, ref: DataFrame, min_bq: int = 20, intervals=None, mask=None, **rules) -> DataFrame:
@@ -128,14 +141,19 @@ def indel_rows(reads: DataFrame, ref: DataFrame, min_bq: int = 20, intervals=Non
     q = lambda i: F.substr("quals", (i + 1).cast("int"), F.lit(1))
     score = lambda i: F.when(F.length(q(i)) > 0, F.ascii(q(i)) - 33)
     ev = ev.withColumns({"bq": score(F.col("anchor_read")), "first": F.coalesce(score(F.col("read_off")), F.lit(0)), "read_off": F.col("anchor_read")}).drop("quals")
-    ev = _own_columns(ev)
-    ins = _inside(ev.filter((F.col("op") == "I") & (F.col("first") >= min_bq)), intervals, mask)
-    dels = _inside(ev.filter("op = 'D'"), intervals, None)
-    if mask is not None or intervals is not None:  # a deletion stays unless every deleted position is masked or outside
-        spots = dels.select("read_id", "ref_pos", "contig", "len").distinct().select("read_id", F.col("ref_pos").alias("anchor"), "contig", F.explode(F.expr("sequence(ref_pos + 1, ref_pos + len)")).alias("ref_pos"))
-        alive = _inside(spots, intervals, mask).select("read_id", F.col("anchor").alias("ref_pos"), "contig").distinct()
-        dels = dels.join(alive, ["read_id", "ref_pos", "contig"], "left_semi")
-    out = bases.with_reference(ins.unionByName(dels), ref)
+    ev = _own_columns(ev).filter((F.col("op") == "D") | (F.col("first") >= min_bq))
+    size = bases.piece_size(ref)
+    if intervals is None and mask is None:
+        out = bases.with_reference(ev, ref, size)
+    else:
+        marked = bases.marked_pieces(ref, None, mask)
+        ev = bases.with_reference(_inside(ev, intervals), marked, size)
+        ins = ev.filter((F.col("op") == "I") & ~F.col("open_base").eqNullSafe(F.lit(bases.CLOSED)))
+        dels = ev.filter("op = 'D'")  # a deletion stays unless every deleted position is masked or outside
+        gone = dels.select("read_id", "ref_pos", "contig", (F.col("ref_pos") + 1).alias("start"), (F.col("ref_pos") + 1 + F.col("len")).alias("end"))
+        under = bases.with_pieces(gone, bases.marked_pieces(ref, intervals, mask).select("contig", "start0", F.col("open").alias("seq")), size)
+        left = F.length(F.translate(F.substr("piece", (F.col("start") - F.col("piece_start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), bases.CLOSED, ""))
+        out = ins.unionByName(dels.join(under.filter(left > 0).select("read_id", "ref_pos", "contig").distinct(), ["read_id", "ref_pos", "contig"], "left_semi"))
     return _with_reference_codes(out, F.coalesce("ref_base", F.lit(""))).withColumns({"nm": F.col("nm0"), "indel_len": F.col("len")})
 
 

@@ -285,7 +285,9 @@ def range_semi_join(spark, d):
 @query(sql(" SELECT contig, CAST(ref_pos AS BIGINT) AS ref_pos, depth FROM dep WHERE NOT EXISTS (SELECT 1 FROM va WHERE va.contig = dep.contig AND va.start0 <= dep.ref_pos AND dep.ref_pos < va.end0)", f"va AS ({fixture.VARIANTS_SQL})"))
 def position_mask_anti(spark, d):
     t = T(spark, d)
-    return errors._inside(coverage.position_depth(t.reads).filter("depth > 0").select("contig", "ref_pos", "depth"), None, t.variants)
+    depth = coverage.position_depth(t.reads).filter("depth > 0").select("contig", "ref_pos", "depth")
+    at = bases.with_reference(depth, bases.marked_pieces(t.ref, mask=t.variants), bases.piece_size(t.ref))
+    return at.filter(~F.col("open_base").eqNullSafe(F.lit(bases.CLOSED))).drop("ref_base", "open_base")
 
 
 _WIN = f"w0 AS (SELECT contig, ref_pos, sum(CASE WHEN ref_base IN ('G', 'C') THEN 1 ELSE 0 END) OVER f AS g, sum(CASE WHEN ref_base = 'N' THEN 1 ELSE 0 END) OVER f AS n FROM refb WINDOW f AS (PARTITION BY contig ORDER BY ref_pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING))", f"win AS (SELECT contig, ref_pos AS start0, CAST(g * 100 // {WINDOW} AS BIGINT) AS gc FROM w0 WHERE n <= 4 AND ref_pos + {WINDOW} <= 19456)"
@@ -512,6 +514,66 @@ def multi_tables(spark, d):
     return out
 
 
+def _together(spark, d) -> dict[str, DataFrame]:
+    """Tables of four programs from one scan of the reads."""
+    t = T(spark, d)
+    return multi.run(["alignment", "basic", "isize", "gcbias"], multi.Inputs(t.reads, t.contigs, t.ref, options={"gcbias": {"window": WINDOW}}))
+
+
+@query(ORACLES["alignment_summary_full"])
+def multi_alignment(spark, d):
+    out = _together(spark, d)["alignment_summary"]
+    return _rounded(out.withColumns({c: F.col(c).cast("long") for c in ("min_read_length", "max_read_length")}))
+
+
+@query(ORACLES["mean_qual_by_cycle"])
+def multi_mean_quality(spark, d):
+    return _together(spark, d)["mean_quality_by_cycle"]
+
+
+@query(ORACLES["isize_metrics_full"])
+def multi_isize(spark, d):
+    return _rounded(_together(spark, d)["insert_size_metrics"])
+
+
+@query(ORACLES["gcbias_detail_full"])
+def multi_gcbias_detail(spark, d):
+    return _rounded(_together(spark, d)["gcbias_detail"])
+
+
+@query(ORACLES["gcbias_summary"])
+def multi_gcbias_summary(spark, d):
+    return _rounded(_together(spark, d)["gcbias_summary"])
+
+
+@query(sql(
+    """ SELECT category, CAST(min(n) AS BIGINT) AS min_read_length, CAST(max(n) AS BIGINT) AS max_read_length, """ + _round("""
+        avg(n) AS mean_read_length
+        stddev_pop(n) AS sd_read_length
+        max(med) AS median_read_length
+        median(abs(n - med)) AS mad_read_length
+    """) + " FROM ln JOIN md USING (category) GROUP BY category",
+    _CATS, "ln AS (SELECT category, 20 + read_id * 7 % 13 AS n FROM cats WHERE pf)", "md AS (SELECT category, median(n) AS med FROM ln GROUP BY category)"))
+def read_lengths(spark, d):
+    """Read-length statistics of reads trimmed to 20 to 32 bases."""
+    reads = T(spark, d).reads.withColumn("seq", F.substr("seq", F.lit(1), (F.lit(20) + F.col("read_id") * 7 % 13).cast("int")))
+    cols = ["min_read_length", "max_read_length"]
+    return _rounded(simple.alignment_summary(reads).select("category", *[F.col(c).cast("long").alias(c) for c in cols], "mean_read_length", "sd_read_length", "median_read_length", "mad_read_length"))
+
+
+@query(sql(
+    """ SELECT count(*) FILTER (kind = 'I') AS num_insertions, CAST(coalesce(sum(n) FILTER (kind = 'I'), 0) AS BIGINT) AS num_inserted_bases, count(*) FILTER (kind = 'D') AS num_deletions, CAST(coalesce(sum(n) FILTER (kind = 'D'), 0) AS BIGINT) AS num_deleted_bases
+    FROM (SELECT 'I' AS kind, ins AS n FROM ev WHERE ins > 0 AND ascii(substr(quals, CAST(ins_at + 1 AS INT), 1)) - 33 >= 20 AND anchor_in AND NOT EXISTS (SELECT 1 FROM mp WHERE mp.contig = ev.contig AND mp.pos = ev.anchor)
+      UNION ALL SELECT 'D', del FROM ev WHERE del > 0 AND anchor_in AND (o1 OR o2 OR o3)) y""",
+    f"va AS ({fixture.VARIANTS_SQL})", "mp AS (SELECT DISTINCT contig, unnest(range(start0, end0)) AS pos FROM va)", "op AS (SELECT contig, pos FROM tpos WHERE NOT EXISTS (SELECT 1 FROM mp WHERE mp.contig = tpos.contig AND mp.pos = tpos.pos))",
+    "e0 AS (SELECT *, pos0 + CASE WHEN ins = 4 THEN 11 ELSE 13 END AS anchor FROM o WHERE (ins > 0 OR del > 0) AND flags & 4 = 0 AND flags & 2304 = 0 AND flags & 512 = 0 AND flags & 1024 = 0 AND coalesce(mapq, 0) >= 20)",
+    "ev AS (SELECT e0.*, EXISTS (SELECT 1 FROM tpos WHERE tpos.contig = e0.contig AND tpos.pos = anchor) AS anchor_in, " + ", ".join(f"EXISTS (SELECT 1 FROM op WHERE op.contig = e0.contig AND op.pos = anchor + {i}) AS o{i}" for i in (1, 2, 3)) + " FROM e0)"))
+def error_masked_indels(spark, d):
+    """Insertions at open anchors, and deletions with an anchor in a target and an open position, under a mask."""
+    t = T(spark, d)
+    return errors.indel(errors.counted(t.reads, t.ref, groups=(), intervals=t.targets, mask=t.variants)).select(*errors.MEASURES[6:])
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{x}', '{w}')" for i, (n, (x, _, _, w)) in enumerate(TABLES.items())) + ") t(position, name, suffix, description)")
 def docs_table(spark, d):
     return sinks.docs_table(spark)
