@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import sinks
 from .functions.expressions import parse_cigar
-from .sources.bam_writer import write_bam
+from .sources.bam_writer import write_bam, write_bcf
 from .store import claimed, stored, write_text
 
 _reads: dict[tuple[str, str], DataFrame] = {}
@@ -98,7 +98,7 @@ class Tables:
         return self._sql(VARIANTS_SQL, "events")
 
     def file(self, name: str) -> str:
-        """The path of one of the tables in a format of the sources, written once a session and folder: reads.bam, reads.sam, reads.sam.gz, ref.fa, targets.bed, baits.interval_list, variants.vcf."""
+        """The path of one of the tables in a format of the sources, written once a session and folder: reads.bam, reads.sam, reads.sam.gz, ref.fa, targets.bed, baits.interval_list, variants.vcf, variants.bcf."""
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _files:
             path = f"{claimed(self.spark, 'files')}/{name}"
@@ -109,6 +109,8 @@ class Tables:
     def _write(self, name: str, path: str) -> None:
         if name == "reads.bam":
             write_bam(self.reads, self.contigs, path, HEADER)
+        elif name == "variants.bcf":
+            write_bcf(self.variants, self.contigs, path)
         elif name.startswith("reads.sam"):
             sinks.sam_lines(self.reads, self.contigs, HEADER).write.text(path, compression="gzip" if name.endswith(".gz") else "none")
         elif name == "ref.fa":

@@ -92,6 +92,16 @@ def vcf_spans(spark, d):
     return text.vcf(spark, T(spark, d).file("variants.vcf"))
 
 
+@query(sql(" SELECT contig, start0, end0, name FROM va", f"va AS ({fixture.VARIANTS_SQL})"))
+def bcf_spans(spark, d):
+    return text.vcf(spark, T(spark, d).file("variants.bcf"))
+
+
+@query(sql(" SELECT contig, start0, end0, name FROM va WHERE contig = 'chr2' AND start0 < 9000 AND end0 > 3000", f"va AS ({fixture.VARIANTS_SQL})"))
+def bcf_region_spans(spark, d):
+    return text.vcf_region(spark, T(spark, d).file("variants.bcf"), "chr2", 3000, 9000)
+
+
 @query(ORACLES["isize_hist"])
 def tsv_isize_hist(spark, d):
     """The histogram as its TSV file holds it."""

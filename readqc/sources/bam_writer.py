@@ -1,4 +1,4 @@
-"""Reads written as BAM: a folder of part files, each sorted, with the whole header and a BAI of its own.
+"""Reads written as BAM, and variants as BCF: a folder of part files, each sorted, with the whole header and an index of its own.
 
 Rows are dealt by range of position, and each task writes one file under the number of its partition; a task that runs again
 writes the same file again.
@@ -76,25 +76,27 @@ class Writer:
         while len(self.held) >= PAYLOAD:
             self._flush(PAYLOAD)
 
-    def add(self, r: dict) -> None:
-        data, end = record(r)
+    def add(self, data: bytes, ref: int | None, start: int | None, end: int) -> None:
+        """A record that lies at [start, end) of a reference, or nowhere."""
         begin = self.at << 16 | len(self.held)
         self._put(data)
-        if r["ref_id"] is not None and r["pos0"] is not None:
-            chunks = self.bins[r["ref_id"]].setdefault(bin_of(r["pos0"], end), [])
+        if ref is not None and start is not None:
+            chunks = self.bins[ref].setdefault(bin_of(start, end), [])
             place = self.at << 16 | len(self.held)
             if chunks and chunks[-1][1] == begin:
                 chunks[-1][1] = place
             else:
                 chunks.append([begin, place])
-            for w in range(r["pos0"] >> 14, (end - 1 >> 14) + 1):
-                self.linear[r["ref_id"]].setdefault(w, begin)
+            for w in range(start >> 14, (end - 1 >> 14) + 1):
+                self.linear[ref].setdefault(w, begin)
 
-    def close(self) -> bytes:
-        """Writes what is left and the empty block at the end; returns the index."""
+    def close(self) -> None:
+        """Writes what is left and the empty block at the end."""
         if self.held:
             self._flush(len(self.held))
         self._flush(0)
+
+    def bai(self) -> bytes:
         index = b"BAI\x01" + struct.pack("<i", len(self.bins))
         for bins, linear in zip(self.bins, self.linear, strict=True):
             index += struct.pack("<i", len(bins))
@@ -107,32 +109,77 @@ class Writer:
                 index += struct.pack("<Q", last)
         return index
 
+    def csi(self) -> bytes:
+        """The same bins as CSI; a bin's own offset is that of its first chunk."""
+        index = b"CSI\x01" + struct.pack("<iiii", 14, 5, 0, len(self.bins))
+        for bins in self.bins:
+            index += struct.pack("<i", len(bins))
+            for number, chunks in bins.items():
+                index += struct.pack("<IQi", number, chunks[0][0], len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        return index
 
-def write_bam(reads: DataFrame, contigs: DataFrame, path: str, lines: tuple[str, ...] = (), parts: int | None = None) -> int:
-    """Writes reads as files path/part-N.bam with indexes; returns their number of records. path must be in a store that pyarrow opens. contigs has one row a contig."""
-    names = [(r.contig, r.length) for r in contigs.orderBy("ref_id").collect()]
-    head = header([*lines, *(f"@SQ\tSN:{n}\tLN:{size}" for n, size in names)], names)
-    columns = [c.split(" ")[0] for c in READS.replace("op:string,len:int", "").split(", ")]
 
-    def work(batches):
-        from pyarrow import fs
+def _written(rows: DataFrame, path: str, ending: str, head: bytes, refs: int, encode) -> int:
+    """Each partition of rows as one file of records encode(row) = (bytes, reference, start, end), and its index; returns their number. path must be in a store that pyarrow opens."""
 
-        system, inside = bgzf._opened(path)
+    def work(batches):
+        system, inside = bgzf.opened(path)
         system.create_dir(inside, recursive=True)
-        file = f"{inside}/part-{TaskContext.get().partitionId():05d}.bam"
-        n, writer = 0, None
+        file, n = f"{inside}/part-{TaskContext.get().partitionId():05d}{ending}", 0
         with system.open_output_stream(file) as out:
-            writer = Writer(out, head, len(names))
+            writer = Writer(out, head, refs)
             for batch in batches:
                 for r in batch.to_pylist():
-                    writer.add(r)
+                    writer.add(*encode(r))
                     n += 1
-            index = writer.close()
-        with system.open_output_stream(file + ".bai") as out:
-            out.write(index)
-        assert system.get_file_info(file).type == fs.FileType.File
+            writer.close()
+        with system.open_output_stream(file + (".bai" if ending == ".bam" else ".csi")) as out:
+            out.write(writer.bai() if ending == ".bam" else writer.csi())
         yield pa.RecordBatch.from_pydict({"n": [n]})
 
+    return rows.mapInArrow(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _named(contigs: DataFrame) -> list[tuple[str, int]]:
+    """(name, length) in order; contigs has one row a contig."""
+    return [(r.contig, r.length) for r in contigs.orderBy("ref_id").collect()]
+
+
+def write_bam(reads: DataFrame, contigs: DataFrame, path: str, lines: tuple[str, ...] = (), parts: int | None = None) -> int:
+    """Writes reads as files path/part-N.bam with BAI; returns their number."""
+    names = _named(contigs)
+    head = header([*lines, *(f"@SQ\tSN:{n}\tLN:{size}" for n, size in names)], names)
+    columns = [c.split(" ")[0] for c in READS.replace("op:string,len:int", "").split(", ")]
     order = [F.col("ref_id").asc_nulls_last(), F.col("pos0").asc_nulls_last(), F.col("read_id")]
     dealt = reads.select(*columns).repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(work, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return _written(dealt, path, ".bam", head, len(names), placed_record)
+
+
+def placed_record(r: dict) -> tuple[bytes, int | None, int | None, int]:
+    data, end = record(r)
+    return data, r["ref_id"], r["pos0"], end
+
+
+def bcf_header(contigs: list[tuple[str, int]]) -> bytes:
+    text = "##fileformat=VCFv4.3\n" + "".join(f"##contig=<ID={n},length={size}>\n" for n, size in contigs) + "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n"
+    return b"BCF\x02\x02" + struct.pack("<I", len(text) + 1) + text.encode() + b"\0"
+
+
+def _typed_text(text: str) -> bytes:
+    data = text.encode()
+    return bytes([len(data) << 4 | 7]) + data if len(data) < 15 else bytes([0xF7, 0x12]) + struct.pack("<H", len(data)) + data
+
+
+def bcf_record(ref: int, start: int, size: int, name: str | None, bases: str = "A", other: str = "C") -> bytes:
+    """A variant without INFO values, filters and samples; size is the length of its span."""
+    shared = struct.pack("<iiiI", ref, start, size, 0x7F800001) + struct.pack("<II", 2 << 16, 0) + _typed_text(name or "") + _typed_text(bases) + _typed_text(other) + b"\x00"
+    return struct.pack("<II", len(shared), 0) + shared
+
+
+def write_bcf(variants: DataFrame, contigs: DataFrame, path: str) -> int:
+    """Writes spans (contig, start0, end0, name) as files path/part-N.bcf with CSI; returns their number."""
+    names = _named(contigs)
+    number = {n: i for i, (n, _) in enumerate(names)}
+    dealt = variants.select("contig", "start0", "end0", "name").repartitionByRange("contig", "start0").sortWithinPartitions("contig", "start0", "end0")
+    encode = lambda r: (bcf_record(number[r["contig"]], r["start0"], r["end0"] - r["start0"], r["name"]), number[r["contig"]], r["start0"], max(r["end0"], r["start0"] + 1))
+    return _written(dealt, path, ".bcf", bcf_header(names), len(names), encode)

@@ -100,6 +100,10 @@ class Index:
     linear: list[list[int]] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
 
+    def starts(self) -> list[int]:
+        """Places at which records start, one a chunk, in order."""
+        return sorted({a for bins in self.bins for chunks in bins.values() for a, _ in chunks})
+
     def chunks(self, ref: int, start: int, end: int) -> list[tuple[int, int]]:
         """Virtual offset ranges that hold all records overlapping [start, end), merged."""
         if not 0 <= ref < len(self.bins) or end <= start:
@@ -171,7 +175,7 @@ def find_index(spark: SparkSession, path: str, endings: tuple[str, ...]) -> Inde
 # What follows runs in executors, which have no access to the files but pyarrow's.
 
 
-def _opened(path: str):
+def opened(path: str):
     """(file system, path in it)."""
     from pyarrow import fs
 
@@ -183,7 +187,7 @@ def _opened(path: str):
 def reachable(path: str) -> bool:
     """Whether pyarrow opens files of this kind of path."""
     try:
-        _opened(path)
+        opened(path)
     except Exception:  # unknown scheme, or a store whose client is missing: Spark's readers are left
         return False
     return True
@@ -191,7 +195,7 @@ def reachable(path: str) -> bool:
 
 def open_file(path: str):
     """(file, size)."""
-    system, inside = _opened(path)
+    system, inside = opened(path)
     file = system.open_input_file(inside)
     return file, file.size()
 
@@ -200,7 +204,7 @@ def listed(path: str) -> list[tuple[str, int]]:
     """(path, size) of a file, or of a folder's files in order."""
     from pyarrow import fs
 
-    system, inside = _opened(path)
+    system, inside = opened(path)
     info = system.get_file_info(inside)
     if info.type == fs.FileType.File:
         return [(path, info.size)]
@@ -212,7 +216,7 @@ def listed(path: str) -> list[tuple[str, int]]:
 
 
 def index_beside(path: str) -> Index | None:
-    """BAI or CSI beside a BAM file."""
+    """BAI or CSI beside a file."""
     for name in (path + ".bai", path.rsplit(".", 1)[0] + ".bai", path + ".csi"):
         try:
             file, size = open_file(name)

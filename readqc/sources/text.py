@@ -1,6 +1,6 @@
 """Text sources: SAM, FASTA, BED, IntervalList, VCF. All scans go through Spark's readers, so any store works.
 
-CRAM and BCF need codecs that are not available and raise an error.
+CRAM needs codecs that are not available and raises an error.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import parse_cigar
 from ..operators.bases import CHUNK as PIECE
-from . import bgzf
+from . import bcf, bgzf
 
 
 def detect_format(path: str) -> str:
@@ -221,12 +221,14 @@ def named(rows: DataFrame) -> DataFrame:
 def vcf(spark: SparkSession, path: str) -> DataFrame:
     """Spans of all records (contig, start0, end0, name), without a look at FILTER: to INFO/END, else over REF."""
     if path.lower().endswith(".bcf"):
-        raise ValueError("BCF is not supported; convert to VCF")
+        return bcf.bcf(spark, path)
     return _variants(_maybe_gzipped(spark, path))
 
 
 def vcf_region(spark: SparkSession, path: str, contig: str, start0: int, end0: int, split_bytes: int = 32 << 20) -> DataFrame:
     """Spans of the records that overlap a region: by TBI or CSI of a BGZF file, a task some of its chunks; without index by a filtered scan."""
+    if path.lower().endswith(".bcf"):
+        return bcf.bcf_region(spark, path, contig, start0, end0, split_bytes)
     index = bgzf.find_index(spark, path, (".tbi", ".csi"))
     rows = None
     if index is not None and contig in index.names:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from readqc import multi
 from readqc.functions import expressions as X
 from readqc.plans import simple
-from readqc.sources import bam, bgzf, text
-from readqc.sources.bam_writer import Writer, header, write_bam
+from readqc.sources import bam, bcf, bgzf, text
+from readqc.sources.bam_writer import Writer, bcf_header, bcf_record, header, placed_record, write_bam
 
 CONTIGS = [("chr1", 900_000), ("chr2", 50_000)]
 
@@ -40,9 +40,9 @@ def made(spark, tmp_path_factory):
     with open(where / "x.bam", "wb") as out:
         w = Writer(out, header(["@RG\tID:a\tSM:me"], CONTIGS), 2)
         for r in rows:
-            w.add(r)
-        index = w.close()
-    (where / "x.bam.bai").write_bytes(index)
+            w.add(*placed_record(r))
+        w.close()
+    (where / "x.bam.bai").write_bytes(w.bai())
     return str(where / "x.bam"), rows
 
 
@@ -82,7 +82,7 @@ def test_columns_are_pruned(spark, made, tmp_path, monkeypatch):
         put = w._put
         w._put = lambda data: put(data[:-1] + b"\xff" if data[-5:] == b"SAZx\0" else data)  # the tag's text has no end
         for r in rows[:1400]:
-            w.add(r | {"has_sa": True})
+            w.add(*placed_record(r | {"has_sa": True}))
         w.close()
     want = multi.columns_of(["isize"])
     assert not {"seq", "quals", "qname", "nm", "mq", "has_sa"} & set(want)
@@ -200,3 +200,29 @@ def test_blocked_text_is_split(spark, tmp_path, split):
     with gzip.open(tmp_path / "p.txt.gz", "wt") as f:
         f.write("\n".join(lines))
     assert [r.value for r in text.lines_of(spark, str(tmp_path / "p.txt.gz")).collect()] == lines
+
+
+def test_bcf(spark, tmp_path):
+    """Spans from BCF with and without index, by splits and regions; long names, sizes beyond REF, numbered contigs, a broken file."""
+    rng, rows = random.Random(8), []
+    for ref, length in ((0, 800_000), (1, 50_000)):
+        for start in sorted(rng.randrange(0, length) for _ in range(3000)):
+            rows.append((ref, start, start + rng.choice((1, 1, 3, 400)), rng.choice((None, "rs1", "a name of more than fifteen bytes"))))
+    with open(tmp_path / "v.bcf", "wb") as out:
+        w = Writer(out, bcf_header(CONTIGS), 2)
+        for ref, s, e, name in rows:
+            w.add(bcf_record(ref, s, e - s, name, "ACGT" * rng.randrange(1, 60)), ref, s, e)
+        w.close()
+    path = str(tmp_path / "v.bcf")
+    want = sorted((CONTIGS[r][0], s, e, n or ".") for r, s, e, n in rows)
+    assert sorted(map(tuple, text.vcf(spark, path).collect())) == want
+    (tmp_path / "v.bcf.csi").write_bytes(w.csi())
+    df = bcf.bcf(spark, path, split_bytes=10_000)
+    assert df.rdd.getNumPartitions() > 3 and sorted(map(tuple, df.collect())) == want
+    for contig, s, e in (("chr1", 0, 5000), ("chr1", 400_000, 400_100), ("chr2", 0, 900_000), ("chr9", 0, 10)):
+        assert sorted(map(tuple, text.vcf_region(spark, path, contig, s, e).collect())) == [r for r in want if r[0] == contig and r[1] < e and r[2] > s]
+    assert bcf.header(b"BCF\x02\x02" + struct.pack("<I", 60) + b"##contig=<ID=b,IDX=4>\n##contig=<ID=a,length=3,IDX=2>\n".ljust(60, b"\0"))[0] == {4: "b", 2: "a"}
+    data = (tmp_path / "v.bcf").read_bytes()
+    (tmp_path / "cut.bcf").write_bytes(data[: len(data) // 2])
+    with pytest.raises(Exception, match="ends inside"):
+        text.vcf(spark, str(tmp_path / "cut.bcf")).collect()
