@@ -8,7 +8,8 @@ the gender that the form of address tells. The same entity gets the same surroga
 of one card or phone number (separators) or e-mail address (case) are one entity, and their surrogates agree likewise.
 
 A name has two parts with surrogates of their own, the family name and the given names within a family, so "Mr Smith" and
-"Mr John Smith" stay linked; where a document goes on with "John Smith" or "Smith", these are replaced as well.
+"Mr John Smith" stay linked; where a document goes on with "John Smith", "Smith" or "John", these are replaced as well, in
+one pass over the text as it was, but for parts of names that are words (WORDS).
 
 Distinctness: surrogates of all distinct parts are counted; parts that share one, or whose surrogate is itself a part of
 the corpus, try again with the next attempt until none is left. From the fourth attempt on surrogates of names, addresses
@@ -32,6 +33,13 @@ MALE_FORMS = ("Mr", "Herr", "Monsieur", "Sr", "Señor", "Господин")
 FEMALE = {"latin": ("Anna", "Clara", "Elena", "Julia", "Laura", "Maria", "Nora", "Paula", "Sofia", "Vera"), "cyrillic": ("Анна", "Вера", "Елена", "Ирина", "Мария", "Нина", "Ольга", "София")}
 MALE = {"latin": ("Adam", "Bruno", "David", "Felix", "Hugo", "Jonas", "Lucas", "Martin", "Oscar", "Simon"), "cyrillic": ("Антон", "Борис", "Виктор", "Денис", "Иван", "Максим", "Олег", "Павел")}
 
+# Words that are names as well. A plain mention of such a name alone is taken for the word.
+WORDS = (
+    "able", "april", "august", "baker", "bell", "best", "bishop", "black", "brown", "bush", "carpenter", "church", "cook", "cross", "day", "english", "faith", "field", "fish", "fox", "french", "good", "grace", "gray", "green", "grey", "hall", "hill", "hope", "house", "hunter", "july", "june", "king", "lake",
+    "law", "little", "long", "major", "march", "mark", "may", "mercy", "miller", "moon", "north", "page", "park", "pope", "price", "prince", "read", "rice", "rich", "river", "rose", "short", "small", "smart", "stone", "strong", "summer", "sun", "sunday", "west", "white", "will", "winter", "wise", "wolf", "wood", "young",
+    "berg", "fuchs", "gross", "klein", "koch", "kurz", "lang", "richter", "schwarz", "stark", "weiss", "winkler", "blanc", "bon", "grand", "leroy", "marchand", "petit", "blanco", "bueno", "calle", "casa", "iglesias", "leon", "rey", "rubio",
+)
+
 _FORMS = "|".join(sorted((*FEMALE_FORMS, *MALE_FORMS), key=lambda x: (-len(x), x)))
 # A name has further capitalised parts, initials, hyphens and apostrophes; "'s" is left out. Possessive loops need no stack.
 _PART = r"(?:\p{Lu}\. ?)*+\p{Lu}(?:[\p{L}\p{M}]|-(?=\p{L})|['’](?=\p{L}{2}))++"
@@ -244,17 +252,36 @@ def exceptions(entities: DataFrame, key: str, attempts: int = 60) -> DataFrame:
 
 
 def _mentions(text: Column, names: Column) -> Column:
-    """text with plain mentions of names (array<struct<bare, new>>) replaced, as whole words."""
-    quoted = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{M}])\Q"), w, F.lit(r"\E(?![\p{L}\p{M}])"))
-    return F.aggregate(names, text, lambda t, n: F.when(F.instr(t, n["bare"]) > 0, F.regexp_replace(t, quoted(n["bare"]), n["new"])).otherwise(t))
+    """text with plain mentions of names (array<struct<bare, new>>, longest first) replaced, as whole words and in one pass, so what replaces a name is not read again."""
+
+    def replaced(pattern):
+        new = lambda m: F.element_at(F.filter(names, lambda n: n["bare"] == m), 1)["new"]
+        met = F.regexp_extract_all(text, pattern, F.lit(0))
+        return F.array_join(F.zip_with(F.split(text, pattern, -1), met, lambda gap, m: F.concat(gap, F.when(m.isNull(), "").otherwise(new(m)))), "")
+
+    any_of = F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n["bare"], F.lit(r"\E"))), "|")
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?:"), any_of, F.lit(r")(?![\p{L}\p{M}])"))
+    return F.when(F.exists(names, lambda n: F.instr(text, n["bare"]) > 0), _once(whole, replaced)).otherwise(text)
+
+
+def _plain_names(entities: Column, surrogates: Column) -> Column:
+    """array<struct<bare, new>>, longest first: how a document may go on with the names of its entities, in full, by family name or by given names; of two surrogates of one spelling the first."""
+    bare = lambda e: F.substr(e, F.char_length(_form(e)) + 1)
+    given = lambda name: F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - F.char_length(_family(name))))
+    named = F.filter(F.arrays_zip(entities.alias("e"), surrogates.alias("s")), lambda x: x["e"].rlike(rf"^({_FORMS})\.? "))
+    pair = lambda old, new: F.struct(old.alias("bare"), new.alias("new"))
+    whole = F.transform(named, lambda x: pair(bare(x["e"]), bare(x["s"])))
+    part = lambda of: F.filter(F.transform(whole, lambda n: pair(of(n["bare"]), of(n["new"]))), lambda n: (n["bare"] != "") & ~n["bare"].rlike(r"\.$") & ~F.lower(n["bare"]).isin(*WORDS))
+    longest = lambda a, b: F.char_length(b["bare"]) - F.char_length(a["bare"])
+    return F.array_sort(F.array_distinct(F.concat(F.filter(whole, lambda n: n["bare"].contains(" ")), part(_family), part(given))), longest)
 
 
 def anonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs plus entities, surrogates (arrays in order) and clean_text. key: the secret that surrogates depend on.
 
     A null text has no entities and stays null. Rows may share an id; rows without id are treated alike. Equal entities have
-    equal surrogates in all rows, different ones different surrogates, and no surrogate is an entity of the table. Given
-    names alone, without a family name, are not found. Columns named like an added one are replaced; others may have any
+    equal surrogates in all rows, different ones different surrogates, and no surrogate is an entity of the table. Names that
+    no form of address introduces anywhere in a document are not found. Columns named like an added one are replaced; others may have any
     name.
     """
     docs = docs.drop(*OUT)
@@ -269,11 +296,7 @@ def anonymise(docs: DataFrame, key: str) -> DataFrame:
         maps = met.groupBy(F.col("id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("part", "attempt"))).alias("odd"))
         out = out.join(maps, F.col("id").eqNullSafe(F.col("of")), "left")
         out = out.withColumn("surrogates", F.transform("entities", lambda e: surrogate(key, e, F.coalesce(F.col("odd"), F.create_map().cast("map<string,int>")))))
-    bare = lambda e: F.substr(e, F.char_length(_form(e)) + 1)
-    named = F.filter(F.arrays_zip("entities", "surrogates"), lambda x: x["entities"].rlike(rf"^({_FORMS})\.? "))
-    whole = F.transform(named, lambda x: F.struct(bare(x["entities"]).alias("bare"), bare(x["surrogates"]).alias("new")))
-    last = F.transform(whole, lambda x: F.struct(_family(x["bare"]).alias("bare"), _family(x["new"]).alias("new")))
-    out = out.withColumn("names", F.array_distinct(F.concat(whole, last)))
+    out = out.withColumn("names", _plain_names(F.col("entities"), F.col("surrogates")))
     out = out.withColumn("pieces", F.when(F.size("names") > 0, F.transform("pieces", lambda p: _mentions(p, F.col("names")))).otherwise(F.col("pieces")))
     joined = F.array_join(F.zip_with("pieces", "surrogates", lambda piece, s: F.concat(piece, F.coalesce(s, F.lit("")))), "")
     clean = F.when(F.size("entities") == 0, F.col("text")).otherwise(joined)

@@ -733,3 +733,53 @@ def test_near_duplicates_among_many_repeated_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     out = minhash.near_duplicates(df, width=2).groupBy("doc_id", "component_id").count().collect()
     assert sorted(map(tuple, out)) == [(1, 1, 2000), (2, 1, 2000), (3, 3, 2000)]
+
+
+def test_plain_mentions_in_one_pass(spark):
+    """Mentions are read in the text as it was: a surrogate that is another entity's name stays, gender and links hold; words stay words."""
+    texts = ["Mrs Maria Smith called. Later Maria Smith and Smith met Mr Laura, and Maria left.", "Mr Long walked a Long way with Mr John Long and John Long.", "Mr May came in May.", "Ms Ann Lee, Ann-Marie, Lee and Leeds"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for key in ("a", "b", "c", "d", "e", "f"):
+        out = {r.doc_id: r for r in pii.anonymise(rows, key).collect()}
+        mrs, mr = out[0].surrogates
+        given, family = mrs.removeprefix("Mrs ").rsplit(" ", 1)
+        assert given in pii.FEMALE["latin"]
+        assert out[0].clean_text == f"{mrs} called. Later {given} {family} and {family} met {mr}, and {given} left."
+        long, john = (s.removeprefix("Mr ") for s in out[1].surrogates)
+        assert out[1].clean_text == f"Mr {long} walked a Long way with Mr {john} and {john}." and john.endswith(f" {long}")
+        assert out[2].clean_text == f"{out[2].surrogates[0]} came in May."
+        given, family = out[3].surrogates[0].removeprefix("Ms ").rsplit(" ", 1)
+        assert out[3].clean_text == f"Ms {given} {family}, {given}-Marie, {family} and Leeds"
+
+
+def test_surrogate_query_plain(spark):
+    """The query's rows against a plain reading: entities by the pattern, rewritten text from the operator's surrogates by regular expressions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL")
+    import regex
+
+    pattern = regex.compile(pii.ANY.replace("++", "+").replace("*+", "*"))
+    full = {r.doc_id: r for r in pii.anonymise(docs, "k").collect()}
+    rows = {r.doc_id: r for r in pii.summary(docs, "k").collect()}
+    seen = 0
+    for r in docs.collect():
+        found, out = pattern.findall(r.text), full[r.doc_id]
+        assert list(out.entities) == found and rows[r.doc_id].n_entities == len(found)
+        assert rows[r.doc_id].clean_sha256 == hashlib.sha256(out.clean_text.encode()).hexdigest()
+        names, rebuilt, new = [], "", iter(out.surrogates)
+        for e, s in zip(out.entities, out.surrogates, strict=True):
+            if m := regex.match(rf"(?:{pii._FORMS})\.? ", e):
+                a, b = e[m.end() :], s[m.end() :]
+                last = [regex.search(r"[^ .]+$", x)[0] for x in (a, b)]
+                parts = [(last[0], last[1]), (a[: -len(last[0])].rstrip(), b[: -len(last[1])].rstrip())]
+                names += [(a, b)] * (" " in a) + [p for p in parts if p[0] and not p[0].endswith(".") and p[0].lower() not in pii.WORDS]
+        swap = {}
+        for a, b in names:
+            swap.setdefault(a, b)
+        gap = regex.compile(r"(?<![\p{L}\p{M}])(?:" + "|".join(map(regex.escape, sorted(swap, key=len, reverse=True))) + r")(?![\p{L}\p{M}])") if swap else None
+        plain = lambda t: gap.sub(lambda m: swap[m[0]], t) if gap else t  # noqa: E731, B023
+        at = 0
+        for m in pattern.finditer(r.text):
+            rebuilt += plain(r.text[at : m.start()]) + next(new)
+            at, seen = m.end(), seen + 1
+        assert out.clean_text == rebuilt + plain(r.text[at:])
+    assert seen > 50
