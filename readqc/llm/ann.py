@@ -10,9 +10,10 @@ and in full before the rerank, within radii that cover ``cover`` of these neighb
 double precision.
 
 Equal vectors are one class, with the ids that can be among the k nearest, so copies make no hot bucket. The join on buckets
-is an equi-join (a bucket of many near copies is split by adaptive execution); only ids leave it. They are dealt by shard of
-the rows, each vector once, where each query comes along once with its candidates in that shard. A query that finds fewer
-than k rows is compared with all rows.
+is an equi-join (a bucket of many near copies is split by adaptive execution); only ids leave it. They are dealt by
+shard of the rows and block of the queries, both of bounded size, where each query comes along once with its candidates in
+that shard. A query that finds fewer than k rows is compared with all rows, and so is every query if no number of
+substrings reaches the target.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ class Codes:
 
 
 class Index:
-    """codes, parts, reach, radius, and near, the radius of the signature. left and right: vectors of queries and of their true neighbours, pair by pair."""
+    """codes, parts, reach, radius, near, the radius of the signature, and whether the target is reached. left and right: vectors of queries and of their true neighbours, pair by pair."""
 
     def __init__(self, sample: np.ndarray, rows: int, left: np.ndarray, right: np.ndarray, reach: int, target: float, cover: float, rounds: int = 6, seed: int = 11):
         self.codes, self.reach = Codes(sample, int(np.clip(np.ceil(np.log2(max(rows, 2))), 8, 30)), rounds, seed), reach
@@ -82,6 +83,7 @@ class Index:
             apart = np.zeros(0, np.int64) if not len(left) else np.bitwise_count(self.codes(left, self.parts, self.parts + 1) ^ self.codes(right, self.parts, self.parts + 1))[:, 0]
             least, whole, self.parts = np.minimum(least, apart), whole + apart, self.parts + 1
         self.codes.axes = self.codes.axes[:, : self.parts * self.codes.bits]
+        self.reached = (least <= reach).sum() >= target * len(left)
         self.radius = int(np.quantile(whole, cover)) if len(whole) else self.parts * self.codes.bits
         self.near = int(np.quantile(np.bitwise_count(self.signature(left) ^ self.signature(right)), cover)) if len(whole) else SIGNATURE
 
@@ -196,22 +198,26 @@ def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_ro
     sample = classes.select("v").orderBy(F.xxhash64(F.lit(7), "v")).limit(min(fit_rows, max(1000, (8 << 20) // d))).toPandas()
     left, right = _true_pairs(classes, queries, k, sampled)
     shared = spark.sparkContext.broadcast(Index(np.stack(sample["v"].to_list()).astype(float), n, left, right, reach, target, cover))
-    shards = max(1, -(-n // shard_rows))
+    # A group holds one shard of the rows and one block of the queries, so neither side grows with the table.
+    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-queries.count() // shard_rows))
     shard = F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int")
-    held = classes.select(shard.alias("shard"), "c", "v", "ids")
-    asked = queries.select(F.col("c").alias("q"), F.col("v").alias("qv"))
-
-    pairs = candidates(classes, queries, shared).distinct().repartition("q").withColumn("shard", shard)
-    pairs = pairs.groupBy("q", "shard").agg(F.collect_set("c").alias("cs")).join(asked, "q").select("shard", "q", "qv", "cs")
-    found = pairs.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_ranked(shared, k), FOUND)
+    numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    held = classes.select(shard.alias("shard"), numbers(blocks).alias("block"), "c", "v", "ids")
+    asked = queries.select(F.col("c").alias("q"), F.col("v").alias("qv"), F.pmod(F.xxhash64(F.lit(3), "c"), F.lit(blocks)).cast("int").alias("block"))
+    by = ["shard", "block"]
+    ranked = lambda df: df.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(_ranked(shared, k), FOUND)
     best = lambda df: df.withColumn("at", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("at") <= k + 1)
-    found = stored(best(found), "found")
-    full = found.filter(F.col("at") == min(k + 1, total)).select("q")
+
+    found, full = spark.createDataFrame([], FOUND + ", at int"), spark.createDataFrame([], "q long")
+    if shared.value.reached:
+        pairs = candidates(classes, queries, shared).distinct().repartition("q").withColumn("shard", shard)
+        pairs = pairs.groupBy("q", "shard").agg(F.collect_set("c").alias("cs")).join(asked, "q").select(*by, "q", "qv", "cs")
+        found = stored(best(ranked(pairs)), "found")
+        full = found.filter(F.col("at") == min(k + 1, total)).select("q")
     again = asked.join(full, "q", "left_anti")
     if not again.isEmpty():
-        each = again.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "q", "qv", F.lit(None).cast("array<long>").alias("cs"))
-        rest = each.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(_ranked(shared, k), FOUND)
-        found = found.join(full, "q", "left_semi").union(stored(best(rest), "found"))
+        each = again.select(numbers(shards).alias("shard"), "block", "q", "qv", F.lit(None).cast("array<long>").alias("cs"))
+        found = found.join(full, "q", "left_semi").union(stored(best(ranked(each)), "found"))
 
     own = (F.col("c") == F.col("q")) & (F.col("vec_id") == F.col("query_id"))
     met = asking.select(F.col("vec_id").alias("query_id"), "q", "row").join(found, "q")

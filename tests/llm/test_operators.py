@@ -485,6 +485,37 @@ def test_neighbours_pruned(spark, monkeypatch):
     assert met < 0.1 * all_pairs
 
 
+@pytest.mark.parametrize("parts", [ann.MOST_PARTS, 8])
+def test_neighbours_in_blocks(spark, monkeypatch, parts):
+    """Groups of few rows and few queries give the same neighbours; where no number of parts reaches the target, all rows are compared and nothing is missed."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2000, 16)).astype(np.float32)
+    monkeypatch.setattr(ann, "MOST_PARTS", parts)
+    plain = ann._ranked
+
+    def watched(shared, k):
+        work = plain(shared, k)
+
+        def counted(asked, held):
+            assert len(asked) <= 400 and len(held) <= 400
+            return work(asked, held)
+
+        return counted
+
+    monkeypatch.setattr(ann, "_ranked", watched)
+    out = ann.neighbours(spark.createDataFrame([(i * 10, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=20, shard_rows=200, reach=0 if parts == 8 else 2).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    by = defaultdict(set)
+    for r in out:
+        by[r.query_id].add(r.vec_id // 10)
+    hits = 0
+    for q in range(0, 2000, 2):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5].tolist()) & by[q * 10])
+    assert len(out) == 5000 and hits >= (5000 if parts == 8 else 4500)
+
+
 def test_neighbours_odd(spark):
     kind = "vec_id long, embedding array<float>"
     assert ann.neighbours(spark.createDataFrame([], kind)).count() == 0
