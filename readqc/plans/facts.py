@@ -36,14 +36,14 @@ def _some(keep: Column, *rows: Column) -> Column:
 
 
 def _basic_rows() -> Column:
-    """A fact for each base of a kept read: read end and cycle, base and quality."""
+    """A fact for each base of a kept read: read end and cycle, base and quality. Cycles lie beside the bases, so nothing of the read is worked out anew for each."""
     n = F.least(F.length("seq"), F.length("quals"))
-    end = F.when(X.flag(X.PAIRED) & X.flag(X.LAST), 2).otherwise(1)
-    each = F.slice(F.arrays_zip(F.split(F.upper("seq"), "").alias("b"), F.split("quals", "").alias("q")), F.lit(1), n)
-    cycle = lambda i: F.when(X.flag(X.REVERSE), n - i).otherwise(i + 1)
-    fact = lambda x, i: _row(BASES, F.shiftleft(end.cast("long"), 32) + cycle(i), F.ascii(x["b"]) * 256 + F.ascii(x["q"]) - 33, F.lit(1))
+    end = F.shiftleft(F.when(X.flag(X.PAIRED) & X.flag(X.LAST), 2).otherwise(1).cast("long"), 32)
+    up, down = F.sequence(end + 1, end + n), F.sequence(end + n, end + 1, F.lit(-1).cast("long"))
+    part = lambda text: F.slice(F.split(text, ""), F.lit(1), n)
+    each = F.arrays_zip(part(F.upper("seq")).alias("b"), part(F.col("quals")).alias("q"), F.when(X.flag(X.REVERSE), down).otherwise(up).alias("a"))
     keep = ~X.flag(X.SECONDARY | X.SUPPLEMENTARY) & ~X.flag(X.QC_FAIL) & (n > 0)
-    return F.when(keep, F.transform(each, fact)).otherwise(_none())
+    return F.when(keep, F.transform(each, lambda x: _row(BASES, x["a"], F.ascii(x["b"]) * 256 + F.ascii(x["q"]) - 33, F.lit(1)))).otherwise(_none())
 
 
 def _alignment_rows(max_insert_size: int = 100_000, min_mapq: int = 20) -> Column:
@@ -54,7 +54,7 @@ def _alignment_rows(max_insert_size: int = 100_000, min_mapq: int = 20) -> Colum
     each = [F.when(keep, one(value)).otherwise(0) for keep, value in sums.values()]
     rows = [_row(SUMS, category, F.lit(i // 5), *each[i : i + 5]) for i in range(0, len(each), 5)]
     hq, pf = simple.high_quality(min_mapq), ~X.flag(X.QC_FAIL)
-    more = F.concat(_some(hq, _row(MISMATCHES, category, X.adjusted_mismatches(), F.lit(1))), _some(pf, _row(LENGTHS, category, F.length("seq"), F.lit(1))))
+    more = F.concat(_some(hq, _row(MISMATCHES, category, F.col("_mis"), F.lit(1))), _some(pf, _row(LENGTHS, category, F.length("seq"), F.lit(1))))
     n = F.length("seq")
     cycle = lambda i: F.when(X.flag(X.REVERSE), n - i).otherwise(i + 1)
     calls = F.filter(F.transform(F.split("seq", ""), lambda b, i: F.when(b == "N", _row(NO_CALLS, category, cycle(i), F.lit(1)))), lambda x: x.isNotNull())
@@ -80,6 +80,7 @@ _ROWS = {"basic": _basic_rows, "alignment": _alignment_rows, "isize": _size_rows
 def facts(reads: DataFrame, tools: list[str], options: dict[str, dict] | None = None) -> DataFrame:
     """(t, a, b, m0..m4) of these programs, lazily: one scan, one exchange. options: arguments of each program."""
     rows = [_ROWS[t](**(options or {}).get(t, {})) for t in SHARED if t in tools]
+    reads = reads.withColumns(simple.folds()) if "alignment" in tools else reads
     each = reads.select(F.explode(F.concat(*rows) if len(rows) > 1 else rows[0]).alias("f")).select("f.*")
     return each.groupBy("t", "a", "b").agg(*[F.sum(m).alias(m) for m in MEASURES])
 

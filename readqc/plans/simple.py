@@ -32,14 +32,19 @@ def high_quality(min_mapq: int) -> Column:
     return ~X.flag(X.QC_FAIL) & ~X.flag(X.UNMAPPED) & (F.coalesce("mapq", F.lit(255)) >= min_mapq)
 
 
+def folds() -> dict[str, Column]:
+    """What alignment_measures uses more than once of a CIGAR, by the names it uses."""
+    return {"_m": X.aligned_bases(), "_mis": X.adjusted_mismatches(), "_clip": X.three_prime_clip()}
+
+
 def alignment_measures(max_insert_size: int = 100_000, min_mapq: int = 20) -> dict[str, tuple[Column, Column]]:
-    """name: (which reads, what of each is added up)."""
+    """name: (which reads, what of each is added up), of reads with folds()."""
     pf, al, hq, one = ~X.flag(X.QC_FAIL), ~X.flag(X.QC_FAIL) & ~X.flag(X.UNMAPPED), high_quality(min_mapq), F.lit(1)
     in_pair = al & X.flag(X.PAIRED) & ~X.flag(X.MATE_UNMAPPED)
     mate_ok = F.col("mq").isNull() | ((F.col("mq") >= min_mapq) & (F.coalesce("mapq", F.lit(255)) >= min_mapq))
-    mis, clip = X.adjusted_mismatches(), X.three_prime_clip()
+    mis, clip = F.col("_mis"), F.col("_clip")
     return {
-        "total_reads": (F.lit(True), one), "aligned_reads": (al, one), "hq_aligned_bases": (hq, X.aligned_bases()), "hq_aligned_q20_bases": (hq, X.q20_bases(of=X.AS_BLOCKS)), "mis": (al, mis), "m": (al, X.aligned_bases()), "events": (al, X.op_count("ID")), "ins": (al, X.op_sum("I")),
+        "total_reads": (F.lit(True), one), "aligned_reads": (al, one), "hq_aligned_bases": (hq, F.col("_m")), "hq_aligned_q20_bases": (hq, X.q20_bases(of=X.AS_BLOCKS)), "mis": (al, mis), "m": (al, F.col("_m")), "events": (al, X.op_count("ID")), "ins": (al, X.op_sum("I")),
         "aligned_reads_in_pairs": (in_pair, one), "reads_improperly_paired": (in_pair & ~X.flag(X.PROPER), one), "forward": (al & ~X.flag(X.REVERSE), one), "pair_den": (in_pair & mate_ok, one), "pair_chim": (in_pair & mate_ok & X.chimeric(max_insert_size), one),
         "single_den": (~in_pair & hq, one), "single_chim": (~in_pair & hq & F.col("has_sa"), one), "soft": (al, X.op_sum("S")), "hard": (pf, X.op_sum("H")), "clip3": (al, clip), "clip3_reads": (al & (clip > 0), one),
     }
