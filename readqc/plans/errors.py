@@ -23,6 +23,7 @@ STRATIFIERS = ("all", "bq", "mapq", "cycle", "read_num", "strand", "pair_orienta
 DEFAULT_GROUPS = ("bq", "isize", "gc", "strand", "pair_orientation", "hp_len", "cycle", "read_num", "read_num,cycle", "read_num,hp_len", "read_num,gc", "read_num,pre_dinuc", "mapq", "nm", "context_3bp")
 ORIENTATIONS = ("f1r2", "f2r1", "tandem")
 SHIFT = 28  # bits of a covariate in a packed key
+MOST_GROUPS = 127  # what is left of a key for the group's number
 
 def parse_groups(groups=DEFAULT_GROUPS) -> list[tuple[str, ...]]:
     """all first and once; other groups in order."""
@@ -183,10 +184,12 @@ def _text(name: str, code: Column) -> Column:
 def counted(reads: DataFrame, ref: DataFrame, groups=DEFAULT_GROUPS, **options) -> DataFrame:
     """(g, stratifier, covariate, measures): all groups from one flattening.
 
-    Groups of up to two names are packed into one number, group, first and second covariate; larger groups are aggregated
-    by their columns.
+    A key is the group's number and its covariates, packed two to a number; the numbers of a key are as many as the largest
+    group asks for, one for groups of up to two names.
     """
     parsed = parse_groups(groups)
+    if len(parsed) > MOST_GROUPS:
+        raise ValueError(f"at most {MOST_GROUPS - 1} groups besides all")
     names = sorted({x for g in parsed for x in g})
     zero = {m: F.lit(0).cast("long") for m in MEASURES}
     c = F.col
@@ -197,28 +200,32 @@ def counted(reads: DataFrame, ref: DataFrame, groups=DEFAULT_GROUPS, **options)
     a = mis.select(*names, *[v.alias(k) for k, v in {**zero, "total_bases": F.lit(1).cast("long"), "error_bases": one(err), "overlapping_read_bases": one(mate), "bases_mismatching_ref_and_mate": one(same_ref), "bases_matching_mate_but_not_ref": one(same_read), "bases_in_three_way_disagreement": one(mate & err & ~same_ref & ~same_read)}.items()])
     ins = c("op") == "I"
     b = indel_rows(reads, ref, **options).select(*names, *[v.alias(k) for k, v in {**zero, "num_insertions": one(ins), "num_inserted_bases": F.when(ins, c("len")).otherwise(0).cast("long"), "num_deletions": one(~ins), "num_deleted_bases": F.when(~ins, c("len")).otherwise(0).cast("long")}.items()])
-    packed = [(i, g) for i, g in enumerate(parsed) if len(g) <= 2]
     sums = [F.sum(m).alias(m) for m in MEASURES]
+    keys = [f"k{j}" for j in range((max(map(len, parsed)) + 1) // 2)]
+    long = lambda n: c(n).cast("long")
+
+    def packed(i: int, g: tuple[str, ...]) -> Column:
+        """The numbers of a base's or event's key in a group; null where a covariate is."""
+        two = [F.shiftleft(long(g[j]), SHIFT) + (long(g[j + 1]) if j + 1 < len(g) else F.lit(0)) if j < len(g) else F.lit(0).cast("long") for j in range(0, 2 * len(keys), 2)]
+        two[0] = two[0] + F.shiftleft(F.lit(i).cast("long"), 2 * SHIFT)
+        known = c(g[0]).isNotNull()
+        for n in g[1:]:
+            known &= c(n).isNotNull()
+        return two[0] if len(keys) == 1 else F.when(known, F.struct(*[x.alias(k) for x, k in zip(two, keys, strict=True)]))
 
     def keyed(rows: DataFrame) -> DataFrame:
-        long = lambda n: c(n).cast("long")
-        keys = [F.shiftleft(F.lit(i).cast("long"), 2 * SHIFT) + F.shiftleft(long(g[0]), SHIFT) + (long(g[1]) if len(g) > 1 else F.lit(0)) for i, g in packed]
-        return rows.select(F.explode(F.array(*keys)).alias("key"), *MEASURES).filter("key IS NOT NULL").groupBy("key").agg(*sums)
+        each = rows.select(F.explode(F.array(*[packed(i, g) for i, g in enumerate(parsed)])).alias("k0"), *MEASURES).filter("k0 IS NOT NULL")
+        each = each if len(keys) == 1 else each.select("k0.*", *MEASURES)
+        return each.groupBy(*keys).agg(*sums)
 
-    rows = keyed(a).union(keyed(b)).groupBy("key").agg(*sums)
+    rows = keyed(a).union(keyed(b)).groupBy(*keys).agg(*sums)
     mask = (1 << SHIFT) - 1
-    first, second = F.shiftright("key", SHIFT).bitwiseAND(mask), c("key").bitwiseAND(mask)
-    g_of = F.shiftright("key", 2 * SHIFT)
+    code = lambda j: (c(keys[j // 2]) if j % 2 else F.shiftright(keys[j // 2], SHIFT)).bitwiseAND(mask)
+    g_of = F.shiftright("k0", 2 * SHIFT)
     text, name = F.when(F.lit(False), ""), F.when(F.lit(False), "")
-    for i, g in packed:
-        of = [_text(g[0], first)] + ([_text(g[1], second)] if len(g) > 1 else [])
-        text, name = text.when(g_of == i, F.concat_ws(",", *of)), name.when(g_of == i, ",".join(g))
-    out = rows.select(g_of.cast("int").alias("g"), name.alias("stratifier"), text.alias("covariate"), *MEASURES)
     for i, g in enumerate(parsed):
-        if len(g) > 2:
-            more = a.unionByName(b).dropna(subset=list(g)).groupBy(*g).agg(*sums)
-            out = out.union(more.select(F.lit(i).alias("g"), F.lit(",".join(g)).alias("stratifier"), F.concat_ws(",", *[_text(n, c(n)) for n in g]).alias("covariate"), *MEASURES))
-    return out
+        text, name = text.when(g_of == i, F.concat_ws(",", *[_text(n, code(j)) for j, n in enumerate(g)])), name.when(g_of == i, ",".join(g))
+    return rows.select(g_of.cast("int").alias("g"), name.alias("stratifier"), text.alias("covariate"), *MEASURES)
 
 
 def mismatch(counts: DataFrame) -> DataFrame:

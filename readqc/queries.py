@@ -435,7 +435,7 @@ _NEXT = "nullif(CASE WHEN flags & 16 = 0 THEN translate(substr(seq, CAST(read_of
 _STRATA |= {"pre_dinuc": f"{_PREV} || {_STRATA['ref_base']}", "post_dinuc": f"{_NEXT} || {_STRATA['ref_base']}", "context_3bp": f"{_PREV} || {_STRATA['ref_base']} || {_NEXT}"}
 _BEFORE = "CASE WHEN flags & 16 <> 0 THEN substr(seq, CAST(read_off + 2 AS INT)) ELSE reverse(substr(seq, 1, CAST(read_off AS INT))) END"
 _STRATA["hp_len"] = f"CAST(CASE WHEN length({_BEFORE}) = 0 THEN 0 ELSE length({_BEFORE}) - length(ltrim({_BEFORE}, substr({_BEFORE}, 1, 1))) END AS VARCHAR)"
-for _g in ("read_num,cycle", "read_num,hp_len", "read_num,gc", "read_num,pre_dinuc"):
+for _g in ("read_num,cycle", "read_num,hp_len", "read_num,gc", "read_num,pre_dinuc", "read_num,cycle,strand", "strand,read_base,ref_base,mapq,bq"):
     _STRATA[_g] = " || ',' || ".join(f"({_STRATA[x]})" for x in _g.split(","))
 
 

@@ -186,3 +186,18 @@ def test_limits(spark, monkeypatch):
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
             store.shared_dir(spark)
+
+
+def test_groups_of_any_size(spark):
+    """Groups of up to five names come from the one flattening that all share; their sums over the further names are the smaller group's. Too many groups are an error."""
+    t = Tables(spark, DATA)
+    names = ("cycle", "cycle,strand", "cycle,strand,ref_base,bq,all")
+    df = errors.counted(t.reads, t.ref, groups=names)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode(arrays_zip") == 1
+    total = {n: {} for n in names}
+    for r in df.filter("g > 0").collect():
+        key = r.covariate.split(",")[0]
+        total[r.stratifier][key] = total[r.stratifier].get(key, 0) + r.total_bases
+    assert total[names[0]] == total[names[1]] and sum(total[names[2]].values()) == sum(total[names[0]].values())
+    with pytest.raises(ValueError, match="groups"):
+        errors.counted(t.reads, t.ref, groups=["bq"] * 127)
