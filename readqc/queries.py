@@ -294,10 +294,12 @@ _WIN = f"w0 AS (SELECT contig, ref_pos, sum(CASE WHEN ref_base IN ('G', 'C') THE
 _STARTS = f"st AS (SELECT contig, CASE WHEN flags & 16 <> 0 AND end0 IS NOT NULL THEN greatest(end0 - {WINDOW}, 0) ELSE pos0 END AS start0, nm FROM o WHERE flags & 4 = 0 AND flags & 256 = 0 AND flags & 512 = 0)"
 
 
-@query(sql(" SELECT gc, count(*) AS windows FROM win GROUP BY gc", *_WIN))
+@query(sql(" SELECT gc, count(*) AS windows FROM win WHERE contig IN (SELECT contig FROM reads WHERE flags & 4 = 0 AND mapq >= 40) GROUP BY gc", *_WIN))
 def gc_windows(spark, d):
+    """Windows of the contigs that have reads of high mapping quality."""
     t = T(spark, d)
-    return bases.gc_windows(t.ref, t.contigs, WINDOW).groupBy("gc").agg(F.count(F.lit(1)).alias("windows"))
+    seen = t.reads.filter("flags & 4 = 0 AND mapq >= 40").select("contig").distinct()
+    return bases.gc_windows(t.ref, t.contigs.join(seen, "contig"), WINDOW).groupBy("gc").agg(F.count(F.lit(1)).alias("windows"))
 
 
 @query(sql(" SELECT CAST(k AS BIGINT) AS gc, (SELECT count(*) FROM win WHERE gc = k) AS windows, (SELECT count(*) FROM win JOIN st USING (contig, start0) WHERE gc = k) AS read_starts FROM (SELECT unnest(range(0, 101)) AS k) x", *_WIN, _STARTS))
@@ -574,6 +576,32 @@ def error_masked_indels(spark, d):
     return errors.indel(errors.counted(t.reads, t.ref, groups=(), intervals=t.targets, mask=t.variants)).select(*errors.MEASURES[6:])
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """The rows of a metrics table, as many as it has strata, numbered as they come."""
+    spark, names = rows.sparkSession, rows.columns
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows.collect(), 1)], "row long, " + ", ".join(f"{n} {k}" for n, k in zip(names, (k for _, k in rows.dtypes))))
+
+
+@query(sql(
+    " SELECT row_number() OVER (ORDER BY g, covariate) AS row, stratifier, covariate FROM (" + " UNION ALL ".join(f"SELECT {i} AS g, '{g}' AS stratifier, covariate FROM (SELECT DISTINCT {_STRATA[g]} AS covariate FROM er) y WHERE covariate IS NOT NULL" for i, g in enumerate(("all", "read_num,cycle", "isize", "strand"))) + ") z", _ER))
+def error_row_order(spark, d):
+    """Groups as they were asked for, covariates in order within them."""
+    t = T(spark, d)
+    return _in_order(errors.mismatch(errors.counted(t.reads, t.ref, groups=("read_num,cycle", "isize", "strand"))).select("stratifier", "covariate"))
+
+
+@query(sql(
+    " SELECT row_number() OVER (ORDER BY CASE orient WHEN 'FR' THEN 1 WHEN 'RF' THEN 2 ELSE 3 END) AS row, orient AS pair_orientation FROM (SELECT orient FROM h GROUP BY orient HAVING count(*) >= (SELECT count(*) FROM h) * 0.001) x", _HIST))
+def isize_row_order(spark, d):
+    return _in_order(simple.insert_size_metrics(T(spark, d).reads, min_frac=0.001).select("pair_orientation"))
+
+
+@query(sql(" SELECT row_number() OVER (ORDER BY contig, s) AS row, contig AS chrom, s + 1 AS start FROM isl", "isl AS (SELECT contig, min(pos) AS s FROM (SELECT contig, pos, pos - row_number() OVER (PARTITION BY contig ORDER BY pos) AS g FROM tpos) x GROUP BY contig, g)"))
+def per_target_row_order(spark, d):
+    t = T(spark, d)
+    return _in_order(hybcap.per_target(t.reads, t.targets, t.ref).select("chrom", "start"))
+
+
 @query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{x}', '{w}')" for i, (n, (x, _, _, w)) in enumerate(TABLES.items())) + ") t(position, name, suffix, description)")
 def docs_table(spark, d):
     return sinks.docs_table(spark)
