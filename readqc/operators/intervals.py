@@ -29,17 +29,27 @@ def territory(intervals: DataFrame) -> DataFrame:
     return intervals.agg(F.coalesce(F.sum(F.col("end0") - F.col("start0")), F.lit(0)).cast("long").alias("territory"))
 
 
-def range_join(a: DataFrame, b: DataFrame, how: str = "inner", bin_size: int = BIN) -> DataFrame:
+MOST_SENT = 200_000
+
+
+def sendable(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has at most MOST_SENT rows (of a few numbers each: some 40 MB), which is counted; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(MOST_SENT + 1).count() <= MOST_SENT else df
+
+
+def range_join(a: DataFrame, b: DataFrame, how: str = "inner", bin_size: int = BIN, send: bool = False) -> DataFrame:
     """Overlaps of a(contig, a_start, a_end) and b(contig, b_start, b_end), each pair once.
 
     Both sides enter every bin that they touch; a pair counts in the later of their first bins, so no distinct is needed.
-    ``how``: inner, left_semi or left_anti (rows of a with, or without, a match; rows of a must be distinct).
+    ``how``: inner, left_semi or left_anti (rows of a with, or without, a match; rows of a must be distinct). ``send``: b is
+    broadcast if its entries are few (sendable), so a large a isn't shuffled.
     """
     def bins(df, s, e, name):
         last = F.floor((F.greatest(F.col(e) - 1, F.col(s))) / bin_size)
         return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(s) / bin_size), last)))
 
     left, right = bins(a, "a_start", "a_end", "_bin"), bins(b.withColumnRenamed("contig", "_contig"), "b_start", "b_end", "_b_bin")
+    right = sendable(right) if send else right
     hit = (F.col("contig") == F.col("_contig")) & (F.col("_bin") == F.col("_b_bin")) & (F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end"))
     first = F.col("_bin") == F.greatest(F.floor(F.col("a_start") / bin_size), F.floor(F.col("b_start") / bin_size))
     if how == "inner":

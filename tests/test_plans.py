@@ -175,6 +175,23 @@ def test_reads_that_fit_a_bin_are_joined_once(spark):
     assert "Join" not in first and rest.split("\n")[0].count("bin#") == 2 and "read_id" not in rest.split("\n")[0]
 
 
+def test_few_intervals_are_sent(spark, monkeypatch):
+    """A side of few rows is broadcast, a larger one shuffled, with the same result."""
+    t = Tables(spark, DATA)
+    spans = t.reads.filter("pos0 IS NOT NULL").select("read_id", "contig", F.col("pos0").alias("a_start"), (F.col("pos0") + 40).alias("a_end"))
+    b = t.targets.select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end"))
+    found = {}
+    for most in (I.MOST_SENT, 3):
+        monkeypatch.setattr(I, "MOST_SENT", most)
+        df = I.range_join(spans, b, send=True)
+        assert ("rightHint=(strategy=broadcast)" in df._jdf.queryExecution().optimizedPlan().toString()) == (most > 3)
+        found[most] = sorted(map(tuple, df.select("read_id", "b_start", "b_end").collect()))
+        cls = hybcap.bait_classes(t.reads, t.baits, t.contigs)
+        found[most, "baits"] = sorted(map(tuple, cls.collect()))
+    a, b = [x for k, x in found.items() if not isinstance(k, tuple)], [x for k, x in found.items() if isinstance(k, tuple)]
+    assert a[0] == a[1] and b[0] == b[1] and a[0]
+
+
 def test_limits(spark, monkeypatch):
     t = Tables(spark, DATA)
     with pytest.raises(ValueError):
