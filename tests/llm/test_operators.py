@@ -770,7 +770,7 @@ def test_plain_mentions_in_one_pass(spark):
     """Mentions are read in the text as it was: a surrogate that is another entity's name stays, gender and links hold; words stay words."""
     texts = ["Mrs Maria Smith called. Later Maria Smith and Smith met Mr Laura, and Maria left.", "Mr Long walked a Long way with Mr John Long and John Long.", "Mr May came in May.", "Ms Ann Lee, Ann-Marie, Lee and Leeds"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for key in ("a", "b", "c", "d", "e", "f"):
+    for key in ("a", "b"):
         out = {r.doc_id: r for r in pii.anonymise(rows, key).collect()}
         mrs, mr = out[0].surrogates
         given, family = mrs.removeprefix("Mrs ").rsplit(" ", 1)
