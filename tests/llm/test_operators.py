@@ -540,6 +540,77 @@ def test_toxicity(spark):
     assert len(held) > 200 and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def plain_toxicity(table, given, features, voters, least, rounds):
+    """Scores by id: voters, label model and classifier row by row, without sums over sets; the classifier by many gradient steps."""
+    train = [(i, t) for i, t in table if zlib.crc32(str(i).encode()) % 5]
+    y = np.array([given.get(i, -1) for i, _ in train])
+    feats = [toxicity.features_of(t) for _, t in train]
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    pos, neg = Counter(f for fs, v in zip(feats, y) if v == 1 for f in fs), Counter(f for fs, v in zip(feats, y) if v == 0 for f in fs)
+    share = {f: ((c + 0.5) / (n1 + 1), (neg[f] + 0.5) / (n0 + 1)) for f, c in pos.items() if c >= least}
+    best = sorted((f for f, (p, q) in share.items() if p > 5 * q), key=lambda f: (-pos[f] * math.log(share[f][0] / share[f][1]), f))[:features]
+    x = np.array([[float(f in fs) for f in best] for fs in feats])
+    lexicon = []
+    while len(lexicon) < voters:
+        open_ = (y == 1) & (x[:, lexicon].sum(1) == 0)
+        gain = {j: x[open_, j].sum() - 4 * x[y == 0, j].sum() for j in range(len(best)) if j not in lexicon}
+        if not gain or max(gain.values()) < least:
+            break
+        lexicon.append(max(gain, key=lambda j: (gain[j], -j)))
+    hits = x[:, lexicon].sum(1)
+    v = np.column_stack([x[:, lexicon], hits >= 1, hits >= 2, hits == 0]).astype(float)
+    use, post = y >= 0, y.astype(float)
+    for _ in range(rounds + 1):
+        w, p = v[use], post[use]
+        rate1, rate0 = (p @ w + 0.5) / (p.sum() + 1), ((1 - p) @ w + 0.5) / ((1 - p).sum() + 1)
+        rest = w - p[:, None] * rate1 - (1 - p)[:, None] * rate0
+        scale = np.sqrt((rest**2).mean(0)) + 1e-9
+        say = 1 / np.maximum(np.clip(rest.T @ rest / len(w) / np.outer(scale, scale), 0, 1).sum(1), 1)
+        right = {(label, c): (post if c else 1 - post)[use & (y == label)].sum() + 50 * (0.98 if label == c else 0.02) for label in (0, 1) for c in (0, 1)}
+        told = {label: math.log(right[label, 1] / (right[0, 1] + right[1, 1]) / right[label, 0] * (right[0, 0] + right[1, 0])) for label in (0, 1)} | {-1: 0.0}
+        prior, z = p.mean(), []
+        for row, label in zip(v, y):
+            z.append(math.log(prior / (1 - prior)) + told[label] + sum(s * math.log(a / b if on else (1 - a) / (1 - b)) for on, s, a, b in zip(row, say, rate1, rate0)))
+        post, use = 1 / (1 + np.exp(-np.array(z))), y >= -1
+    x1 = np.column_stack([x, np.ones(len(x))])
+    keep, rate = 1e-4 * np.append(np.ones(len(best)), 0), 1 / (np.linalg.norm(x1, 2) ** 2 / len(x1) / 4 + 1e-4)
+    a = b = np.zeros(len(best) + 1)
+    for t in range(20_000):
+        new = b - rate * (x1.T @ (1 / (1 + np.exp(-x1 @ b)) - post) / len(x1) + keep * b)
+        a, b = new, new + (new - a) * min(t / (t + 3), 0.99)
+    return {i: 1 / (1 + math.exp(-a[-1] - sum(a[j] for j, f in enumerate(best) if f in toxicity.features_of(t)))) for i, t in table}
+
+
+@pytest.mark.parametrize(("features", "voters"), [(40, 12), (10, 3)])
+def test_toxicity_plain(spark, features, voters):
+    """The query against a plain version: half of the texts have no label, some labels are wrong."""
+    rng, table, given = random.Random(11), [], {}
+    for i in range(900):
+        toxic = rng.random() < 0.2
+        w = [f"word{rng.randrange(60)}" for _ in range(12)] + rng.sample(["nasty", "vile", "rottenly", "rottenest", "foul", "grim"], 2 if toxic else rng.random() < 0.03)
+        table.append((i, " ".join(w)))
+        if rng.random() < 0.5:
+            given[i] = int(toxic) ^ (rng.random() < 0.02)
+    labels = spark.createDataFrame([(i, v) for i, v in given.items()], "doc_id long, toxic int")
+    out = toxicity.score(spark.createDataFrame(table, "doc_id long, text string").repartition(5), labels, features=features, voters=voters, rounds=6).collect()
+    want = plain_toxicity(table, {i: v for i, v in given.items() if zlib.crc32(str(i).encode()) % 5}, features, voters, 4, 6)
+    assert len(out) == 900 and max(abs(r.score - want[r.doc_id]) for r in out) < 1e-5
+    assert all(r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
+
+
+def test_toxicity_learns_from_unlabelled(spark):
+    """Texts without label change the posteriors, and so the scores; held out texts do not."""
+    rng = random.Random(4)
+    text = lambda bad: " ".join([*(f"word{rng.randrange(40)}" for _ in range(10)), *(rng.sample(["nasty", "vile", "foul"], 2) if bad else [])])
+    seen = [(i, text(i % 4 == 0)) for i in range(2000) if zlib.crc32(str(i).encode()) % 5][:400]
+    held = [(i, text(True)) for i in range(9000) if zlib.crc32(str(i).encode()) % 5 == 0][:100]
+    more = [(i, "word1 nasty word2") for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 5][:400]
+    labels = spark.createDataFrame([(i, int("nasty" in t or "vile" in t)) for i, t in seen], "doc_id long, toxic int")
+    of = lambda rows: {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    alone, with_held, with_more = of(seen), of(seen + held), of(seen + more)
+    assert all(abs(alone[i] - with_held[i]) < 1e-9 for i, _ in seen) and max(abs(alone[i] - with_more[i]) for i, _ in seen) > 1e-3
+
+
 def test_toxicity_odd(spark, docs_of, odd_rows):
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (4, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.score(docs_of(odd_rows), labels).collect()
