@@ -1,15 +1,17 @@
 """Personal data: detection and surrogate generation in DataFrame operations only.
 
-One pattern finds e-mail addresses, card numbers, phone numbers, IPv4 addresses, access keys, assigned secrets and names
-after a form of address. A surrogate is a keyed function of (type, entity, attempt): letters become letters of the same
-case and script, digits digits, all else stays, so the format is kept; card numbers keep their first digit and whether
-they pass the Luhn test, phone numbers their country code, IPv4 octets stay in range, and given names come from a list of
-the gender that the form of address tells. The same entity gets the same surrogate everywhere, without a join; spellings
-of one card or phone number (separators) or e-mail address (case) are one entity, and their surrogates agree likewise.
+One pattern finds e-mail addresses, card numbers, phone numbers (with country code, or local in usual formats), IPv4 and
+IPv6 addresses, access keys, IBAN, social security numbers (3-2-4 digits), assigned secrets and names after a form of
+address. A surrogate is a keyed function of (type, entity, attempt): letters become letters of the same case and script,
+digits digits, all else stays, so the format is kept; card numbers keep their first digit and whether they pass the Luhn
+test, IBAN their country and whether their check digits hold, phone numbers their country code, IPv4 octets stay in range,
+and given names come from a list of the gender that the form of address tells. The same entity gets the same surrogate
+everywhere, without a join; spellings of one card or phone number (separators), IBAN (spaces), e-mail or IPv6 address (case)
+are one entity, and their surrogates agree likewise.
 
 A name has two parts with surrogates of their own, the family name and the given names within a family, so "Mr Smith" and
-"Mr John Smith" stay linked; where a document goes on with "John Smith", "Smith" or "John", these are replaced as well, in
-one pass over the text as it was, but for parts of names that are words (WORDS).
+"Mr John Smith" stay linked; where a document goes on with "John Smith", "J. Smith", "Smith", "SMITH" or "John", these are
+replaced as well, in one pass over the text as it was, but for parts of names that are words (WORDS).
 
 Distinctness: surrogates of all distinct parts are counted; parts that share one, or whose surrogate is itself a part of
 the corpus, try again with the next attempt until none is left. From the fourth attempt on surrogates of names, addresses
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 OUT = ["entities", "surrogates", "clean_text"]
-KINDS = ("email", "card", "phone", "ip", "key", "secret", "name")
+KINDS = ("email", "card", "phone", "ip", "key", "iban", "ipv6", "ssn", "secret", "name")
 
 # Forms of address by gender, and given names by gender and script.
 FEMALE_FORMS = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Sra", "Señora", "Госпожа")
@@ -48,9 +50,12 @@ _PREFIX = r"(?:password|passwd|secret|api_key|token)(?: = \"|=\"|: \"|=|: )"
 PATTERNS = {
     "email": r"[A-Za-z0-9_%+][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}+",
     "card": r"[3-6]\d{3}(?:[ -]?\d{4}){3}(?![\w-])",
-    "phone": r"\+\d{1,3} ?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}(?![\w-])",
+    "phone": r"(?:\+\d{1,3} ?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,3}|\((?:0\d{1,4}|\d{3})\) ?\d{3,4}[ -]?\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}(?!\.?\w)",
     "key": r"AKIA[A-Z0-9]{16}(?!\w)",
+    "iban": r"(?=[A-Z]{2}\d{2}(?: ?[A-Z]{0,4} ?\d){7})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])",
+    "ipv6": r"(?=[A-Fa-f]{0,3}\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?!\w|:\w)",
+    "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "secret": _PREFIX + r"[A-Za-z0-9_+/-]{12,}+",
     "name": rf"(?:{_FORMS})\.? {_PART}(?: {_PART})*+",
 }
@@ -60,7 +65,8 @@ _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 
 def kind_of(e: Column) -> Column:
     """Type of an entity, told by its format alone."""
-    out = F.when(e.contains("@"), "email").when(e.rlike(r"^\+"), "phone").when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+    out = F.when(e.contains("@"), "email").when(e.rlike(r"^(\+|\(|\d{3}-\d{3}-)"), "phone").when(e.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
+    out = out.when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ipv6").when(e.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), "iban")
     return out.when(e.rlike(r"^[3-6]\d{3}([ -]?\d{4}){3}$"), "card").when(e.rlike("^AKIA[A-Z0-9]{16}$"), "key").when(e.rlike(rf"^({_FORMS})\.? "), "name").otherwise("secret")
 
 
@@ -69,8 +75,8 @@ def _digits(e: Column) -> Column:
 
 
 def canonical(kind: Column, e: Column) -> Column:
-    """What the spellings of an entity have in common: digits of a card or phone number, an e-mail address without case, a secret without what introduces it."""
-    out = F.when(kind.isin("card", "phone"), _digits(e)).when(kind == "email", F.lower(e))
+    """What the spellings of an entity have in common: digits of a card or phone number, an IBAN without spaces, an e-mail or IPv6 address without case, a secret without what introduces it."""
+    out = F.when(kind.isin("card", "phone"), _digits(e)).when(kind.isin("email", "ipv6"), F.lower(e)).when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
     return out.when(kind == "secret", F.regexp_replace(e, f"^{_PREFIX}", "")).otherwise(e)
 
 
@@ -132,6 +138,37 @@ def _phone(e: Column, h: Column) -> Column:
     return _once(F.concat(code, F.substr(_shuffled(digits, h), F.char_length(code) + 1)), lambda full: _placed(e, full))
 
 
+def iban_rest(e: Column) -> Column:
+    """An IBAN without spaces, its first four characters last, letters as 10 to 35, modulo 97: 1 if its check digits hold."""
+    moved = F.concat(F.substr(e, F.lit(5)), F.substr(e, F.lit(1), F.lit(4)))
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.try_cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97))
+
+
+def _iban(e: Column, h: Column) -> Column:
+    """Country, spaces and whether the check digits hold are kept."""
+    bare = F.replace(e, F.lit(" "), F.lit(""))
+    country = F.substr(bare, F.lit(1), F.lit(2))
+
+    def checked(body):
+        good = 98 - iban_rest(F.concat(country, F.lit("00"), body))  # 2 to 98
+        other = (good - 1 + _number(h, F.lit(90), 96)) % 97 + 2
+        return F.concat(country, F.lpad(F.when(iban_rest(bare) == 1, good).otherwise(other).cast("string"), 2, "0"), body)
+
+    at = lambda full, i: F.substr(full, F.char_length(F.replace(F.substr(e, F.lit(1), i), F.lit(" "), F.lit(""))), F.lit(1))
+    spaced = lambda full: F.array_join(F.transform(F.sequence(F.lit(1), F.char_length(e)), lambda i: F.when(F.substr(e, i, F.lit(1)) == " ", " ").otherwise(at(full, i))), "")
+    return _once(_once(_shuffled(F.substr(bare, F.lit(5)), h), checked), spaced)
+
+
+def _ipv6(e: Column, h: Column) -> Column:
+    """Hex digits and letters of either case are replaced by their like, so colons and groups are kept."""
+
+    def one(c, i):
+        pick = lambda letters: F.substr(F.lit(letters), _number(h, i, len(letters)) + 1, F.lit(1))
+        return F.when(c.rlike("[0-9]"), pick("0123456789")).when(c.rlike("[a-f]"), pick("abcdef")).when(c.rlike("[A-F]"), pick("ABCDEF")).otherwise(c)
+
+    return F.array_join(F.transform(F.split(e, ""), one), "")
+
+
 def _form(e: Column) -> Column:
     return F.regexp_extract(e, rf"^({_FORMS})\.? ", 0)
 
@@ -179,6 +216,7 @@ def value(key: str, kind: Column, c: Column, e: Column, attempt: Column) -> Colu
         host = F.concat(local, F.regexp_extract(new(), r"(@.*?)[^.]*$", 1), F.regexp_extract(e, r"([^.]*)$", 1))
         out = F.when(kind == "ip", ip).when(kind == "email", host).when(kind == "phone", _longer(_phone(e, h), h, attempt, "0123456789"))
         out = out.when(kind == "card", _card(e, h)).when(kind == "key", F.concat(F.lit("AKIA"), F.substr(new(), F.lit(5))))
+        out = out.when(kind == "iban", _iban(e, h)).when(kind == "ipv6", _ipv6(e, h))
         last = F.when(e.rlike(r"\p{IsCyrillic}$"), _longer(new(), h, attempt, _CYRILLIC)).otherwise(_longer(new(), h, attempt, "abcdefghijklmnopqrstuvwxyz"))
         out = out.when(kind == "family", last).when(kind == "given", _given(c, e, h, attempt))
         prefix = F.regexp_extract(e, f"^{_PREFIX}", 0)
@@ -265,15 +303,17 @@ def _mentions(text: Column, names: Column) -> Column:
 
 
 def _plain_names(entities: Column, surrogates: Column) -> Column:
-    """array<struct<bare, new>>, longest first: how a document may go on with the names of its entities, in full, by family name or by given names; of two surrogates of one spelling the first."""
+    """array<struct<bare, new>>, longest first: how a document may go on with the names of its entities, in full, by initial and family name, by family name, also in capitals, or by given names; of two surrogates of one spelling the first."""
     bare = lambda e: F.substr(e, F.char_length(_form(e)) + 1)
     given = lambda name: F.rtrim(F.substr(name, F.lit(1), F.char_length(name) - F.char_length(_family(name))))
     named = F.filter(F.arrays_zip(entities.alias("e"), surrogates.alias("s")), lambda x: x["e"].rlike(rf"^({_FORMS})\.? "))
     pair = lambda old, new: F.struct(old.alias("bare"), new.alias("new"))
     whole = F.transform(named, lambda x: pair(bare(x["e"]), bare(x["s"])))
     part = lambda of: F.filter(F.transform(whole, lambda n: pair(of(n["bare"]), of(n["new"]))), lambda n: (n["bare"] != "") & ~n["bare"].rlike(r"\.$") & ~F.lower(n["bare"]).isin(*WORDS))
+    initial = lambda name: F.when(given(name) != "", F.concat(F.substr(name, F.lit(1), F.lit(1)), F.lit(". "), _family(name))).otherwise("")
+    loud = lambda name: F.when(F.char_length(_family(name)) > 2, F.upper(_family(name))).otherwise("")
     longest = lambda a, b: F.char_length(b["bare"]) - F.char_length(a["bare"])
-    return F.array_sort(F.array_distinct(F.concat(F.filter(whole, lambda n: n["bare"].contains(" ")), part(_family), part(given))), longest)
+    return F.array_sort(F.array_distinct(F.concat(F.filter(whole, lambda n: n["bare"].contains(" ")), part(_family), part(given), part(initial), part(loud))), longest)
 
 
 def anonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -281,7 +321,8 @@ def anonymise(docs: DataFrame, key: str) -> DataFrame:
 
     A null text has no entities and stays null. Rows may share an id; rows without id are treated alike. Equal entities have
     equal surrogates in all rows, different ones different surrogates, and no surrogate is an entity of the table. Names that
-    no form of address introduces anywhere in a document are not found. Columns named like an added one are replaced; others may have any
+    no form of address introduces anywhere in a document are not found. Two spellings of an IPv6 address that differ in more
+    than case are two entities. Columns named like an added one are replaced; others may have any
     name.
     """
     docs = docs.drop(*OUT)

@@ -854,6 +854,36 @@ def test_plain_mentions_in_one_pass(spark):
         assert out[3].clean_text == f"Ms {given} {family}, {given}-Marie, {family} and Leeds"
 
 
+def test_more_formats(spark):
+    """IBAN keep their country and whether they check, IPv6 addresses stay addresses; local numbers are found, what looks like them is not."""
+    import ipaddress
+
+    good, bad = "GB82 WEST 1234 5698 7654 32", "DE45370400440532013000"
+    found = [good, good.replace(" ", ""), bad, "NO9386011117947", "2001:db8::ff00:42:8329", "2001:DB8::FF00:42:8329", "1:2:3:4:5:6:7:8", "(030) 1234 5678", "555-123-4567", "(555) 123-4567", "078-05-1120"]
+    free = ["12:30:45", "add::dead", "std::vector", "(1998) 1234-1240", "AB12CDEFGHIJKL", "2024-05-12", "1-22-333", "00:1b:44:11:3a:b7"]
+    text = " ; ".join(found + free)
+    out = pii.anonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert out.entities == found and len(set(out.surrogates)) == len(found) and not set(found) & set(out.surrogates)
+    pairs = dict(zip(found, out.surrogates, strict=True))
+    rest = lambda s: int("".join(str(int(c, 36)) for c in s.replace(" ", "")[4:] + s[:4])) % 97
+    shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", s)))
+    for e in found:
+        assert shape(pairs[e]) == shape(e)
+        if e[:2].isalpha():
+            assert pairs[e][:2] == e[:2] and (rest(pairs[e]) == 1) == (rest(e) == 1) == (e != bad)
+        elif ":" in e:
+            ipaddress.IPv6Address(pairs[e])
+    assert pairs[good].replace(" ", "") == pairs[found[1]] and pairs[found[4]].upper() == pairs[found[5]]
+    assert out.clean_text == " ; ".join(list(out.surrogates) + free)
+
+
+def test_initials_and_capitals(spark):
+    text = "Mr John Smith came. J. Smith and SMITH agreed; K. Smith left. Mr Long, LONG ago."
+    out = pii.anonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    given, family = out.surrogates[0].removeprefix("Mr ").rsplit(" ", 1)
+    assert out.clean_text == f"Mr {given} {family} came. {given[0]}. {family} and {family.upper()} agreed; K. {family} left. {out.surrogates[1]}, LONG ago."
+
+
 def test_surrogate_query_plain(spark):
     """The query's rows against a plain reading: entities by the pattern, rewritten text from the operator's surrogates by regular expressions."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text IS NOT NULL")
@@ -874,6 +904,8 @@ def test_surrogate_query_plain(spark):
                 last = [regex.search(r"[^ .]+$", x)[0] for x in (a, b)]
                 parts = [(last[0], last[1]), (a[: -len(last[0])].rstrip(), b[: -len(last[1])].rstrip())]
                 names += [(a, b)] * (" " in a) + [p for p in parts if p[0] and not p[0].endswith(".") and p[0].lower() not in pii.WORDS]
+                more = [(f"{a[0]}. {last[0]}", f"{b[0]}. {last[1]}")] * bool(parts[1][0]) + [(last[0].upper(), last[1].upper())] * (len(last[0]) > 2)
+                names += [p for p in more if p[0].lower() not in pii.WORDS]
         swap = {}
         for a, b in names:
             swap.setdefault(a, b)
