@@ -369,6 +369,41 @@ def test_decontamination_full_tolerance(spark):
             assert kept.get((doc, i)) == (near if near[0] <= int(0.15 * len(item) + 1e-9) else None)
 
 
+@pytest.mark.parametrize("kind", decontam.KINDS)
+def test_decontamination_recall_by_kind(kind):
+    """Keys of sampled steps alone find copies with all the edits allowed, of every kind and size, at the recall asked for."""
+    rng = np.random.default_rng(23)
+    sizes = [int(n) for n in rng.integers(7, 140, 60)]
+    first = np.cumsum([1, *sizes])
+    items = [(i, np.arange(first[i], first[i + 1], dtype=np.int32)) for i in range(len(sizes))]
+    index = decontam.Index(items, int(first[-1]), 0.15, 0.99)
+    texts, truth = [], []
+    for i, n in enumerate(sizes):
+        for _ in range(4):
+            copy = decontam.edited(n, index.most[i], kind, rng)
+            copy = np.where(copy > n, 0, copy + first[i] - 1).astype(np.int32)
+            texts.append(np.concatenate([np.zeros(rng.integers(0, 40), np.int32), copy, np.zeros(rng.integers(0, 40), np.int32)]))
+            truth.append((len(texts) - 1, i))
+    bounds = np.cumsum([0, *map(len, texts)])
+    tokens = np.append(np.concatenate(texts), np.int32(0))
+    keyed = {(int(d), int(k)) for k, _, d in index.places(tokens, bounds[:-1], bounds[1:])}
+    matched = {(d, index.items[k][0]) for d, k, _, _ in index.search(tokens, bounds[:-1], bounds[1:])}
+    assert len(keyed & set(truth)) >= 0.97 * len(truth) and len(matched & set(truth)) >= 0.97 * len(truth)
+    assert matched <= set(truth)
+
+
+def test_decontamination_long_beside_short(spark):
+    """A text of 300,000 words, short and empty ones and an item of 3,000 words in one batch; a copy cut off by the text's ends."""
+    rng = random.Random(29)
+    item = [f"i{n}" for n in range(40)]
+    large = [f"l{n}" for n in range(3000)]
+    filler = [f"f{rng.randrange(9000)}" for _ in range(300_000)]
+    table = [(1, " ".join(filler[:150_000] + item + filler[150_000:] + large[:1500] + ["x"] * 200 + large[1700:])), (2, " ".join(item[4:])), (3, " ".join(item[:36])), (4, ""), (5, None), (6, " ".join(item[:33])), (7, "i1"), (8, " ".join(large[:-300]))]
+    items = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(large))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance, r.start_word) for r in decontam.contaminated(spark.createDataFrame(table, "doc_id long, text string").coalesce(1), items).collect()}
+    assert got == {(1, 0, 0, 150_000), (1, 1, 200, 300_040), (2, 0, 4, 0), (3, 0, 4, 0), (8, 1, 300, 0)}
+
+
 def test_edit_distance_plain():
     rng = random.Random(4)
     for _ in range(100):
