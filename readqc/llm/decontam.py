@@ -14,7 +14,8 @@ Texts are words (A-Z lower-cased, outer punctuation stripped) numbered by the vo
    edit distance of the item to the best window from every start is worked out: contaminated if it is at most d.
 
 Documents within the tolerance are found with probability ``recall`` at least at d edits, and with more at fewer; exact copies
-always. The items are collected in blocks of at most ``max_items`` items and about ``max_words`` words; further blocks take
+always. Tolerances of 0.3 and more can take thousands of repetitions for some sizes, so they get slow, not less complete.
+The items are collected in blocks of at most ``max_items`` items and about ``max_words`` words; further blocks take
 further passes over the documents.
 """
 
