@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import heapq
 import itertools
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -32,7 +34,7 @@ from .common import stored
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 FOUND = "q long, c long, vec_id long, score double"
-MOST_PARTS, LEAST_PARTS, SIGNATURE = 512, 8, 64
+MOST_PARTS, LEAST_PARTS, WORD, SIGNATURE = 512, 8, 64, 192
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -85,15 +87,16 @@ class Index:
         self.codes.axes = self.codes.axes[:, : self.parts * self.codes.bits]
         self.reached = (least <= reach).sum() >= target * len(left)
         self.radius = int(np.quantile(whole, cover)) if len(whole) else self.parts * self.codes.bits
-        self.near = int(np.quantile(np.bitwise_count(self.signature(left) ^ self.signature(right)), cover)) if len(whole) else SIGNATURE
+        self.near = int(np.quantile(np.bitwise_count(self.signature(left) ^ self.signature(right)).sum(axis=1), cover)) if len(whole) else SIGNATURE
 
     def masks(self, reach: int) -> np.ndarray:
         return np.array([sum(1 << b for b in bits) for n in range(reach + 1) for bits in itertools.combinations(range(self.codes.bits), n)], np.int64)
 
     def signature(self, x: np.ndarray) -> np.ndarray:
-        """(n) the first bits of each code as one number without sign."""
+        """(n, words) the first SIGNATURE bits of each code as numbers without sign."""
         on = (unit(x) - self.codes.mean) @ self.codes.axes[:, :SIGNATURE] > 0
-        return on @ (np.uint64(1) << np.arange(on.shape[1], dtype=np.uint64))
+        on = np.pad(on, ((0, 0), (0, SIGNATURE - on.shape[1]))).reshape(len(x), SIGNATURE // WORD, WORD)
+        return on @ (np.uint64(1) << np.arange(WORD, dtype=np.uint64))
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """(n, parts) keys of buckets."""
@@ -105,7 +108,8 @@ def _vectors(column) -> np.ndarray:
 
 
 def _entries(table: DataFrame, shared, probe: bool, name: str, rows: int = 256) -> DataFrame:
-    """(key, name, name + "s"): the buckets of table(c, v) and its signature; with probe the buckets within reach as well."""
+    """(key, name, name + "s0", ...): the buckets of table(c, v) and its signature; with probe the buckets within reach as well."""
+    names = [f"{name}s{i}" for i in range(SIGNATURE // WORD)]
 
     def work(batches):
         index = shared.value
@@ -115,9 +119,9 @@ def _entries(table: DataFrame, shared, probe: bool, name: str, rows: int = 256)
                 part = batch.slice(lo, rows)
                 x = _vectors(part.column("v"))
                 keys = (index.keys(x)[:, :, None] ^ masks).reshape(len(x), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(a, keys.shape[1])) for a in (part.column("c").to_numpy(), index.signature(x).view(np.int64)))], names=["key", name, name + "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(a, keys.shape[1])) for a in (part.column("c").to_numpy(), *index.signature(x).view(np.int64).T))], names=["key", name, *names])
 
-    return table.select("c", "v").mapInArrow(work, f"key long, {name} long, {name}s long")
+    return table.select("c", "v").mapInArrow(work, ", ".join(f"{n} long" for n in ("key", name, *names)))
 
 
 def _true_pairs(classes: DataFrame, queries: DataFrame, k: int, sampled: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +154,18 @@ def _true_pairs(classes: DataFrame, queries: DataFrame, k: int, sampled: int) ->
 def candidates(classes: DataFrame, queries: DataFrame, shared) -> DataFrame:
     """(q, c): the pairs that meet in a bucket and whose signatures are near, some more than once. classes and queries are (c, v)."""
     left, right = _entries(queries, shared, True, "q"), _entries(classes, shared, False, "c").withColumnRenamed("key", "k")
-    near = F.bit_count(F.col("qs").bitwiseXOR(F.col("cs"))) <= shared.value.near
-    return left.join(right, (F.col("key") == F.col("k")) & near).select("q", "c")
+    apart = reduce(add, (F.bit_count(F.col(f"qs{i}").bitwiseXOR(F.col(f"cs{i}"))) for i in range(SIGNATURE // WORD)))
+    return left.join(right, (F.col("key") == F.col("k")) & (apart <= shared.value.near)).select("q", "c")
+
+
+def fit_sample(classes: DataFrame, rows: int, want: int) -> np.ndarray:
+    """About ``want`` of so many vectors, by their hash: an ordered limit would send the driver as many from each partition."""
+    parts = 1 << 30
+    few = F.pmod(F.xxhash64(F.lit(7), "v"), F.lit(parts)) < int(parts * min(1.0, want / max(rows, 1)))
+    table = classes.filter(few).select("v", F.xxhash64(F.lit(7), "v").alias("h")).toArrow()
+    if not table.num_rows:  # a few rows, none of which has a small hash
+        table = classes.select("v", F.xxhash64(F.lit(7), "v").alias("h")).limit(want).toArrow()
+    return _vectors(table.column("v").combine_chunks())[np.argsort(table.column("h").to_numpy(), kind="stable")]
 
 
 def _ranked(shared, k: int):
@@ -195,9 +209,9 @@ def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_ro
     asking = stored(asking.select("vec_id", "q").withColumn("row", F.monotonically_increasing_id()), "asking")
     queries = stored(classes.join(asking.select(F.col("q").alias("c")).distinct(), "c", "left_semi").select("c", "v"), "queries")
 
-    sample = classes.select("v").orderBy(F.xxhash64(F.lit(7), "v")).limit(min(fit_rows, max(1000, (8 << 20) // d))).toPandas()
+    sample = fit_sample(classes, n, min(fit_rows, max(1000, (8 << 20) // d)))
     left, right = _true_pairs(classes, queries, k, sampled)
-    shared = spark.sparkContext.broadcast(Index(np.stack(sample["v"].to_list()).astype(float), n, left, right, reach, target, cover))
+    shared = spark.sparkContext.broadcast(Index(sample, n, left, right, reach, target, cover))
     # A group holds one shard of the rows and one block of the queries, so neither side grows with the table.
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-queries.count() // shard_rows))
     shard = F.pmod(F.xxhash64("c"), F.lit(shards)).cast("int")

@@ -952,3 +952,12 @@ def test_surrogate_query_plain(spark):
             at, seen = m.end(), seen + 1
         assert out.clean_text == rebuilt + plain(r.text[at:])
     assert seen > 50
+
+
+def test_fit_sample_is_bounded(spark):
+    """The driver gets about as many vectors as it asks for, whatever the number of partitions."""
+    for parts in (2, 40):
+        classes = spark.range(20_000).repartition(parts).select(F.array(F.rand(3), F.rand(4)).alias("v"))
+        assert 350 < len(ann.fit_sample(classes, 20_000, 500)) < 650
+    few = spark.range(3).select(F.array(F.col("id") + 1.0, F.lit(2.0)).alias("v"))
+    assert len(ann.fit_sample(few, 3, 500)) == 3 and len(ann.fit_sample(few, 1 << 20, 1)) >= 1
