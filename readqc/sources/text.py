@@ -58,6 +58,21 @@ def sam_header(spark: SparkSession, path: str) -> list[str]:
         part *= 4
 
 
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of the files, in order of their paths, that isn't blank. A scan's first row is no such thing: Spark reads the largest files first."""
+    for name, size in bgzf.files(spark, path):
+        part = 1 << 16
+        while size:
+            data = _start_of(bgzf.read_range(spark, name, 0, part))
+            whole = data if part >= size else data[: data.rfind(b"\n") + 1]
+            if found := next((x for x in whole.decode("utf-8", "replace").splitlines() if x.strip()), None):
+                return found
+            if part >= size:
+                break
+            part *= 4
+    return None
+
+
 def contigs_of(spark: SparkSession, header: list[str]) -> DataFrame:
     rows = [(i, re.search(r"\tSN:([^\t]+)", h)[1], int(re.search(r"\tLN:(\d+)", h)[1])) for i, h in enumerate(x for x in header if x.startswith("@SQ"))]
     return spark.createDataFrame(rows, "ref_id int, contig string, length long")
@@ -193,10 +208,10 @@ def _maybe_gzipped(spark: SparkSession, path: str) -> DataFrame:
 def intervals(spark: SparkSession, path: str, contigs: DataFrame) -> DataFrame:
     """BED, or IntervalList if the first line that isn't empty begins with @; gzip by its first bytes. Unknown contigs in BED are left out; broken lines are errors."""
     lines = _maybe_gzipped(spark, path).filter("trim(value) <> ''")
-    first = lines.first()
+    first = first_line(spark, path)
     f = F.split("value", "\t")
     fail = lambda cond, text: F.when(cond, F.raise_error(F.concat(F.lit(text + ": "), F.col("value"))))
-    if first is not None and first.value.startswith("@"):
+    if first is not None and first.startswith("@"):
         head = [r.value for r in lines.filter("value LIKE '@SQ%'").collect()]
         given = [(re.search(r"\tSN:([^\t]+)", h)[1], int(re.search(r"\tLN:(\d+)", h)[1])) for h in head]
         known = [(r.contig, r.length) for r in contigs.orderBy("ref_id").limit(len(given)).collect()]
