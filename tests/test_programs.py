@@ -409,3 +409,35 @@ def test_queries_match_sql(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 1
+
+
+def test_range_join_of_dense_short_spans(spark):
+    """Bins follow the spans, so rows that meet in a bin are not many times those that overlap."""
+    a = spark.range(3000).select(F.col("id"), F.lit("c").alias("contig"), (F.col("id") * 5).alias("a_start"), (F.col("id") * 5 + 40).alias("a_end"))
+    b = spark.range(3000).select(F.lit("c").alias("contig"), (F.col("id") * 5 + 2).alias("b_start"), (F.col("id") * 5 + 30).alias("b_end"), F.col("id").alias("name"))
+    assert I.bin_for(a, b) == 64 and I.bin_for(a.limit(0), b.limit(0)) == I.LEAST_BIN
+    got = I.range_join(a, b).select("id", "name").collect()
+    want = {(i, j) for i in range(3000) for j in range(max(0, i - 9), min(3000, i + 9)) if i * 5 < j * 5 + 30 and j * 5 + 2 < i * 5 + 40}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    met = a.join(b.withColumnRenamed("contig", "_c"), F.floor(F.col("a_start") / 64) == F.floor(F.col("b_start") / 64)).count()
+    assert met < 2 * len(want)
+
+
+def test_interval_list_in_many_files(spark, tmp_path):
+    """The header's file need not be the one that a scan reads first."""
+    contigs = spark.createDataFrame([(0, "chr1", 90_000)], "ref_id int, contig string, length long")
+    (tmp_path / "x.interval_list").mkdir()
+    (tmp_path / "x.interval_list" / "part-0").write_text("\n@SQ\tSN:chr1\tLN:90000\n")
+    (tmp_path / "x.interval_list" / "part-1").write_text("".join(f"chr1\t{i + 1}\t{i + 9}\t+\tb{i}\n" for i in range(5000)))
+    assert text.intervals(spark, str(tmp_path / "x.interval_list"), contigs).count() == 5000
+
+
+def test_wgs_metrics_without_cap(spark, make):
+    ref = spark.createDataFrame([("chr1", 0, "ACGT" * 5)], "contig string, start0 long, seq string")
+    reads = make(*[x for i in range(300) for x in pair(f"p{i}", 0, 0)])
+    got = coverage.wgs_metrics(reads, ref, coverage_cap=None).first()
+    hist = coverage.depth_histogram(reads, ref, coverage_cap=None).collect()
+    covered = next(r.bases for r in hist if r.depth == 300)
+    assert [r.depth for r in hist] == [0, 300] and covered > 0
+    assert got.mean_coverage == 300 * covered / 20 and got.frac_excluded_capped == 0
+    assert coverage.wgs_metrics(reads, ref).first().mean_coverage == 250 * covered / 20
