@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +219,19 @@ def test_groups_of_any_size(spark):
     assert total[names[0]] == total[names[1]] and sum(total[names[2]].values()) == sum(total[names[0]].values())
     with pytest.raises(ValueError, match="groups"):
         errors.counted(t.reads, t.ref, groups=["bq"] * 127)
+
+
+def test_mismatches_are_counted_by_batch(spark):
+    """Bases are never rows; what a batch holds changes no count; strata are the same by places and by sorting."""
+    t = Tables(spark, DATA)
+    parts, groups = errors.mismatch_parts(t.reads, t.ref), [("all",), ("read_num", "cycle"), ("context_3bp",)]
+    sums = [F.sum(m).alias(m) for m in errors.MEASURES]
+    once, few = (sorted(map(tuple, errors.mismatch_counts(parts, groups, ["k0"], bases_at_once=n).groupBy("k0").agg(*sums).collect())) for n in (1 << 19, 50))
+    assert once == few and len(once) == 1 + 64 + 64
+    assert "posexplode" not in executed(errors.counted(t.reads, t.ref, groups=("cycle",)))
+    rng = np.random.default_rng(2)
+    a, b, kind = rng.integers(-1, 9, 5000), rng.integers(0, 7, 5000), rng.random(5000) < 0.1
+    for wide in (1, 100_000):
+        values, counts = errors._strata_of([a * wide, b], [kind])
+        got = {(x // wide, y): (n, m) for x, y, n, m in zip(*values, *counts)}
+        assert got == {(x, y): (((a == x) & (b == y)).sum(), ((a == x) & (b == y) & kind).sum()) for x in range(9) for y in range(7)}
