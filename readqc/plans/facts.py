@@ -1,12 +1,16 @@
 """What several programs need of the reads, from one scan and one aggregation.
 
-A read becomes a few rows (t, a, b, m0..m4): t tells whose row it is, a and b are a key, m0 to m4 numbers to add up. Rows of
+A read becomes a few facts (t, a, b, m0..m4): t tells whose row it is, a and b are a key, m0 to m4 numbers to add up. Rows of
 all programs are aggregated together, first within the tasks that scan; what leaves them is a row a key, few for all kinds but
 STARTS, of which there is one a position at which reads start. All tables of the programs derive from this.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +39,49 @@ def _some(keep: Column, *rows: Column) -> Column:
     return F.when(keep, F.array(*rows)).otherwise(_none())
 
 
-def _basic_rows() -> Column:
-    """A fact for each base of a kept read: read end and cycle, base and quality. Cycles lie beside the bases, so nothing of the read is worked out anew for each."""
-    n = F.least(F.length("seq"), F.length("quals"))
-    end = F.shiftleft(F.when(X.flag(X.PAIRED) & X.flag(X.LAST), 2).otherwise(1).cast("long"), 32)
-    up, down = F.sequence(end + 1, end + n), F.sequence(end + n, end + 1, F.lit(-1).cast("long"))
-    part = lambda text: F.slice(F.split(text, ""), F.lit(1), n)
-    each = F.arrays_zip(part(F.upper("seq")).alias("b"), part(F.col("quals")).alias("q"), F.when(X.flag(X.REVERSE), down).otherwise(up).alias("a"))
-    keep = ~X.flag(X.SECONDARY | X.SUPPLEMENTARY) & ~X.flag(X.QC_FAIL) & (n > 0)
-    return F.when(keep, F.transform(each, lambda x: _row(BASES, x["a"], F.ascii(x["b"]) * 256 + F.ascii(x["q"]) - 33, F.lit(1)))).otherwise(_none())
+#: What _base_counts needs of a read: how many of its bases count, the key of its end, its direction, bases and qualities.
+_BASES_OF = ("n", "end", "rev", "bases", "quals")
+
+
+def _basic_columns() -> list[Column]:
+    """Of a read: _BASES_OF, without bases unless it is kept."""
+    seq, quals = F.coalesce("seq", F.lit("")), F.coalesce("quals", F.lit(""))
+    n = F.least(F.length(seq), F.length(quals))
+    n = F.when(~X.flag(X.SECONDARY | X.SUPPLEMENTARY) & ~X.flag(X.QC_FAIL), n).otherwise(0)
+    end = F.when(X.flag(X.PAIRED) & X.flag(X.LAST), 2).otherwise(1)
+    cut = lambda text: F.substr(text, F.lit(1), n)
+    return [x.alias(name) for x, name in zip((n.cast("long"), end.cast("long"), X.flag(X.REVERSE).cast("long"), F.upper(cut(seq)), cut(quals)), _BASES_OF, strict=True)]
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of all texts, one after another."""
+    _, offsets, data = column.cast(pa.binary()).buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].astype(np.int64)
+
+
+def _base_counts(part: pa.RecordBatch) -> list[np.ndarray]:
+    """(a, b, m0) of some reads: read end and cycle, base and quality, and how often they occur."""
+    n, end, rev = (part.column(x).to_numpy() for x in ("n", "end", "rev"))
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    bases, quals = (_bytes(part.column(x)) for x in ("bases", "quals"))
+    cycle = np.where(rev[row] == 1, n[row] - at, at + 1)
+    letters, letter = np.unique(bases, return_inverse=True)
+    low = int(quals.min()) if len(quals) else 0
+    sizes = [2, int(n.max()) + 1 if len(n) else 1, len(letters), int(quals.max()) - low + 1 if len(quals) else 1]
+    key = ((end[row] - 1) * sizes[1] + cycle) * sizes[2] + letter
+    key = key * sizes[3] + quals - low
+    if math.prod(sizes) <= max(1 << 16, 4 * len(key)):
+        counts = np.bincount(key, minlength=1)
+        found = np.flatnonzero(counts)
+        counts = counts[found]
+    else:
+        found, counts = np.unique(key, return_counts=True)
+    left, q = np.divmod(found, sizes[3])
+    left, b = np.divmod(left, sizes[2])
+    e, c = np.divmod(left, sizes[1])
+    return [(e + 1 << 32) + c, letters[b] * 256 + q + low - 33, counts] if len(found) else [np.zeros(0, np.int64)] * 3
 
 
 def _alignment_rows(max_insert_size: int = 100_000, min_mapq: int = 20) -> Column:
@@ -74,14 +112,34 @@ def _start_rows(window: int = 100, **rules) -> Column:
     return F.concat(_some(keep & known, _row(STARTS, F.col("ref_id"), start, F.lit(1), n, nm, q, nq)), _some(keep, _row(CLUSTERS, F.lit(0), F.lit(0), cluster.cast("int"), F.lit(1))))
 
 
-_ROWS = {"basic": _basic_rows, "alignment": _alignment_rows, "isize": _size_rows, "gcbias": _start_rows}
+_ROWS = {"alignment": _alignment_rows, "isize": _size_rows, "gcbias": _start_rows}
+
 
+def facts(reads: DataFrame, tools: list[str], options: dict[str, dict] | None = None, bases_at_once: int = 1 << 19) -> DataFrame:
+    """(t, a, b, m0..m4) of these programs, lazily: one scan, one exchange. options: arguments of each program.
 
-def facts(reads: DataFrame, tools: list[str], options: dict[str, dict] | None = None) -> DataFrame:
-    """(t, a, b, m0..m4) of these programs, lazily: one scan, one exchange. options: arguments of each program."""
-    rows = [_ROWS[t](**(options or {}).get(t, {})) for t in SHARED if t in tools]
+    A read's few other facts come along with its bases, which are counted in arrays of a batch; each batch is summed by key.
+    """
+    rows = [_ROWS[t](**(options or {}).get(t, {})) for t in SHARED if t in tools and t != "basic"]
     reads = reads.withColumns(simple.folds()) if "alignment" in tools else reads
-    each = reads.select(F.explode(F.concat(*rows) if len(rows) > 1 else rows[0]).alias("f")).select("f.*")
+    rest = (F.concat(*rows) if len(rows) > 1 else rows[0] if rows else _none()).alias("f")
+    names = ["t", "a", "b", *MEASURES]
+    own = _basic_columns() if "basic" in tools else []
+    counting = bool(own)
+
+    def work(batches):
+        for batch in batches:
+            table = pa.Table.from_struct_array(batch.column("f").flatten())
+            found = table.group_by(["t", "a", "b"], use_threads=False).aggregate([(m, "sum") for m in MEASURES])
+            yield from found.select(["t", "a", "b", *(f"{m}_sum" for m in MEASURES)]).rename_columns(names).combine_chunks().to_batches()
+            ends, lo = np.cumsum(batch.column("n").to_numpy()) if counting else (), 0
+            while counting and lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + bases_at_once, "right")))
+                a, b, n = _base_counts(batch.slice(lo, hi - lo))
+                lo = hi
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), BASES, np.int32)), *(pa.array(x.astype(np.int64)) for x in (a, b, n)), *[pa.array(np.zeros(len(n), np.int64))] * (len(MEASURES) - 1)], names=names)
+
+    each = reads.select(rest, *own).mapInArrow(work, "t int, " + ", ".join(f"{n} long" for n in names[1:]))
     return each.groupBy("t", "a", "b").agg(*[F.sum(m).alias(m) for m in MEASURES])
 
 

@@ -235,3 +235,21 @@ def test_mismatches_are_counted_by_batch(spark):
         values, counts = errors._strata_of([a * wide, b], [kind])
         got = {(x // wide, y): (n, m) for x, y, n, m in zip(*values, *counts)}
         assert got == {(x, y): (((a == x) & (b == y)).sum(), ((a == x) & (b == y) & kind).sum()) for x in range(9) for y in range(7)}
+
+
+def test_bases_are_counted_by_batch(spark):
+    """Bases are never rows: counts are those of a plain loop, whatever a batch holds."""
+    t = Tables(spark, DATA)
+    reads = t.reads.limit(400)
+    rows, want = reads.collect(), {}
+    for r in rows:
+        if not r.flags & (256 | 2048 | 512):
+            end = 2 if r.flags & 1 and r.flags & 128 else 1
+            for i, (b, q) in enumerate(zip(r.seq, r.quals)):
+                key = (end, len(r.seq) - i if r.flags & 16 else i + 1, b, ord(q) - 33)
+                want[key] = want.get(key, 0) + 1
+    held = spark.createDataFrame(rows, t.reads.schema)
+    for n in (1 << 19, 50):
+        f = facts.facts(held, ["basic", "gcbias"], bases_at_once=n)
+        assert {(r.read_end, r.cycle, r.base, r.bq): r.n for r in facts.base_counts(f).collect()} == want
+    assert "explode" not in executed(f)
