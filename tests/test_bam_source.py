@@ -226,3 +226,41 @@ def test_bcf(spark, tmp_path):
     (tmp_path / "cut.bcf").write_bytes(data[: len(data) // 2])
     with pytest.raises(Exception, match="ends inside"):
         text.vcf(spark, str(tmp_path / "cut.bcf")).collect()
+
+
+@pytest.mark.parametrize("at_once", [4 << 20, 5000])
+def test_records_of_a_batch_are_those_of_single_reads(monkeypatch, at_once):
+    """Bytes, blocks and index of whole batches against those of record(): long reads, missing values, texts that are not ASCII."""
+    import io
+
+    import pyarrow as pa
+
+    from readqc.sources import bam_writer
+
+    monkeypatch.setattr(bam_writer, "AT_ONCE", at_once)
+    rows = reads(3000, seed=8)
+    for i, (c, v) in enumerate([("cigar", None), ("seq", None), ("quals", None), ("qname", ""), ("tlen", None), ("has_sa", None), ("mate_pos0", None), ("qname", "ü"), ("seq", "acgtnx")]):
+        rows[10 * i + 1][c] = v
+    ops = pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))
+    for odd in (False, True):
+        rows[2000]["seq"] = "AÄC" if odd else "AAC"
+        kinds = {c: ops if c == "cigar" else pa.string() if c in ("qname", "contig", "seq", "quals") else pa.bool_() if c == "has_sa" else pa.int64() if c in ("read_id", "pos0", "mate_pos0", "nm", "mq") else pa.int32() for c in COLUMNS}
+        batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in kinds.items()], names=COLUMNS)
+        outs = []
+        for whole in (False, True):
+            out = io.BytesIO()
+            w = Writer(out, header([], CONTIGS), 2)
+            if whole:
+                for part in (batch.slice(0, 1700), batch.slice(1700)):
+                    for piece in bam_writer._slices(part):
+                        w.add_all(*bam_writer.records(piece))
+            else:
+                for r in rows:
+                    w.add(*placed_record(r))
+            w.close()
+            outs.append((out.getvalue(), w.bai(), w.csi()))
+        assert outs[0] == outs[1]
+    for c, v in (("flags", None), ("flags", 70_000), ("nm", 1 << 40), ("quals", "III "), ("cigar", [{"op": "Q", "len": 3}])):
+        r = rows[5] | {"seq": "ACGT", "quals": "IIII"} | {c: v}
+        with pytest.raises((ValueError, struct.error, KeyError)):
+            bam_writer.records(pa.RecordBatch.from_arrays([pa.array([r[c]], k) for c, k in kinds.items()], names=COLUMNS))
