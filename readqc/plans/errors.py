@@ -2,7 +2,7 @@
 
 Covariates are small numbers until the end. Mates meet a read at a time, in one shuffle by fragment, and the mate's bases
 are laid along the read's blocks; blocks, not bases, are shuffled to the pieces of the reference, on whose text masked
-positions are marked. Only then are blocks flattened, in arrays of numbers that lie side by side: bases, their neighbours, runs
+positions are marked. What no table or group asks for is not made: without the overlap table nothing meets its mate. Only then are blocks flattened, in arrays of numbers that lie side by side: bases, their neighbours, runs
 of equal bases, qualities, reference and mate of a batch of blocks. Each batch counts the strata of every group under a packed
 key, so bases are never rows: what leaves a task is a row a stratum and batch, which Spark adds up.
 """
@@ -63,6 +63,11 @@ def kept_reads(reads: DataFrame, min_mapq: int = 20, include_duplicates: bool =
 _READ = ["mapq", "read_num", "strand", "pair_orientation", "isize", "gc", "reverse", "nm0"]
 
 
+def _read_names(names) -> list[str]:
+    """The columns of a read that these covariates need; the direction always."""
+    return [x for x in _READ if x == "reverse" or x in names or (x == "nm0" and "nm" in names)]
+
+
 def _merged(df: DataFrame) -> DataFrame:
     return I.merge(df).select("contig", F.col("start0").alias("b_start"), F.col("end0").alias("b_end"))
 
@@ -97,15 +102,20 @@ def _with_reference_codes(rows: DataFrame, ref_base: Column) -> DataFrame:
     return rows.withColumns({"pre_dinuc": F.col("before") * 4 + r, "post_dinuc": F.col("after") * 4 + r, "context_3bp": (F.col("before") * 4 + r) * 4 + F.col("after"), "all": F.lit(0)}).drop("before", "after", "reverse")
 
 
-def mismatch_parts(reads: DataFrame, ref: DataFrame, intervals=None, mask=None, **rules) -> DataFrame:
-    """Blocks cut at the reference's pieces, with the read's covariates; own: their bases and the one on either side; up and down: the runs of equal bases that end before them and begin after them."""
-    kept = kept_reads(reads, **rules).withColumns({"blocks": X.aligned_blocks(), "n": X.op_sum("MIS=X").cast("int")})
-    other = F.struct("pos0", "blocks", F.rpad(F.upper("seq"), F.col("n"), F.lit(" ")).alias("bases"), F.rpad("quals", F.col("n"), F.lit("!")).alias("quals"))
-    by = W.partitionBy("frag", "contig").orderBy("read_id")
-    kept = kept.select(*_READ, "contig", "pos0", "seen", "quals", "blocks", F.coalesce(F.lag(other).over(by), F.lead(other).over(by)).alias("mate"))
-    flat = kept.select(*_READ, "contig", "pos0", "seen", "quals", "mate", F.explode("blocks").alias("b"))
-    flat = flat.select(*_READ, "contig", (F.col("pos0") + F.col("b.ref_off")).alias("at"), F.col("b.len").alias("len"), F.col("b.read_off").alias("off"), "seen", "mate", F.expr("substr(quals, b.read_off + 1, b.len)").alias("bqs"))
-    flat = flat.select(*_READ, "contig", "at", "off", "len", "seen", "bqs", X.aligned_to("mate.bases", " ").alias("mate_bases"), X.aligned_to("mate.quals", "!").alias("mate_quals"))
+def mismatch_parts(reads: DataFrame, ref: DataFrame, intervals=None, mask=None, names=STRATIFIERS, mates: bool = True, **rules) -> DataFrame:
+    """Blocks cut at the reference's pieces, with the read's covariates that the names ask for; own: their bases and the one on either side; up and down (for hp_len): the runs of equal bases that end before them and begin after them. Without mates no read is shuffled to its mate."""
+    kept = kept_reads(reads, **rules).withColumn("blocks", X.aligned_blocks())
+    of_read, laid = _read_names(names), []
+    if mates:
+        n = X.op_sum("MIS=X").cast("int")
+        other = F.struct("pos0", "blocks", F.rpad(F.upper("seq"), F.col("n"), F.lit(" ")).alias("bases"), F.rpad("quals", F.col("n"), F.lit("!")).alias("quals"))
+        by = W.partitionBy("frag", "contig").orderBy("read_id")
+        kept = kept.withColumn("n", n).select(*of_read, "contig", "pos0", "seen", "quals", "blocks", F.coalesce(F.lag(other).over(by), F.lead(other).over(by)).alias("mate"))
+        laid = [X.aligned_to("mate.bases", " ").alias("mate_bases"), X.aligned_to("mate.quals", "!").alias("mate_quals")]
+    mate = ["mate"] if mates else []
+    flat = kept.select(*of_read, "contig", "pos0", "seen", "quals", *mate, F.explode_outer("blocks").alias("b"))  # outer: no filter that folds the CIGAR again; blocks without len are left out below
+    flat = flat.select(*of_read, "contig", (F.col("pos0") + F.col("b.ref_off")).alias("at"), F.col("b.len").alias("len"), F.col("b.read_off").alias("off"), "seen", *mate, F.expr("substr(quals, b.read_off + 1, b.len)").alias("bqs"))
+    flat = flat.select(*of_read, "contig", "at", "off", "len", "seen", "bqs", *laid)
     spans = flat.filter("len > 0").withColumns({"start": F.col("at"), "end": F.col("at") + F.col("len")})
     size = bases.piece_size(ref)
     if intervals is not None or mask is not None:
@@ -113,24 +123,26 @@ def mismatch_parts(reads: DataFrame, ref: DataFrame, intervals=None, mask=None,
     c = F.col
     skip, n = (c("start") - c("at")).cast("int"), (c("end") - c("start")).cast("int")
     parts = bases.with_pieces(spans, ref, size).withColumns({"skip": skip, "n": n, "first": c("off") + skip, "r": F.substr("piece", (c("start") - c("piece_start") + 1).cast("int"), n)})
-    parts = parts.filter(F.length(F.translate("r", f"N{bases.CLOSED}", "")) > 0)
+    if intervals is not None or mask is not None:
+        parts = parts.filter(F.length(F.translate("r", f"N{bases.CLOSED}", "")) > 0)
     inner, along = F.substr("seen", F.lit(2), F.length("seen") - 2), lambda text: F.substr(text, c("skip") + 1, c("n"))
     up, down = X.homopolymer(inner, c("first"), F.lit(False)), X.homopolymer(inner, c("first") + c("n") - 1, F.lit(True))
-    numbers = [F.coalesce(c(x).cast("int"), F.lit(-1)).alias(x) for x in _READ]
-    return parts.select(*numbers, "first", "n", (F.length("seen") - 2).alias("size"), up.cast("int").alias("up"), down.cast("int").alias("down"), F.substr("seen", c("first") + 1, c("n") + 2).alias("own"), "r", along(c("bqs")).alias("q"), along(c("mate_bases")).alias("mb"), along(c("mate_quals")).alias("mq"))
+    numbers = [F.coalesce(c(x).cast("int"), F.lit(-1)).alias(x) for x in of_read]
+    runs = [up.cast("int").alias("up"), down.cast("int").alias("down")] if "hp_len" in names else []
+    theirs = [along(c("mate_bases")).alias("mb"), along(c("mate_quals")).alias("mq")] if mates else []
+    return parts.select(*numbers, "first", "n", (F.length("seen") - 2).alias("size"), *runs, F.substr("seen", c("first") + 1, c("n") + 2).alias("own"), "r", along(c("bqs")).alias("q"), *theirs)
 
 
 _CODES = np.full(256, -1, np.int64)
 _CODES[np.frombuffer(b"ACGT", np.uint8)] = np.arange(4)
 
 
-def _bases_of(part: pa.RecordBatch, min_bq: int) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
-    """Of the counted bases of some parts: covariates, -1 for null, and which ones are errors, overlap, and are mismatches of each kind. All arrays lie side by side."""
-    number = {x: part.column(x).to_numpy().astype(np.int64) for x in (*_READ, "first", "n", "size", "up", "down")}
+def _bases_of(part: pa.RecordBatch, min_bq: int, names=STRATIFIERS) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """Of the counted bases of some parts: the covariates that are named, -1 for null, and which ones are errors, and, with mates, overlap, and are mismatches of each kind. All arrays lie side by side."""
+    number = {x: part.column(x).to_numpy().astype(np.int64) for x in (*_READ, "first", "n", "size", "up", "down") if x in part.schema.names}
     n = number["n"]
     row = np.repeat(np.arange(len(n)), n)
     i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    of = {x: v[row] for x, v in number.items()}
 
     def text(name):
         column = part.column(name).fill_null("").cast(pa.binary())
@@ -142,38 +154,51 @@ def _bases_of(part: pa.RecordBatch, min_bq: int) -> tuple[dict[str, np.ndarray],
         where = starts[:-1][row] + i + by
         return np.where(where < starts[1:][row], where, len(data) - 1)
 
-    own = text("own")
-    here = at(*own, 1)
-    before, b, after = (own[1][at(*own, k)] for k in (0, 1, 2))
-    # Runs within the texts; those that reach a text's end go on in the read.
-    starts, data = own
-    places = np.arange(len(data))
-    new = np.ones(len(data), bool)
-    new[1:] = data[1:] != data[:-1]
-    new[starts] = True
-    first = np.maximum.accumulate(np.where(new, places, 0))
-    last = np.minimum.accumulate(np.where(np.append(new[1:], True), places, len(data))[::-1])[::-1]
-    left, right = np.maximum(here - 1, 0), np.minimum(here + 1, len(data) - 1)
-    up = left - first[left] + 1 + np.where(first[left] == starts[:-1][row], of["up"] - 1, 0)
-    down = last[right] - right + 1 + np.where(last[right] == starts[1:][row] - 1, of["down"] - 1, 0)
-
     score = lambda t, x: np.where(x == len(t[1]) - 1, -1, t[1][x].astype(np.int64) - 33)
-    r, q, mb, mq = (text(x) for x in ("r", "q", "mb", "mq"))
-    bq, mate_bq = score(q, at(*q, 0)), score(mq, at(*mq, 0))
-    counts = ((bq == -1) | (bq >= min_bq)) & (_CODES[b] >= 0) & (_CODES[r[1][at(*r, 0)]] >= 0)
-    rev = of["reverse"] == 1
+    own, r, q = (text(x) for x in ("own", "r", "q"))
+    here = at(*own, 1)
+    b, under, bq = own[1][here], r[1][at(*r, 0)], score(q, at(*q, 0))
+    # From here on only of the bases that count.
+    kept = np.flatnonzero(((bq == -1) | (bq >= min_bq)) & (_CODES[b] >= 0) & (_CODES[under] >= 0))
+    row, i, here, b, under, bq = (x[kept] for x in (row, i, here, b, under, bq))
+    of = lambda x: number[x][row]
+    rev = of("reverse") == 1
     code = lambda x: np.where(rev & (_CODES[x] >= 0), 3 - _CODES[x], _CODES[x])
-    base, ref, mate = code(b), code(r[1][at(*r, 0)]), np.where(mate_bq >= min_bq, code(mb[1][at(*mb, 0)]), -1)
-    before, after = code(np.where(rev, after, before)), code(np.where(rev, before, after))
-    error, off = base != ref, of["first"] + i
-    out = {x: of[x] for x in ("mapq", "read_num", "strand", "pair_orientation", "isize", "gc")} | {
-        "all": np.zeros(len(i), np.int64), "bq": bq, "cycle": np.where(rev, of["size"] - off, off + 1), "read_base": base, "ref_base": ref, "hp_len": np.where(rev, down, up), "pre_dinuc": np.where(before < 0, -1, before * 4 + ref), "post_dinuc": np.where(after < 0, -1, after * 4 + ref),
-        "context_3bp": np.where((before < 0) | (after < 0), -1, (before * 4 + ref) * 4 + after), "nm": np.maximum(of["nm0"] - error, 0), "indel_len": np.zeros(len(i), np.int64),
+    base, ref = code(b), code(under)
+    error, off = base != ref, of("first") + i
+
+    def beside() -> tuple[np.ndarray, np.ndarray]:
+        low, high = (own[1][at(*own, k)] for k in (0, 2))
+        return code(np.where(rev, high, low)), code(np.where(rev, low, high))
+
+    def run() -> np.ndarray:
+        """The run of equal bases before each; those that reach a text's end go on in the read."""
+        starts, data = own
+        places = np.arange(len(data))
+        new = np.ones(len(data), bool)
+        new[1:] = data[1:] != data[:-1]
+        new[starts] = True
+        first = np.maximum.accumulate(np.where(new, places, 0))
+        last = np.minimum.accumulate(np.where(np.append(new[1:], True), places, len(data))[::-1])[::-1]
+        left, right = np.maximum(here - 1, 0), np.minimum(here + 1, len(data) - 1)
+        up = left - first[left] + 1 + np.where(first[left] == starts[:-1][row], of("up") - 1, 0)
+        down = last[right] - right + 1 + np.where(last[right] == starts[1:][row] - 1, of("down") - 1, 0)
+        return np.where(rev, down, up)
+
+    before, after = beside() if {"pre_dinuc", "post_dinuc", "context_3bp"} & set(names) else (None, None)
+    zero = lambda: np.zeros(len(i), np.int64)
+    made = {
+        "all": zero, "bq": lambda: bq, "cycle": lambda: np.where(rev, of("size") - off, off + 1), "read_base": lambda: base, "ref_base": lambda: ref, "hp_len": run, "pre_dinuc": lambda: np.where(before < 0, -1, before * 4 + ref), "post_dinuc": lambda: np.where(after < 0, -1, after * 4 + ref),
+        "context_3bp": lambda: np.where((before < 0) | (after < 0), -1, (before * 4 + ref) * 4 + after), "nm": lambda: np.maximum(of("nm0") - error, 0), "indel_len": zero,
     }
+    out = {x: made[x]() if x in made else of(x) for x in names}
+    if "mb" not in part.schema.names:
+        return out, [error]
+    mb, mq = text("mb"), text("mq")
+    mate = np.where(score(mq, at(*mq, 0)) >= min_bq, code(mb[1][at(*mb, 0)]), -1)
     met = mate >= 0
     wrong = met & error
-    kinds = [error, met, wrong & (mate == ref), wrong & (mate == base), wrong & (mate != ref) & (mate != base)]
-    return {x: v[counts] for x, v in out.items()}, [x[counts] for x in kinds]
+    return out, [error, met, wrong & (mate == ref), wrong & (mate == base), wrong & (mate != ref) & (mate != base)]
 
 
 def _strata_of(covariates: list[np.ndarray], kinds: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -200,14 +225,14 @@ def _strata_of(covariates: list[np.ndarray], kinds: list[np.ndarray]) -> tuple[l
 
 def mismatch_counts(parts: DataFrame, groups: list[tuple[str, ...]], keys: list[str], min_bq: int = 20, bases_at_once: int = 1 << 19) -> DataFrame:
     """(keys, measures) of mismatch_parts: the counted bases of every stratum, summed within the batches of each task."""
-    names = [*keys, *MEASURES]
+    names, used = [*keys, *MEASURES], sorted({x for g in groups for x in g})
 
     def work(batches):
         for batch in batches:
             ends, lo = np.cumsum(batch.column("n").to_numpy().astype(np.int64)), 0
             while lo < batch.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + bases_at_once, "right")))
-                covariates, kinds = _bases_of(batch.slice(lo, hi - lo), min_bq)
+                covariates, kinds = _bases_of(batch.slice(lo, hi - lo), min_bq, used)
                 lo = hi
                 for i, g in enumerate(groups):
                     values, counts = _strata_of([covariates[x] for x in g], kinds)
@@ -266,9 +291,11 @@ def _text(name: str, code: Column) -> Column:
     return code.cast("string")
 
 
-def counted(reads: DataFrame, ref: DataFrame, groups=DEFAULT_GROUPS, **options) -> DataFrame:
+def counted(reads: DataFrame, ref: DataFrame, groups=DEFAULT_GROUPS, tables=("mismatch", "overlap", "indel"), **options) -> DataFrame:
     """(g, stratifier, covariate, measures): all groups from one flattening.
 
+    Measures that only tables other than the named ones hold are 0, strata that only those have are absent: reads meet their mates for overlap alone, and events are read for indel alone.
+
     A key is the group's number and its covariates, packed two to a number; the numbers of a key are as many as the largest
     group asks for, one for groups of up to two names.
     """
@@ -280,7 +307,7 @@ def counted(reads: DataFrame, ref: DataFrame, groups=DEFAULT_GROUPS, **options)
     c = F.col
     one = lambda x: F.when(x, 1).otherwise(0).cast("long")
     ins = c("op") == "I"
-    b = indel_rows(reads, ref, **options).select(*names, *[v.alias(k) for k, v in {**zero, "num_insertions": one(ins), "num_inserted_bases": F.when(ins, c("len")).otherwise(0).cast("long"), "num_deletions": one(~ins), "num_deleted_bases": F.when(~ins, c("len")).otherwise(0).cast("long")}.items()])
+    b = "indel" in tables and indel_rows(reads, ref, **options).select(*names, *[v.alias(k) for k, v in {**zero, "num_insertions": one(ins), "num_inserted_bases": F.when(ins, c("len")).otherwise(0).cast("long"), "num_deletions": one(~ins), "num_deleted_bases": F.when(~ins, c("len")).otherwise(0).cast("long")}.items()])
     sums = [F.sum(m).alias(m) for m in MEASURES]
     keys = [f"k{j}" for j in range((max(map(len, parsed)) + 1) // 2)]
     long = lambda n: c(n).cast("long")
@@ -299,8 +326,9 @@ def counted(reads: DataFrame, ref: DataFrame, groups=DEFAULT_GROUPS, **options)
         each = each if len(keys) == 1 else each.select("k0.*", *MEASURES)
         return each.groupBy(*keys).agg(*sums)
 
-    found = mismatch_counts(mismatch_parts(reads, ref, **{k: v for k, v in options.items() if k != "min_bq"}), parsed, keys, options.get("min_bq", 20))
-    rows = found.union(keyed(b)).groupBy(*keys).agg(*sums)
+    parts = mismatch_parts(reads, ref, names=names, mates="overlap" in tables, **{k: v for k, v in options.items() if k != "min_bq"})
+    found = mismatch_counts(parts, parsed, keys, options.get("min_bq", 20))
+    rows = (found.union(keyed(b)) if "indel" in tables else found).groupBy(*keys).agg(*sums)
     mask = (1 << SHIFT) - 1
     code = lambda j: (c(keys[j // 2]) if j % 2 else F.shiftright(keys[j // 2], SHIFT)).bitwiseAND(mask)
     g_of = F.shiftright("k0", 2 * SHIFT)

@@ -237,6 +237,19 @@ def test_mismatches_are_counted_by_batch(spark):
         assert got == {(x, y): (((a == x) & (b == y)).sum(), ((a == x) & (b == y) & kind).sum()) for x in range(9) for y in range(7)}
 
 
+def test_tables_of_errors_make_only_what_they_hold(spark):
+    """The mismatch table meets no mates and reads no events, and each table alone is that of all together."""
+    t = Tables(spark, DATA)
+    groups = ("read_num,cycle", "hp_len", "context_3bp", "nm", "isize")
+    whole = errors.counted(t.reads, t.ref, groups=groups)
+    plan = executed(errors.counted(t.reads, t.ref, groups=groups, tables=("mismatch",)))
+    assert "Window" not in plan and "SortMergeJoin" not in plan and plan.count("Scan parquet") == 1
+    for name, table in (("mismatch", errors.mismatch), ("overlap", errors.overlap), ("indel", errors.indel)):
+        alone = errors.counted(t.reads, t.ref, groups=groups, tables=(name,))
+        assert table(alone).collect() == table(whole).collect()
+
+
+
 def test_bases_are_counted_by_batch(spark):
     """Bases are never rows: counts are those of a plain loop, whatever a batch holds."""
     t = Tables(spark, DATA)
