@@ -6,9 +6,10 @@ training tokens. So the tables of the model are bounded while the vocabulary, co
 it stays a distributed table, and the words of documents that are not among the ``known`` most frequent ones are joined
 with it.
 
-Baum-Welch: starting values come from a bounded sample of training documents (``sample``); then each full iteration runs
-scaled forward-backward over all training documents, in blocks of ``block`` words, and sums the expected counts of all
-partitions in Spark. Scoring runs the scaled forward recursion over whole texts, which gives the exact likelihood.
+Baum-Welch over all training documents, which are stored once as symbols: first a pass in ``warm`` steps, in which each
+document takes part once, in one of as many shares of them, and the expected counts of a step are mixed into those of the
+steps before (stepwise EM); then ``iterations`` passes in one step. Each step runs scaled forward-backward in blocks of
+``block`` words and sums the expected counts of all partitions in Spark. Scoring runs the scaled forward recursion over whole texts, which gives the exact likelihood.
 """
 
 from __future__ import annotations
@@ -118,20 +119,20 @@ def expected(flat, lengths, start, a, b):
     return first, moves * a, gamma
 
 
-def blocks(texts, symbols: Symbols, block: int):
-    """Chunks of (flat symbols, lengths of the blocks, which blocks begin a text)."""
-    flat, lengths, heads = [], [], []
-    for text in texts:
-        s = list(map(symbols.__getitem__, tokens(text)))
-        flat += s
-        for lo in range(0, len(s), block):
-            lengths.append(min(block, len(s) - lo))
-            heads.append(lo == 0)
-        if len(flat) > CHUNK:
-            yield np.array(flat, np.int32), np.array(lengths), np.array(heads)
-            flat, lengths, heads = [], [], []
+def blocks(rows, block: int):
+    """Chunks of (flat symbols, lengths of the blocks, which blocks begin a text); rows: the symbols of each text, at least one."""
+    flat, lengths, heads, held = [], [], [], 0
+    for row in rows:
+        more, rest = divmod(len(row), block)
+        flat.append(row)
+        lengths += [block] * more + [rest] * (rest > 0)
+        heads += [True] + [False] * (more + (rest > 0) - 1)
+        held += len(row)
+        if held > CHUNK:
+            yield np.concatenate(flat).astype(np.int32), np.array(lengths), np.array(heads)
+            flat, lengths, heads, held = [], [], [], 0
     if flat:
-        yield np.array(flat, np.int32), np.array(lengths), np.array(heads)
+        yield np.concatenate(flat).astype(np.int32), np.array(lengths), np.array(heads)
 
 
 class Model:
@@ -169,8 +170,8 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, states: int = 6, top:
 
     Learns from the rows with crc32(doc_id as text) % folds != held; rows without id are learned from. A null or wordless
     text is its end token alone. Without training rows N = V = 0 and every token is unknown. Repeated rows count as often
-    as they are there; other columns are ignored. Starting values come from at most ``sample`` distinct texts of at most
-    ``sample_bytes``; the ``iterations`` after it see all training rows.
+    as they are there; other columns are ignored. ``sample`` and ``sample_bytes`` have no effect any more: nothing is learnt
+    from a sample.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", (remainder(F.col("doc_id"), folds) == held).alias("held_out"), F.col("text").cast("binary").alias("b"))
@@ -206,12 +207,18 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, states: int = 6, top:
 
     symbols = Symbols(held_words, first_group, groups)
     model = Model.random(share, states, seed)
-    texts = _sample(train, sample, sample_bytes, seed)
-    parts = list(blocks(texts, symbols, block))
-    for _ in range(warm if parts else 0):
-        model = model.step(sum(model.counts(*x) for x in parts), share)
-    for _ in range(iterations if parts else 0):
-        model = model.step(_full_counts(train.select("b"), spark.sparkContext.broadcast((model, symbols, block))), share)
+    if total:
+        steps = max(1, warm)
+        encoded = stored(_encoded(train.select("b", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "b"), F.lit(steps)).cast("int").alias("step")), spark.sparkContext.broadcast(symbols)), "symbols", by="step")
+        mixed = None
+        for i in range(warm):
+            found = _full_counts(encoded.filter(F.col("step") == i), spark.sparkContext.broadcast((model, block)))
+            if size := found[: len(share)].sum():
+                found *= total / size
+                mixed = found if mixed is None else mixed + (i + 1.0) ** -0.7 * (found - mixed)
+                model = model.step(mixed, share)
+        for _ in range(iterations):
+            model = model.step(_full_counts(encoded, spark.sparkContext.broadcast((model, block))), share)
 
     shared = spark.sparkContext.broadcast((model, symbols, counted, math.log10(total + 0.1 * (vocabulary + 1)), np.log10(inside)))
     scored = rows.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(_scorer(shared), "_row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<w:binary,n:int,inside:double>>")
@@ -228,29 +235,33 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, states: int = 6, top:
     )
 
 
-def _sample(train: DataFrame, rows: int, most_bytes: int, seed: int) -> list[bytes | None]:
-    """Distinct texts of at most most_bytes, at most ``rows`` of them, the smallest by hash: at most rows * most_bytes reach the driver, however many rows share an id or a text."""
-    fine = train.filter(F.coalesce(F.length("b"), F.lit(0)) <= most_bytes).select("b", F.xxhash64(F.lit(seed), "b").alias("h"))
-    picked = fine.select("h").distinct().orderBy("h").limit(rows)
-    found = fine.join(F.broadcast(picked), "h").groupBy("h").agg(F.first("b").alias("b")).orderBy("h").collect()
-    return [None if r.b is None else bytes(r.b) for r in found]
+def _encoded(train: DataFrame, shared) -> DataFrame:
+    """(s, step): the symbols of each text, as numbers of four bytes."""
+
+    def work(batches):
+        symbols = shared.value
+        for batch in batches:
+            made = [np.array(list(map(symbols.__getitem__, tokens(text))), "<i4").tobytes() for text in batch.column("b").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column("step")], names=["s", "step"])
+
+    return train.mapInArrow(work, "s binary, step int")
 
 
 def _full_counts(train: DataFrame, shared) -> np.ndarray:
-    """The expected counts of all training documents, summed over the partitions by symbol."""
-    model, _, _ = shared.value
+    """The expected counts of encoded documents, summed over the partitions by symbol."""
+    model, _ = shared.value
     size, k = len(model.b) + model.a.shape[0] + 2, model.a.shape[0]
 
     def work(batches):
-        model, symbols, block = shared.value
+        model, block = shared.value
         sums = np.zeros((size, k))
         for batch in batches:
-            for part in blocks(batch.column("b").to_pylist(), symbols, block):
+            for part in blocks([np.frombuffer(x, "<i4") for x in batch.column("s").to_pylist()], block):
                 sums += model.counts(*part)
         at = np.flatnonzero(sums.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(sums[at, j]) for j in range(k))], names=["i", *(f"s{j}" for j in range(k))])
 
-    found = train.mapInArrow(work, ", ".join(["i int", *(f"s{j} double" for j in range(k))])).groupBy("i").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toPandas()
+    found = train.select("s").mapInArrow(work, ", ".join(["i int", *(f"s{j} double" for j in range(k))])).groupBy("i").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(k)]).toPandas()
     out = np.zeros((size, k))
     out[found["i"].to_numpy()] = found.drop(columns="i").to_numpy()
     return out

@@ -187,6 +187,23 @@ def test_forward_and_expectations_by_enumeration():
     assert np.allclose(moves, want_moves) and np.allclose(first, want_first) and np.allclose(gamma.sum(axis=1), 1)
 
 
+def test_hmm_learns_from_all(docs_of, monkeypatch):
+    """Each training text takes part once in the first pass and once in every later one; no text is left out for a sample or its size."""
+    texts = [f"word{i} follows word{i % 7} " * (1 + i) for i in range(60)] + ["long " * 50_000]
+    rows = [(i, x, "en", "s", len(x), None, None) for i, x in enumerate(texts)]
+    seen = []
+    real = hmm._full_counts
+    monkeypatch.setattr(hmm, "_full_counts", lambda *x: seen.append(real(*x)) or seen[-1].copy())
+    out = hmm.score(docs_of(rows), sample=2, sample_bytes=100, warm=5, iterations=2).collect()
+    tokens = out[0].train_tokens
+    assert len(seen) == 7 and len(out) == len(rows)
+    heads = sum(bool(zlib.crc32(str(r[0]).encode()) % 10) for r in rows)
+    size = len(seen[0]) - 8  # the emissions, before six rows of moves and two of starts
+    for found in ([*seen[:5]], [seen[5]], [seen[6]]):
+        assert sum(x[:size].sum() for x in found) == pytest.approx(tokens)
+        assert sum(x[size + 6].sum() for x in found) == pytest.approx(heads)
+
+
 def test_hmm_odd(docs_of, odd_rows):
     out = hmm.score(docs_of(odd_rows), iterations=1, warm=1).collect()
     assert len(out) == len(odd_rows) and {r.n_tokens for r in out if r.doc_id in (1, 2, 3)} == {1} and all(math.isfinite(r.score) for r in out)
