@@ -10,7 +10,9 @@ and in full before the rerank, within radii that cover ``cover`` of these neighb
 double precision.
 
 Equal vectors are one class, with the ids that can be among the k nearest, so copies make no hot bucket. The join on buckets
-is an equi-join (a bucket of many near copies is split by adaptive execution); only ids leave it. They are dealt by
+is an equi-join (a bucket of many near copies is split by adaptive execution); only ids leave it. It is a merge join by hint:
+Spark would size the probes by the file of their queries (thousands of rows a query), and broadcast what the driver can't hold.
+The ids are dealt by
 shard of the rows and block of the queries, both of bounded size, where each query comes along once with its candidates in
 that shard. A query that finds fewer than k rows is compared with all rows, and so is every query if no number of
 substrings reaches the target.
@@ -155,7 +157,7 @@ def candidates(classes: DataFrame, queries: DataFrame, shared) -> DataFrame:
     """(q, c): the pairs that meet in a bucket and whose signatures are near, some more than once. classes and queries are (c, v)."""
     left, right = _entries(queries, shared, True, "q"), _entries(classes, shared, False, "c").withColumnRenamed("key", "k")
     apart = reduce(add, (F.bit_count(F.col(f"qs{i}").bitwiseXOR(F.col(f"cs{i}"))) for i in range(SIGNATURE // WORD)))
-    return left.join(right, (F.col("key") == F.col("k")) & (apart <= shared.value.near)).select("q", "c")
+    return left.hint("merge").join(right, (F.col("key") == F.col("k")) & (apart <= shared.value.near)).select("q", "c")
 
 
 def fit_sample(classes: DataFrame, rows: int, want: int) -> np.ndarray:

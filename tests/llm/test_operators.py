@@ -978,3 +978,18 @@ def test_fit_sample_is_bounded(spark):
         assert 350 < len(ann.fit_sample(classes, 20_000, 500)) < 650
     few = spark.range(3).select(F.array(F.col("id") + 1.0, F.lit(2.0)).alias("v"))
     assert len(ann.fit_sample(few, 3, 500)) == 3 and len(ann.fit_sample(few, 1 << 20, 1)) >= 1
+
+
+def test_neighbours_broadcast_no_probes(spark, monkeypatch):
+    """The probes of the queries, thousands of rows a query, are not broadcast, however small the file of the queries is."""
+    plans = {}
+    plain = ann.stored
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(ann, "stored", watched)
+    x = np.random.default_rng(6).standard_normal((400, 16))
+    assert ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=20).count() == 100
+    assert "SortMergeJoin [key#" in plans["found"], plans["found"]
