@@ -10,9 +10,9 @@ and in full before the rerank, within radii that cover ``cover`` of these neighb
 double precision.
 
 Equal vectors are one class, with the ids that can be among the k nearest, so copies make no hot bucket. The join on buckets
-is an equi-join (a bucket of many near copies is split by adaptive execution); only ids leave it. It is a merge join by hint:
-Spark would size the probes by the file of their queries (thousands of rows a query), and broadcast what the driver can't hold.
-The ids are dealt by
+is an equi-join (a bucket of many near copies is split by adaptive execution); only ids leave it. It is a merge join by hint,
+as are the joins that bring a class its ids and a query its class or vector: Spark would size the probes by the file of their
+queries (thousands of rows a query), the others by compressed files, and would broadcast what the driver can't hold. The ids are dealt by
 shard of the rows and block of the queries, both of bounded size, where each query comes along once with its candidates in
 that shard. A query that finds fewer than k rows is compared with all rows, and so is every query if no number of
 substrings reaches the target.
@@ -149,7 +149,7 @@ def _true_pairs(classes: DataFrame, queries: DataFrame, k: int, sampled: int) ->
 
     near = classes.select("c", "v").mapInArrow(nearest, "i int, c long, score double")
     near = near.withColumn("at", F.row_number().over(W.partitionBy("i").orderBy(F.desc("score"), "c"))).filter(F.col("at") <= k)
-    found = near.select("i", "c").join(classes.select("c", "v"), "c").toPandas()
+    found = classes.select("c", "v").join(F.broadcast(near.select("i", "c")), "c").toPandas()  # sampled * k rows
     return np.stack(picked["v"].to_list()).astype(float)[found["i"].to_numpy()], np.stack(found["v"].to_list()).astype(float) if len(found) else np.zeros((0, 1))
 
 
@@ -204,10 +204,10 @@ def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_ro
     total = rows.count()
     rank = F.row_number().over(W.partitionBy("h1", "h2").orderBy("vec_id"))
     ids = rows.select("h1", "h2", "vec_id").withColumn("rank", rank).filter(F.col("rank") <= k + 1).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = rows.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(ids, ["h1", "h2"])
+    classes = rows.groupBy("h1", "h2").agg(F.first("v").alias("v")).hint("merge").join(ids, ["h1", "h2"])
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    asking = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2").join(classes.select("h1", "h2", F.col("c").alias("q")), ["h1", "h2"])
+    asking = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "h1", "h2").join(classes.select("h1", "h2", F.col("c").alias("q")).hint("merge"), ["h1", "h2"])
     asking = stored(asking.select("vec_id", "q").withColumn("row", F.monotonically_increasing_id()), "asking")
     queries = stored(classes.join(asking.select(F.col("q").alias("c")).distinct(), "c", "left_semi").select("c", "v"), "queries")
 
@@ -227,7 +227,7 @@ def _search(rows: DataFrame, d: int, k: int, every: int, fit_rows: int, shard_ro
     found, full = spark.createDataFrame([], FOUND + ", at int"), spark.createDataFrame([], "q long")
     if shared.value.reached:
         pairs = candidates(classes, queries, shared).distinct().repartition("q").withColumn("shard", shard)
-        pairs = pairs.groupBy("q", "shard").agg(F.collect_set("c").alias("cs")).join(asked, "q").select(*by, "q", "qv", "cs")
+        pairs = pairs.groupBy("q", "shard").agg(F.collect_set("c").alias("cs")).join(asked.hint("merge"), "q").select(*by, "q", "qv", "cs")
         found = stored(best(ranked(pairs)), "found")
         full = found.filter(F.col("at") == min(k + 1, total)).select("q")
     again = asked.join(full, "q", "left_anti")

@@ -981,7 +981,7 @@ def test_fit_sample_is_bounded(spark):
 
 
 def test_neighbours_broadcast_no_probes(spark, monkeypatch):
-    """The probes of the queries, thousands of rows a query, are not broadcast, however small the file of the queries is."""
+    """Neither the probes of the queries (thousands of rows a query) nor rows of classes are broadcast, however small their files are."""
     plans = {}
     plain = ann.stored
 
@@ -992,4 +992,5 @@ def test_neighbours_broadcast_no_probes(spark, monkeypatch):
     monkeypatch.setattr(ann, "stored", watched)
     x = np.random.default_rng(6).standard_normal((400, 16))
     assert ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=20).count() == 100
-    assert "SortMergeJoin [key#" in plans["found"], plans["found"]
+    for name in ("classes", "asking", "found"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], plans[name]
