@@ -423,6 +423,20 @@ def test_range_join_of_dense_short_spans(spark):
     assert met < 2 * len(want)
 
 
+def test_range_join_broadcasts_few_entries(spark):
+    """Few rows of long spans make many entries, which are not broadcast, whichever side they are on."""
+    long = spark.range(8).select(F.col("id"), F.lit("c").alias("contig"), (F.col("id") * 50_000_000).alias("s"), (F.col("id") * 50_000_000 + 600_000_000).alias("e"))
+    short = spark.range(40).select(F.col("id").alias("name"), F.lit("c").alias("contig"), (F.col("id") * 25_000_000).alias("s"), (F.col("id") * 25_000_000 + 10).alias("e"))
+    want = {(i, j) for i in range(8) for j in range(40) if i * 2 * 25_000_000 < j * 25_000_000 + 10 and j * 25_000_000 < i * 50_000_000 + 600_000_000}
+    for one, two, sent in ((long, short, "BuildRight"), (short, long, "")):
+        a, b = (df.withColumnsRenamed({"s": f"{x}_start", "e": f"{x}_end"}) for df, x in ((one, "a"), (two, "b")))
+        for send in (False, True):
+            df = I.range_join(a, b, send=send)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert ("Broadcast" in plan) == bool(sent) and sent in plan and "BuildLeft" not in plan, plan
+            assert sorted(map(tuple, df.select("id", "name").collect())) == sorted(want)
+
+
 def test_interval_list_in_many_files(spark, tmp_path):
     """The header's file need not be the one that a scan reads first."""
     contigs = spark.createDataFrame([(0, "chr1", 90_000)], "ref_id int, contig string, length long")
